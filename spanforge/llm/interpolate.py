@@ -37,7 +37,7 @@ END = 0x9E3779B97F4A7C15
 #: Context buckets: how often the context was seen in training, by powers of four.
 BUCKETS = 10
 #: Cells of the histograms on which EM runs: log10 of a probability ratio in steps of 1/CELLS_PER.
-CELLS, CELLS_PER = 72, 8
+CELLS, CELLS_PER = 120, 8
 
 
 def tokens(text: str | None) -> list[int]:
@@ -63,6 +63,24 @@ def _bytes(a: np.ndarray, dtype: str) -> bytes:
     return a.astype(dtype).tobytes()
 
 
+def planes(a: np.ndarray) -> bytes:
+    """64-bit numbers by byte position: the positions that are 0 throughout compress to nothing."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def ascending(h: np.ndarray) -> bytes:
+    """Sorted hashes as steps between their upper 56 bits."""
+    return planes(np.diff(h >> np.uint64(8), prepend=np.uint64(0)))
+
+
+def from_ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(raw), dtype=np.uint64)
+
+
 def pack(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of whole documents: ids, training flags, lengths, distinct words, and the words' numbers."""
 
@@ -125,7 +143,7 @@ def asked(blocks: DataFrame, owners: int) -> DataFrame:
                     cuts = np.searchsorted(own[order], np.arange(owners + 1))
                     for k in range(owners):
                         at = order[cuts[k] : cuts[k + 1]]
-                        out.append((k, row["block"], kind, _bytes(h[at], "<u8"), _bytes(n[at], "<u4")))
+                        out.append((k, row["block"], kind, ascending(h[at]), planes(n[at])))
                 yield pd.DataFrame(out, columns=["owner", "block", "kind", "hashes", "counts"])
 
     return blocks.mapInPandas(run, "owner long, block long, kind int, hashes binary, counts binary")
@@ -137,14 +155,14 @@ def answered(questions: DataFrame) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for kind, rows in group.groupby("kind"):
-            h = [np.frombuffer(x, "<u8") for x in rows["hashes"]]
-            n = np.concatenate([np.frombuffer(x, "<u4") for x in rows["counts"]]).astype(np.float64)
+            h = [from_ascending(x) for x in rows["hashes"]]
+            n = np.concatenate([from_planes(x) for x in rows["counts"]]).astype(np.float64)
             known, of = np.unique(np.concatenate(h), return_inverse=True)
             total = np.bincount(of, n, len(known)).astype(np.int64)
             ends = np.cumsum([len(x) for x in h])
             for i, (block, end, x) in enumerate(zip(rows["block"], ends, h, strict=True)):
                 # the distinct words seen in training are counted once, on the owner's first row
-                out.append((rows["owner"].iloc[0], block, int(kind), _bytes(total[of[end - len(x) : end]], "<i8"), int((total > 0).sum()) if i == 0 else 0))
+                out.append((rows["owner"].iloc[0], block, int(kind), planes(total[of[end - len(x) : end]]), int((total > 0).sum()) if i == 0 else 0))
         return pd.DataFrame(out, columns=["owner", "block", "kind", "counts", "n_known"])
 
     return questions.groupBy("owner").applyInPandas(run, "owner long, block long, kind int, counts binary, n_known long")
@@ -158,7 +176,7 @@ def _counts(b: Block, answers: pd.DataFrame, owners: int) -> tuple[np.ndarray, n
         own = _owner(h, owners)
         order = np.argsort(own, kind="stable")
         total = np.zeros(len(h), np.int64)
-        total[order] = np.concatenate([np.frombuffer(found[kind, k], "<i8") for k in range(owners)])
+        total[order] = np.concatenate([from_planes(found[kind, k]) for k in range(owners)])
         out.append(total)
     return out[0], out[1]
 
