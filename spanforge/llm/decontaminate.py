@@ -46,8 +46,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
         d = d.withColumn("n", F.explode_outer(F.array(*[F.lit(x) for x in lengths])) if lengths else F.lit(width))
     else:
         d = d.withColumn("n", F.lit(lengths[0]))
-    d = d.filter(F.expr("pos + n - 1 <= size(w)")).withColumn("h", F.expr("xxhash64(slice(w, pos, n))"))
-    found = d.join(F.broadcast(windows) if small else windows, (d["h"] == windows["h"]) & (F.expr("slice(w, pos, n)") == windows["gram"]))
+    # from here on a row has its window alone, not all words of its document
+    d = d.filter(F.expr("pos + n - 1 <= size(w)")).select("id", "th", "pos", "n", F.expr("slice(w, pos, n)").alias("g"))
+    d = d.withColumn("h", F.xxhash64("g"))
+    found = d.join(F.broadcast(windows) if small else windows, (d["h"] == windows["h"]) & (F.col("g") == F.col("gram")))
     found = found.select("id", "th", F.struct("pos", F.col("n").cast("int").alias("n")).alias("span"), "items")
     return found.groupBy("id", "th").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("items").alias("items"))
 
