@@ -119,7 +119,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     first = d.agg(F.max("doc_id").alias("x")).first()["x"]
     ids = d.filter(F.col("doc_id").isNotNull())
     # quantiles are doubles: past 2^53 a bound need not be an id, and then only fits fewer ranges
-    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if first is not None else []
+    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if first is not None and n > 1 else []
     bounds = sorted({int(b) for b in found} | {first}) if first is not None else []
     # range k: ids up to bounds[k] and above bounds[k - 1]; null ids are in range 0, after all others
     last = len(bounds) - 1

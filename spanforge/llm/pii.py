@@ -150,8 +150,8 @@ class Field:
                 shapes[key][label] += n
             else:
                 agree[what][int(key)] += n
-        # an unmatched form has never been labelled: its counts bound how much, not that, it speaks against a label
-        self.unary = {k: np.maximum(np.log(v / v.sum()), -4.0) for k, v in shapes.items()}
+        # an unmatched form has never been labelled: its counts say that it speaks against a label, not how much
+        self.unary = {k: np.maximum(np.log(v / v.sum()), -2.5) for k, v in shapes.items()}
         # agreement is counted with one unmatched form on a side as disagreement, so it is a lower bound
         self.chain = float(np.clip(np.log(agree["chain"][1] / agree["chain"][0]), 0.0, 0.5))
         self.skip = float(np.clip(np.log(agree["skip"][1] / agree["skip"][0]), 5.0, 8.0))
@@ -162,8 +162,10 @@ class Field:
         for i, x in enumerate(nodes):
             groups[x[3]].append(i)
         edges = [(i, i + 1, self.chain) for i in range(len(nodes) - 1)]
-        for same in groups.values():  # each mention with the next of its key: the loops carry it on
-            edges += [(i, j, self.skip) for i, j in zip(same, same[1:], strict=False) if j > i + 1 or self.skip > self.chain]
+        for same in groups.values():  # each mention with the next of its key, and with the key's first full form
+            full = next((i for i in same if nodes[i][2]), None)
+            edges += [(i, j, self.skip) for i, j in zip(same, same[1:], strict=False)]
+            edges += [(full, j, self.skip) for j in same if full is not None and not nodes[j][2]]
         flat = np.log(np.full(len(LABELS), 1 / len(LABELS)))
         local = np.array([self.unary.get(x[4], flat) for x in nodes])
         for i, x in enumerate(nodes):

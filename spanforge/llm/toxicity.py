@@ -7,14 +7,14 @@ correlations. Its posteriors label a bounded sample of documents, on which a
 linear classifier over words is trained; that classifier scores every text.
 
 The word lists start from ``INSULTS``, and words that a bounded sample of
-labelled rows of the training folds ties to toxic documents join them.
+labelled rows of the training folds ties to toxic documents join them, whole or by their first letters.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +36,17 @@ PATTERNS = (
 LISTS = 8
 VOTERS = 1 + LISTS + len(PATTERNS)
 #: What the fit takes at most: labelled rows and characters, and words of the classifier.
-MAX_ROWS, MAX_CHARS, MAX_WORDS = 6000, 24_000_000, 40_000
+MAX_ROWS, MAX_CHARS, MAX_WORDS = 6000, 24_000_000, 600
 
 
-def learned_lists(sample: list[tuple[set[str], int]], least: int = 3) -> list[frozenset[str]]:
+def learned_lists(sample: list[tuple[set[str], int]], least: int = 5) -> list[frozenset[str]]:
     """``LISTS`` word lists: words of which nearly all documents in the sample are toxic, dealt in turn."""
     toxic, clean = Counter(), Counter()
     for words, y in sample:
         (toxic if y else clean).update(words)
-    odds = {w: math.log((n + 0.1) / (clean[w] + 0.1)) for w, n in toxic.items() if n >= least and n >= 9 * clean[w]}
+    tied = [w for w, n in toxic.items() if n >= least and n >= 20 * clean[w]]
     # words of copied toxic documents come along; they have less support than the insults themselves
-    best = sorted(odds, key=lambda w: (-toxic[w], w))[: 20 * LISTS]
+    best = sorted(tied, key=lambda w: (-toxic[w], w))[: 10 * LISTS]
     return [frozenset(best[i::LISTS]) for i in range(LISTS)]
 
 
@@ -61,7 +61,9 @@ def vote(text: str, words: set[str], lists: list[frozenset[str]]) -> int:
 
 
 def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text))
+    """The words, and their first four and five letters: insults are inflected."""
+    words = set(WORD.findall(text))
+    return words | {f"{w[:4]}*" for w in words if len(w) > 4} | {f"{w[:5]}*" for w in words if len(w) > 5}
 
 
 class LabelModel:
@@ -69,6 +71,7 @@ class LabelModel:
 
     The tree links the voters with the most mutual information given the class,
     so that voters which fire together aren't counted as independent evidence.
+    Voters abstain where they don't fire, and then say nothing, unless all do.
     """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 40):
@@ -121,9 +124,10 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         z = np.tile(self.prior, (len(votes), 1))
+        silent = votes.sum(axis=1) == 0
         for i, j in self.tree:
             for c in range(2):
-                z[:, c] += self.table[i][c, votes[:, i], votes[:, j] if j >= 0 else 0]
+                z[:, c] += np.where(silent | (votes[:, i] > 0), self.table[i][c, votes[:, i], votes[:, j] if j >= 0 else 0], 0.0)
         return 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -50, 50)))
 
     def of(self, bits: int) -> float:
@@ -131,27 +135,46 @@ class LabelModel:
 
 
 class Linear:
-    """Logistic regression over the presence of words, trained on soft labels."""
-
-    def __init__(self, sets: list[set[str]], target: np.ndarray, steps: int = 150):
-        seen = Counter(w for s in sets for w in s)
-        self.ids = {w: i for i, w in enumerate(sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:MAX_WORDS])}
-        rows = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)]) if sets else np.zeros(0, int)
-        cols = np.array([self.ids.get(w, -1) for s in sets for w in sorted(s)], np.int64)
-        rows, cols = rows[cols >= 0], cols[cols >= 0]
-        self.w, self.b, n = np.zeros(len(self.ids)), -2.0, max(1, len(sets))
-        second = np.zeros_like(self.w)
-        for step in range(1, steps + 1):
-            z = np.bincount(rows, self.w[cols], n) + self.b
-            e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-            weight = np.where(target > 0.5, 3.0, 1.0) * e
-            g = np.bincount(cols, weight[rows], len(self.w)) / n + 2e-5 * self.w
-            second += g * g
-            self.w -= 0.5 * g / (np.sqrt(second) + 1e-4)
-            self.b -= 0.5 * weight.mean()
+    """Logistic regression over the presence of word forms, trained on soft labels.
+
+    The ``MAX_WORDS`` forms most tied to toxic texts, by chi-square on the soft
+    labels, are its inputs; Newton steps with a ridge fit it.
+    """
+
+    def __init__(self, sets: list[set[str]], target: np.ndarray, ridge: float = 4.0, steps: int = 25):
+        n, t = Counter(w for s in sets for w in s), defaultdict(float)
+        for s, y in zip(sets, target, strict=True):
+            if y > 1e-3:
+                for w in s:
+                    t[w] += y
+        rows, toxic = len(sets), float(target.sum())
+        share = toxic / rows
+
+        def gain(w: str) -> float:
+            off = t[w] - n[w] * share
+            return off * off / (n[w] * share * (1 - share) + 1e-9) * (1 - n[w] / (rows + 1))
+
+        # forms of ordinary text are left out, so that a short text isn't judged by what it lacks
+        best = sorted((w for w, k in n.items() if t[w] >= 3 and t[w] > 2 * share * k), key=lambda w: (-gain(w), w))[:MAX_WORDS]
+        self.ids = {w: i for i, w in enumerate(best)}
+        x = np.zeros((rows, len(best) + 1))
+        x[:, -1] = 1.0
+        for i, s in enumerate(sets):
+            x[i, [k for k in map(self.ids.get, s) if k is not None]] = 1.0
+        self.w = np.zeros(x.shape[1])
+        self.w[-1] = math.log((share + 1e-6) / (1 - share + 1e-6))
+        # a form with little support must not separate the sample by chance
+        penalty = np.array([ridge / t[w] for w in best] + [1e-6])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
+            h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+            step = np.linalg.solve(h, x.T @ (target - p) - penalty * self.w)
+            self.w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-4:
+                break
 
     def score(self, words: set[str]) -> float:
-        z = self.b + sum(self.w[i] for i in map(self.ids.get, words) if i is not None)
+        z = float(self.w[-1]) + sum(self.w[i] for i in map(self.ids.get, words) if i is not None)
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
 
 
