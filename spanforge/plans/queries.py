@@ -1,9 +1,497 @@
-"""Registered queries of the span operators and their SQL."""
+"""Registered queries of the span operators over the ``events`` view, and the same in SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from spanforge.fixtures import runs_of_events, spans_of_events, tracks_of
+from spanforge.functions.text import duration_text, kernel_base_name
+from spanforge.operators import clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
+from spanforge.plans.sql import SQL
+from spanforge.schema import TRACK
+from spanforge.sources.ingest import rank_groups
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+DAY = 86_400 * 10**9
+WINDOW = (3 * DAY, 12 * DAY)
+BUCKET = DAY // 2
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _gpu(spans: DataFrame) -> DataFrame:
+    return spans.filter("gpu")
+
+
+def _named(spark: SparkSession, sf: str) -> DataFrame:
+    return spans_of_events(spark, sf, exec_names=True)
+
+
+# ---- sources
+
+
+@query
+def a6_rank_groups(spark, sf):
+    p = runs_of_events(spark, sf).withColumn("path", F.regexp_replace("path", r"\.json$", F.lit("_x.json")))
+    return rank_groups(p.select((F.col("rank") % 3).cast("string").alias("source_dir"), "path"))
+
+
+@query
+def a7_export(spark, sf):
+    return select.export_lines(_gpu(spans_of_events(spark, sf)))
+
+
+# ---- assembly
+
+
+@query
+def b1_normalise(spark, sf):
+    s = spans_of_events(spark, sf).withColumns({"ts_ns": F.col("ts_ns") + 777, "end_ns": F.col("end_ns") + 777})
+    return tracks.normalise(s).select("span_id", "ts_ns", "end_ns")
+
+
+@query
+def b2_tracks(spark, sf):
+    return tracks_of(spans_of_events(spark, sf))
+
+
+@query
+def b3_labels(spark, sf):
+    s = spans_of_events(spark, sf)
+    names = s.filter("cat = 'kernel' and correlation < 2").select(*TRACK, "seq", F.concat(F.lit("w"), F.col("correlation").cast("string")).alias("label"))
+    return tracks.label_tracks(tracks_of(s), names).select("rank", "tid", "track")
+
+
+@query
+def b5_lanes(spark, sf):
+    return lanes.lanes(spans_of_events(spark, sf)).select("span_id", "lane")
+
+
+@query
+def b6_peak(spark, sf):
+    return intervals.peak_concurrency(spans_of_events(spark, sf), ["rank", "tid"])
+
+
+@query
+def b7_running_max(spark, sf):
+    return intervals.running_max_dur(spans_of_events(spark, sf), ["rank", "tid"]).select("span_id", "max_dur_ns")
+
+
+@query
+def b8_header(spark, sf):
+    r = runs_of_events(spark, sf)
+    r = r.withColumns({"device": F.when(F.col("rank") > 2, F.concat(F.lit("dev"), F.col("rank").cast("string"))).otherwise(""), "version": F.when(F.col("rank") > 4, F.lit("1.2"))})
+    return tracks.merged_header(r.withColumn("dist_world", F.when(F.col("rank") > 5, F.col("rank") * 2).otherwise(0)))
+
+
+@query
+def b9_merged_rows(spark, sf):
+    return lanes.merged_rows(spans_of_events(spark, sf)).select("row_rank", "span_id", "lane")
+
+
+@query
+def b11_downsample(spark, sf):
+    return select.downsample(_gpu(spans_of_events(spark, sf)), WINDOW, 40, ["rank", "tid"]).select("span_id", "px")
+
+
+# ---- selection and search
+
+
+@query
+def c1_window(spark, sf):
+    return select.select(spans_of_events(spark, sf), WINDOW).select("span_id", "name")
+
+
+@query
+def c3_hidden(spark, sf):
+    s = _named(spark, sf)
+    return select.select(s, hidden=s.filter(select.is_exec_context())).select("span_id", "name")
+
+
+@query
+def c4_search_names(spark, sf):
+    return select.matching_names(spans_of_events(spark, sf), " CLICK_ ")
+
+
+@query
+def c5_match_count(spark, sf):
+    return select.match_count(stats.kernel_stats(spans_of_events(spark, sf)), "i")
+
+
+@query
+def c6_search(spark, sf):
+    return select.search(spans_of_events(spark, sf), "k_3").select("span_id", "previous", "following")
+
+
+@query
+def c7_region(spark, sf):
+    s = lanes.lanes(spans_of_events(spark, sf))
+    return select.select(s, WINDOW, lanes=(1, 2), merged=True).select("span_id", "lane")
+
+
+@query
+def c8_scopes(spark, sf):
+    return select.scopes(select.select(spans_of_events(spark, sf), (0, DAY // 4)))
+
+
+@query
+def c9_one_name(spark, sf):
+    return select.select(spans_of_events(spark, sf), name="view_2").select("span_id", "ts_ns")
+
+
+@query
+def c10_sequence(spark, sf):
+    return select.sequence(select.select(spans_of_events(spark, sf), WINDOW))
+
+
+# ---- aggregation
+
+
+@query
+def d1_kernel_stats(spark, sf):
+    return stats.kernel_stats(spans_of_events(spark, sf))
+
+
+@query
+def d2_selection_stats(spark, sf):
+    s = stats.selection_stats(_gpu(spans_of_events(spark, sf)))
+    return s.select("name", "count", "total_ns", "median_ns", "first_ns", F.round("mean_ns", 3).alias("mean_ns"), F.round("share_pct", 6).alias("share_pct"))
+
+
+@query
+def d2_grand_median(spark, sf):
+    return stats.grand_median(_gpu(spans_of_events(spark, sf)))
+
+
+@query
+def d3_overlap_stats(spark, sf):
+    s = stats.selection_stats(_gpu(spans_of_events(spark, sf)), overlap=True)
+    return s.select("name", F.round(F.col("total_ns") / 1e9, 3).alias("total_s"), F.round("share_pct", 4).alias("share_pct"))
+
+
+@query
+def d4_rows(spark, sf):
+    return stats.selection_rows(select.select(spans_of_events(spark, sf), WINDOW))
+
+
+@query
+def d5_sorted(spark, sf):
+    return stats.sorted_stats(stats.kernel_stats(spans_of_events(spark, sf)), "max_ns", n=10)
+
+
+@query
+def d6_bar(spark, sf):
+    b = stats.proportional_bar(stats.kernel_stats(_gpu(spans_of_events(spark, sf))))
+    return b.select("name", F.round("share", 9).alias("share"), F.round("start", 9).alias("start"))
+
+
+@query
+def d7_histogram(spark, sf):
+    return stats.duration_histogram(spans_of_events(spark, sf), 16, ["name"]).select("name", "bin", "n")
+
+
+@query
+def d8_histogram_header(spark, sf):
+    return stats.histogram_header(spans_of_events(spark, sf)).withColumn("mean_ns", F.round("mean_ns", 3))
+
+
+@query
+def d9_percentile(spark, sf):
+    h = stats.duration_histogram(spans_of_events(spark, sf), 16)
+    return stats.duration_percentile(h, 100 * 12 * 10**9).select(F.round("percentile", 6).alias("percentile"))
+
+
+@query
+def d10_heat_bounds(spark, sf):
+    return stats.heat_bounds(spans_of_events(spark, sf)).select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+@query
+def d11_heat(spark, sf):
+    return stats.heat_score(spans_of_events(spark, sf)).withColumn("heat", F.round("heat", 9))
+
+
+@query
+def d12_quantiles(spark, sf):
+    return stats.duration_quantiles(spans_of_events(spark, sf))
+
+
+@query
+def d13_slowest(spark, sf):
+    return stats.slowest(spans_of_events(spark, sf))
+
+
+@query
+def d14_overview(spark, sf):
+    return stats.overview(spans_of_events(spark, sf))
+
+
+# ---- intervals
+
+
+@query
+def f1_islands(spark, sf):
+    return intervals.island_bounds(_gpu(spans_of_events(spark, sf)), ["rank"])
+
+
+@query
+def f1_union(spark, sf):
+    return intervals.union_length(_gpu(spans_of_events(spark, sf)), ["rank"])
+
+
+@query
+def f1_islands_two_ranks(spark, sf):
+    return intervals.island_bounds(_gpu(spans_of_events(spark, sf, few_ranks=True)), ["rank"], BUCKET)
+
+
+@query
+def f2_gaps(spark, sf):
+    return gaps.all_gaps(spans_of_events(spark, sf))
+
+
+@query
+def f3_top_gaps(spark, sf):
+    return gaps.idle_gaps(spans_of_events(spark, sf), WINDOW)
+
+
+@query
+def f3_gaps_two_ranks(spark, sf):
+    return gaps.all_gaps(spans_of_events(spark, sf, few_ranks=True), bucket_ns=BUCKET)
+
+
+@query
+def f4_gap_causes(spark, sf):
+    s = spans_of_events(spark, sf)
+    e = gaps.explain_gaps(gaps.idle_gaps(s), s)
+    top = F.array_join(F.transform("cpu_top", lambda x: F.concat_ws(":", x["name"], x["launches"].cast("string"), x["covered_ns"].cast("string"))), ",")
+    return e.select(
+        "scope", "t0", "t1", "gap_ns", "prev_name", "next_name", F.round("cpu_busy_frac", 9).alias("cpu_busy_frac"), F.round("runtime_frac", 9).alias("runtime_frac"), "has_cpu", "cause", F.coalesce(top, F.lit("")).alias("cpu_top")
+    )
+
+
+@query
+def f6_gap_totals(spark, sf):
+    return gaps.gap_totals(gaps.all_gaps(spans_of_events(spark, sf)))
+
+
+@query
+def f7_idle_summary(spark, sf):
+    return gaps.idle_summary(spans_of_events(spark, sf), WINDOW).withColumn("idle_pct", F.round("idle_pct", 6))
+
+
+@query
+def f8_shared_time(spark, sf):
+    return intervals.shared_time(_gpu(spans_of_events(spark, sf))).select("name", F.round(F.col("shared_ns") / 1e9, 3).alias("shared_s"))
+
+
+@query
+def f8_shared_two_ranks(spark, sf):
+    s = intervals.shared_time(_gpu(spans_of_events(spark, sf, few_ranks=True)), bucket_ns=BUCKET)
+    return s.select("name", F.round(F.col("shared_ns") / 1e9, 2).alias("shared_s"))
+
+
+# ---- steps
+
+
+@query
+def g1_step_names(spark, sf):
+    return steps.step_batches(_named(spark, sf)).select("name", "batch.*")
+
+
+def _steps(spark, sf):
+    s = _named(spark, sf)
+    t = tracks_of(s)
+    return s, t, steps.step_spans(s, t)
+
+
+@query
+def g3_reference_track(spark, sf):
+    return steps.reference_track(_steps(spark, sf)[2]).select("rank", "tid", "n", "total_ns")
+
+
+@query
+def g4_assign(spark, sf):
+    f = _steps(spark, sf)[2]
+    return steps.assign_steps(f, steps.reference_steps(f)).select("span_id", "step")
+
+
+@query
+def g5_steps(spark, sf):
+    s, t, _ = _steps(spark, sf)
+    r = steps.steps(s, t, runs_of_events(spark, sf))
+    return r.select("step", "t0", "t1", "n_ranks", "idle_before_ns", "gpu_ns", "kernel_count", *[F.col(f"batch.{c}").alias(c) for c in steps.BATCH], F.size("group_batches").alias("n_groups"))
+
+
+# ---- correlation
+
+
+def _flows(spark, sf) -> DataFrame:
+    s = spans_of_events(spark, sf)
+    return s.filter("cat in ('kernel', 'cuda_runtime')").select("run", "rank", (F.col("correlation") + 100 * (F.floor(F.col("seq") / 200) % 7)).alias("flow_id"), "pid", "tid", "ts_ns", (F.col("cat") == "cuda_runtime").alias("is_start"))
+
+
+@query
+def h1_flows(spark, sf):
+    return links.pair_flows(_flows(spark, sf)).drop("run", "src_pid", "dst_pid")
+
+
+@query
+def h2_flows_of(spark, sf):
+    s = lanes.lanes(spans_of_events(spark, sf))
+    return links.flows_of(s.filter("cat = 'cpu_op'"), links.pair_flows(_flows(spark, sf)), s, BUCKET)
+
+
+def _links(spark, sf):
+    s = spans_of_events(spark, sf)
+    s = tracks.with_tracks(s, tracks_of(s), "track_idx")
+    return s, links.launch_links(s)
+
+
+@query
+def h3_launch_links(spark, sf):
+    return _links(spark, sf)[1].select("kernel_id", "at_id", "graph")
+
+
+@query
+def h4_launch_frames(spark, sf):
+    s, found = _links(spark, sf)
+    s = s.withColumn("name", F.when(F.col("cat") == "python_function", F.concat(F.lit("pkg/mod"), F.col("correlation").cast("string"), F.lit(".py("), (F.col("correlation") + 10).cast("string"), F.lit("): run"))).otherwise(F.col("name")))
+    # frames and launches are on tracks of their own here; both sorts of CPU track become one
+    one = s.withColumn("tid", F.when(F.col("gpu"), F.col("tid")).otherwise("2"))
+    return links.launch_frames(found, one, BUCKET)
+
+
+@query
+def h9_coords(spark, sf):
+    return steps.with_coords(spans_of_events(spark, sf), runs_of_events(spark, sf)).select("span_id", "dp", "tp", "pp", "ep")
+
+
+@query
+def h10_compare(spark, sf):
+    s = _gpu(spans_of_events(spark, sf))
+    c = stats.compare_stats(s.filter("rank % 2 = 0 and name <> 'view_1'"), s.filter("rank % 2 = 1 and name <> 'click_1'"))
+    return c.withColumn("delta_pct", F.round("delta_pct", 6))
+
+
+# ---- sequence diff
+
+
+def _diff(spark, sf) -> DataFrame:
+    s = _gpu(spans_of_events(spark, sf)).withColumn("pair", F.floor(F.col("rank") / 2).cast("int"))
+    return seqdiff.sequence_diff(s.filter("rank % 2 = 0"), s.filter("rank % 2 = 1"), ["pair"])
+
+
+@query
+def i1_diff(spark, sf):
+    return _diff(spark, sf)
+
+
+@query
+def i2_diff_totals(spark, sf):
+    return seqdiff.diff_totals(_diff(spark, sf), ["pair"]).withColumn("delta_pct", F.round("delta_pct", 6))
+
+
+@query
+def i3_diff_segments(spark, sf):
+    return seqdiff.diff_segments(_diff(spark, sf), ["pair"])
+
+
+# ---- clocks
+
+
+def _shifts(spark, sf) -> DataFrame:
+    return clocks.clock_shifts(spans_of_events(spark, sf), runs_of_events(spark, sf), "click_3")
+
+
+@query
+def j1_clock_shifts(spark, sf):
+    return _shifts(spark, sf)
+
+
+@query
+def j2_shifted(spark, sf):
+    return clocks.shift_spans(spans_of_events(spark, sf), _shifts(spark, sf)).select("span_id", "ts_ns", "end_ns")
+
+
+@query
+def j3_shift_summary(spark, sf):
+    return clocks.shift_summary(_shifts(spark, sf))
+
+
+# ---- enrichment
+
+
+@query
+def k1_scope(spark, sf):
+    s = spans_of_events(spark, sf)
+    return stats.enrich_scope(s, s.select("run", "pid", "tid", "track")).select("span_id", "label_rank")
+
+
+@query
+def k2_runs(spark, sf):
+    r = runs_of_events(spark, sf).withColumns({"dist_rank": F.col("rank"), "dist_world": F.lit(2048)})
+    return stats.runs_dimension(r).select("rank", "dp", "tp", "pp", "ep", "dcp", "mesh")
+
+
+def _occupancy(spark, sf) -> DataFrame:
+    limit = F.when(F.col("correlation") < 3, "SMEM").when(F.col("correlation") < 6, "REGS|BLOCKS").when(F.col("correlation") < 9, "WARPS")
+    args = F.to_json(F.struct((F.col("correlation") * 20000).alias("shared memory"), F.struct(limit.alias("limitingFactors")).alias("occupancy")))
+    return _gpu(spans_of_events(spark, sf)).withColumn("args", args)
+
+
+@query
+def k3_occupancy(spark, sf):
+    return stats.occupancy_breakdown(_occupancy(spark, sf))
+
+
+@query
+def k4_args(spark, sf):
+    return stats.args_profile(spans_of_events(spark, sf))
+
+
+def _mangled(spark, sf) -> DataFrame:
+    c, n = F.col("correlation"), F.col("name")
+    name = F.when(c == 0, F.concat(F.lit("void at::native::"), n, F.lit("<float>(int)"))).when(c == 1, F.concat(F.lit("void ns::deep::"), n, F.lit("<c10::Half, 0>(args)")))
+    name = name.when(c == 2, F.concat(F.lit("fmhaSm100Kernel_"), n)).when(c == 3, F.lit(" Kernel ")).when(c == 4, F.concat(F.lit("cub::"), n)).otherwise(n)
+    return spans_of_events(spark, sf).withColumn("name", name)
+
+
+@query
+def k5_families(spark, sf):
+    return stats.time_by_family(_mangled(spark, sf))
+
+
+@query
+def k5_base_names(spark, sf):
+    return _mangled(spark, sf).select("name").distinct().withColumn("base", kernel_base_name(F.col("name")))
+
+
+@query
+def k6_builds(spark, sf):
+    r = F.col("rank")
+    version = F.when(r % 4 == 0, F.concat(F.lit("0.26.1rc1.dev"), r.cast("string"), F.lit("+g1a2b3c4d"))).when(r % 4 == 1, F.concat(F.lit("0.33.0rc1.dev"), r.cast("string"), F.lit("+stamp.cfee12e")))
+    version = version.when(r % 4 == 2, F.concat(F.lit("0."), r.cast("string"), F.lit(".0"))).otherwise(F.lit("unknown"))
+    b = stats.build_refs(runs_of_events(spark, sf).withColumn("version", version))
+    return b.select("rank", "version", "build.kind", "build.value", "build.dist")
+
+
+@query
+def k7_durations(spark, sf):
+    s = spans_of_events(spark, sf)
+    return s.select("span_id", duration_text((F.col("dur_ns") / F.pow(F.lit(10), F.col("span_id") % 4 * 3)).cast("long")).alias("text"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in QUERIES}
