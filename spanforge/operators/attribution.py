@@ -43,7 +43,7 @@ def index_sources(spark: SparkSession, root: str) -> SourceIndex:
     files = t.select("path", "py", F.replace(F.regexp_replace(inner, r"\.[^./]*$", ""), F.lit("/"), F.lit("")).alias("flat"))
     lines = t.select("path", "py", F.posexplode(F.split("value", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     called = lines.withColumn("name", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9A-Za-z_])([A-Za-z_~][0-9A-Za-z_]*)\("), F.lit(1))))
-    is_def = F.col("py") & F.col("text").rlike(F.concat(F.lit(r"(?<![0-9A-Za-z_])def "), F.col("name"), F.lit(r"\(")))
+    is_def = F.col("py") & F.regexp_like("text", F.concat(F.lit(r"(?<![0-9A-Za-z_])def "), F.col("name"), F.lit(r"\(")))
     declares = F.col("text").rlike(r"^\S") | F.col("text").rlike(r"^\s+(" + "|".join(DECLARES) + r")(?![0-9A-Za-z_])(?=.)")
     cuda = F.col("path").rlike(r"\.cuh?$")
     rank = F.when(F.col("py"), 0).otherwise(F.when(declares, 0).otherwise(2) + F.when(cuda, 0).otherwise(1))

@@ -1,13 +1,13 @@
 """Lanes: first-fit packing of overlapping spans, and merged rank rows.
 
 At the start of an island every lane is free, so packing starts afresh there:
-islands are packed independently, and each task holds one island at a time.
+islands are packed independently and dealt over all tasks.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,77 +17,100 @@ from spanforge.operators.intervals import islands
 from spanforge.schema import TRACK
 
 
-def first_fit(starts: Sequence[int], ends: Sequence[int]) -> list[int]:
-    """The lowest free lane of each interval, the intervals being in start order; a lane is free from its end on."""
-    free: list[int] = []
-    running: list[tuple[int, int]] = []
-    out, lanes = [], 0
-    for s, e in zip(starts, ends, strict=True):
-        while running and running[0][0] <= s:
-            heapq.heappush(free, heapq.heappop(running)[1])
-        if free:
-            lane = heapq.heappop(free)
+class FirstFit:
+    """Lanes of intervals that come in start order: each gets the lowest that is free; a lane is free from its end on."""
+
+    def __init__(self) -> None:
+        self.free: list[int] = []
+        self.running: list[tuple[int, int]] = []
+        self.lanes = 0
+
+    def place(self, start: int, end: int) -> int:
+        while self.running and self.running[0][0] <= start:
+            heapq.heappush(self.free, heapq.heappop(self.running)[1])
+        if self.free:
+            lane = heapq.heappop(self.free)
         else:
-            lane, lanes = lanes, lanes + 1
-        out.append(lane)
-        heapq.heappush(running, (e, lane))
-    return out
+            lane, self.lanes = self.lanes, self.lanes + 1
+        heapq.heappush(self.running, (end, lane))
+        return lane
 
 
+def _by_island(spans: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows dealt by island and in time order, with ``group``: one number for each island of the task."""
+    s = spans.repartition(*by, "island").sortWithinPartitions(*by, "island", "ts_ns", "seq")
+    return s.select(F.xxhash64(*by, "island").alias("group"), "span_id", "ts_ns", "end_ns", *[c for c in ("lane",) if c in spans.columns])
+
+
+def _larger_islands(islanded: DataFrame, by: Sequence[str], condition: str) -> DataFrame:
+    """Rows of the islands of which a condition on n, the number of rows, and deep, the deepest lane, holds."""
+    deep = F.max("lane") if "lane" in islanded.columns else F.lit(0)
+    keys = [*by, "island"]
+    n = islanded.groupBy(*keys).agg(F.count("*").alias("n"), deep.alias("deep")).filter(condition)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}"))
+    return islanded.alias("s").join(n.alias("n"), same, "left_semi")
 
 
 def lanes(spans: DataFrame, by: Sequence[str] = TRACK, bucket_ns: int | None = None) -> DataFrame:
     """Adds ``lane``, by first fit in (ts_ns, seq) order within ``by``.
 
     Spans alone in their island, most of them in practice, are in lane 0 and skip
-    the packing.
+    the packing. A task reads its islands one after the other and keeps only the
+    lanes that are in use.
     """
     s = islands(spans, by, bucket_ns)  # touching spans share an island, which only makes islands larger
-    n = s.groupBy(*by, "island").agg(F.count("*").alias("__n"))
-    keys = [*by, "island"]
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}"))
-    s = s.alias("s").join(n.alias("n"), same).select("s.*", "n.__n")
-    alone = s.filter("__n = 1").select(*spans.columns, F.lit(0).alias("lane"))
-    many = s.filter("__n > 1").select(*by, "island", "span_id", "ts_ns", "end_ns", "seq")
+    many = _larger_islands(s.select(*by, "island", "span_id", "ts_ns", "end_ns", "seq"), by, "n > 1")
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_ns", "seq"], kind="stable")
-        return pd.DataFrame({"span_id": g["span_id"], "lane": first_fit(g["ts_ns"].tolist(), g["end_ns"].tolist())})
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fit, group = FirstFit(), None
+        for b in batches:
+            out = []
+            for g, ts, end in zip(b["group"].tolist(), b["ts_ns"].tolist(), b["end_ns"].tolist(), strict=True):
+                if g != group:
+                    fit, group = FirstFit(), g
+                out.append(fit.place(ts, end))
+            yield pd.DataFrame({"span_id": b["span_id"], "lane": out})
 
-    packed = many.groupBy(*by, "island").applyInPandas(pack, "span_id long, lane int")
-    return alone.unionByName(spans.join(packed, "span_id").select(*spans.columns, "lane"))
+    packed = _by_island(many, by).mapInPandas(pack, "span_id long, lane int")
+    return spans.join(packed, "span_id", "left").select(*spans.columns, F.coalesce("lane", F.lit(0)).alias("lane"))
 
 
 def wrappers(laned: DataFrame) -> DataFrame:
     """(span_id) of grandparents: spans with a later one of their track that starts by their end, two lanes or more below.
 
-    Per track and island, the later spans of a span are looked up by lane, so
-    each lane's next start is enough.
+    Per island, from its end, the next start in each lane or below is enough.
+    Islands less than three lanes deep have none and are left out.
     """
     s = islands(laned, TRACK).select(*TRACK, "island", "span_id", "ts_ns", "end_ns", "seq", "lane")
 
-    def find(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts_ns", "seq"], kind="stable")
-        ts, end, lane = g["ts_ns"].tolist(), g["end_ns"].tolist(), g["lane"].tolist()
-        deepest = max(lane, default=0)
-        following = [None] * (deepest + 2)  # the next start of a span in this lane or below, from the right
+    def grandparents(rows: list[tuple]) -> list[int]:
+        deepest = max(r[3] for r in rows)
+        following: list[int | None] = [None] * (deepest + 2)
         out = []
-        for i in range(len(ts) - 1, -1, -1):
-            t = following[min(lane[i] + 2, deepest + 1)]
-            if t is not None and t <= end[i]:
-                out.append(i)
-            for k in range(lane[i] + 1):
-                following[k] = ts[i]
-        return pd.DataFrame({"span_id": g["span_id"].to_numpy()[out]})
-
-    deep = s.groupBy(*TRACK, "island").agg(F.max("lane").alias("__deep"))
-    same = F.lit(True)
-    for c in [*TRACK, "island"]:
-        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}"))
-    some = s.alias("s").join(deep.filter("__deep >= 2").alias("d"), same).select("s.*")  # others have no grandchildren
-    return some.groupBy(*TRACK, "island").applyInPandas(find, "span_id long")
+        for span_id, ts, end, lane in reversed(rows):
+            t = following[min(lane + 2, deepest + 1)]
+            if t is not None and t <= end:
+                out.append(span_id)
+            following[: lane + 1] = [ts] * (lane + 1)
+        return out
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, rows, out = None, [], []
+        for b in batches:
+            for g, *r in zip(*(b[c].tolist() for c in ("group", "span_id", "ts_ns", "end_ns", "lane")), strict=True):
+                if g != group and rows:
+                    out += grandparents(rows)
+                    rows = []
+                group = g
+                rows.append(tuple(r))
+            yield pd.DataFrame({"span_id": pd.Series(out, dtype="int64")})
+            out = []
+        if rows:
+            yield pd.DataFrame({"span_id": pd.Series(grandparents(rows), dtype="int64")})
+
+    return _by_island(_larger_islands(s, TRACK, "deep >= 2"), TRACK).mapInPandas(find, "span_id long")
 
 
 def merged_rows(spans: DataFrame, hidden: DataFrame | None = None) -> DataFrame:

@@ -56,7 +56,7 @@ def discover(spark: SparkSession, dirs: list[str], known: DataFrame | None = Non
         named = files.load(d).select("path").filter(F.col("path").endswith(".json.gz") | (F.col("path").endswith(".json") & file_name().contains("trace")))
         plain = files.option("pathGlobFilter", "*.json").load(d).filter(~file_name().contains("trace"))
         head = F.substring("content", 1, 1 << 20)
-        plain = plain.filter(F.position(F.lit("traceEvents").cast("binary").cast("string"), F.decode(head, F.lit("ISO-8859-1"))) > 0).select("path")
+        plain = plain.filter(F.decode(head, "ISO-8859-1").contains("traceEvents")).select("path")
         found = named.unionByName(plain).select(F.lit(d).alias("source_dir"), "path")
         out = found if out is None else out.unionByName(found)
     return out.join(known.select("path").distinct(), "path", "left_anti").select("source_dir", "path") if known is not None else out
