@@ -64,5 +64,77 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPLIT = r"list_filter(string_split_regex(translate(coalesce(text, ''), '{U}', '{L}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')".replace("{U}", UPPER).replace("{L}", LOWER)
+
+OP1 = f"""WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {SPLIT} AS w FROM benchmark
+), ip AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p FROM iw WHERE len(w) > 0
+), ig AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM ip
+), lens AS (SELECT DISTINCT n FROM ig
+), dw AS (SELECT doc_id, {SPLIT} AS w FROM documents
+), dp AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM dw
+), dg AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g FROM dp, lens WHERE p + n - 1 <= len(w)
+), hit AS (SELECT DISTINCT doc_id, p, n, item FROM dg JOIN ig USING (n, g)
+), pos AS (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hit)
+), nh AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM pos GROUP BY doc_id
+), ni AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS sha FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN nh ON d.doc_id = nh.doc_id LEFT JOIN ni ON d.doc_id = ni.doc_id"""
+
+DRAW = "CAST('0x' || substr(md5(CAST({k} AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+COPIES = "CAST(floor(rate) AS BIGINT) + CASE WHEN {draw} < rate - floor(rate) THEN 1 ELSE 0 END"
+OP5 = f"""WITH sz AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS BIGINT) AS size FROM documents
+), src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sz GROUP BY source
+), wt AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM src
+), lv AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER f, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0)) AS lvl
+  FROM wt WINDOW f AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goal AS (
+  SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM (SELECT *, least(cap::DOUBLE, max(lvl) OVER () * w) AS target FROM lv)
+), seeds AS (SELECT unnest(range({mixing.SEEDS})) AS k
+), tried AS (
+  SELECT g.source, k, abs(sum(size * ({COPIES.format(draw=DRAW.format(k="k"))})) - max(target)) AS off FROM sz JOIN goal g ON sz.source IS NOT DISTINCT FROM g.source CROSS JOIN seeds GROUP BY g.source, k
+), best AS (SELECT source, arg_min(k, struct_pack(a := off, b := k)) AS seed FROM tried GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * ({COPIES.format(draw=DRAW.format(k="seed"))}) ELSE 0 END AS BIGINT) AS taken
+FROM sz JOIN goal g ON sz.source IS NOT DISTINCT FROM g.source JOIN best b ON sz.source IS NOT DISTINCT FROM b.source"""
+
+
+def _canonical(text: str) -> str:
+    t = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{licences.COPYRIGHT.replace(chr(92) + 'n', chr(10))}', '\\1', 'g')"
+    for a, b in licences.SPELLINGS:
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"trim(regexp_replace({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+
+
+VALUES = ", ".join(f"('{a}', '{b}')" for a, b in licences.NOTICES)
+OP8 = f"""WITH known AS (SELECT sha256({_canonical("text")}) AS digest, min(licence) AS licence FROM (VALUES {VALUES}) v(licence, text) GROUP BY 1
+), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
+), lf AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM ln JOIN known ON sha256({_canonical("line")}) = digest GROUP BY doc_id
+), w AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, sha256({_canonical("text")}) AS text_sha256 FROM d)
+SELECT w.doc_id, n_lines, text_sha256, k.licence, coalesce(n, 0) AS n_licence_lines, coalesce(licences, '') AS licences FROM w LEFT JOIN known k ON k.digest = text_sha256 LEFT JOIN lf ON lf.doc_id = w.doc_id"""
+
+IDENT = "md5(CAST(conv_id AS VARCHAR) || ':' || CAST({t} AS VARCHAR))"
+OP10 = f"""WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, {IDENT.format(t="turn")} AS call_id, text, length(text) AS n, CASE WHEN turn >= 2 THEN {IDENT.format(t="turn - 2")} END AS after FROM conversations WHERE role = 'user'
+), res AS (SELECT conv_id, turn AS result_turn, {IDENT.format(t="turn - 1")} AS call_id, text AS content FROM conversations WHERE role = 'assistant'
+), dep AS (
+  SELECT conv_id, call_id, 0::BIGINT AS depth FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL SELECT c.conv_id, c.call_id, dep.depth + 1 FROM calls c JOIN dep ON c.conv_id = dep.conv_id AND c.after = dep.call_id
+), c2 AS (
+  SELECT calls.*, depth, CASE n % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'measure' END AS name,
+    CASE n % 3 WHEN 0 THEN '{{"limit":' || (n % 10) || ',"query":' || to_json(text) || '}}' WHEN 1 THEN '{{"exact":' || (n % 2 = 0) || ',"key":' || to_json(text) || '}}'
+      ELSE '{{"text":' || to_json(text) || ',"unit":"' || CASE WHEN n % 2 = 0 THEN 'words' ELSE 'characters' END || '"}}' END AS args,
+    CASE WHEN n % 3 = 0 THEN concat_ws('; ', CASE WHEN n % 10 < 1 THEN '$.limit: below minimum' END, CASE WHEN n % 10 > 8 THEN '$.limit: above maximum' END, CASE WHEN n < 20 THEN '$.query: too short' END) ELSE '' END AS faults
+  FROM calls JOIN dep USING (conv_id, call_id))
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, turn, name, depth, result_turn,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN faults <> '' THEN 'bad arguments' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END AS status, coalesce(faults, '') AS faults,
+  '{{' || CASE WHEN after IS NOT NULL THEN '"after":"' || after || '",' ELSE '' END || CASE WHEN c.call_id IS NOT NULL THEN '"arguments":' || args || ',' ELSE '' END || '"id":"' || coalesce(c.call_id, r.call_id) || '"'
+    || CASE WHEN c.call_id IS NOT NULL THEN ',"name":"' || name || '"' ELSE '' END || CASE WHEN r.call_id IS NOT NULL THEN ',"result":' || to_json(content) ELSE '' END || '}}' AS json
+FROM c2 c FULL JOIN res r ON c.conv_id = r.conv_id AND c.call_id = r.call_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash by XXH64, read code-point spans of patterns, or train: SQL can't follow, and brute force tests them."""
+    return {"op1_decontamination": OP1, "op5_mixing": OP5, "op8_licences": OP8, "op10_tool_calls": OP10}
