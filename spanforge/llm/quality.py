@@ -27,7 +27,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 SHOUT = re.compile(r"\b[^\W\d_a-zß-ÿ]{2,}\b")
 DIM, NONZERO, REACH, HIDDEN = 64, 4, 2, 32
 #: What the fit takes at most: rows, their characters, and distinct words.
-MAX_ROWS, MAX_CHARS, MAX_WORDS = 3000, 16_000_000, 30_000
+MAX_ROWS, MAX_CHARS, MAX_WORDS = 2000, 10_000_000, 30_000
 
 
 def _index_vectors(vocabulary: list[str]) -> np.ndarray:
@@ -57,10 +57,10 @@ class Vectors:
                 seen += [a[both] * MAX_WORDS + b[both], b[both] * MAX_WORDS + a[both]]
         pairs, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.table = np.zeros((len(words), DIM), np.float32)
-        for at in range(0, len(pairs), 100_000):
-            left, right = np.divmod(pairs[at : at + 100_000], MAX_WORDS)
+        for at in range(0, len(pairs), 50_000):
+            left, right = np.divmod(pairs[at : at + 50_000], MAX_WORDS)
             starts = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else np.zeros(0, np.int64)
-            self.table[left[starts]] += np.add.reduceat(index[right] * np.log1p(n[at : at + 100_000, None]).astype(np.float32), starts, axis=0)
+            self.table[left[starts]] += np.add.reduceat(index[right] * np.log1p(n[at : at + 50_000, None]).astype(np.float32), starts, axis=0)
         self.table /= np.maximum(np.linalg.norm(self.table, axis=1, keepdims=True), 1e-6)
 
     def pooled(self, text: str | None) -> np.ndarray:
