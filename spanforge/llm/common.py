@@ -9,6 +9,9 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of keys up to which it is broadcast: some tens of bytes each.
+BROADCAST_KEYS = 2_000_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,6 +40,15 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """``docs`` without the rows that have a match in a written table of keys.
+
+    Up to ``BROADCAST_KEYS`` keys go to the documents; beyond, both are shuffled.
+    """
+    few = gone.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else (``lower`` would also change É)."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import ascii_lower
+from spanforge.llm.common import ascii_lower, materialize, without
 
 #: What separates words once A-Z are lower-cased; the second also leaves A-Z in words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -101,9 +101,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     In mode "spans" every hit word goes, with what separates it from the next
     word; documents stay, and texts without hits are left untouched.
     """
+    if mode == "documents":  # texts stay where they are: only the keys of what goes are moved
+        judged = contamination(docs.select("doc_id", "text"), benchmark, width, share).filter("contaminated")
+        gone = materialize(judged.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th")).distinct(), "contaminated")
+        same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+        return without(docs, gone, same)
     judged = contamination(docs, benchmark, width, share)
-    if mode == "documents":
-        return judged.filter(~F.col("contaminated")).select(*docs.columns)
     if mode != "spans":
         raise ValueError(f"mode {mode!r}: documents or spans")
     lead = F.regexp_extract("text", BREAKS_ANY_CASE.replace("[", "^[", 1), 0)

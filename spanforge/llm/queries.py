@@ -65,7 +65,7 @@ def queries() -> dict[str, Query]:
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPLIT = r"list_filter(string_split_regex(translate(coalesce(text, ''), '{U}', '{L}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')".replace("{U}", UPPER).replace("{L}", LOWER)
+SPLIT = r"list_filter(string_split_regex(translate(coalesce(text, ''), '{U}', '{L}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')".replace("{U}", UPPER).replace("{L}", LOWER)
 
 OP1 = f"""WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {SPLIT} AS w FROM benchmark
 ), ip AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p FROM iw WHERE len(w) > 0
@@ -84,7 +84,7 @@ FROM dw d LEFT JOIN nh ON d.doc_id = nh.doc_id LEFT JOIN ni ON d.doc_id = ni.doc
 DRAW = "CAST('0x' || substr(md5(CAST({k} AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 COPIES = "CAST(floor(rate) AS BIGINT) + CASE WHEN {draw} < rate - floor(rate) THEN 1 ELSE 0 END"
 OP5 = f"""WITH sz AS (
-  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents
 ), src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sz GROUP BY source
 ), wt AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM src
 ), lv AS (

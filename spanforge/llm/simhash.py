@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize
+from spanforge.llm.common import materialize, without
 
 SEED = 42
 SHINGLE = 3
@@ -210,14 +210,17 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> Dat
     Rows that repeat that doc_id are reduced to one. Where all of a group have a
     null doc_id, one of them stays.
     """
-    groups = near_duplicates(docs, width, radius)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = materialize(kept, "simhash-kept")
-    found = docs.join(kept, "doc_id")
-    out = found.filter("__rows = 1")
-    if not kept.filter("__rows > 1").isEmpty():
-        out = out.unionByName(found.filter("__rows > 1").dropDuplicates(["doc_id"]))
-    out = out.select(*docs.columns)
+    groups = materialize(near_duplicates(docs, width, radius), "simhash-result")
+    ids = groups.filter("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
+    ids = materialize(ids, "simhash-ids")
+    # texts stay where they are: only the ids of what goes are moved
+    gone = ids.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
+    again = ids.filter("doc_id = component_id and n > 1").select(F.col("doc_id").alias("__id"))
+    known = docs.filter(F.col("doc_id").isNotNull())
+    out = without(known, gone, F.col("doc_id") == F.col("__id"))
+    if not again.isEmpty():
+        repeated = out.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+        out = without(out, again, F.col("doc_id") == F.col("__id")).unionByName(repeated)
     roots = groups.filter("doc_id is null and component_id is null").select("fingerprint", "root").distinct()
     if not roots.isEmpty():
         nulls = fingerprints(docs.filter("doc_id is null"), width)
