@@ -35,7 +35,7 @@ def test_one_document(spark, tmp_path):
     b = read_traces(spark, [str(tmp_path / "t.json")], "r")
     got = {r.name: r for r in b.spans.collect()}
     assert set(got) == {"matmul", "run"}
-    assert (got["matmul"].ts_ns, got["matmul"].dur_ns, got["matmul"].args, got["matmul"].gpu) == (1700000000000000250, 10500, '{"op":"mm"}', True)
+    assert (got["matmul"].ts_ns, got["matmul"].dur_ns, json.loads(got["matmul"].args), got["matmul"].gpu) == (1700000000000000250, 10500, {"op": "mm"}, True)
     assert {(r.track, r.gpu) for r in b.tracks.collect()} == {("GPU 2", True), ("Worker 1", False)}
     assert b.flows.count() == 2 and {r.flow_id for r in b.flows.collect()} == {5}
     h = b.runs.first()
