@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.schema import TRACK, scope
+from spanforge.storage import materialize
 
 LAUNCH_CATS = ("cpu_op", "cuda_driver", "cuda_runtime")
 #: Distance in ns up to which a flow's end counts as touching a span.
@@ -49,13 +50,14 @@ def flows_of(sel: DataFrame, pairs: DataFrame, spans: DataFrame, bucket_ns: int,
         touch = F.col("p.src_ts").between(F.col("h.ts_ns") - TOLERANCE_NS, F.col("h.end_ns") + TOLERANCE_NS)
         hit = h.join(p, same("h", "p") & (F.col("h.pid") == F.col("p.src_pid")) & (F.col("h.tid") == F.col("p.src_tid")) & (F.col("h.b") == F.col("p.b")) & touch)
         hit = hit.select("h.run", "h.rank", F.col("h.origin").alias("span_id"), F.col("h.span_id").alias("at_id"), "p.flow_id", "p.dst_pid", "p.dst_tid", "p.dst_ts")
+        hit = materialize(hit, "flow-hits")
         out = hit if out is None else out.unionByName(hit)
         left = here.filter("lane > 0").join(hit.select(F.col("span_id").alias("origin")).distinct(), "origin", "left_anti")
         left = left.withColumn("b", F.floor(F.col("ts_ns") / F.lit(bucket_ns))).alias("h")
         around = same("h", "q") & (F.col("h.pid") == F.col("q.pid")) & (F.col("h.tid") == F.col("q.tid")) & (F.col("h.b") == F.col("q.b"))
         around = around & (F.col("q.lane") == F.col("h.lane") - 1) & (F.col("q.ts_ns") <= F.col("h.ts_ns")) & (F.col("q.end_ns") >= F.col("h.end_ns"))
         here = left.join(parents, around).groupBy("h.origin").agg(F.max(F.struct("q.ts_ns", "q.span_id", "q.end_ns", "q.lane", *[f"q.{c}" for c in TRACK])).alias("r"))
-        here = here.select("origin", "r.*").select(*cols, "origin")
+        here = materialize(here.select("origin", "r.*").select(*cols, "origin"), "flow-parents")
         if here.isEmpty():
             break
     near = F.explode(F.array(*[F.floor((F.col("dst_ts") + d) / F.lit(bucket_ns)) for d in (-TOLERANCE_NS, TOLERANCE_NS)]))

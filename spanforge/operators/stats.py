@@ -12,15 +12,23 @@ from spanforge.operators.intervals import shared_time
 from spanforge.schema import is_gpu_work
 
 
-def kernel_stats(spans: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
-    """(by, count, total_ns, median_ns, max_ns, min_ns); the median averages the two middles."""
-    return spans.groupBy(*by).agg(
+def _basic(approximate: bool) -> list[Column]:
+    median = F.percentile_approx("dur_ns", 0.5, 10_000).cast("double") if approximate else F.percentile("dur_ns", F.lit(0.5))
+    return [
         F.count("*").alias("count"),
         F.sum("dur_ns").cast("long").alias("total_ns"),
-        F.percentile("dur_ns", F.lit(0.5)).alias("median_ns"),
+        median.alias("median_ns"),
         F.greatest(F.max("dur_ns"), F.lit(0)).alias("max_ns"),
         F.min("dur_ns").alias("min_ns"),
-    )
+    ]
+
+
+def kernel_stats(spans: DataFrame, by: Sequence[str] = ("name",), approximate: bool = False) -> DataFrame:
+    """(by, count, total_ns, median_ns, max_ns, min_ns); the median averages the two middles.
+
+    An exact median keeps the distinct durations of a group; ``approximate`` takes a sketch instead.
+    """
+    return spans.groupBy(*by).agg(*_basic(approximate))
 
 
 def selection_stats(sel: DataFrame, overlap: bool = False) -> DataFrame:
@@ -28,7 +36,7 @@ def selection_stats(sel: DataFrame, overlap: bool = False) -> DataFrame:
 
     With ``overlap``, total_ns and the share are of shared time; the mean keeps the plain total.
     """
-    s = kernel_stats(sel).join(sel.groupBy("name").agg(F.min("ts_ns").alias("first_ns")), "name")
+    s = sel.groupBy("name").agg(*_basic(False), F.min("ts_ns").alias("first_ns"))
     s = s.withColumn("mean_ns", F.col("total_ns") / F.col("count"))
     if overlap:
         s = s.drop("total_ns").join(shared_time(sel).select("name", F.col("shared_ns").alias("total_ns")), "name", "left").fillna(0.0, ["total_ns"])
@@ -99,17 +107,24 @@ def gpu_durations(spans: DataFrame) -> DataFrame:
 def exact_ranks(spans: DataFrame, shares: dict[str, float], of: str) -> DataFrame:
     """(which, dur_ns): durations at index floor(share * (n or n - 1)) of the sorted ones, exactly.
 
-    Equal durations are counted first, so what is ordered in one task is the
-    table of distinct durations, cut to the few that a range of ranks can hold.
+    Durations are counted by cells of their logarithm, a few thousand, which tell
+    the cell that holds each rank; only the distinct durations of that cell are
+    put in order.
     """
     d = spans.groupBy("dur_ns").agg(F.count("*").alias("n"))
-    w = Window.orderBy("dur_ns").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("cell", F.floor(F.log2(F.greatest("dur_ns", F.lit(1)).cast("double")) * 64))
+    cells = d.groupBy("cell").agg(F.sum("n").alias("n"))
+    w = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.select("dur_ns", F.sum("n").over(w).alias("upto"), F.sum("n").over(everything).alias("total"))
+    cells = cells.select("cell", (F.sum("n").over(w) - F.col("n")).alias("below"), F.sum("n").over(w).alias("upto"), F.sum("n").over(everything).alias("total"))
     total = F.col("total") - (1 if of == "n-1" else 0)
     picks = [F.struct(F.lit(k).alias("which"), F.floor(F.lit(s) * total).alias("at")) for k, s in shares.items()]
-    d = d.select("dur_ns", "upto", F.explode(F.array(*picks)).alias("p")).filter(F.col("upto") > F.col("p.at"))
-    return d.groupBy(F.col("p.which").alias("which")).agg(F.min("dur_ns").alias("dur_ns"))
+    held = cells.select("cell", "below", "upto", F.explode(F.array(*picks)).alias("p")).filter((F.col("p.at") >= F.col("below")) & (F.col("p.at") < F.col("upto")))
+    held = held.select("cell", "below", F.col("p.which").alias("which"), F.col("p.at").alias("at"))
+    inside = d.join(F.broadcast(held), "cell")  # one row for each pick
+    run = Window.partitionBy("which").orderBy("dur_ns").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("upto", F.col("below") + F.sum("n").over(run)).filter(F.col("upto") > F.col("at"))
+    return inside.groupBy("which").agg(F.min("dur_ns").alias("dur_ns"))
 
 
 def heat_bounds(spans: DataFrame, approximate: bool = False) -> DataFrame:

@@ -10,10 +10,9 @@ from spanforge.functions.text import coordinate
 from spanforge.operators.intervals import union_length
 from spanforge.operators.select import is_exec_context
 from spanforge.operators.tracks import with_tracks
+from spanforge.storage import broadcast_small, materialize
 
 BATCH = ("total_tokens", "n_ctx", "n_gen", "ctx_tokens", "ctx_kv", "gen_tokens", "gen_kv")
-#: Steps up to which the reference steps are broadcast to the spans.
-BROADCAST_STEPS = 200_000
 
 
 def step_batches(names: DataFrame) -> DataFrame:
@@ -44,23 +43,33 @@ def reference_steps(steps: DataFrame) -> DataFrame:
     return ref.select((F.row_number().over(w) - 1).alias("step"), F.col("ts_ns").alias("r0"), F.col("end_ns").alias("r1"), F.col("name").alias("ref_name"))
 
 
+def _width(steps: DataFrame, t0: str, t1: str) -> int:
+    """A width of time buckets: the mean distance of steps."""
+    r = steps.agg(F.max(t1) - F.min(t0), F.count("*")).first()
+    return max(1, (r[0] or 0) // max(1, r[1]))
+
+
+def _buckets(t0: str, t1: str, width: int):
+    return F.explode(F.sequence(F.floor(F.col(t0) / F.lit(width)), F.floor(F.col(t1) / F.lit(width))))
+
+
 def assign_steps(steps: DataFrame, ref: DataFrame) -> DataFrame:
     """Step spans with the step that they overlap most, the earliest of equals; without overlap, the nearest.
 
-    Nearest is by the sum of the distances of both ends. Only spans without any
-    overlap are compared with every step.
+    Nearest is by the sum of the distances of both ends. Spans and steps meet in
+    time buckets; only spans without any overlap are compared with every step.
     """
-    few = ref.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS
-    r = F.broadcast(ref) if few else ref
-    cross = steps.join(r, (F.col("ts_ns") < F.col("r1")) & (F.col("end_ns") > F.col("r0")), "left")
-    cross = cross.withColumn("shared", F.least("end_ns", "r1") - F.greatest("ts_ns", "r0"))
-    best = cross.groupBy("span_id").agg(F.max(F.struct("shared", -F.col("step")))["col2"].alias("neg"), F.max("shared").alias("shared"))
-    best = best.select("span_id", F.when(F.col("shared") > 0, -F.col("neg")).alias("step"))
-    lone = steps.join(best.filter("step is null"), "span_id", "left_semi")
+    width = _width(ref, "r0", "r1")
+    r = ref.withColumn("b", _buckets("r0", "r1", width))
+    s = steps.select("span_id", "ts_ns", "end_ns", _buckets("ts_ns", "end_ns", width).alias("b"))
+    met = s.join(r, "b").filter((F.col("ts_ns") < F.col("r1")) & (F.col("end_ns") > F.col("r0")))
+    shared = F.least("end_ns", "r1") - F.greatest("ts_ns", "r0")
+    best = met.groupBy("span_id").agg(F.max(F.struct(shared.alias("shared"), (-F.col("step")).alias("neg"))).alias("m"))
+    best = best.filter("m.shared > 0").select("span_id", (-F.col("m.neg")).alias("step"))
+    lone = steps.select("span_id", "ts_ns", "end_ns").join(best, "span_id", "left_anti")
     far = F.abs(F.col("r0") - F.col("ts_ns")) + F.abs(F.col("r1") - F.col("end_ns"))
-    near = lone.join(r, F.lit(True)).groupBy("span_id").agg(F.min(F.struct(far, "step"))["step"].alias("nearest"))
-    got = best.join(near, "span_id", "left").select("span_id", F.coalesce("step", "nearest").alias("step"))
-    return steps.join(got, "span_id")
+    near = lone.join(broadcast_small(ref), F.lit(True)).groupBy("span_id").agg(F.min(F.struct(far.alias("far"), "step"))["step"].alias("step"))
+    return steps.join(best.unionByName(near), "span_id")
 
 
 def steps(spans: DataFrame, tracks: DataFrame, runs: DataFrame) -> DataFrame:
@@ -73,9 +82,9 @@ def steps(spans: DataFrame, tracks: DataFrame, runs: DataFrame) -> DataFrame:
     group) gives the group's batch, and the batches are summed; kv sums are null
     where any part is. Otherwise the batch is that of the reference span.
     """
-    found = step_spans(spans, tracks)
-    ref = reference_steps(found)
-    a = assign_steps(found, ref)
+    found = materialize(step_spans(spans, tracks), "step-spans")
+    ref = materialize(reference_steps(found), "step-reference")
+    a = materialize(assign_steps(found, ref), "step-assigned")
     who = F.coalesce(F.col("rank").cast("long"), F.col("track_idx").cast("long"))
     a = a.withColumn("who", who)
     bounds = a.groupBy("step").agg(F.min("ts_ns").alias("t0"), F.max("end_ns").alias("t1"), F.count_distinct("who").cast("int").alias("n_ranks")).filter("t1 > t0")
@@ -83,7 +92,10 @@ def steps(spans: DataFrame, tracks: DataFrame, runs: DataFrame) -> DataFrame:
     bounds = bounds.withColumn("idle_before_ns", F.coalesce(F.greatest(F.lit(0), F.col("t0") - F.lag("t1").over(line)), F.lit(0)))
     gpu = union_length(a, ["step", "who"], name="ns").groupBy("step").agg(F.percentile("ns", F.lit(0.5)).alias("gpu_ns"))
     kernels = spans.filter(F.col("gpu") & (F.col("cat") == "kernel")).select(F.col("ts_ns").alias("k"))
-    counts = kernels.join(F.broadcast(bounds.select("step", "t0", "t1")), (F.col("k") >= F.col("t0")) & (F.col("k") < F.col("t1")))
+    bounds = materialize(bounds, "step-bounds")
+    width = _width(bounds, "t0", "t1")
+    cells = broadcast_small(bounds.select("step", "t0", "t1", _buckets("t0", "t1", width).alias("b")))
+    counts = kernels.withColumn("b", F.floor(F.col("k") / F.lit(width))).join(cells, "b").filter((F.col("k") >= F.col("t0")) & (F.col("k") < F.col("t1")))
     counts = counts.groupBy("step").agg(F.count("*").alias("kernel_count"))
     dp = runs.select(F.col("run"), F.col("rank"), coordinate(F.col("path"), "dp").alias("dp")).filter("dp is not null and rank is not null")
     grouped = a.join(dp, ["run", "rank"])

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.schema import TRACK, Bundle
+from spanforge.storage import broadcast_small
 
 
 def normalise(spans: DataFrame) -> DataFrame:
     """B1: times from the first span of each run."""
     start = spans.groupBy("run").agg(F.min("ts_ns").alias("t0"))
-    out = spans.join(start, "run")
+    out = spans.join(broadcast_small(start), "run")  # one row for each run
     return out.withColumns({"ts_ns": F.col("ts_ns") - F.col("t0"), "end_ns": F.col("end_ns") - F.col("t0")}).select(*spans.columns)
 
 
