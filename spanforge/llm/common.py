@@ -1,45 +1,20 @@
-"""Helpers that the corpus operators share: shared storage, word splitting, folds."""
+"""Helpers that the corpus operators share: lower case, folds, samples, removal by key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.storage import materialize
+
 #: Rows of a table of keys up to which it is broadcast: some tens of bytes each.
 BROADCAST_KEYS = 2_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    local tests, a temporary folder is made and recorded in the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spanforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks that ran on it, and
-    never what has been written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """``docs`` without the rows that have a match in a written table of keys.
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import ascii_lower, materialize, without
+from spanforge.llm.common import ascii_lower, without
+from spanforge.storage import materialize
 
 #: What separates words once A-Z are lower-cased; the second also leaves A-Z in words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import materialize, without
+from spanforge.llm.common import without
+from spanforge.storage import materialize
 
 SEED = 42
 SHINGLE = 3
