@@ -1,7 +1,7 @@
 """Operator 3: document fingerprints by a Merkle tree over paragraphs and sections.
 
 Leaves are pieces of paragraphs, cut where a word's own checksum says so, so
-that an edit moves no cut elsewhere. A paragraph's node hashes its leaves, a
+that an edit moves no cut far from it. A paragraph's node hashes its leaves, a
 section's node its paragraphs, the root its sections and the text's length.
 The fingerprint is the root followed by short digests of the leaves, grouped by
 paragraph and section: equal roots mean equal texts, and comparing two
@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A blank line ends a section; where there are none, so does every tenth line break or so.
+#: A blank line ends a section.
 SECTION = re.compile(r"\n[ \t\r\x0b\f]*\n")
-#: A leaf ends after a word whose checksum is 0 modulo this.
-MEAN_WORDS = 6
-ROOT_HEX, LEAF_HEX = 32, 6
+#: A leaf ends after a word whose checksum is 0 modulo the first, or of this many words.
+MEAN_WORDS, MOST_WORDS = 3, 8
+ROOT_HEX, LEAF_HEX = 32, 4
 
 
 def _digest(parts: list[bytes], tag: bytes) -> bytes:
@@ -42,7 +42,7 @@ def tree(text: str) -> list[list[list[bytes]]]:
             leaves, own = [], []
             for w in paragraph.encode("utf-8", "surrogatepass").split(b" "):
                 own.append(w)
-                if zlib.crc32(w) % MEAN_WORDS == 0:
+                if zlib.crc32(w) % MEAN_WORDS == 0 or len(own) == MOST_WORDS:
                     leaves.append(xxhash.xxh64_digest(b" ".join(own)))
                     own = []
             if own:
