@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanforge.llm.common import crc_fold
+from spanforge.storage import materialize
 
 FOLDS, HELD = 10, 0
 BLOCK = 1_000_000
@@ -230,7 +231,8 @@ def learn_weights(histogram: dict[tuple[int, int, int], int], rounds: int = 200)
 def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each document.
 
-    Documents with crc32(doc_id) mod 10 = 0 teach nothing; all are scored.
+    Documents with crc32(doc_id) mod 10 = 0 teach nothing; all are scored. The
+    result is a written table; the bucketed tables behind it are dropped.
     base_score is the smoothed unigram score, score the log10 probability under
     the interpolated model.
 
@@ -294,4 +296,7 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": list(b.ids), "held_out": ~b.train, "n_tokens": b.lengths, "n_known": add((w > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(np.log10(p))}))
         return pd.concat(out) if out else pd.DataFrame({f.name: [] for f in schema})
 
-    return typed(together.applyInPandas(scored, schema))
+    out = materialize(typed(together.applyInPandas(scored, schema)), "lm-scores")
+    for name in ("blocks", "answers"):
+        spark.sql(f"DROP TABLE lm_{name}_{tag}")
+    return out
