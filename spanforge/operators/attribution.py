@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import kernel_base_name, kernel_family
 from spanforge.operators.links import launch_frames, launch_links
+from spanforge.storage import materialize
 
 # fixed values: directories never searched, languages by suffix, and words that open a C declaration
 SKIPPED = (".git", "build", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", "target", "cmake-build-debug")
@@ -28,16 +29,21 @@ class SourceIndex:
 
 
 def index_sources(spark: SparkSession, root: str) -> SourceIndex:
-    """Read a tree once; every identifier before a bracket becomes a row, so that lookups are joins.
+    """The index of a source tree, read once."""
+    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("full"), "value")
+    base = root.rstrip("/").removeprefix("file:")
+    path = F.substring(F.regexp_replace("full", r"^file:/*", "/"), len(base) + 2, 1 << 20)  # relative to the root
+    return index_texts(text.select(path.alias("path"), "value"))
+
+
+def index_texts(texts: DataFrame) -> SourceIndex:
+    """The index of files (path, value): every identifier before a bracket becomes a row, so that lookups are joins.
 
     rank orders hits: Python definitions 0; in C files declarations before calls,
     and CUDA sources before others.
     """
-    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("full"), "value")
-    base = root.rstrip("/").removeprefix("file:")
-    path = F.substring(F.regexp_replace("full", r"^file:/*", "/"), len(base) + 2, 1 << 20)  # relative to the root
     suffix = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
-    t = text.select(path.alias("path"), "value").filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    t = texts.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
     t = t.withColumn("py", suffix == "py").filter(F.col("py") | suffix.isin(*C_SUFFIXES))
     inner = F.when(F.col("path").rlike("^deps/[^/]+/"), F.regexp_replace("path", "^deps/[^/]+/", "")).otherwise(F.col("path"))
     files = t.select("path", "py", F.replace(F.regexp_replace(inner, r"\.[^./]*$", ""), F.lit("/"), F.lit("")).alias("flat"))
@@ -109,13 +115,13 @@ def attribute(spans: DataFrame, index: SourceIndex, bucket_ns: int) -> DataFrame
     by_site = resolve_callfrom(s.filter("site is not null"), index.files).withColumnsRenamed({"path": "p1", "line": "l1"})
     named = s.filter("site is null").filter(F.col("device") | (F.col("cat") == "cpu_op")).filter(~F.col("family").isin("torch", "generic"))
     places = resolve_names(named, index)
-    best = places.groupBy("name").agg(F.count("*").alias("hits"), F.min_by(F.struct("path", "line"), "n").alias("place"))
+    best = materialize(places.groupBy("name").agg(F.count("*").alias("hits"), F.min_by(F.struct("path", "line"), "n").alias("place")), "places")
     out = s.select("span_id", "name", "site", "device", "cat", "family").join(by_site, "site", "left")
     ok = F.col("site").isNull() & (F.col("device") | (F.col("cat") == "cpu_op")) & ~F.col("family").isin("torch", "generic")
     b = best.withColumnsRenamed({"name": "n2", "hits": "h2", "place": "p2"})
     out = out.join(b, ok & (F.col("name") == F.col("n2")), "left")
     open_ = out.filter("device and site is null and p2 is null").select("span_id")
-    link = launch_links(spans, open_)
+    link = materialize(launch_links(spans, open_), "launch-links")
     ops = link.filter("op is not null").select(F.col("op").alias("name")).distinct().filter(kernel_family(F.col("name")) != "torch")
     o = resolve_names(ops, index).groupBy("name").agg(F.count("*").alias("h3"), F.min_by(F.struct("path", "line"), "n").alias("p3")).withColumnRenamed("name", "op")
     frames = launch_frames(link.filter("at_id is not null"), spans, bucket_ns, index.files).select("kernel_id", F.struct(F.col("file").alias("path"), "line").alias("p4"))

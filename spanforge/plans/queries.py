@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 from spanforge.fixtures import runs_of_events, spans_of_events, tracks_of
 from spanforge.functions.text import duration_text, kernel_base_name
-from spanforge.operators import clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
+from spanforge.operators import attribution, clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
 from spanforge.plans.sql import SQL
-from spanforge.schema import TRACK
-from spanforge.sources.ingest import rank_groups
+from spanforge.schema import SPAN_COLUMNS, TRACK
+from spanforge.sources.ingest import rank_groups, read_traces
+from spanforge.sources.store import read_store, write_store
+from spanforge.storage import shared_dir
+from spanforge.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +53,39 @@ def a7_export(spark, sf):
     return select.export_lines(_gpu(spans_of_events(spark, sf)))
 
 
+def _documents(spark, sf) -> str:
+    """One JSON file for each rank, derived from the spans; returns their folder."""
+    s = _named(spark, sf)
+    us = lambda c: (F.col(c) / 1000).cast("decimal(26,3)")
+    e = F.struct(F.lit("X").alias("ph"), "pid", F.col("tid").cast("int").alias("tid"), "name", "cat", us("ts_ns").alias("ts"), us("dur_ns").alias("dur"), F.struct("correlation").alias("args"), "seq")
+    docs = s.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("seq", e.alias("e")))).alias("l"))
+    header = F.struct(F.col("rank"), F.lit(4096).alias("world_size"))
+    doc = F.struct(F.col("l.e").alias("traceEvents"), F.array(F.struct(F.concat(F.lit("dev"), (F.col("rank") % 3).cast("string")).alias("name"))).alias("deviceProperties"), F.lit("1.2.0").alias("vllm_version"), header.alias("distributedInfo"))
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    docs.select("rank", F.to_json(doc).alias("value")).repartition("rank").write.partitionBy("rank").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query
+def a1_read_traces(spark, sf):
+    b = read_traces(spark, [f"{_documents(spark, sf)}/*/*.txt"], "r")
+    return b.spans.select("rank", "tid", "track", "gpu", "name", "cat", "ts_ns", "dur_ns", "args")
+
+
+@query
+def a4_headers(spark, sf):
+    b = read_traces(spark, [f"{_documents(spark, sf)}/*/*.txt"], "r")
+    return b.runs.select("rank", "device", "version", "dist_rank", "dist_world", "min_ts_ns")
+
+
+@query
+def a5_store(spark, sf):
+    b = read_traces(spark, [f"{_documents(spark, sf)}/*/*.txt"], "r")
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    write_store(b, path)
+    return stats.kernel_stats(read_store(spark, path, ["r"]).spans)
+
+
 # ---- assembly
 
 
@@ -381,6 +418,36 @@ def h10_compare(spark, sf):
     return c.withColumn("delta_pct", F.round("delta_pct", 6))
 
 
+def _index(spark, sf):
+    """A source tree derived from the names: a file for each kind of event, a definition for each name."""
+    n = spans_of_events(spark, sf).select("name").distinct()
+    n = n.select(F.regexp_extract("name", r"^(.*)_", 1).alias("kind"), F.concat(F.lit("def "), "name", F.lit("(a):")).alias("line"))
+    files = n.groupBy("kind").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("value"))
+    return attribution.index_texts(files.select(F.concat(F.lit("pkg/"), "kind", F.lit(".py")).alias("path"), "value"))
+
+
+@query
+def h5_resolve_names(spark, sf):
+    n = spans_of_events(spark, sf).select(F.concat(F.lit("void ns::"), "name", F.lit("_0d1d2<int>(x)")).alias("name"))
+    return attribution.resolve_names(n, _index(spark, sf))
+
+
+@query
+def h7_call_sites(spark, sf):
+    site = F.concat(F.when(F.col("correlation") == 0, "/").otherwise(""), F.lit("pkg/"), F.regexp_extract("name", r"^(.*)_", 1), F.lit(".py:"), F.col("correlation").cast("string"))
+    return attribution.resolve_callfrom(spans_of_events(spark, sf).select(site.alias("site")), _index(spark, sf).files)
+
+
+@query
+def h8_attribution(spark, sf):
+    s = spans_of_events(spark, sf)
+    c = F.col("correlation")
+    name = F.when(c == 1, "Kernel").when(c == 2, F.concat(F.lit("void at::"), "name")).when(c == 3, F.concat("name", F.lit("_gone"))).otherwise(F.col("name"))
+    s = s.withColumn("name", F.when(F.col("gpu"), name).otherwise(F.col("name")))
+    s = s.withColumn("args", F.when(c == 4, F.to_json(F.struct(F.lit("pkg/view.py:3").alias("CallFrom")))).otherwise(F.to_json(F.struct(c.alias("correlation"), c.alias("External id")))))
+    return attribution.attribute(tracks.with_tracks(s, tracks_of(s), "track_idx"), _index(spark, sf), BUCKET)
+
+
 # ---- sequence diff
 
 
@@ -489,6 +556,24 @@ def k7_durations(spark, sf):
     return s.select("span_id", duration_text((F.col("dur_ns") / F.pow(F.lit(10), F.col("span_id") % 4 * 3)).cast("long")).alias("text"))
 
 
+# ---- streaming
+
+
+@query
+def l2_live_stats(spark, sf):
+    """The running statistics once all spans, written as a stored table, have streamed by."""
+    s = spans_of_events(spark, sf).select(*SPAN_COLUMNS)
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    s.write.parquet(f"{base}/spans")
+    stats_now = live.live_stats(live.stream_spans(spark, f"{base}/spans")).drop("median_approx_ns")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/result")
+
+    stats_now.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/result")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

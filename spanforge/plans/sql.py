@@ -139,6 +139,9 @@ SQL: dict[str, str] = {
 ), n AS (SELECT *, count(*) OVER (PARTITION BY source_dir) AS n FROM p)
 SELECT source_dir, path, CASE WHEN n > 1 THEN 'ep-group' END AS "group", CASE WHEN n > 1 THEN rank END AS rank FROM n""",
     "a7_export": GPU + f" SELECT ts_ns, seq, name || ' (' || {TEXT.replace('x', 'dur_ns').replace('madur_ns', 'max')} || ')' AS line FROM g",
+    "a1_read_traces": NAMED + """ SELECT rank, tid, CASE WHEN gpu THEN 'GPU ' ELSE 'Thread ' END || tid AS track, gpu, name, cat, ts_ns, dur_ns, '{"correlation":' || correlation || '}' AS args FROM spans""",
+    "a4_headers": BASE + " SELECT rank, 'dev' || (rank % 3) AS device, '1.2.0' AS version, rank AS dist_rank, 4096 AS dist_world, min(ts_ns) AS min_ts_ns FROM spans GROUP BY rank",
+    "a5_store": NAMED + f" SELECT {STATS} FROM spans GROUP BY name",
     "b1_normalise": BASE + " SELECT span_id, ts_ns, end_ns FROM spans",
     "b2_tracks": BASE + TRACKS + " SELECT run, rank, '0' AS pid, tid, n_events, gpu, track_idx FROM tracks",
     "b3_labels": BASE + TRACKS + """, l AS (SELECT rank, tid, arg_max('w' || correlation, seq) AS label FROM spans WHERE cat = 'kernel' AND correlation < 2 GROUP BY ALL)
@@ -222,6 +225,9 @@ FROM bd JOIN gpu USING (step) LEFT JOIN kc USING (step) LEFT JOIN tot USING (ste
 ), f AS (SELECT span_id, rank, ts_ns, end_ns, dur_ns, seq, correlation FROM spans WHERE cat = 'python_function')
 SELECT kernel_id, arg_min(f.span_id, struct_pack(a := dur_ns, b := ts_ns, c := seq)) AS frame_id, arg_min('pkg/mod' || correlation || '.py', struct_pack(a := dur_ns, b := ts_ns, c := seq)) AS file, arg_min(correlation + 10, struct_pack(a := dur_ns, b := ts_ns, c := seq)) AS line
 FROM l JOIN f ON l.rank = f.rank AND f.ts_ns <= t AND t <= f.end_ns GROUP BY kernel_id""",
+    "h5_resolve_names": BASE + """, n AS (SELECT DISTINCT name, regexp_extract(name, '^(.*)_', 1) AS kind FROM spans)
+SELECT 'void ns::' || name || '_0d1d2<int>(x)' AS name, 1 AS n, 'pkg/' || kind || '.py' AS path, CAST(row_number() OVER (PARTITION BY kind ORDER BY name) AS INTEGER) AS line FROM n""",
+    "h7_call_sites": BASE + """ SELECT DISTINCT 'pkg/' || regexp_extract(name, '^(.*)_', 1) || '.py:' || correlation AS site, 'pkg/' || regexp_extract(name, '^(.*)_', 1) || '.py' AS path, correlation AS line FROM spans WHERE correlation > 0""",
     "h9_coords": BASE + " SELECT span_id, rank % 4 AS dp, CAST((rank // 4) % 4 AS INTEGER) AS tp, 0 AS pp, rank AS ep FROM spans",
     "h10_compare": GPU + """, a AS (SELECT name, count(*) AS n, CAST(sum(dur_ns) AS BIGINT) AS t FROM g WHERE rank % 2 = 0 AND name <> 'view_1' GROUP BY name
 ), b AS (SELECT name, count(*) AS n, CAST(sum(dur_ns) AS BIGINT) AS t FROM g WHERE rank % 2 = 1 AND name <> 'click_1' GROUP BY name)
@@ -242,5 +248,6 @@ SELECT name, "limit", suspect, count(*) AS launches, CAST(sum(dur_ns) AS BIGINT)
     "k6_builds": "WITH x AS (SELECT 1)" + PATHS + """, v AS (SELECT rank, CASE rank % 4 WHEN 0 THEN '0.26.1rc1.dev' || rank || '+g1a2b3c4d' WHEN 1 THEN '0.33.0rc1.dev' || rank || '+stamp.cfee12e' WHEN 2 THEN '0.' || rank || '.0' ELSE 'unknown' END AS version FROM runs)
 SELECT rank, version, CASE rank % 4 WHEN 0 THEN 'commit' WHEN 1 THEN 'dev' WHEN 2 THEN 'tag' END AS kind, CASE rank % 4 WHEN 0 THEN regexp_extract(version, 'g([0-9a-f]+)$', 1) WHEN 1 THEN regexp_extract(version, '^(.*)\\.dev', 1) WHEN 2 THEN 'v' || version END AS value,
   CASE WHEN rank % 4 = 1 THEN CAST(regexp_extract(version, 'dev(\\d+)', 1) AS INTEGER) END AS dist FROM v""",
+    "l2_live_stats": BASE + " SELECT name, count(*) AS count, CAST(sum(dur_ns) AS BIGINT) AS total_ns, greatest(max(dur_ns), 0) AS max_ns, min(dur_ns) AS min_ns FROM spans GROUP BY name",
     "k7_durations": BASE + f", t AS (SELECT span_id, CAST(trunc(dur_ns / pow(10, span_id % 4 * 3)) AS BIGINT) AS x FROM spans) SELECT span_id, {TEXT} AS text FROM t",
 }

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPANS = (
     "run string, rank int, pid string, tid string, track string, gpu boolean, seq long, span_id long, name string, cat string, ts_ns long, dur_ns long, end_ns long, args string"
 )
+TRACKS = "run string, rank int, pid string, tid string, n_events long, gpu boolean, track_idx int, track string"
+FLOWS = "run string, rank int, flow_id long, pid string, tid string, ts_ns long, is_start boolean"
+RUNS = "run string, rank int, path string, device string, version string, dist_rank int, dist_world int, dp int, tp int, pp int, ep int, dcp int, min_ts_ns long"
 SPAN_COLUMNS = tuple(c.split()[0] for c in SPANS.split(", "))
 TRACK = ("run", "rank", "pid", "tid")
 NS_PER_US = 1000

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.schema import Bundle
+from spanforge.schema import FLOWS, RUNS, SPANS, TRACKS, Bundle
 
-TABLES = ("spans", "tracks", "flows", "runs")
+TABLES = {"spans": SPANS, "tracks": TRACKS, "flows": FLOWS, "runs": RUNS}
 
 
 def write_store(bundle: Bundle, path: str, mode: str = "append") -> None:
@@ -24,7 +24,7 @@ def read_store(spark: SparkSession, path: str, runs: list[str] | None = None) ->
     """The tables; ``runs`` prunes their partitions."""
 
     def table(name: str) -> DataFrame:
-        df = spark.read.parquet(f"{path}/{name}").withColumn("run", F.col("run").cast("string")).withColumn("rank", F.col("rank").cast("int"))
+        df = spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
         return df if runs is None else df.filter(F.col("run").isin(runs))
 
-    return Bundle(*(table(n) for n in TABLES))
+    return Bundle(*map(table, TABLES))
