@@ -15,14 +15,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import fold, labelled_sample
+from spanforge.llm.common import fold, in_small_batches, labelled_sample
 
 FOLDS, HELD = 3, 1
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,36 +34,66 @@ PATTERNS = (
     re.compile(r"[!?]{3,}"),
 )
 LISTS = 8
+#: Lengths of the beginnings of words.
+STEMS = (4, 5, 6, 7, 8)
 VOTERS = 1 + LISTS + len(PATTERNS)
 #: What the fit takes at most: labelled rows and characters, and words of the classifier.
 MAX_ROWS, MAX_CHARS, MAX_WORDS = 6000, 24_000_000, 600
 
 
-def learned_lists(sample: list[tuple[set[str], int]], least: int = 5) -> list[frozenset[str]]:
-    """``LISTS`` word lists: words of which nearly all documents in the sample are toxic, dealt in turn."""
-    toxic, clean = Counter(), Counter()
-    for words, y in sample:
-        (toxic if y else clean).update(words)
-    tied = [w for w, n in toxic.items() if n >= least and n >= 20 * clean[w]]
-    # words of copied toxic documents come along; they have less support than the insults themselves
-    best = sorted(tied, key=lambda w: (-toxic[w], w))[: 10 * LISTS]
-    return [frozenset(best[i::LISTS]) for i in range(LISTS)]
+def words_of(text: str) -> set[str]:
+    return set(WORD.findall(text))
 
 
-def vote(text: str, words: set[str], lists: list[frozenset[str]]) -> int:
-    """The voters that call the text toxic, as bits."""
-    bits = int(not words.isdisjoint(INSULTS))
-    for i, own in enumerate(lists):
-        bits |= (not words.isdisjoint(own)) << (1 + i)
-    for i, p in enumerate(PATTERNS):
-        bits |= bool(p.search(text)) << (1 + LISTS + i)
-    return bits
+def forms(words: set[str]) -> set[str]:
+    """The words, what they begin with, as insults are inflected, and what two or more of them begin with."""
+    starts = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
+    return words | {f"{s}*" for s in starts} | {f"{s}**" for s, n in starts.items() if n > 1 and len(s) > STEMS[0]}
 
 
-def words_of(text: str) -> set[str]:
-    """The words, and their first four and five letters: insults are inflected."""
-    words = set(WORD.findall(text))
-    return words | {f"{w[:4]}*" for w in words if len(w) > 4} | {f"{w[:5]}*" for w in words if len(w) > 5}
+class Matcher:
+    """Which of given forms a set of words has; most words are passed over by their first letters."""
+
+    def __init__(self, known: Iterable[str]):
+        known = set(known)
+        self.words = {f for f in known if not f.endswith("*")}
+        self.stems = known - self.words
+        self.first = {f.rstrip("*")[: STEMS[0]] for f in known}
+
+    def found(self, words: set[str]) -> set[str]:
+        near = {w for w in words if w[: STEMS[0]] in self.first}
+        return (near & self.words) | (forms(near) & self.stems if self.stems else set())
+
+
+def learned_lists(sample: list[tuple[set[str], int]], least: int = 5) -> dict[str, int]:
+    """Forms of which nearly all documents in the sample are toxic, each with the number of one of ``LISTS`` voters."""
+    toxic = Counter(f for words, y in sample if y for f in forms(words))
+    some = Matcher(f for f, n in toxic.items() if n >= least)
+    clean = Counter(f for words, y in sample if not y for f in some.found(words))
+    tied = [f for f, n in toxic.items() if n >= least and n >= 20 * clean[f]]
+    # words of copied toxic documents come along; they have less support than the insults themselves
+    best: list[str] = []
+    for f in sorted(tied, key=lambda f: (10 * clean[f] - toxic[f], len(f), f)):
+        if not any(f.startswith(g.rstrip("*")) for g in best if g.endswith("*")):
+            best.append(f)
+        if len(best) == 10 * LISTS:
+            break
+    return {f: i % LISTS for i, f in enumerate(best)}
+
+
+class Voters:
+    def __init__(self, lists: dict[str, int]):
+        self.lists, self.matcher = lists, Matcher(lists)
+
+    def vote(self, text: str) -> int:
+        """The voters that call the lower-case text toxic, as bits."""
+        words = words_of(text)
+        bits = int(not words.isdisjoint(INSULTS))
+        for f in self.matcher.found(words):
+            bits |= 1 << (1 + self.lists[f])
+        for i, p in enumerate(PATTERNS):
+            bits |= bool(p.search(text)) << (1 + LISTS + i)
+        return bits
 
 
 class LabelModel:
@@ -74,28 +104,41 @@ class LabelModel:
     Voters abstain where they don't fire, and then say nothing, unless all do.
     """
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 40):
-        self.votes = (patterns[:, None] >> np.arange(VOTERS) & 1).astype(np.int8)
-        n = counts.astype(float)
-        strength = self.votes @ np.array([2.0] + [1.0] * LISTS + [1.0, 1.0, 0.1])
-        post = np.clip(strength / 2.0, 0.02, 0.98)
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 40):
+        """patterns, counts: the vote patterns of all documents. known: patterns and labels of labelled rows.
+
+        The known rows weigh as much as all others together; they keep the classes in place.
+        """
+        bits, labels = known if known is not None else (np.zeros(0, int), np.zeros(0, int))
+        every = np.unique(np.concatenate([patterns, bits]))
+        self.votes = (every[:, None] >> np.arange(VOTERS) & 1).astype(np.int8)
+        n = np.zeros(len(every))
+        np.add.at(n, np.searchsorted(every, patterns), counts)
+        fixed = np.zeros((2, len(every)))
+        np.add.at(fixed, (labels, np.searchsorted(every, bits)), n.sum() / max(1, len(bits)))
+        post = np.clip(self.votes @ np.array([2.0] + [1.0] * LISTS + [1.0, 1.0, 0.1]) / 2.0, 0.02, 0.98)
         self.tree: list[tuple[int, int]] = []
         for step in range(rounds):
-            w = np.stack([n * (1 - post), n * post])
+            w = np.stack([n * (1 - post), n * post]) + fixed
             if step % 10 == 0:
                 self.tree = self._tree(w)
             self._maximise(w)
             # the class rate is tied to the labelled one, which keeps the classes from swapping
-            rate = np.clip((w[1].sum() + 200 * prior) / (n.sum() + 200), 1e-3, 0.5)
+            rate = np.clip((w[1].sum() + 200 * prior) / (w.sum() + 200), 1e-3, 0.5)
             self.prior = np.log([1 - rate, rate])
             post = self.posterior(self.votes)
 
     def _pair(self, w: np.ndarray, i: int, j: int) -> np.ndarray:
-        """Class, vote of i, vote of j: smoothed joint counts."""
-        t = np.full((2, 2, 2), 0.5)
+        """Class, vote of i, vote of j: joint counts, smoothed towards independence within the class."""
+        t = np.zeros((2, 2, 2))
         for c in range(2):
             np.add.at(t[c], (self.votes[:, i], self.votes[:, j]), w[c])
-        return t
+        total = w.sum(axis=1)
+        fire = [(w @ self.votes[:, k] + 0.5) / (total + 1) for k in (i, j)]
+        pi, pj = (np.stack([1 - f, f], axis=1) for f in fire)
+        if i == j:
+            return t + np.stack([np.diag(p) for p in pi])
+        return t + 2 * pi[:, :, None] * pj[:, None, :]
 
     def _tree(self, w: np.ndarray) -> list[tuple[int, int]]:
         """(voter, the voter it depends on or -1), by Prim's algorithm on conditional mutual information."""
@@ -135,36 +178,37 @@ class LabelModel:
 
 
 class Linear:
-    """Logistic regression over the presence of word forms, trained on soft labels.
+    """Logistic regression over the presence of forms, trained on soft labels.
 
     The ``MAX_WORDS`` forms most tied to toxic texts, by chi-square on the soft
     labels, are its inputs; Newton steps with a ridge fit it.
     """
 
-    def __init__(self, sets: list[set[str]], target: np.ndarray, ridge: float = 4.0, steps: int = 25):
-        n, t = Counter(w for s in sets for w in s), defaultdict(float)
+    def __init__(self, sets: list[set[str]], target: np.ndarray, ridge: float = 2.0, steps: int = 25):
+        rows, share = len(sets), float(target.mean())
+        t: dict[str, float] = defaultdict(float)
         for s, y in zip(sets, target, strict=True):
-            if y > 1e-3:
-                for w in s:
-                    t[w] += y
-        rows, toxic = len(sets), float(target.sum())
-        share = toxic / rows
+            if y >= 0.5:
+                for f in forms(s):
+                    t[f] += y
+        some = Matcher(f for f, k in t.items() if k >= 3)
+        n = Counter(f for s in sets for f in some.found(s))
 
-        def gain(w: str) -> float:
-            off = t[w] - n[w] * share
-            return off * off / (n[w] * share * (1 - share) + 1e-9) * (1 - n[w] / (rows + 1))
+        def gain(f: str) -> float:
+            off = t[f] - n[f] * share
+            return off * off / (n[f] * share * (1 - share) + 1e-9) * (1 - n[f] / (rows + 1))
 
         # forms of ordinary text are left out, so that a short text isn't judged by what it lacks
-        best = sorted((w for w, k in n.items() if t[w] >= 3 and t[w] > 2 * share * k), key=lambda w: (-gain(w), w))[:MAX_WORDS]
-        self.ids = {w: i for i, w in enumerate(best)}
+        best = sorted((f for f, k in n.items() if t[f] > 2 * share * k), key=lambda f: (-gain(f), f))[:MAX_WORDS]
+        self.ids, self.matcher = {f: i for i, f in enumerate(best)}, Matcher(best)
         x = np.zeros((rows, len(best) + 1))
         x[:, -1] = 1.0
         for i, s in enumerate(sets):
-            x[i, [k for k in map(self.ids.get, s) if k is not None]] = 1.0
+            x[i, [self.ids[f] for f in self.matcher.found(s)]] = 1.0
         self.w = np.zeros(x.shape[1])
         self.w[-1] = math.log((share + 1e-6) / (1 - share + 1e-6))
         # a form with little support must not separate the sample by chance
-        penalty = np.array([ridge / t[w] for w in best] + [1e-6])
+        penalty = np.array([ridge / t[f] for f in best] + [1e-6])
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30)))
             h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
@@ -174,7 +218,7 @@ class Linear:
                 break
 
     def score(self, words: set[str]) -> float:
-        z = float(self.w[-1]) + sum(self.w[i] for i in map(self.ids.get, words) if i is not None)
+        z = float(self.w[-1]) + sum(self.w[self.ids[f]] for f in self.matcher.found(words))
         return 1 / (1 + math.exp(-min(40.0, max(-40.0, z))))
 
 
@@ -184,16 +228,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Linear | None:
     if len({y for _, y in sample}) < 2:
         return None
     sets = [words_of(t) for t, _ in sample]
-    lists = learned_lists([(s, y) for s, (_, y) in zip(sets, sample, strict=True)])
+    voters = Voters(learned_lists([(s, y) for s, (_, y) in zip(sets, sample, strict=True)]))
 
     @F.pandas_udf("int")
     def votes(texts: pd.Series) -> pd.Series:
-        return pd.Series([vote(t, words_of(t), lists) for t in (x.lower() if x else "" for x in texts)], dtype="int32")
+        return pd.Series([voters.vote(x.lower() if x else "") for x in texts], dtype="int32")
 
     # at most 2 ** VOTERS = 4096 rows reach the driver
-    cast = docs.select(votes("text").alias("bits")).groupBy("bits").count().collect()
-    model = LabelModel(np.array([r["bits"] for r in cast]), np.array([r["count"] for r in cast]), sum(y for _, y in sample) / len(sample))
-    target = np.array([model.of(vote(t, s, lists)) for s, (t, _) in zip(sets, sample, strict=True)])
+    cast = in_small_batches(docs).select(votes("text").alias("bits")).groupBy("bits").count().collect()
+    own, y = np.array([voters.vote(t) for t, _ in sample]), np.array([int(y > 0) for _, y in sample])
+    model = LabelModel(np.array([r["bits"] for r in cast]), np.array([r["count"] for r in cast]), float(y.mean()), (own, y))
+    target = np.array([model.of(b) for b in own])
     return Linear(sets, target)
 
 
@@ -216,7 +261,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
         for texts in batches:
             yield pd.Series([fitted.score(words_of(t.lower() if t else "")) if fitted else 0.0 for t in texts], dtype="float64")
 
-    out = docs.drop("held_out", "score", "predicted")
+    out = in_small_batches(docs).drop("held_out", "score", "predicted")
     out = out.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)))
     out = out.withColumn("score", scores("text"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -46,10 +46,11 @@ def test_held_out_labels_teach_nothing(spark):
 def test_label_model_orders_patterns():
     r = np.random.default_rng(1)
     y = r.random(20000) < 0.1
-    fire = (r.random((20000, toxicity.VOTERS)) < np.where(y[:, None], 0.5, 0.02)).astype(int)
+    fire = (r.random((20000, toxicity.VOTERS)) < np.where(y[:, None], 0.5, 0.001)).astype(int)
     fire[:, 2] = fire[:, 1]  # two voters that always agree
-    bits, n = np.unique(fire @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
-    m = toxicity.LabelModel(bits, n, 0.1)
+    cast = fire @ (1 << np.arange(toxicity.VOTERS))
+    bits, n = np.unique(cast, return_counts=True)
+    m = toxicity.LabelModel(bits, n, 0.1, (cast[:1000], y[:1000].astype(int)))
     assert m.of(0) < 0.1 < 0.9 < m.of((1 << toxicity.VOTERS) - 1)
     assert (1, 2) in m.tree or (2, 1) in m.tree
     post = m.posterior(fire)
