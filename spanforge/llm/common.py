@@ -15,6 +15,18 @@ BROADCAST_KEYS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Texts in one batch that goes to Python: some are long, and a task holds a batch in several forms.
+ROWS_PER_BATCH = 1000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, once its session sends texts to Python in batches of ``ROWS_PER_BATCH`` rows at most."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(key)) > ROWS_PER_BATCH or int(conf.get(key)) <= 0:
+        conf.set(key, ROWS_PER_BATCH)
+    return docs
+
+
 def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """``docs`` without the rows that have a match in a written table of keys.
 

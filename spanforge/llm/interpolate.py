@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanforge.llm.common import crc_fold
+from spanforge.llm.common import crc_fold, in_small_batches
 from spanforge.storage import materialize
 
 FOLDS, HELD = 10, 0
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         if parts:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "block long, ids array<string>, train binary, lengths binary, words binary, numbers binary")
+    return in_small_batches(docs).select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "block long, ids array<string>, train binary, lengths binary, words binary, numbers binary")
 
 
 class Block:

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import in_small_batches
+
 #: A blank line ends a section.
 SECTION = re.compile(r"\n[ \t\r\x0b\f]*\n")
 #: A leaf ends after a word whose checksum is 0 modulo the first, or of this many words.
@@ -114,7 +116,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_differing int"
     first = d.agg(F.max("doc_id").alias("x")).first()["x"]
     ids = d.filter(F.col("doc_id").isNotNull())

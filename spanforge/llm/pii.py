@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -227,51 +229,55 @@ def learn(docs: DataFrame) -> Field:
     return Field({(r["what"], r["key"], r["label"]): r["n"] for r in rows})
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    end, parts = 0, []
+    for a, b, k in sorted((a, b, k) for k, a, b in spans):
+        if b > end:
+            parts += [text[end : max(a, end)], f"<{KINDS[k].upper()}>" if a >= end else ""]
+            end = b
+    return "".join(parts) + text[end:]
 
-    Spans are ``kind:start:end`` in code points, end exclusive, by kind and start.
-    The field only adds spans; base spans stay.
 
-    Defined cases: a null or empty text has no spans, and base_sha256 is that of
-    the empty string. Repeated rows get equal results. Columns named like a
-    result are replaced by it; no column but text is read. An empty table gives
-    no rows.
-    """
-    field = docs.sparkSession.sparkContext.broadcast(learn(docs))  # one entry for each shape, of which there are under 200
+RESULTS = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")
+
+
+def _scanned(docs: DataFrame, masked: bool) -> DataFrame:
+    """``docs`` with __found: the results, and the masked text, or null where it isn't asked for or nothing changes."""
+    field = in_small_batches(docs).sparkSession.sparkContext.broadcast(learn(docs))  # one entry for each shape, of which there are under 200
     kinds = ", ".join(f"n_{k}: long" for k in KINDS)
 
-    @F.pandas_udf(f"struct<{kinds}, base_sha256: string, spans: string, n_added: long>")
-    def spans(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(f"struct<{kinds}, base_sha256: string, spans: string, n_added: long, masked: string>")
+    def found(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             base, every = find(t, field.value)
             n = Counter(k for k, _, _ in base)
-            out.append((*(n[k] for k in range(len(KINDS))), sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
-        return pd.DataFrame(out, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            changed = _masked(t, every) if masked and every else None
+            out.append((*(n[k] for k in range(len(KINDS))), sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), changed))
+        return pd.DataFrame(out, columns=[*RESULTS, "masked"])
 
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-    found = docs.drop(*names).withColumn("__found", spans("text"))
-    return found.withColumns({c: F.col("__found")[c] for c in names}).drop("__found")
+    return docs.withColumn("__found", found("text"))
 
 
-def _masked(text: str, spans: str) -> str:
-    end, parts = 0, []
-    for a, b, k in sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in spans.split(",") if x)):
-        if b > end:
-            parts += [text[end : max(a, end)], f"<{k.upper()}>" if a >= end else ""]
-            end = b
-    return "".join(parts) + text[end:] if parts else text
+def scan(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
+    Spans are ``kind:start:end`` in code points, end exclusive, by kind and start.
+    The field only adds spans; base spans stay.
 
-def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind, as in ``<EMAIL>``; n_chars follows where there is one."""
+    Defined cases: a null or empty text has no spans, and base_sha256 is that of
+    the empty string. Repeated rows get equal results. Columns named like a
+    result are replaced by it; no column but text is read. An empty table gives
+    no rows.
+    """
+    found = _scanned(docs.drop(*RESULTS), masked=False)
+    return found.withColumns({c: F.col("__found")[c] for c in RESULTS}).drop("__found")
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_masked(t or "", s) for t, s in zip(texts, spans, strict=True)])
 
-    out = scan(docs).withColumn("text", F.when(F.col("spans") != "", masked("text", "spans")).otherwise(F.col("text")))
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span replaced by its kind, as in ``<EMAIL>``; n_chars follows where there is one."""
+    new = F.col("__found.masked")
+    out = _scanned(docs, masked=True)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans") != "", F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(new.isNotNull(), F.length(new).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce(new, "text")).select(*docs.columns)

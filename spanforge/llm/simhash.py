@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import without
+from spanforge.llm.common import in_small_batches, without
 from spanforge.storage import materialize
 
 SEED = 42
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def prints(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([text_fingerprint(t, width) for t in text], np.uint64).view(np.int64))
 
-    return docs.withColumn("fp", prints("text"))
+    return in_small_batches(docs).withColumn("fp", prints("text"))
 
 
 def _masks(radius: int) -> list[int]:
