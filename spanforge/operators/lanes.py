@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.intervals import islands
 from spanforge.schema import TRACK
+from spanforge.storage import materialize
 
 
 class FirstFit:
@@ -118,7 +119,7 @@ def merged_rows(spans: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
 
     Columns: row_rank, span_id, ts_ns, end_ns, dur_ns, seq, name, lane.
     """
-    gpu = lanes(spans.filter("gpu"))
+    gpu = materialize(lanes(spans.filter("gpu")), "lanes")  # both the rows and what finds grandparents
     kept = gpu.join(wrappers(gpu), "span_id", "left_anti")
     if hidden is not None:
         kept = kept.join(hidden.select("name").distinct(), "name", "left_anti")

@@ -15,7 +15,7 @@ from spanforge.plans.sql import SQL
 from spanforge.schema import SPAN_COLUMNS, TRACK
 from spanforge.sources.ingest import rank_groups, read_traces
 from spanforge.sources.store import read_store, write_store
-from spanforge.storage import shared_dir
+from spanforge.storage import materialize, shared_dir
 from spanforge.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,7 +346,7 @@ def g1_step_names(spark, sf):
 def _steps(spark, sf):
     s = _named(spark, sf)
     t = tracks_of(s)
-    return s, t, steps.step_spans(s, t)
+    return s, t, materialize(steps.step_spans(s, t), "step-spans")
 
 
 @query
@@ -357,12 +357,13 @@ def g3_reference_track(spark, sf):
 @query
 def g4_assign(spark, sf):
     f = _steps(spark, sf)[2]
-    return steps.assign_steps(f, steps.reference_steps(f)).select("span_id", "step")
+    return steps.assign_steps(f, materialize(steps.reference_steps(f), "step-reference")).select("span_id", "step")
 
 
 @query
 def g5_steps(spark, sf):
-    s, t, _ = _steps(spark, sf)
+    s = _named(spark, sf)
+    t = materialize(tracks_of(s), "tracks")
     r = steps.steps(s, t, runs_of_events(spark, sf))
     return r.select("step", "t0", "t1", "n_ranks", "idle_before_ns", "gpu_ns", "kernel_count", *[F.col(f"batch.{c}").alias(c) for c in steps.BATCH], F.size("group_batches").alias("n_groups"))
 
