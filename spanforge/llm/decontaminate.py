@@ -103,8 +103,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     word; documents stay, and texts without hits are left untouched.
     """
     if mode == "documents":  # texts stay where they are: only the keys of what goes are moved
-        judged = contamination(docs.select("doc_id", "text"), benchmark, width, share).filter("contaminated")
-        gone = materialize(judged.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th")).distinct(), "contaminated")
+        narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("__key"))
+        judged = contamination(narrow, benchmark, width, share).filter("contaminated")
+        gone = materialize(judged.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__th")).distinct(), "contaminated")
         same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
         return without(docs, gone, same)
     judged = contamination(docs, benchmark, width, share)
