@@ -193,38 +193,51 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     chains; its component_id is the smallest id that is not null, or null if the
     component has none. No other column is read. An empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "simhash-prints")
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    out = _grouped(docs, width, radius)
+    return out.select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("root"))
+
+
+def _grouped(docs: DataFrame, width: int, radius: int) -> DataFrame:
+    """(doc_id, th, fp, root, component_id) of each document; th is its text's xxhash64."""
+    prints = materialize(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", F.xxhash64("text").alias("th"), "fp"), "simhash-prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-rooted")
     ids = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
     of_print = materialize(rooted.join(ids, "root").select("fp", "root", "component_id"), "simhash-of-print")
-    out = prints.join(of_print, "fp")
-    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return out.select("doc_id", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("root"))
+    return prints.join(of_print, "fp")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id.
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root of (doc_id, th, root), where th is the text's xxhash64.
 
-    Rows that repeat that doc_id are reduced to one. Where all of a group have a
-    null doc_id, one of them stays.
+    The row with the smallest doc_id that is not null stays, and of texts that
+    share it the one with the least hash; rows that repeat it are reduced to one.
     """
-    groups = materialize(near_duplicates(docs, width, radius), "simhash-result")
-    ids = groups.filter("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("n"))
-    ids = materialize(ids, "simhash-ids")
-    # texts stay where they are: only the ids of what goes are moved
-    gone = ids.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    again = ids.filter("doc_id = component_id and n > 1").select(F.col("doc_id").alias("__id"))
-    known = docs.filter(F.col("doc_id").isNotNull())
-    out = without(known, gone, F.col("doc_id") == F.col("__id"))
+    rows = materialize(groups.groupBy("doc_id", "th", "root").agg(F.count("*").alias("n")), "one-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    stay = materialize(rows.groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.th"), "one-stay")
+    # texts stay where they are: only the keys of what goes are moved
+    key = lambda t: t.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    s = key(stay)
+    kept = rows["doc_id"].eqNullSafe(s["__id"]) & (rows["th"] == s["__th"])
+    gone = materialize(key(rows.join(s, kept, "left_anti")), "one-gone")
+    again = materialize(key(rows.filter("n > 1").join(s, kept, "left_semi")), "one-again")
+    out = without(docs, gone, same)
     if not again.isEmpty():
-        repeated = out.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        out = without(out, again, F.col("doc_id") == F.col("__id")).unionByName(repeated)
-    roots = groups.filter("doc_id is null and component_id is null").select("fingerprint", "root").distinct()
-    if not roots.isEmpty():
-        nulls = fingerprints(docs.filter("doc_id is null"), width)
-        nulls = nulls.withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).join(roots, "fingerprint")
-        out = out.unionByName(nulls.dropDuplicates(["root"]).select(*docs.columns))
+        repeated = out.join(again, same).dropDuplicates(["__id", "__th"]).select(*docs.columns)
+        out = without(out, again, same).unionByName(repeated)
     return out
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Documents are told by id and text, so of rows that share an id but not a
+    text each counts in its own group. Rows that repeat both are reduced to one.
+    Where all of a group have a null doc_id, one of them stays.
+    """
+    return one_of_each(docs, _grouped(docs, width, radius).select("doc_id", "th", "root"))

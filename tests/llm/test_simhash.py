@@ -1,6 +1,6 @@
 import numpy as np
 import xxhash
-from tests.llm.fixtures import frame, rows
+from tests.llm.fixtures import frame, prose, rows
 
 from spanforge.llm import simhash as op
 
@@ -84,3 +84,11 @@ def test_keeps_one_of_each_group(spark):
 def test_empty(spark):
     assert op.near_duplicates(frame(spark, [])).count() == 0
     assert op.keep_one(frame(spark, [])).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    a, b = prose(31, 80), prose(32, 80)
+    near = next(x for i in range(80) if (brute_print(x := " ".join([*b.split()[:i], "edit", *b.split()[i + 1 :]])) ^ brute_print(b)).bit_count() <= 2)
+    some = [(3, near, "", "", 0), (5, a, "", "", 0), (5, b, "", "", 0), (7, prose(33, 80), "", "", 0), (7, prose(34, 80), "", "", 0)]
+    got = [(r.doc_id, r.text) for r in op.keep_one(frame(spark, some)).collect()]
+    assert sorted(got) == sorted([(3, near), (5, a), (7, some[3][1]), (7, some[4][1])])
