@@ -3,9 +3,9 @@
 Leaves are pieces of paragraphs, cut where a word's own checksum says so, so
 that an edit moves no cut far from it. A paragraph's node hashes its leaves, a
 section's node its paragraphs, the root its sections and the text's length.
-The fingerprint is the root followed by short digests of the leaves, grouped by
-paragraph and section: equal roots mean equal texts, and comparing two
-fingerprints from the top shows the branches that differ.
+The fingerprint is the root followed by each section's node, and in it each
+paragraph's node and digests of its leaves: equal roots mean equal texts, and
+comparing two fingerprints from the top shows the branches that differ.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from spanforge.llm.common import in_small_batches
 SECTION = re.compile(r"\n[ \t\r\x0b\f]*\n")
 #: A leaf ends after a word whose checksum is 0 modulo the first, or of this many words.
 MEAN_WORDS, MOST_WORDS = 3, 8
-ROOT_HEX, LEAF_HEX = 32, 4
+ROOT_HEX, NODE_HEX, LEAF_HEX = 32, 16, 8
 
 
 def _digest(parts: list[bytes], tag: bytes) -> bytes:
@@ -55,20 +55,30 @@ def tree(text: str) -> list[list[list[bytes]]]:
 
 
 def fingerprint(text: str | None) -> str:
-    """``root:leaves``, sections parted by "/", paragraphs by ".", leaves of ``LEAF_HEX`` digits each.
+    """``root:sections``: parted by "/", each ``node=paragraphs``, parted by ".", each ``node-leaves``.
 
-    The root also hashes the whole text, so that texts are equal if their roots are.
+    Nodes have ``NODE_HEX`` digits and leaves ``LEAF_HEX`` each. The root also
+    hashes the whole text, so that texts are equal if their roots are.
     """
     text = text or ""
-    sections = tree(text)
-    nodes = [_digest([_digest(p, b"paragraph") for p in s], b"section") for s in sections]
+    nodes, out = [], []
+    for s in tree(text):
+        own = [_digest(p, b"paragraph") for p in s]
+        nodes.append(_digest(own, b"section"))
+        paragraphs = (f"{d.hex()[:NODE_HEX]}-{''.join(x.hex()[:LEAF_HEX] for x in p)}" for d, p in zip(own, s, strict=True))
+        out.append(f"{nodes[-1].hex()[:NODE_HEX]}={'.'.join(paragraphs)}")
     whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-    root = _digest([*nodes, whole], b"root").hex()[:ROOT_HEX]
-    return root + ":" + "/".join(".".join("".join(x.hex()[:LEAF_HEX] for x in p) for p in s) for s in sections)
+    return _digest([*nodes, whole], b"root").hex()[:ROOT_HEX] + ":" + "/".join(out)
+
+
+def _sections(print_: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(node, its paragraphs as (node, leaves)) of each section."""
+    sections = (s.split("=") for s in print_[ROOT_HEX + 1 :].split("/"))
+    return [(node, [(p[:NODE_HEX], p[NODE_HEX + 1 :]) for p in below.split(".")]) for node, below in sections]
 
 
 def _leaves(print_: str) -> Counter:
-    return Counter(p[i : i + LEAF_HEX] for p in re.split(r"[./]", print_[ROOT_HEX + 1 :]) for i in range(0, len(p), LEAF_HEX))
+    return Counter(p[i : i + LEAF_HEX] for _, s in _sections(print_) for _, p in s for i in range(0, len(p), LEAF_HEX))
 
 
 def likeness(a: str, b: str) -> float:
@@ -81,13 +91,27 @@ def likeness(a: str, b: str) -> float:
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of the branches of ``a`` that ``b`` lacks: where an edit is."""
+    """(section, paragraph) of the branches of ``a`` that ``b`` lacks: where an edit is.
+
+    Sections with equal nodes are matched first and not descended into;
+    paragraphs of the others are matched by their nodes.
+    """
     if a[:ROOT_HEX] == b[:ROOT_HEX]:
         return []
-    there = Counter(p for s in b[ROOT_HEX + 1 :].split("/") for p in s.split("."))
+    mine, other = _sections(a), _sections(b)
+    same = Counter(node for node, _ in mine) & Counter(node for node, _ in other)
+    left, there = same.copy(), Counter()
+    for node, paragraphs in other:
+        if left[node] > 0:
+            left[node] -= 1
+        else:
+            there.update(p for p, _ in paragraphs)
     out = []
-    for i, s in enumerate(a[ROOT_HEX + 1 :].split("/")):
-        for j, p in enumerate(s.split(".")):
+    for i, (node, paragraphs) in enumerate(mine):
+        if same[node] > 0:
+            same[node] -= 1
+            continue
+        for j, (p, _) in enumerate(paragraphs):
             if there[p] > 0:
                 there[p] -= 1
             else:

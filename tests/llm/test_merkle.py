@@ -41,3 +41,11 @@ def test_edges(spark):
     assert lone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and lone.near_next == 1.0
     nulls = op.fingerprint_edits(frame(spark, [(None, "abcd", "", "", 0), (None, "xy", "", "", 0)])).collect()
     assert len(nulls) == 2
+
+
+def test_long_unrelated_texts_are_unlike():
+    a, b = ("\n".join(f"{x}{i} {x}{i + 1} {x}{i + 2}" for i in range(0, 200_000, 3)) for x in "ab")
+    x, y = op.fingerprint(a), op.fingerprint(b)
+    assert op.likeness(x, y) < 0.001
+    assert op.likeness(x, op.fingerprint(op.edited(a, b))) < 0.51
+    assert len(op.differing(x, y)) == len(a.split("\n"))
