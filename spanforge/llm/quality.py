@@ -128,7 +128,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     not held out and teaches nothing. Without usable labels every score is 0.5.
     Columns named like a result are replaced by it. An empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # at most MAX_WORDS vectors
+    return scored(docs, fit(docs, labels), threshold)
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without those predicted to be of low quality; all of them where no model can be fitted."""
+    model = fit(docs, labels)
+    return docs if model is None else scored(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def scored(docs: DataFrame, fitted: tuple[Vectors, Network] | None, threshold: float = 0.7) -> DataFrame:
+    """``docs`` with the results of a fitted model, or of none."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # at most MAX_WORDS vectors
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

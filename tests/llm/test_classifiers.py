@@ -81,3 +81,30 @@ def test_without_labels_and_rows(spark):
     for op in (quality, toxicity):
         assert op.classify(frame(spark, []), none).count() == 0
         assert {r.predicted for r in op.classify(frame(spark), none).collect()} == {0}
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def sample(spark, docs, labels, rows=100, chars=10**6):
+    return common.labelled_sample(frame(spark, docs), spark.createDataFrame(labels, LABELS), "quality", 4, 2, rows, chars)
+
+
+def test_a_long_text_drops_only_itself(spark):
+    docs = [(i, prose(i, 20) if i % 9 else "long " * 30_000, "en", "a", 0) for i in range(90)]
+    got = sample(spark, docs, [(i, int(i % 2 == 0), 0) for i in range(90)], chars=100_000)
+    want = sum(zlib.crc32(str(i).encode()) % 4 != 2 and i % 9 > 0 for i in range(90))
+    assert len(got) == want and {y for _, y in got} == {0, 1} and max(len(t) for t, _ in got) < 1000
+
+
+def test_labels_of_other_documents_take_no_places(spark):
+    docs = [(i, prose(i, 20), "en", "a", 0) for i in range(60)]
+    rare = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2)
+    labels = [(i, int(i == rare or i >= 60), 0) for i in range(5000)]
+    got = sample(spark, docs, labels, rows=30)
+    assert 30 <= len(got) <= 31 and {y for _, y in got} == {0, 1}
+
+
+def test_quality_stage_keeps_all_without_a_model(spark):
+    one = spark.createDataFrame([(i, 1, 0) for i in range(40)], LABELS)
+    assert quality.keep(frame(spark), one).count() == frame(spark).count()
