@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanforge.operators.gaps import idle_gaps
+from spanforge.operators.gaps import all_gaps
 from spanforge.schema import SPANS, Bundle, scope
 from spanforge.sources.ingest import DOCUMENT, assemble, explode_events, headers
 from spanforge.sources.store import read_store, write_store
 
 INTERVAL = "2 seconds"
+#: Buckets of time in which a rank's gaps are found.
+BUCKET_NS = 1_000_000_000
 
 
 def watch_traces(spark: SparkSession, directory: str, store: str, checkpoint: str, run: str = "live", once: bool = False, on_batch=None) -> StreamingQuery:
@@ -56,11 +58,11 @@ def live_stats(stream: DataFrame) -> DataFrame:
 
 
 def live_gaps(spark: SparkSession, store: str, out: str):
-    """L3: a function for ``on_batch``: the gaps of the ranks that the batch touched, from the whole store, written by batch."""
+    """L3: a function for ``on_batch``: all gaps of the ranks that the batch touched, from the whole store, written by batch."""
 
     def refresh(n: int, batch: str) -> None:
         touched = read_store(spark, batch).spans.select(scope().alias("scope")).distinct()
         spans = read_spans(spark, store).withColumn("scope", scope()).join(F.broadcast(touched), "scope", "left_semi").drop("scope")  # ranks of one batch
-        idle_gaps(spans).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        all_gaps(spans, bucket_ns=BUCKET_NS).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return refresh

@@ -2,8 +2,10 @@ import gzip
 import json
 
 from spanforge.operators.attribution import attribute, index_sources, resolve_callfrom, resolve_names
+from spanforge.operators.gaps import all_gaps
 from spanforge.operators.stats import kernel_stats
 from spanforge.operators.tracks import with_tracks
+from spanforge.schema import FLOWS, RUNS, SPANS, TRACKS, Bundle
 from spanforge.sources.ingest import discover, rank_groups, read_traces
 from spanforge.sources.store import read_store, write_store
 from spanforge.streaming import live
@@ -131,3 +133,15 @@ def test_watching(spark, tmp_path):
     q.awaitTermination()
     got = {r.name: (r["count"], r.total_ns, r.max_ns, r.min_ns) for r in spark.table("live_stats").collect()}
     assert got == {r.name: (r["count"], r.total_ns, r.max_ns, r.min_ns) for r in kernel_stats(spans).collect()}
+
+
+def test_live_gaps_has_all_gaps(spark, tmp_path):
+    store, out = str(tmp_path / "store"), str(tmp_path / "gaps")
+    rows = [("r", rank, "0", "1", "t", True, i, 1000 * rank + i, f"k{i}", "kernel", i * step, 1000, i * step + 1000, None) for rank, step in ((0, 9_000), (1, 3_000)) for i in range(601)]
+    spans = spark.createDataFrame(rows, SPANS)
+    _, tracks, flows = (spark.createDataFrame([], x) for x in (SPANS, TRACKS, FLOWS))
+    write_store(Bundle(spans, tracks, flows, spark.createDataFrame([], RUNS)), f"{store}/batch=0")
+    live.live_gaps(spark, store, out)(0, f"{store}/batch=0")
+    got = spark.read.parquet(f"{out}/batch=0")
+    assert {(r.scope, r["count"]) for r in got.groupBy("scope").count().collect()} == {(0, 600), (1, 600)}
+    assert sorted(got.collect()) == sorted(all_gaps(spans).collect())
