@@ -24,7 +24,7 @@ def pair_flows(flows: DataFrame) -> DataFrame:
     return there.unionByName(back).distinct()
 
 
-def flows_of(sel: DataFrame, pairs: DataFrame, spans: DataFrame, bucket_ns: int, rounds: int = 64) -> DataFrame:
+def flows_of(sel: DataFrame, pairs: DataFrame, spans: DataFrame, bucket_ns: int) -> DataFrame:
     """H2: (span_id, at_id, flow_id, dst_id): flows that touch each span, or the nearest enclosing span with any.
 
     ``sel`` and ``spans`` have lanes. Spans are walked outward a lane at a time,
@@ -45,7 +45,7 @@ def flows_of(sel: DataFrame, pairs: DataFrame, spans: DataFrame, bucket_ns: int,
     def same(a: str, b: str):
         return (F.col(f"{a}.run") == F.col(f"{b}.run")) & F.col(f"{a}.rank").eqNullSafe(F.col(f"{b}.rank"))
 
-    for _ in range(rounds):
+    while True:  # lanes fall by one each round, so the deepest lane bounds it
         h = here.withColumn("b", buckets(F.col("ts_ns") - TOLERANCE_NS, F.col("end_ns") + TOLERANCE_NS)).alias("h")
         touch = F.col("p.src_ts").between(F.col("h.ts_ns") - TOLERANCE_NS, F.col("h.end_ns") + TOLERANCE_NS)
         hit = h.join(p, same("h", "p") & (F.col("h.pid") == F.col("p.src_pid")) & (F.col("h.tid") == F.col("p.src_tid")) & (F.col("h.b") == F.col("p.b")) & touch)

@@ -374,6 +374,16 @@ def test_flows(spark):
     assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3)}
 
 
+def test_flows_of_a_deep_nest(spark):
+    n = 67
+    nest = [(5 + i, 400 - 2 * i, f"f{i}", "cpu_op") for i in range(n)]
+    s = lanes.lanes(table(spark, [(0, "8", False, nest)])).coalesce(1).cache()
+    flow = spark.createDataFrame([("r", 0, 5, "0", "8", 5_000, "0", "1", 900_000)], "run string, rank int, flow_id long, src_pid string, src_tid string, src_ts long, dst_pid string, dst_tid string, dst_ts long")
+    deepest = s.filter(F.col("name") == f"f{n - 1}")
+    assert deepest.first().lane == n - 1
+    assert [r.at_id for r in links.flows_of(deepest, flow, s, 10_000_000).collect()] == [0]
+
+
 # ---- sequence diff
 
 
