@@ -1,15 +1,24 @@
 """Operator 6: personal data, by patterns and a skip-chain conditional random field.
 
-Patterns find the base spans. The field then labels the remaining tokens that
-could be personal data: neighbours share chain potentials, and distant tokens of
-a document that are the same once punctuation is gone share skip potentials, so
-that loopy message passing carries a label from a mention in full form to its
-other forms. All potentials are log ratios of counts over the whole corpus.
+Patterns find the base spans. The field then labels the other tokens that could
+be personal data. Its potentials are learned from counts over the whole corpus,
+with the matched mentions as labels:
+
+* of one token: how often mentions of its shape, once punctuation is gone, and
+  after the word before it, have each label, and how rarely a mention of that
+  label comes in a form that no pattern matches;
+* of neighbouring tokens (chain), and of distant tokens of a document whose
+  digits or letters are the same or alike (skip): how much more often than by
+  chance such tokens have one label.
+
+Loopy message passing then gives each token's marginal. So a mention in full
+form lends its label to its other forms as far as the counts speak for that.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
@@ -33,7 +42,15 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SIGN = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
 SPACE = re.compile(r"\s")
 AT_DOT = re.compile(r"[\[(](?:at|AT|dot|DOT)[\])]")
-ROUNDS = 12
+#: Sorts of links: neighbours, and mentions with the same key, the same last or first digits, the same name before the @.
+LINKS = ("chain", "same", "tail", "head", "name")
+#: Words before a mention are told by so many hashes.
+CONTEXTS = 256
+#: Smoothing: of shapes, of contexts, and the unmatched tokens of a shape that count as seen without a label.
+SHAPE_PRIOR, CONTEXT_PRIOR, NONE_PRIOR = 0.5, 4.0, 10.0
+ROUNDS = 200
+#: (start, end, label or 0 where no pattern matches, keys by sort of link, shape, context)
+Mention = tuple[int, int, int, dict[str, str], str, int]
 
 
 def _luhn(digits: str) -> bool:
@@ -76,22 +93,37 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def _key(mention: str) -> str:
-    """What two forms of one mention share: the digits, or for addresses the letters and digits."""
-    bare = AT_DOT.sub("", mention)
-    if "@" in mention or bare != mention:
-        return "a" + re.sub(r"[^a-z0-9]", "", bare.lower())
+def _bare(mention: str) -> str:
+    """The mention with its spelled-out signs as signs."""
+    return AT_DOT.sub(lambda m: "@" if m[0][1] in "aA" else ".", mention)
+
+
+def _keys(mention: str) -> dict[str, str]:
+    """What other forms of a mention share with it: all digits or letters, or the last, the first, or the name of an address."""
+    bare = _bare(mention)
+    if "@" in bare:
+        plain = re.sub(r"[^a-z0-9]", "", bare.lower())
+        name = re.sub(r"[^a-z0-9]", "", bare.split("@")[0].lower())
+        return ({"same": plain} if plain else {}) | ({"name": name} if len(name) >= 5 else {})
     digits = re.sub(r"[^0-9]", "", bare)
     if len(digits) < 7 or re.search(r"[A-Za-z]", bare):
-        return ""
-    return "d" + (digits[-10:] if len(digits) <= 12 else digits)
+        return {}
+    return {"same": digits, "tail": digits[-7:]} | ({"head": digits[:7]} if len(digits) >= 9 else {})
 
 
-def _shape(mention: str, base: bool) -> str:
-    """Observed features of a mention: whether it matched in full form, its letters, and how many digits."""
-    n = sum(c.isdigit() for c in mention)
-    kind = "a" if "@" in mention or AT_DOT.search(mention) else "m" if re.search(r"[A-Za-z]", mention) else "d"
-    return f"{kind}{'b' if base else 'o'}{min(n, 20)}"
+def _shape(mention: str) -> str:
+    """What is left of a mention without punctuation: an address with a domain or not, or how many digits, and whether they pass Luhn."""
+    bare = _bare(mention)
+    if "@" in bare:
+        return "address" if re.search(r"[^@]@[^@]*\.", bare) else "handle"
+    digits = re.sub(r"[^0-9]", "", bare)
+    return f"{min(len(digits), 20)}{'v' if 13 <= len(digits) <= 19 and _luhn(digits) else ''}"
+
+
+def _context(text: str, at: int) -> int:
+    """A hash of the word before a place."""
+    words = text[max(0, at - 40) : at].split()
+    return zlib.crc32(words[-1].lower().encode("utf-8", "surrogatepass")) % CONTEXTS if words else 0
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
@@ -106,9 +138,13 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         yield a, end
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str]]:
-    """(start, end, label, key, shape) by start: base spans and the tokens that overlap none and have a key."""
-    out = [(a, b, 1 + k, _key(text[a:b]), _shape(text[a:b], True)) for k, a, b in base]
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
+    """By start: base spans, and the tokens that overlap none and have a key."""
+
+    def mention(a: int, b: int, label: int) -> Mention:
+        return a, b, label, _keys(text[a:b]), _shape(text[a:b]), _context(text, a)
+
+    out = [mention(a, b, 1 + k) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
     at, upto = 0, -1
     for a, b in _tokens(text):
@@ -121,107 +157,151 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             a += 1
         while b > a and text[b - 1] in "\"'>)]},;:.!?":
             b -= 1
-        if key := _key(text[a:b]):
-            out.append((a, b, 0, key, _shape(text[a:b], False)))
-    return sorted(out)
+        if (m := mention(a, b, 0))[3]:
+            out.append(m)
+    return sorted(out, key=lambda m: m[:3])
+
+
+def links(nodes: list[Mention]) -> list[tuple[int, int, str]]:
+    """(i, j, sort): neighbours, and each mention with the next of its key and with its key's first matched one."""
+    out = [(i, i + 1, "chain") for i in range(len(nodes) - 1)]
+    groups: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for i, m in enumerate(nodes):
+        for sort, key in m[3].items():
+            groups[sort, key].append(i)
+    met = set()
+    for sort in LINKS[1:]:
+        for (s, _), same in groups.items():
+            if s != sort or len(same) < 2:
+                continue
+            full = next((i for i in same if nodes[i][2]), None)
+            pairs = list(zip(same, same[1:], strict=False)) + [(min(full, j), max(full, j)) for j in same if full is not None and not nodes[j][2]]
+            out += [(i, j, sort) for i, j in sorted(set(pairs) - met)]  # the closest sort of link counts
+            met.update(pairs)
+    return out
+
 
+def counts(text: str) -> Counter:
+    """What one document adds to the counts behind the potentials.
 
-def _counts(text: str) -> Counter:
-    """What one document adds to the counts behind the potentials."""
+    Tokens that share a key with a matched mention may be personal data that no
+    pattern matches: they aren't taken for anything, but counted as "unmatched".
+    """
     c: Counter = Counter()
-    nodes = mentions(text, base_spans(text))
-    last: dict[str, int] = {}
-    for i, (_, _, label, key, shape) in enumerate(nodes):
-        c["unary", shape, label] += 1
-        if i:
-            c["chain", str(int(nodes[i - 1][2] == label)), 0] += 1
-        if key in last and (label or last[key]):
-            c["skip", str(int(last[key] == label)), 0] += 1
-        last[key] = label or last.get(key, 0)
+    base = base_spans(text)
+    nodes = mentions(text, base)
+    full = {(s, k): m[2] for m in nodes if m[2] for s, k in m[3].items()}
+    known: list[int | None] = []
+    for _, _, label, keys, shape, context in nodes:
+        of = 0 if label else next((full[x] for x in keys.items() if x in full), 0)
+        known.append(None if of else label)
+        if of:
+            c["unmatched", "", of] += 1
+        else:
+            c["shape", shape, label] += 1
+            c["context", str(context), label] += 1
+    for i, j, sort in links(nodes):
+        if known[i] is not None and known[j] is not None:
+            c["link", sort, int(known[i] == known[j])] += 1
     return c
 
 
-class Field:
-    """Potentials in logs: unary by shape, chain and skip agreement."""
-
-    def __init__(self, counts: dict[tuple[str, str, int], int]):
-        shapes: dict[str, np.ndarray] = defaultdict(lambda: np.full(len(LABELS), 0.5))
-        agree = {"chain": [1.0, 1.0], "skip": [1.0, 1.0]}
-        for (what, key, label), n in counts.items():
-            if what == "unary":
-                shapes[key][label] += n
-            else:
-                agree[what][int(key)] += n
-        # an unmatched form has never been labelled: its counts say that it speaks against a label, not how much
-        self.unary = {k: np.maximum(np.log(v / v.sum()), -2.5) for k, v in shapes.items()}
-        # agreement is counted with one unmatched form on a side as disagreement, so it is a lower bound
-        self.chain = float(np.clip(np.log(agree["chain"][1] / agree["chain"][0]), 0.0, 0.5))
-        self.skip = float(np.clip(np.log(agree["skip"][1] / agree["skip"][0]), 5.0, 8.0))
-
-    def label(self, nodes: list[tuple[int, int, int, str, str]]) -> list[int]:
-        """The most probable label of each mention after loopy message passing; matched ones keep theirs."""
-        groups: dict[str, list[int]] = defaultdict(list)
-        for i, x in enumerate(nodes):
-            groups[x[3]].append(i)
-        edges = [(i, i + 1, self.chain) for i in range(len(nodes) - 1)]
-        for same in groups.values():  # each mention with the next of its key, and with the key's first full form
-            full = next((i for i in same if nodes[i][2]), None)
-            edges += [(i, j, self.skip) for i, j in zip(same, same[1:], strict=False)]
-            edges += [(full, j, self.skip) for j in same if full is not None and not nodes[j][2]]
-        flat = np.log(np.full(len(LABELS), 1 / len(LABELS)))
-        local = np.array([self.unary.get(x[4], flat) for x in nodes])
-        for i, x in enumerate(nodes):
-            if x[2]:
-                local[i] = -30.0
-                local[i, x[2]] = 0.0
-        if not edges:
-            return [x[2] for x in nodes]
+def marginals(local: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
+    """Log marginals by loopy message passing, exact on trees.
+
+    local: logs by node and label. edges: (i, j, w), a potential of w where the
+    labels of i and j agree and 0 where not.
+    """
+    belief = local
+    if edges:
         a = np.array([e[0] for e in edges] + [e[1] for e in edges])
         b = np.array([e[1] for e in edges] + [e[0] for e in edges])
         w = np.array([e[2] for e in edges] * 2)
         n = len(edges)
         back = np.r_[np.arange(n, 2 * n), np.arange(n)]
-        messages = np.zeros((2 * n, len(LABELS)))
-        for _ in range(max(ROUNDS, min(200, max(map(len, groups.values()))))):
+        messages = np.zeros((2 * n, local.shape[1]))
+        for _ in range(ROUNDS):
             belief = local.copy()
             np.add.at(belief, b, messages)
             out = belief[a] - messages[back]
-            # a pairwise potential of w where the labels agree, 0 where not
-            top = out.max(axis=1, keepdims=True)
-            e = np.exp(out - top)
-            new = top + np.log(e.sum(axis=1, keepdims=True) + e * np.expm1(w)[:, None])
+            out -= out.max(axis=1, keepdims=True)
+            e = np.exp(out)
+            new = np.log(e.sum(axis=1, keepdims=True) + e * np.expm1(w)[:, None])
             new -= new.max(axis=1, keepdims=True)
-            if np.abs(new - messages).max() < 1e-4:
-                break
+            done = np.abs(new - messages).max() < 1e-6
             messages = 0.3 * messages + 0.7 * new
+            if done:
+                break
         belief = local.copy()
         np.add.at(belief, b, messages)
-        return [x[2] or int(k) for x, k in zip(nodes, belief.argmax(axis=1), strict=True)]
+    belief = belief - belief.max(axis=1, keepdims=True)
+    return belief - np.log(np.exp(belief).sum(axis=1, keepdims=True))
+
+
+class Field:
+    """Potentials in logs, from the counts of all documents: (what, key, label or agreement) -> how often."""
+
+    def __init__(self, seen: dict[tuple[str, str, int], int]):
+        n = np.zeros(len(LABELS))
+        self.shapes: dict[str, np.ndarray] = {}
+        contexts = np.full((CONTEXTS, len(LABELS)), CONTEXT_PRIOR)
+        unmatched, agree = np.ones(len(LABELS)), {s: [0, 0] for s in LINKS}
+        for (what, key, k), c in seen.items():
+            if what == "shape":
+                self.shapes.setdefault(key, np.full(len(LABELS), SHAPE_PRIOR))[k] += c
+                n[k] += c
+            elif what == "context":
+                contexts[int(key), k] += c
+            elif what == "unmatched":
+                unmatched[k] += c
+            else:
+                agree[key][k] += c
+        self.context = np.log(contexts / contexts.sum(axis=0))
+        # of mentions of each label, how many come in a form that no pattern matches
+        self.form = np.log(unmatched / (n + unmatched + 1))
+        self.form[0] = 0.0
+        # that two tokens agree by chance
+        share = (n + 1) / (n + 1).sum()
+        chance = float((share**2).sum())
+        odds = lambda p: np.log(p / (1 - p))
+        self.weight = {s: float(odds((a + 1) / (a + d + 2)) - odds(chance)) if a + d else 0.0 for s, (d, a) in agree.items()}
+
+    def local(self, m: Mention) -> np.ndarray:
+        """The logs of one token's potential; a matched mention has its label."""
+        if m[2]:
+            out = np.full(len(LABELS), -40.0)
+            out[m[2]] = 0.0
+            return out
+        shape = self.shapes.get(m[4], np.full(len(LABELS), SHAPE_PRIOR)).copy()
+        shape[0] += NONE_PRIOR
+        return np.log(shape) + self.form + self.context[m[5]]
+
+    def label(self, nodes: list[Mention]) -> list[int]:
+        """The label of the largest marginal of each mention; matched ones keep theirs."""
+        found = marginals(np.array([self.local(m) for m in nodes]), [(i, j, self.weight[s]) for i, j, s in links(nodes)])
+        return [m[2] or int(k) for m, k in zip(nodes, found.argmax(axis=1), strict=True)]
 
 
 def find(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, each by kind and start."""
     text = text or ""
     base = base_spans(text)
-    nodes = mentions(text, base) if base else []
-    keys = {x[3] for x in nodes if x[2]}
-    # only mentions that a matched one can reach are in play: the others keep "none"
-    linked = [x for x in nodes if x[3] in keys and x[3]]
-    if len(linked) == len(base) or not any(x[2] == 0 for x in linked):
+    nodes = mentions(text, base)
+    if len(nodes) == len(base):
         return base, base
-    more = [(k - 1, x[0], x[1]) for x, k in zip(linked, field.label(linked), strict=True) if k and not x[2]]
+    more = [(k - 1, m[0], m[1]) for m, k in zip(nodes, field.label(nodes), strict=True) if k and not m[2]]
     return base, sorted(base + more)
 
 
 def learn(docs: DataFrame) -> Field:
-    """Potentials from counts over every document; one row for each shape and label reaches the driver."""
+    """Potentials from counts over every document; one row for each shape or context and label reaches the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for b in batches:
             for t in b["text"]:
                 if t:
-                    total.update(_counts(t))
+                    total.update(counts(t))
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "key", "label", "n"])
 
     counted = docs.select("text").mapInPandas(run, "what string, key string, label int, n long")
@@ -243,7 +323,7 @@ RESULTS = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")
 
 def _scanned(docs: DataFrame, masked: bool) -> DataFrame:
     """``docs`` with __found: the results, and the masked text, or null where it isn't asked for or nothing changes."""
-    field = in_small_batches(docs).sparkSession.sparkContext.broadcast(learn(docs))  # one entry for each shape, of which there are under 200
+    field = in_small_batches(docs).sparkSession.sparkContext.broadcast(learn(docs))  # under a hundred shapes, and CONTEXTS rows
     kinds = ", ".join(f"n_{k}: long" for k in KINDS)
 
     @F.pandas_udf(f"struct<{kinds}, base_sha256: string, spans: string, n_added: long, masked: string>")
@@ -275,7 +355,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind, as in ``<EMAIL>``; n_chars follows where there is one."""
+    """``docs`` with every span replaced by its kind, as in ``<EMAIL>``; n_chars follows where there is one.
+
+    Spans that overlap become one, named by the first. Defined cases: a null or
+    empty text, and one without spans, stays as it is, n_chars included. Columns
+    stay as they are, whatever their names; rows that repeat stay repeated. An
+    empty table gives no rows.
+    """
     new = F.col("__found.masked")
     out = _scanned(docs, masked=True)
     if "n_chars" in docs.columns:
