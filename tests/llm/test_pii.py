@@ -108,6 +108,7 @@ def test_potentials_come_from_the_texts(spark):
 
 def test_table(spark):
     some = [(i, t, "en", "a", 0) for i, t in enumerate([*TEXTS, None, "call +1 (555) 010-9999 or 15550109999"])]
+    some += [(100 + i, f"call +1 (555) 01{i % 10}-99{i % 90 + 10} or +1 555 01{i % 10} 99{i % 90 + 10} please", "en", "a", 0) for i in range(200)]
     got = {r.doc_id: r for r in op.scan(frame(spark, some)).collect()}
     for i, t, *_ in some:
         want = brute(t or "")
