@@ -1,15 +1,18 @@
 """Operator 7: quality classifier.
 
 Random-indexing word vectors (each word has a sparse random index vector; its
-word vector is the sum of the index vectors of its neighbours) are pooled over
-each document and go through a two-layer numpy network whose probabilities are
-calibrated by a temperature. The fit uses a bounded sample of labelled rows;
-every document is scored, over its whole text.
+word vector is the sum of the index vectors of its neighbours, wherever it
+occurs) are pooled over each document and go through a two-layer numpy network
+whose probabilities are calibrated by a temperature.
+
+Word counts and neighbours cover every text: each task sums what it reads, and
+Spark adds the tasks' sums, which are whole numbers, so that reruns agree. Only
+the network is fitted on a bounded sample of labelled rows. Every document is
+scored, over its whole text.
 """
 
 from __future__ import annotations
 
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,59 +24,152 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import fold, in_small_batches, labelled_sample
+from spanforge.storage import materialize
 
 FOLDS, HELD = 4, 2
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-SHOUT = re.compile(r"\b[^\W\d_a-zß-ÿ]{2,}\b")
 DIM, NONZERO, REACH, HIDDEN = 64, 4, 2, 32
-#: What the fit takes at most: rows, their characters, and distinct words.
-MAX_ROWS, MAX_CHARS, MAX_WORDS = 2000, 10_000_000, 30_000
-
-
-def _index_vectors(vocabulary: list[str]) -> np.ndarray:
-    r = np.zeros((len(vocabulary), DIM), np.float32)
-    for i, w in enumerate(vocabulary):
-        h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
-        for j in range(NONZERO):
-            r[i, (h >> (12 * j)) % DIM] += 1.0 if h >> (60 + j) & 1 else -1.0
-    return r
+#: Words that have a vector of their own: the most frequent ones. Rarer ones share that of their shape.
+MAX_WORDS = 8000
+SHAPES = ("<x>", "<Xx>", "<XX>", "<xX>", "<9>", "<#>", "<again>")
+#: Words of the whole corpus that count as read before each text, so that short texts are judged carefully.
+PRIOR_WORDS = 8
+#: What the network's fit takes at most: labelled rows and their characters.
+MAX_ROWS, MAX_CHARS = 2000, 10_000_000
+#: Distinct words that a task counts before it passes the counts on, and tokens that it handles at once.
+HELD_WORDS, CHUNK = 200_000, 200_000
+#: Sums of neighbours are whole numbers of this unit.
+UNIT = 1 << 16
+
+
+def shape(word: str) -> int:
+    """Which of ``SHAPES`` a word without a vector has: lower case, capitalised, capitals, mixed, with digits, marks; or a repeat."""
+    if word == SHAPES[-1]:
+        return len(SHAPES) - 1
+    if not word[0].isalnum() and word[0] != "_":
+        return 5
+    if any(c.isdigit() for c in word):
+        return 4
+    return 0 if word.islower() else 2 if word.isupper() and len(word) > 1 else 1 if word[0].isupper() and not any(c.isupper() for c in word[1:]) else 3
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words and runs of marks; one that repeats the one before it is ``<again>``."""
+    t = TOKEN.findall(text or "")
+    return [SHAPES[-1] if a == b else b for a, b in zip(["", *t], t, strict=False)]
+
+
+class Vocabulary:
+    """Numbers of words, the shapes last."""
+
+    def __init__(self, counts: list[tuple[str, int]], total: int):
+        self.ids = {w: i for i, (w, _) in enumerate(counts)}
+        self.size = len(counts) + len(SHAPES)
+        rest = max(1, total - sum(n for _, n in counts)) / len(SHAPES)
+        n = np.array([n for _, n in counts] + [rest] * len(SHAPES), np.float64)
+        self.share = n / n.sum()
+        # an index vector weighs less the more often its word occurs, or frequent words would be in all sums
+        self.weight = np.sqrt(n.mean() / n)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        known, first = self.ids, len(self.ids)
+        get = known.get
+        return np.array([i if (i := get(w)) is not None else first + shape(w) for w in tokens], np.int64)
+
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the index vector of each word is not 0, and its values there, in whole units."""
+        at, value = np.zeros((self.size, NONZERO), np.int64), np.zeros((self.size, NONZERO))
+        for w, i in [*self.ids.items(), *((s, len(self.ids) + k) for k, s in enumerate(SHAPES))]:
+            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
+            for j in range(NONZERO):
+                at[i, j] = (h >> (12 * j)) % DIM
+                value[i, j] = 1.0 if h >> (60 + j) & 1 else -1.0
+        return at, np.round(value * self.weight[:, None] * UNIT)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b["text"]:
+                seen.update(words_of(t))
+                if len(seen) > HELD_WORDS:
+                    yield pd.DataFrame(seen.items(), columns=["word", "n"])
+                    seen = Counter()
+        yield pd.DataFrame(seen.items(), columns=["word", "n"])
+
+    return in_small_batches(docs).select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(word, v0, v1, ...): the summed index vectors of each word's neighbours over all texts, in whole units."""
+    told = docs.sparkSession.sparkContext.broadcast((vocabulary, *vocabulary.index()))  # MAX_WORDS words
+    names = [f"v{k}" for k in range(DIM)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, at, value = told.value
+        total = np.zeros(words.size * DIM)
+
+        def add(parts: list[np.ndarray]) -> None:
+            ids = np.concatenate(parts)
+            for d in range(1, REACH + 1):
+                for i in range(0, len(ids) - d, 4 * CHUNK):  # a very long text in pieces
+                    a, b = ids[:-d][i : i + 4 * CHUNK], ids[d:][i : i + 4 * CHUNK]
+                    both = (a >= 0) & (b >= 0)
+                    for x, y in ((a[both], b[both]), (b[both], a[both])):
+                        for j in range(NONZERO):
+                            np.add(total, np.bincount(x * DIM + at[y, j], value[y, j], len(total)), out=total)
+
+        parts, held = [], 0
+        gap = np.full(REACH, -1, np.int64)  # texts have no neighbours across their ends
+        for batch in batches:
+            for t in batch["text"]:
+                parts += [words.of(words_of(t)), gap]
+                held += len(parts[-2])
+                if held >= CHUNK:
+                    add(parts)
+                    parts, held = [], 0
+        if parts:
+            add(parts)
+        table = total.reshape(-1, DIM)
+        some = np.flatnonzero(table.any(axis=1))
+        out = pd.DataFrame(table[some].astype(np.int64), columns=names)
+        out.insert(0, "word", some)
+        yield out
+
+    found = in_small_batches(docs).select("text").mapInPandas(run, ", ".join(["word long", *(f"{n} long" for n in names)]))
+    return found.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
 
 class Vectors:
-    """Word vectors by random indexing, and a document's pooled vector."""
-
-    def __init__(self, texts: list[str]):
-        tokens = [TOKEN.findall(t) for t in texts]
-        counts = Counter(w for t in tokens for w in t)
-        words = sorted((w for w, n in counts.items() if n >= 3), key=lambda w: (-counts[w], w))[:MAX_WORDS]
-        self.ids = {w: i for i, w in enumerate(words)}
-        index = _index_vectors(words)
-        seen: list[np.ndarray] = []
-        for t in tokens:
-            at = np.array([self.ids.get(w, -1) for w in t], np.int64)
-            for d in range(1, REACH + 1):
-                a, b = at[:-d], at[d:]
-                both = (a >= 0) & (b >= 0)
-                seen += [a[both] * MAX_WORDS + b[both], b[both] * MAX_WORDS + a[both]]
-        pairs, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.table = np.zeros((len(words), DIM), np.float32)
-        for at in range(0, len(pairs), 50_000):
-            left, right = np.divmod(pairs[at : at + 50_000], MAX_WORDS)
-            starts = np.flatnonzero(np.r_[True, left[1:] != left[:-1]]) if len(left) else np.zeros(0, np.int64)
-            self.table[left[starts]] += np.add.reduceat(index[right] * np.log1p(n[at : at + 50_000, None]).astype(np.float32), starts, axis=0)
-        self.table /= np.maximum(np.linalg.norm(self.table, axis=1, keepdims=True), 1e-6)
+    """Word vectors by random indexing, and a document's pooled vector: mean and spread of its words' vectors."""
+
+    def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
+        self.words = vocabulary
+        self.table = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+        self.prior = PRIOR_WORDS * (vocabulary.share @ self.table), PRIOR_WORDS * (vocabulary.share @ self.table**2)
 
     def pooled(self, text: str | None) -> np.ndarray:
-        t = TOKEN.findall(text or "")
-        ids = np.array([i for i in map(self.ids.get, t) if i is not None], np.int64)
-        out = np.zeros(DIM + 6, np.float32)
-        n = max(1, len(t))
-        if len(ids):
-            out[:DIM] = np.bincount(ids, minlength=len(self.table)).astype(np.float32) @ self.table / n if len(ids) > len(self.table) // 8 else self.table[ids].sum(axis=0) / n
-        again = sum(map(operator.eq, t, t[1:]))
-        marks = sum(not w[0].isalnum() for w in t)
-        out[DIM:] = (1 - len(ids) / n, len(SHOUT.findall(text or "")) / n, again / n, marks / n, len(set(t)) / n, np.log1p(len(t)) / 10)
-        return out
+        tokens = words_of(text)
+        n = np.bincount(self.words.of(tokens), minlength=self.words.size)
+        some = np.flatnonzero(n)
+        often, own, every = n[some].astype(np.float32), self.table[some], len(tokens) + PRIOR_WORDS
+        mean, square = ((often @ x + p) / every for x, p in zip((own, own * own), self.prior, strict=True))
+        return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0.0))]).astype(np.float32)
+
+
+def learn_vectors(docs: DataFrame) -> Vectors:
+    """The vectors of the ``MAX_WORDS`` most frequent words of all texts; as many counts and sums reach the driver."""
+    counts = materialize(word_counts(docs), "quality-words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = counts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
+    vocabulary = Vocabulary([(r["word"], r["n"]) for r in first], total)
+    table = np.zeros((vocabulary.size, DIM))
+    for r in neighbours(docs, vocabulary).collect():
+        table[r["word"]] = r[1:]
+    return Vectors(vocabulary, table)
 
 
 class Network:
@@ -113,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Vectors, Network] | None:
     sample = labelled_sample(docs, labels, "quality", FOLDS, HELD, MAX_ROWS, MAX_CHARS)
     if len({y for _, y in sample}) < 2:
         return None
-    vectors = Vectors([t for t, _ in sample])
+    vectors = learn_vectors(docs)
     return vectors, Network(np.stack([vectors.pooled(t) for t, _ in sample]), np.array([float(y) for _, y in sample]))
 
 
@@ -139,7 +235,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, fitted: tuple[Vectors, Network] | None, threshold: float = 0.7) -> DataFrame:
     """``docs`` with the results of a fitted model, or of none."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted)  # at most MAX_WORDS vectors
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # MAX_WORDS vectors
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -148,7 +244,8 @@ def scored(docs: DataFrame, fitted: tuple[Vectors, Network] | None, threshold: f
             if fitted is None or not len(texts):
                 yield pd.Series(np.full(len(texts), 0.5))
             else:
-                yield pd.Series(fitted[1].score(np.stack([fitted[0].pooled(t) for t in texts])).astype(np.float64))
+                # one by one, as the rounding of a product of matrices depends on the row
+                yield pd.Series([float(fitted[1].score(fitted[0].pooled(t)[None])[0]) for t in texts])
 
     out = in_small_batches(docs).drop("held_out", "score", "predicted")
     out = out.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)))

@@ -1,3 +1,4 @@
+import collections
 import random
 import zlib
 
@@ -108,3 +109,43 @@ def test_labels_of_other_documents_take_no_places(spark):
 def test_quality_stage_keeps_all_without_a_model(spark):
     one = spark.createDataFrame([(i, 1, 0) for i in range(40)], LABELS)
     assert quality.keep(frame(spark), one).count() == frame(spark).count()
+
+
+def test_word_counts_and_neighbours_cover_every_text(spark):
+    texts = [prose(i, 30 + i) for i in range(40)] + ["ab ab ab | cd", None, "", "x"]
+    docs = frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])
+    want = collections.Counter(w for t in texts for w in quality.words_of(t))
+    assert {r["word"]: r["n"] for r in quality.word_counts(docs).collect()} == want
+    vocabulary = quality.Vocabulary([(w, want[w]) for w in sorted(want, key=lambda w: (-want[w], w))[:20]], sum(want.values()))
+    at, value = vocabulary.index()
+    table = np.zeros((vocabulary.size, quality.DIM), np.int64)
+    for t in texts:
+        ids = vocabulary.of(quality.words_of(t))
+        for i, a in enumerate(ids):
+            for b in ids[max(0, i - quality.REACH) : i + quality.REACH + 1]:
+                np.add.at(table[a], at[b], value[b].astype(np.int64))
+            np.subtract.at(table[a], at[a], value[a].astype(np.int64))  # a word is no neighbour of itself
+    got = np.zeros_like(table)
+    for r in quality.neighbours(docs, vocabulary).collect():
+        got[r["word"]] = r[1:]
+    assert (got == table).all()
+
+
+def test_chunks_of_a_long_text_lose_no_neighbours(spark, monkeypatch):
+    docs = frame(spark, [(1, prose(3, 500), "en", "a", 0)])
+    vocabulary = quality.Vocabulary([(w, 9) for w in prose(3, 500).split()[:50]], 500)
+    rows = lambda: sorted(tuple(r) for r in quality.neighbours(docs, vocabulary).collect())
+    whole = rows()
+    monkeypatch.setattr(quality, "CHUNK", 7)
+    assert quality.CHUNK == 7 and rows() == whole
+
+
+def test_network_matches_a_plain_forward_pass():
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (200, 6))
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    net = quality.Network(x, y)
+    z = np.clip((x - net.mean) / net.scale, -6, 6)
+    hidden = np.tanh(z @ net.p[0] + net.p[1])
+    want = [1 / (1 + np.exp(-float(h @ net.p[2] + net.p[3][0]) / net.temperature)) for h in hidden]
+    assert np.allclose(net.score(x), want) and np.mean((net.score(x) > 0.5) == y) > 0.95
