@@ -6,8 +6,9 @@ each voter's accuracy in each class and, along a tree over the voters, their
 correlations. Its posteriors label a bounded sample of documents, on which a
 linear classifier over words is trained; that classifier scores every text.
 
-The word lists start from ``INSULTS``, and words that a bounded sample of
-labelled rows of the training folds ties to toxic documents join them, whole or by their first letters.
+Voters are lists of insults and patterns in four languages, which know no labels,
+and lists of words that a bounded sample of labelled rows of the training folds
+ties to toxic documents, whole or by their first letters.
 """
 
 from __future__ import annotations
@@ -26,17 +27,28 @@ from spanforge.llm.common import fold, in_small_batches, labelled_sample
 
 FOLDS, HELD = 3, 1
 WORD = re.compile(r"[^\W\d_]+")
-#: A short list of insults, whatever the labels say.
-INSULTS = ("idiot", "moron", "stupid", "dumb", "trash", "scum", "loser", "pathetic", "worthless", "disgusting", "clown", "fool", "jerk", "freak")
+#: Short lists of insults by language, whatever the labels say. Each list is a voter.
+INSULTS = {
+    "en": ("idiot", "moron", "stupid", "dumb", "trash", "scum", "loser", "pathetic", "worthless", "disgusting", "clown", "fool", "jerk", "freak"),
+    "de": ("idiot", "dumm", "blöd", "trottel", "depp", "abschaum", "versager", "erbärmlich", "wertlos", "widerlich", "dreck", "arsch", "schwein", "mistkerl"),
+    "fr": ("idiot", "idiote", "crétin", "stupide", "imbécile", "ordure", "minable", "pathétique", "dégoûtant", "connard", "salaud", "débile", "abruti", "raté"),
+    "es": ("idiota", "imbécil", "estúpido", "estúpida", "tonto", "basura", "escoria", "perdedor", "patético", "inútil", "asqueroso", "payaso", "cabrón", "miserable"),
+}
+#: Insults aimed at somebody, dismissals and hatred, in the same languages, and shouting. Each is a voter.
 PATTERNS = (
     re.compile(r"\b(?:you|your|he|she|they|everyone)\b[^.!?\n]{0,40}\b(?:idiot|moron|loser|trash|scum|clown|fool)s?\b"),
     re.compile(r"\b(?:shut up|go away|get lost|hate (?:you|them|him|her))\b"),
+    re.compile(r"\b(?:du|ihr|sie|alle)\b[^.!?\n]{0,40}\b(?:idioten?|trottel|versager|abschaum)\b|\b(?:halt die klappe|verschwinde|hau ab|ich hasse)\b"),
+    re.compile(r"\b(?:tu|vous|ils|elles|il|elle)\b[^.!?\n]{0,40}\b(?:idiote?s?|crétins?|ordures?|minables?)\b|\b(?:ferme[- ]la|tais-toi|dégage|je (?:te|vous|les) déteste)\b"),
+    re.compile(r"\b(?:tú|eres|usted|ellos|ellas|son)\b[^.!?\n]{0,40}\b(?:idiotas?|imbéciles?|escoria|basura)\b|\b(?:cállate|lárgate|vete de aquí|(?:te|los|las) odio)\b"),
     re.compile(r"[!?]{3,}"),
 )
 LISTS = 8
 #: Lengths of the beginnings of words.
 STEMS = (4, 5, 6, 7, 8)
-VOTERS = 1 + LISTS + len(PATTERNS)
+VOTERS = len(INSULTS) + LISTS + len(PATTERNS)
+#: How much the labelled rows weigh in the label model, as a share of all documents.
+KNOWN_SHARE = 0.1
 #: What the fit takes at most: labelled rows and characters, and words of the classifier.
 MAX_ROWS, MAX_CHARS, MAX_WORDS = 6000, 24_000_000, 600
 
@@ -46,9 +58,10 @@ def words_of(text: str) -> set[str]:
 
 
 def forms(words: set[str]) -> set[str]:
-    """The words, what they begin with, as insults are inflected, and what two or more of them begin with."""
+    """The words, what they begin with, as insults are inflected, and what two, or three or more, of them begin with."""
     starts = Counter(w[:k] for w in words for k in STEMS if len(w) > k)
-    return words | {f"{s}*" for s in starts} | {f"{s}**" for s, n in starts.items() if n > 1 and len(s) > STEMS[0]}
+    many = {f"{s}{'*' * k}" for s, n in starts.items() if len(s) > STEMS[0] for k in (2, 3) if n >= k}
+    return words | {f"{s}*" for s in starts} | many
 
 
 class Matcher:
@@ -70,11 +83,12 @@ def learned_lists(sample: list[tuple[set[str], int]], least: int = 5) -> dict[st
     toxic = Counter(f for words, y in sample if y for f in forms(words))
     some = Matcher(f for f, n in toxic.items() if n >= least)
     clean = Counter(f for words, y in sample if not y for f in some.found(words))
-    tied = [f for f, n in toxic.items() if n >= least and n >= 20 * clean[f]]
+    tied = [f for f, n in toxic.items() if n >= least and n >= 8 * clean[f]]
     # words of copied toxic documents come along; they have less support than the insults themselves
     best: list[str] = []
     for f in sorted(tied, key=lambda f: (10 * clean[f] - toxic[f], len(f), f)):
-        if not any(f.startswith(g.rstrip("*")) for g in best if g.endswith("*")):
+        # what one in the list implies adds nothing; the same beginning in fewer words does
+        if not any(f.startswith(g.rstrip("*")) and (f.count("*") >= g.count("*") or "*" not in f) for g in best if g.endswith("*")):
             best.append(f)
         if len(best) == 10 * LISTS:
             break
@@ -88,11 +102,13 @@ class Voters:
     def vote(self, text: str) -> int:
         """The voters that call the lower-case text toxic, as bits."""
         words = words_of(text)
-        bits = int(not words.isdisjoint(INSULTS))
+        bits = 0
+        for i, insults in enumerate(INSULTS.values()):
+            bits |= (not words.isdisjoint(insults)) << i
         for f in self.matcher.found(words):
-            bits |= 1 << (1 + self.lists[f])
+            bits |= 1 << (len(INSULTS) + self.lists[f])
         for i, p in enumerate(PATTERNS):
-            bits |= bool(p.search(text)) << (1 + LISTS + i)
+            bits |= bool(p.search(text)) << (len(INSULTS) + LISTS + i)
         return bits
 
 
@@ -107,7 +123,7 @@ class LabelModel:
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 40):
         """patterns, counts: the vote patterns of all documents. known: patterns and labels of labelled rows.
 
-        The known rows weigh as much as all others together; they keep the classes in place.
+        The known rows are a prior, which keeps the classes in place: they weigh ``KNOWN_SHARE`` of all others.
         """
         bits, labels = known if known is not None else (np.zeros(0, int), np.zeros(0, int))
         every = np.unique(np.concatenate([patterns, bits]))
@@ -115,8 +131,8 @@ class LabelModel:
         n = np.zeros(len(every))
         np.add.at(n, np.searchsorted(every, patterns), counts)
         fixed = np.zeros((2, len(every)))
-        np.add.at(fixed, (labels, np.searchsorted(every, bits)), n.sum() / max(1, len(bits)))
-        post = np.clip(self.votes @ np.array([2.0] + [1.0] * LISTS + [1.0, 1.0, 0.1]) / 2.0, 0.02, 0.98)
+        np.add.at(fixed, (labels, np.searchsorted(every, bits)), KNOWN_SHARE * n.sum() / max(1, len(bits)))
+        post = np.clip(self.votes @ np.array([2.0] * len(INSULTS) + [1.0] * LISTS + [1.0] * (len(PATTERNS) - 1) + [0.1]) / 2.0, 0.02, 0.98)
         self.tree: list[tuple[int, int]] = []
         for step in range(rounds):
             w = np.stack([n * (1 - post), n * post]) + fixed
@@ -234,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Linear | None:
     def votes(texts: pd.Series) -> pd.Series:
         return pd.Series([voters.vote(x.lower() if x else "") for x in texts], dtype="int32")
 
-    # at most 2 ** VOTERS = 4096 rows reach the driver
+    # a row for each pattern of votes that occurs reaches the driver: few, as most voters are silent on a text
     cast = in_small_batches(docs).select(votes("text").alias("bits")).groupBy("bits").count().collect()
     own, y = np.array([voters.vote(t) for t, _ in sample]), np.array([int(y > 0) for _, y in sample])
     model = LabelModel(np.array([r["bits"] for r in cast]), np.array([r["count"] for r in cast]), float(y.mean()), (own, y))

@@ -149,3 +149,18 @@ def test_network_matches_a_plain_forward_pass():
     hidden = np.tanh(z @ net.p[0] + net.p[1])
     want = [1 / (1 + np.exp(-float(h @ net.p[2] + net.p[3][0]) / net.temperature)) for h in hidden]
     assert np.allclose(net.score(x), want) and np.mean((net.score(x) > 0.5) == y) > 0.95
+
+
+def test_voters_without_labels_know_four_languages():
+    v = toxicity.Voters({})
+    n = len(toxicity.INSULTS)
+    for i, text in enumerate(("you are a moron", "so ein trottel", "quel crétin", "eres un payaso")):
+        assert v.vote(text) >> i & 1, text
+    for i, text in enumerate(("they are all idiots", "shut up now", "halt die klappe", "tais-toi donc", "cállate ya", "what?!?!")):
+        assert v.vote(text) >> (n + toxicity.LISTS + i) & 1, text
+    assert v.vote("a quiet word about clothing") == v.vote("") == 0
+
+
+def test_repeated_beginnings_are_forms():
+    assert {"achlic*", "achlic**", "achlic***"} <= toxicity.forms({"achlicha", "achlichb", "achlichc"})
+    assert "achlic***" not in toxicity.forms({"achlicha", "achlichb"})
