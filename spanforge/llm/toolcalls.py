@@ -58,8 +58,17 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical_json(value: object) -> str:
-    """Sorted keys, no blanks, no escapes but the required ones."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """Sorted keys, no blanks, no escapes but the required ones; ValueError for numbers that aren't JSON and lone surrogates."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()  # UnicodeEncodeError is a ValueError
+    return text
+
+
+def parsed(text: str) -> object:
+    """The value of a JSON text that has a canonical form, else ValueError, TypeError or RecursionError."""
+    value = json.loads(text)
+    canonical_json(value)
+    return value
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -91,8 +100,9 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict] = TOOLS) -
 
     Defined cases: rows with a null conv_id or call_id are dropped, as nothing
     links them. Calls that share an identifier count once, the earliest, then by
-    name and arguments; so do results. A null or malformed argument text, and a
-    tool without a schema, are bad arguments. Null and empty contents are kept
+    name and arguments; so do results. A null or malformed argument text, one
+    with a lone surrogate or a number that isn't finite, and a tool without a
+    schema, are bad arguments; such a text is kept as a string. Null and empty contents are kept
     as such. Other columns are not read. Empty tables give no rows.
     """
 
@@ -113,7 +123,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict] = TOOLS) -
             faults = ""
             if is_call == True:  # noqa: E712  null where there is no call
                 try:
-                    value = json.loads(text)
+                    value = parsed(text)
                 except (TypeError, ValueError, RecursionError):
                     value, faults = text, "$: not JSON"
                 if not faults:
@@ -138,6 +148,12 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     Each turn of a user becomes a call of one of ``TOOLS``, which follows the call
     two turns before; each turn of an assistant the result of the call one turn
     before. Identifiers are digests of the conversation and the turn.
+
+    Defined cases: other roles, and a null one, give nothing. A null text is an
+    argument or result that is missing. A null conversation or turn is kept, and
+    ``link`` drops the row of a null conversation. Turns that repeat give rows
+    that repeat, which ``link`` counts once. Other columns are not read. An empty
+    table gives two empty ones.
     """
     ident = lambda t: F.md5(F.concat_ws(":", F.col("conv_id"), t).cast("binary"))
     n = F.length(F.coalesce("text", F.lit("")))

@@ -51,3 +51,22 @@ def test_empty(spark):
 def test_schema():
     assert op.violations({"limit": 9, "query": "q" * 20, "z": 1}, op.TOOLS["search"]) == ["$.z: not allowed", "$.limit: above maximum"]
     assert op.violations(True, {"type": "integer"}) and op.violations([1], {"type": "array", "items": {"type": "string"}}) == ["$[0]: not of type string"]
+
+
+def test_values_without_a_canonical_form(spark):
+    bad = ['{"a":"\\ud800"}', '{"a":NaN}', '{"a":-Infinity}', '{"a":1e999}', '{"\\udfff":1}', "[" * 100_000, '{"a":' + "9" * 5000 + "}"]
+    good = ['{"a":"\\ud83d\\ude00"}', '{"a":1e3}', '{"a":"' + "x" * 1_000_000 + '"}']
+    calls = spark.createDataFrame([(1, f"k{i}", i, "free", t, None) for i, t in enumerate(bad + good)], CALLS)
+    got = {r.call_id: r for r in op.link(calls, spark.createDataFrame([(1, "k8", 20, "fine")], RESULTS), {"free": {"type": "object"}}).collect()}
+    for i, text in enumerate(bad):
+        r = got[f"k{i}"]
+        assert r.status == "bad arguments" and json.loads(r.json)["arguments"] == text
+    assert [got[f"k{i}"].faults for i in range(len(bad), len(bad) + len(good))] == [""] * 3
+    assert got["k7"].json.startswith('{"arguments":{"a":"😀"}') and len(got["k9"].json) > 1_000_000
+
+
+def test_derived_calls_of_awkward_turns(spark):
+    turns = [(None, 0, "user", "lost"), (1, None, "user", "no turn"), (1, 2, None, "no role"), (1, 4, "user", "twice"), (1, 4, "user", "twice"), (1, 5, "assistant", None)]
+    conv = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn long, role string, text string, call_id string")
+    got = sorted((r.turn if r.turn is not None else -9, r.status) for r in op.link(*op.calls_of(conv)).collect())
+    assert len(got) == 2 and got[1][0] == 4 and op.link(*op.calls_of(conv.limit(0))).count() == 0
