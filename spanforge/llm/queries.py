@@ -100,20 +100,34 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * ({
 FROM sz JOIN goal g ON sz.source IS NOT DISTINCT FROM g.source JOIN best b ON sz.source IS NOT DISTINCT FROM b.source"""
 
 
-def _canonical(text: str) -> str:
-    t = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '{licences.COPYRIGHT.replace(chr(92) + 'n', chr(10))}', '\\1', 'g')"
+def _plain(text: str) -> str:
+    quoted = lambda p: p.replace("\\n", "\n").replace("'", "''")
+    t = f"translate({text}, '{UPPER}', '{LOWER}')"
     for a, b in licences.SPELLINGS:
         t = f"replace({t}, '{a}', '{b}')"
-    return f"trim(regexp_replace({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
-
-
-VALUES = ", ".join(f"('{a}', '{b}')" for a, b in licences.NOTICES)
-OP8 = f"""WITH known AS (SELECT sha256({_canonical("text")}) AS digest, min(licence) AS licence FROM (VALUES {VALUES}) v(licence, text) GROUP BY 1
-), d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
-), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d
-), lf AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM ln JOIN known ON sha256({_canonical("line")}) = digest GROUP BY doc_id
-), w AS (SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, sha256({_canonical("text")}) AS text_sha256 FROM d)
-SELECT w.doc_id, n_lines, text_sha256, k.licence, coalesce(n, 0) AS n_licence_lines, coalesce(licences, '') AS licences FROM w LEFT JOIN known k ON k.digest = text_sha256 LEFT JOIN lf ON lf.doc_id = w.doc_id"""
+    return f"regexp_replace(regexp_replace({t}, '{quoted(licences.COPYRIGHT)}', '\\1', 'g'), '{licences.MARKS}', ' ', 'g')"
+
+
+def _one_line(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[ \n]+', ' ', 'g'))"
+
+
+PARTS = f"list_filter(list_transform(string_split_regex({{p}}, '{licences.PARTING.replace(chr(92) + 'n', chr(10))}'), lambda x: {_one_line('x')}), lambda x: x <> '')"
+VALUES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licences.entries())
+LONG = ", ".join(f"('{d}', '{n}')" for n, d in licences.DIGESTS)
+OP8 = f"""WITH texts AS (SELECT licence, {_plain("text")} AS p FROM (VALUES {VALUES}) v(licence, text)
+), known AS (SELECT sha256({_one_line("p")}) AS digest, min(licence) AS licence FROM texts GROUP BY 1 UNION ALL SELECT * FROM (VALUES {LONG}) v(digest, licence)
+), sizes AS (SELECT DISTINCT len({PARTS.format(p="p")}) AS k FROM texts
+), d AS (SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, {_plain("coalesce(text, '')")} AS p FROM documents
+), ln AS (SELECT doc_id, sha256(trim(unnest(string_split(p, chr(10))))) AS digest FROM d
+), pa AS (SELECT doc_id, {PARTS.format(p="p")} AS w FROM d
+), ru AS (SELECT doc_id, sha256(array_to_string(list_slice(w, i, i + k - 1), ' ')) AS digest FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pa, sizes WHERE len(w) >= k)
+), lf AS (SELECT doc_id, count(*) AS n FROM ln JOIN known USING (digest) GROUP BY doc_id
+), rf AS (SELECT doc_id, count(*) AS n FROM ru JOIN known USING (digest) GROUP BY doc_id
+), nm AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM (SELECT * FROM ln UNION ALL SELECT * FROM ru) JOIN known USING (digest) GROUP BY doc_id
+), w AS (SELECT doc_id, n_lines, sha256({_one_line("p")}) AS text_sha256 FROM d)
+SELECT w.doc_id, n_lines, text_sha256, k.licence, coalesce(lf.n, 0) AS n_licence_lines, coalesce(rf.n, 0) AS n_licence_blocks, coalesce(licences, '') AS licences
+FROM w LEFT JOIN known k ON k.digest = text_sha256 LEFT JOIN lf ON lf.doc_id = w.doc_id LEFT JOIN rf ON rf.doc_id = w.doc_id LEFT JOIN nm ON nm.doc_id = w.doc_id"""
 
 IDENT = "md5(CAST(conv_id AS VARCHAR) || ':' || CAST({t} AS VARCHAR))"
 OP10 = f"""WITH RECURSIVE calls AS (
