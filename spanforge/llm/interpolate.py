@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanforge.llm.common import crc_fold, in_small_batches
-from spanforge.storage import materialize
+from spanforge.storage import materialize, shared_dir
 
 FOLDS, HELD = 10, 0
 BLOCK = 1_000_000
-#: Hashes that one answering partition's group is meant to have, over all blocks.
-OWNED = 4_000_000
+#: Tokens for each owner of hashes, and bytes of text for each bucket: both grow in number with the corpus, not in size.
+OWNED, BUCKET_BYTES = 2_000_000, 16 << 20
 END = 0x9E3779B97F4A7C15
-#: Context buckets: how often the context was seen in training, by powers of four.
-BUCKETS = 10
+#: Context buckets: how often the context was seen in training: never, once, twice, then by powers of two.
+BUCKETS = 24
 #: Cells of the histograms on which EM runs: log10 of a probability ratio in steps of 1/CELLS_PER.
 CELLS, CELLS_PER = 120, 8
 
@@ -142,7 +142,7 @@ def asked(blocks: DataFrame, owners: int) -> DataFrame:
                     own, n = _owner(h, owners), b.training(of, len(h))
                     order = np.argsort(own, kind="stable")
                     cuts = np.searchsorted(own[order], np.arange(owners + 1))
-                    for k in range(owners):
+                    for k in np.flatnonzero(np.diff(cuts)).tolist():  # a block writes to the owners of its hashes only
                         at = order[cuts[k] : cuts[k + 1]]
                         out.append((k, row["block"], kind, ascending(h[at]), planes(n[at])))
                 yield pd.DataFrame(out, columns=["owner", "block", "kind", "hashes", "counts"])
@@ -177,7 +177,7 @@ def _counts(b: Block, answers: pd.DataFrame, owners: int) -> tuple[np.ndarray, n
         own = _owner(h, owners)
         order = np.argsort(own, kind="stable")
         total = np.zeros(len(h), np.int64)
-        total[order] = np.concatenate([from_planes(found[kind, k]) for k in range(owners)])
+        total[order] = np.concatenate([from_planes(found[kind, k]) for k in np.unique(own).tolist()])
         out.append(total)
     return out[0], out[1]
 
@@ -192,8 +192,8 @@ def _per_token(b: Block, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarr
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
-    """0 for unseen contexts, then one bucket for each power of four up to the last."""
-    return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype(np.int64) // 2, BUCKETS - 1), 0)
+    """0 for unseen contexts, then one bucket up to each power of two, the rest in the last."""
+    return np.where(context > 0, np.minimum(1 + np.ceil(np.log2(np.maximum(context, 1))).astype(np.int64), BUCKETS - 1), 0)
 
 
 def _cell(ratio: np.ndarray) -> np.ndarray:
@@ -232,31 +232,42 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each document.
 
     Documents with crc32(doc_id) mod 10 = 0 teach nothing; all are scored. The
-    result is a written table; the bucketed tables behind it are dropped.
-    base_score is the smoothed unigram score, score the log10 probability under
-    the interpolated model.
+    result is a written table; the bucketed tables behind it lie in the shared
+    folder and are dropped from the catalog whatever happens. base_score is the
+    smoothed unigram score, score the log10 probability under the interpolated
+    model.
 
     Defined cases: a null text is empty and has its end as its only token.
     Repeated rows count as often as they come. A null id is a training document.
     Where nothing is learned the floor alone scores. No column but doc_id and
     text is read. An empty table gives no rows.
     """
+    spark = docs.sparkSession
+    tag = uuid.uuid4().hex[:12]
+    try:
+        return _scored(docs, block, tag)
+    finally:
+        for name in ("blocks", "answers"):
+            spark.sql(f"DROP TABLE IF EXISTS lm_{name}_{tag}")
+
+
+def _scored(docs: DataFrame, block: int, tag: str) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", T.StringType())] + [T.StructField(n, t) for n, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     typed = lambda df: df.withColumn("doc_id", F.col("doc_id").cast(kind))
-    tag = uuid.uuid4().hex[:12]
+    buckets = -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // BUCKET_BYTES)
 
     def bucketed(df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(f"lm_{name}_{tag}")
+        path = f"{shared_dir(spark)}/lm-{name}-{tag}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "block").saveAsTable(f"lm_{name}_{tag}")
         return spark.table(f"lm_{name}_{tag}")
 
     blocks = bucketed(pack(docs, block), "blocks")
     size = blocks.agg(F.count("*").alias("n"), F.sum(F.octet_length("numbers")).alias("b")).first()
     if not size["n"]:
         return typed(spark.createDataFrame([], schema))
-    owners = max(2 * buckets, -(-(size["b"] // 4) // OWNED))
+    owners = max(8, -(-(size["b"] // 4) // OWNED))
     answers = bucketed(answered(asked(blocks, owners)).repartition(buckets, "block"), "answers")
     distinct = answers.filter("kind = 0").agg(F.sum("n_known")).first()[0]
 
@@ -296,7 +307,4 @@ def score(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             out.append(pd.DataFrame({"doc_id": list(b.ids), "held_out": ~b.train, "n_tokens": b.lengths, "n_known": add((w > 0).astype(np.int64)), "train_tokens": total, "base_score": add(base), "score": add(np.log10(p))}))
         return pd.concat(out) if out else pd.DataFrame({f.name: [] for f in schema})
 
-    out = materialize(typed(together.applyInPandas(scored, schema)), "lm-scores")
-    for name in ("blocks", "answers"):
-        spark.sql(f"DROP TABLE lm_{name}_{tag}")
-    return out
+    return materialize(typed(together.applyInPandas(scored, schema)), "lm-scores")

@@ -67,3 +67,54 @@ def test_empty(spark):
     assert op.score(frame(spark, [])).count() == 0
     (r,) = op.score(frame(spark, [(0, None, "", "", 0)])).collect()
     assert r.n_tokens == 1 and math.isfinite(r.score)
+
+
+def brute_scores(docs, rounds=200):
+    """The model by dictionaries, one token at a time, with EM on the left-out probabilities themselves."""
+    train = [words(t) for d, t, *_ in docs if d is None or zlib.crc32(str(d).encode()) % 10]
+    c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["</s>", *t], t, strict=False))
+    n, floor = sum(c.values()), 1 / (len(c) + 1)
+    bucket = lambda x: 0 if x < 1 else min(1 + math.ceil(math.log2(x)), op.BUCKETS - 1)
+    seen = {}
+    for t in train:
+        for h, w in zip(["</s>", *t], t, strict=False):
+            k = c[h] - 1
+            seen.setdefault(bucket(k), []).append(((pairs[h, w] - 1) / k if k else 0.0, (c[w] - 1) / (n - 1), floor))
+    lam = {}
+    for k in range(op.BUCKETS):
+        lam[k] = np.full(3, 1 / 3)
+        if k not in seen:
+            lam[k] = np.array([0.0, 0.5, 0.5]) if k == 0 else lam[k - 1]
+            continue
+        p = np.array(seen[k])
+        for _ in range(rounds):
+            share = p * lam[k]
+            got = (share / share.sum(axis=1, keepdims=True)).sum(axis=0) + 0.01
+            lam[k] = got / got.sum()
+    out = []
+    for d, t, *_ in docs:
+        w = words(t)
+        p = [lam[bucket(c[h])] @ np.array([pairs[h, x] / c[h] if c[h] else 0.0, c[x] / n, floor]) for h, x in zip(["</s>", *w], w, strict=False)]
+        out.append((str(d), len(w), float(np.log10(p).sum())))
+    return sorted(out)
+
+
+def test_scores_match_brute_force(spark):
+    text = prose(1, 200).split()
+    docs = rows() + [(1000 + i, " ".join(text[(13 * i) % 150 : (13 * i) % 150 + 40]), "en", "a", 0) for i in range(120)]
+    want = brute_scores(docs)
+    for block in (500, 10**6):
+        got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in op.score(frame(spark, docs), block).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert max(abs(g[2] - w[2]) / max(1.0, abs(w[2])) for g, w in zip(got, want, strict=True)) < 0.02
+
+
+def test_leaves_no_tables(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    op.score(frame(spark)).count()
+    try:
+        op.score(frame(spark).drop("text"))
+    except Exception:
+        pass
+    assert {t.name for t in spark.catalog.listTables()} == before
+
