@@ -1,9 +1,11 @@
 """Operator 4: SimHash near-duplicates by tiled exact comparison.
 
 1. Every text gets its 64-bit fingerprint; equal fingerprints collapse to one row.
-2. The bits are cut into ``radius + 3`` blocks. Fingerprints that differ in at
-   most ``radius`` bits agree on at least three blocks, so every link is inside
-   a group of rows that share three blocks: the comparison loses none.
+2. The bits are cut into ``radius + k`` blocks. Fingerprints that differ in at
+   most ``radius`` bits agree on at least k blocks, so every link is inside a
+   group of rows that share k blocks: the comparison loses none. As many bits of
+   each block count as make groups of about ``GROUP`` rows, whatever the number
+   of rows, so that the work grows in proportion to them.
 3. A group is cut into tiles by population count, larger ones further by hash.
    Pairs of tiles whose population counts differ by more than the radius are
    skipped; the others are compared exactly with numpy exclusive-or and bit
@@ -14,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm.common import in_small_batches, without
-from spanforge.storage import materialize
+from spanforge.storage import broadcast_small, materialize
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-#: Fingerprints in a tile, on average where a tile is split.
-TILE = 2048
+#: Fingerprints that share the bits of a group, on average; and those of a group that aren't cut into tiles.
+GROUP, TILE = 4096, 512
 
 
 def text_fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -56,13 +59,17 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return in_small_batches(docs).withColumn("fp", prints("text"))
 
 
-def _masks(radius: int) -> list[int]:
-    """For each choice of three blocks of ``radius + 3``, the bits of those blocks."""
-    n = radius + 3
-    cuts = [64 * i // n for i in range(n + 1)]
-    block = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(n)]
+def _masks(radius: int, rows: int, group: int) -> list[int]:
+    """Choices of bits: fingerprints within the radius agree on one choice at least, random ones of ``rows`` in groups of about ``group``."""
+    need = max(0, math.ceil(math.log2(max(rows, 1) / group)))
+    if not need:
+        return [0]
+    k = next(k for k in range(1, 65) if k * (64 // (radius + k)) >= need or k == 8)
+    width = 64 // (radius + k)
+    bits = min(width, -(-need // k))
+    block = [((1 << bits) - 1) << (width * i) for i in range(radius + k)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(block[i] for i in some)) for some in combinations(range(n), 3)]
+    return [signed(sum(block[i] for i in some)) for some in combinations(range(radius + k), k)]
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +88,13 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, n
     for at in range(0, len(a), 256):
         near = np.bitwise_count(ua[at : at + 256, None] ^ ub[None, :]) <= radius
         rows, cols = np.nonzero(near)
+        if not len(rows):
+            continue
         for i, j in np.unique(np.stack([left[at + rows], right[cols]]), axis=1).T if len(rows) < 64 else _thinned(left[at + rows], right[cols]):
             if (x := root(i)) != (y := root(j)):
                 parent[max(x, y)] = min(x, y)
-    roots = np.array([root(i) for i in range(len(nodes))], np.int64)
-    moved = np.flatnonzero(roots != np.arange(len(nodes)))
-    return nodes[moved], nodes[roots[moved]]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[np.array([root(i) for i in moved.tolist()], np.int64)]
 
 
 def _thinned(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -113,16 +121,16 @@ def _thinned(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.stack([moved, label[moved]], axis=1)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, group: int = GROUP) -> DataFrame:
     """(a, b), b < a: edges that join exactly what chains of links join, from a table of distinct fp."""
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)])).alias("k", "v"))
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius, fps.count(), group)])).alias("k", "v"))
     # groups of one have no links; the count is summed before the shuffle
     groups = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).filter("n > 1")
     groups = materialize(groups, "simhash-groups")
-    members = keyed.join(groups, ["k", "v"])
+    members = keyed.join(broadcast_small(groups), ["k", "v"])
     big = F.col("n") > tile
     members = members.withColumn("pc", F.when(big, F.bit_count("fp")).otherwise(F.lit(-1)))
-    parts = F.ceil(F.col("n") / (4 * tile)).cast("int")  # the counts of a group's rows differ, so they cut it too
+    parts = F.ceil(F.col("n") / (8 * tile)).cast("int")  # the counts of a group's rows differ, so they cut it too
     members = members.withColumn("s", F.when(big, F.pmod(F.xxhash64("fp"), parts)).otherwise(F.lit(0)))
     tiles = members.groupBy("k", "v", "pc", "s").agg(F.collect_list("fp").alias("fps"), F.max("n").alias("n"))
     tiles = materialize(tiles, "simhash-tiles")

@@ -53,10 +53,11 @@ def clustered(seed, n):
 
 
 def test_no_link_is_lost(spark):
-    for tile in (2048, 8):  # with and without tiles that are cut
+    # one group of few tiles or many, groups by one block, and by several blocks of few bits
+    for tile, group in ((2048, 4096), (8, 4096), (8, 60), (2048, 1e-3), (4, 1e-8)):
         fps = clustered(tile, 700)
         df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-        found = {r.node: r.root for r in op.components(op.links(df, 2, tile)).collect()}
+        found = {r.node: r.root for r in op.components(op.links(df, 2, tile, group)).collect()}
         want = brute_components([int(x) for x in fps])
         signed = [int(x) for x in fps.view(np.int64)]
         groups: dict = {}
@@ -92,3 +93,15 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
     some = [(3, near, "", "", 0), (5, a, "", "", 0), (5, b, "", "", 0), (7, prose(33, 80), "", "", 0), (7, prose(34, 80), "", "", 0)]
     got = [(r.doc_id, r.text) for r in op.keep_one(frame(spark, some)).collect()]
     assert sorted(got) == sorted([(3, near), (5, a), (7, some[3][1]), (7, some[4][1])])
+
+
+def test_every_pair_within_the_radius_shares_the_bits_of_a_group():
+    r = np.random.default_rng(8)
+    for rows, radius in ((100, 2), (10**5, 2), (10**8, 2), (10**12, 2), (10**16, 2), (10**9, 0), (10**9, 5)):
+        masks = np.array(op._masks(radius, rows, 4096), np.int64).view(np.uint64)
+        a = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+        b = a.copy()
+        for _ in range(radius):
+            b ^= np.uint64(1) << r.integers(0, 64, len(b), dtype=np.uint64)
+        assert ((a[:, None] & masks) == (b[:, None] & masks)).any(axis=1).all()
+        assert max(int(m).bit_count() for m in masks) >= min(40, np.log2(rows / 4096)) - 1e-9
