@@ -1,7 +1,8 @@
 """Operator 3: document fingerprints by a Merkle tree over paragraphs and sections.
 
 Leaves are pieces of paragraphs, cut where a word's own checksum says so, so
-that an edit moves no cut far from it. A paragraph's node hashes its leaves, a
+that an edit moves no cut far from it; texts of a line or less have pieces of a
+few characters by their places. A paragraph's node hashes its leaves, a
 section's node its paragraphs, the root its sections and the text's length.
 The fingerprint is the root followed by each section's node, and in it each
 paragraph's node and digests of its leaves: equal roots mean equal texts, and
@@ -14,7 +15,7 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,8 @@ from spanforge.llm.common import in_small_batches
 SECTION = re.compile(r"\n[ \t\r\x0b\f]*\n")
 #: A leaf ends after a word whose checksum is 0 modulo the first, or of this many words.
 MEAN_WORDS, MOST_WORDS = 3, 8
+#: Texts of so many code points or fewer are cut into about so many pieces.
+SHORT, SHORT_PIECES = 128, 16
 ROOT_HEX, NODE_HEX, LEAF_HEX = 32, 16, 8
 
 
@@ -37,10 +40,15 @@ def _digest(parts: list[bytes], tag: bytes) -> bytes:
 
 def tree(text: str) -> list[list[list[bytes]]]:
     """Digests of the leaves by section and paragraph."""
-    out = []
+    out, size, at = [], max(1, len(text) // SHORT_PIECES), 0
     for section in SECTION.split(text):
         paragraphs = []
         for paragraph in section.split("\n"):
+            if len(text) <= SHORT:
+                parts = [(at + i, paragraph[i : i + size]) for i in range(0, len(paragraph), size)]
+                paragraphs.append([xxhash.xxh64_digest(f"{i}:{x}".encode("utf-8", "surrogatepass")) for i, x in parts])
+                at += len(paragraph) + 1
+                continue
             leaves, own = [], []
             for w in paragraph.encode("utf-8", "surrogatepass").split(b" "):
                 own.append(w)
@@ -90,33 +98,57 @@ def likeness(a: str, b: str) -> float:
     return min(common / most, 0.999999) if most else 0.0
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of the branches of ``a`` that ``b`` lacks: where an edit is.
+def _in_order(places: list[int]) -> set[int]:
+    """Indexes of a longest rising part of a list of different numbers."""
+    tails: list[int] = []
+    last, before = [], {}
+    for i, x in enumerate(places):
+        k = bisect_left(tails, x)
+        tails[k : k + 1] = [x]
+        last[k : k + 1] = [i]
+        before[i] = last[k - 1] if k else None
+    out, i = set(), last[-1] if last else None
+    while i is not None:
+        out.add(i)
+        i = before[i]
+    return out
+
+
+def _matched(mine: list[str], other: list[str]) -> list[tuple[int, int]]:
+    """(place in mine, place in other) of equal nodes, the first with the first."""
+    there: dict[str, list[int]] = defaultdict(list)
+    for j, node in enumerate(other):
+        there[node].append(j)
+    left = {node: iter(places) for node, places in there.items()}
+    found = ((i, next(left[node], None)) for i, node in enumerate(mine) if node in left)
+    return [(i, j) for i, j in found if j is not None]
 
-    Sections with equal nodes are matched first and not descended into;
-    paragraphs of the others are matched by their nodes.
+
+def changes(a: str, b: str) -> list[tuple[str, int, int]]:
+    """(kind, section, paragraph) of what makes ``b`` of ``a``, from the root down.
+
+    Equal roots end it. Sections with equal nodes are matched and not descended
+    into; paragraphs of the others are matched by their nodes. What ``a`` has
+    alone is "deleted", what ``b`` has alone "inserted" (its place there), and
+    what is matched out of order "moved"; for a whole section the paragraph is -1.
+    Where only blank lines differ, there is one ("spacing", -1, -1).
     """
     if a[:ROOT_HEX] == b[:ROOT_HEX]:
         return []
-    mine, other = _sections(a), _sections(b)
-    same = Counter(node for node, _ in mine) & Counter(node for node, _ in other)
-    left, there = same.copy(), Counter()
-    for node, paragraphs in other:
-        if left[node] > 0:
-            left[node] -= 1
-        else:
-            there.update(p for p, _ in paragraphs)
-    out = []
-    for i, (node, paragraphs) in enumerate(mine):
-        if same[node] > 0:
-            same[node] -= 1
-            continue
-        for j, (p, _) in enumerate(paragraphs):
-            if there[p] > 0:
-                there[p] -= 1
-            else:
-                out.append((i, j))
-    return out
+    x, y = _sections(a), _sections(b)
+    same = _matched([node for node, _ in x], [node for node, _ in y])
+    stay = _in_order([j for _, j in same])
+    out = [("moved", i, -1) for k, (i, _) in enumerate(same) if k not in stay]
+    whole_x, whole_y = {i for i, _ in same}, {j for _, j in same}
+    rest_x = [(i, n, p) for i, (_, s) in enumerate(x) if i not in whole_x for n, (p, _) in enumerate(s)]
+    rest_y = [(j, n, p) for j, (_, s) in enumerate(y) if j not in whole_y for n, (p, _) in enumerate(s)]
+    pairs = _matched([p for _, _, p in rest_x], [p for _, _, p in rest_y])
+    stay = _in_order([j for _, j in pairs])
+    out += [("moved", *rest_x[i][:2]) for k, (i, _) in enumerate(pairs) if k not in stay]
+    met_x, met_y = {i for i, _ in pairs}, {j for _, j in pairs}
+    out += [("deleted", *r[:2]) for i, r in enumerate(rest_x) if i not in met_x]
+    out += [("inserted", *r[:2]) for j, r in enumerate(rest_y) if j not in met_y]
+    return out or [("spacing", -1, -1)]
 
 
 def edited(text: str, following: str) -> str:
@@ -126,7 +158,7 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_differing).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_deleted, n_inserted, n_moved).
 
     Documents are dealt by ranges of doc_id, whose bounds are ids, and read in
     descending order; the row of each bound is dealt to the preceding range as
@@ -141,7 +173,7 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_differing int"
+    schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_deleted int, n_inserted int, n_moved int"
     first = d.agg(F.max("doc_id").alias("x")).first()["x"]
     ids = d.filter(F.col("doc_id").isNotNull())
     # quantiles are doubles: past 2^53 a bound need not be an id, and then only fits fewer ranges
@@ -172,7 +204,8 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         new = edited(text, following[1])
         other = fingerprint(new)
         sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), sha, own, other, likeness(own, other), likeness(own, following[2]), len(differing(own, other))
+        n = Counter(kind for kind, _, _ in changes(own, other))
+        return doc_id, len(text), sha, own, other, likeness(own, other), likeness(own, following[2]), n["deleted"], n["inserted"], n["moved"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]

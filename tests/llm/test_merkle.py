@@ -1,5 +1,8 @@
 import hashlib
+import re
+import zlib
 
+import xxhash
 from tests.llm.fixtures import frame, prose, rows
 
 from spanforge.llm import merkle as op
@@ -11,7 +14,7 @@ def test_tree():
     assert op.fingerprint(a) == op.fingerprint(str(a)) != op.fingerprint(b)
     assert op.likeness(op.fingerprint(a), op.fingerprint(a)) == 1.0
     assert 0.8 < op.likeness(op.fingerprint(a), op.fingerprint(b)) < 1.0
-    assert op.differing(op.fingerprint(a), op.fingerprint(b)) == [(0, 1)]
+    assert op.changes(op.fingerprint(a), op.fingerprint(b)) == [("deleted", 0, 1), ("inserted", 0, 1)]
     assert op.likeness(op.fingerprint(""), op.fingerprint(a)) < 0.1
     assert op.fingerprint(None) == op.fingerprint("")
     assert op.fingerprint("a b") != op.fingerprint("a  b") != op.fingerprint("a\nb")
@@ -48,4 +51,64 @@ def test_long_unrelated_texts_are_unlike():
     x, y = op.fingerprint(a), op.fingerprint(b)
     assert op.likeness(x, y) < 0.001
     assert op.likeness(x, op.fingerprint(op.edited(a, b))) < 0.51
-    assert len(op.differing(x, y)) == len(a.split("\n"))
+    assert len(op.changes(x, y)) == 2 * len(a.split("\n"))
+
+
+def changed(a, b):
+    return op.changes(op.fingerprint(a), op.fingerprint(b))
+
+
+def test_inserts_deletes_and_moves():
+    p = [prose(i, 40) for i in range(9)]
+    text = "\n\n".join("\n".join(p[i : i + 3]) for i in (0, 3, 6))
+    assert changed(text, text) == []
+    assert changed(text, text.replace(p[4], p[4] + "\nnew words")) == [("inserted", 1, 2)]
+    assert changed(text, text.replace(p[4] + "\n", "")) == [("deleted", 1, 1)]
+    assert changed(text, text.replace(p[0] + "\n" + p[1], p[1] + "\n" + p[0])) == [("moved", 0, 0)]
+    assert changed(text, "\n\n".join(reversed(text.split("\n\n")))) in ([("moved", i, -1) for i in k] for k in ((0, 1), (0, 2), (1, 2)))
+    assert changed(text, text + "\n\n" + p[0]) == [("inserted", 3, 0)]
+    assert changed(text, text.replace("\n\n", "\n \n")) == [("spacing", -1, -1)]
+    assert changed("", "a") == [("deleted", 0, 0), ("inserted", 0, 0)]
+
+
+def brute_pieces(text):
+    """The pieces by section and paragraph, cut by hand."""
+    out, size, at = [], max(1, len(text) // 16), 0
+    for section in re.split(r"\n[ \t\r\x0b\f]*\n", text):
+        out.append([])
+        for paragraph in section.split("\n"):
+            pieces = []
+            if len(text) <= 128:
+                for i in range(0, len(paragraph), size):
+                    pieces.append(f"{at + i}:{paragraph[i : i + size]}")
+                at += len(paragraph) + 1
+            else:
+                words = paragraph.split(" ")
+                while words:
+                    n = next((k + 1 for k, w in enumerate(words[:8]) if zlib.crc32(w.encode()) % 3 == 0), min(8, len(words)))
+                    pieces.append(" ".join(words[:n]))
+                    words = words[n:]
+            out[-1].append(pieces)
+    return out
+
+
+def test_fingerprints_and_likeness_match_a_plain_tree():
+    texts = [t or "" for _, t, *_ in rows()] + ["a", "ab cd", "x\ny", "one line of words that is short"]
+    h = lambda parts, tag: hashlib.blake2b(b"".join(parts), digest_size=16, person=tag)
+    for a in texts:
+        tree = [[[xxhash.xxh64_digest(x.encode()) for x in p] for p in s] for s in brute_pieces(a)]
+        sections = [h([h(p, b"paragraph").digest() for p in s], b"section") for s in tree]
+        root = h([*(s.digest() for s in sections), hashlib.sha256(a.encode()).digest()], b"root").hexdigest()[:32]
+        body = "/".join(n.hexdigest()[:16] + "=" + ".".join(h(p, b"paragraph").hexdigest()[:16] + "-" + "".join(x.hex()[:8] for x in p) for p in s) for n, s in zip(sections, tree, strict=True))
+        assert op.fingerprint(a) == f"{root}:{body}"
+        for b in texts:
+            x, y = ([x for s in brute_pieces(t) for p in s for x in p] for t in (a, b))
+            common = sum(min(x.count(k), y.count(k)) for k in set(x))
+            want = 1.0 if a == b else min(common / max(len(x), len(y)), 0.999999) if x or y else 0.0
+            assert op.likeness(op.fingerprint(a), op.fingerprint(b)) == want
+
+
+def test_half_of_a_short_text_is_like_it():
+    for t, n in (("Von.", "Another text"), ("Des enberge die enver.", "x" * 300), ("That it.", "Words"), ("word " * 25, prose(3, 90))):
+        a, b, c = op.fingerprint(t), op.fingerprint(op.edited(t, n)), op.fingerprint(n)
+        assert op.likeness(a, b) >= 0.4 > op.likeness(a, c)
