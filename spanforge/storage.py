@@ -17,11 +17,13 @@ SMALL = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: what ``spark.checkpoint.dir`` names.
 
-    Only where that is unset, as in local use, a temporary folder is made and
-    recorded in the session.
+    Only where that is unset and Spark runs in this one process, a temporary
+    folder is made and recorded in the session.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
         base = tempfile.mkdtemp(prefix="spanforge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
