@@ -13,6 +13,7 @@ scored, over its whole text.
 
 from __future__ import annotations
 
+import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,14 +39,14 @@ PRIOR_WORDS = 8
 MAX_ROWS, MAX_CHARS = 2000, 10_000_000
 #: Distinct words that a task counts before it passes the counts on, and tokens that it handles at once.
 HELD_WORDS, CHUNK = 200_000, 200_000
+#: Words without a number that a task remembers.
+REMEMBERED = 100_000
 #: Sums of neighbours are whole numbers of this unit.
 UNIT = 1 << 16
 
 
 def shape(word: str) -> int:
-    """Which of ``SHAPES`` a word without a vector has: lower case, capitalised, capitals, mixed, with digits, marks; or a repeat."""
-    if word == SHAPES[-1]:
-        return len(SHAPES) - 1
+    """Which of ``SHAPES`` a word without a vector has: lower case, capitalised, capitals, mixed, with digits, marks."""
     if not word[0].isalnum() and word[0] != "_":
         return 5
     if any(c.isdigit() for c in word):
@@ -53,17 +54,34 @@ def shape(word: str) -> int:
     return 0 if word.islower() else 2 if word.isupper() and len(word) > 1 else 1 if word[0].isupper() and not any(c.isupper() for c in word[1:]) else 3
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words and runs of marks; one that repeats the one before it is ``<again>``."""
+def words_of(text: str | None) -> tuple[list[str], np.ndarray]:
+    """Words and runs of marks, and the places of those that repeat the one before them."""
     t = TOKEN.findall(text or "")
-    return [SHAPES[-1] if a == b else b for a, b in zip(["", *t], t, strict=False)]
+    return t, 1 + np.flatnonzero(np.fromiter(map(operator.eq, t[1:], t), bool, max(len(t) - 1, 0)))
+
+
+class Numbers(dict):
+    """Numbers of words; the words without one, up to ``REMEMBERED``, are remembered with that of their shape."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.first = len(known)
+
+    def __missing__(self, word: str) -> int:
+        i = self.first + shape(word)
+        if len(self) < self.first + REMEMBERED:
+            self[word] = i
+        return i
+
+    def __reduce__(self):
+        return Numbers, ({w: i for w, i in self.items() if i < self.first},)
 
 
 class Vocabulary:
     """Numbers of words, the shapes last."""
 
     def __init__(self, counts: list[tuple[str, int]], total: int):
-        self.ids = {w: i for i, (w, _) in enumerate(counts)}
+        self.ids = Numbers({w: i for i, (w, _) in enumerate(counts)})
         self.size = len(counts) + len(SHAPES)
         rest = max(1, total - sum(n for _, n in counts)) / len(SHAPES)
         n = np.array([n for _, n in counts] + [rest] * len(SHAPES), np.float64)
@@ -71,15 +89,17 @@ class Vocabulary:
         # an index vector weighs less the more often its word occurs, or frequent words would be in all sums
         self.weight = np.sqrt(n.mean() / n)
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        known, first = self.ids, len(self.ids)
-        get = known.get
-        return np.array([i if (i := get(w)) is not None else first + shape(w) for w in tokens], np.int64)
+    def of(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words; a word that repeats the one before it is ``<again>``."""
+        t, again = words_of(text)
+        ids = np.fromiter(map(self.ids.__getitem__, t), np.int64, len(t))
+        ids[again] = self.size - 1
+        return ids
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the index vector of each word is not 0, and its values there, in whole units."""
         at, value = np.zeros((self.size, NONZERO), np.int64), np.zeros((self.size, NONZERO))
-        for w, i in [*self.ids.items(), *((s, len(self.ids) + k) for k, s in enumerate(SHAPES))]:
+        for w, i in [*((w, i) for w, i in self.ids.items() if i < self.ids.first), *((s, self.ids.first + k) for k, s in enumerate(SHAPES))]:
             h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
             for j in range(NONZERO):
                 at[i, j] = (h >> (12 * j)) % DIM
@@ -88,19 +108,23 @@ class Vocabulary:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+    """(word, n) over all texts, without the words that repeat the one before them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                seen.update(words_of(t))
+                words, again = words_of(t)
+                seen.update(words)
+                for i in again.tolist():
+                    seen[words[i]] -= 1
                 if len(seen) > HELD_WORDS:
                     yield pd.DataFrame(seen.items(), columns=["word", "n"])
                     seen = Counter()
         yield pd.DataFrame(seen.items(), columns=["word", "n"])
 
-    return in_small_batches(docs).select("text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = in_small_batches(docs).select("text").mapInPandas(run, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -126,7 +150,7 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         gap = np.full(REACH, -1, np.int64)  # texts have no neighbours across their ends
         for batch in batches:
             for t in batch["text"]:
-                parts += [words.of(words_of(t)), gap]
+                parts += [words.of(t), gap]
                 held += len(parts[-2])
                 if held >= CHUNK:
                     add(parts)
@@ -152,10 +176,10 @@ class Vectors:
         self.prior = PRIOR_WORDS * (vocabulary.share @ self.table), PRIOR_WORDS * (vocabulary.share @ self.table**2)
 
     def pooled(self, text: str | None) -> np.ndarray:
-        tokens = words_of(text)
-        n = np.bincount(self.words.of(tokens), minlength=self.words.size)
+        ids = self.words.of(text)
+        n = np.bincount(ids, minlength=self.words.size)
         some = np.flatnonzero(n)
-        often, own, every = n[some].astype(np.float32), self.table[some], len(tokens) + PRIOR_WORDS
+        often, own, every = n[some].astype(np.float32), self.table[some], len(ids) + PRIOR_WORDS
         mean, square = ((often @ x + p) / every for x, p in zip((own, own * own), self.prior, strict=True))
         return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0.0))]).astype(np.float32)
 
