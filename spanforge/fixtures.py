@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from spanforge.operators.tracks import classify_tracks
 
 
-def spans_of_events(spark: SparkSession, sf_dir: str, exec_names: bool = False, few_ranks: bool = False) -> DataFrame:
-    """Spans: one for each event; ``exec_names`` names annotations as scheduler steps, ``few_ranks`` makes two large ranks."""
+def spans_of_events(spark: SparkSession, sf_dir: str, exec_names: bool = False, few_ranks: bool = False, shorter: int = 1) -> DataFrame:
+    """Spans: one for each event; ``exec_names`` names annotations as scheduler steps, ``few_ranks`` makes two large ranks, ``shorter`` divides durations."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     start = e.agg(F.min(us).alias("t0"))
@@ -38,7 +38,7 @@ def spans_of_events(spark: SparkSession, sf_dir: str, exec_names: bool = False,
         name.alias("name"),
         cat.alias("cat"),
         ((us - F.col("t0")) * 1000).alias("ts_ns"),
-        (F.round(F.col("value") * 100).cast("long") * 12_000_000_000).alias("dur_ns"),
+        (F.round(F.col("value") * 100).cast("long") * (12_000_000_000 // shorter)).alias("dur_ns"),
         F.to_json(F.struct((k % 10).alias("correlation"), k.alias("k"))).alias("args"),
         (k % 10).alias("correlation"),
     )

@@ -13,6 +13,7 @@ from spanforge.storage import materialize
 
 # fixed values: directories never searched, languages by suffix, and words that open a C declaration
 SKIPPED = (".git", "build", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", "target", "cmake-build-debug")
+PY_SUFFIXES = ("py", "pyi")
 C_SUFFIXES = ("c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "inl", "cu", "cuh")
 DECLARES = ("void", "static", "inline", "extern", "auto", "const", "template", "struct", "class", "__global__", "__device__", "__host__", "__forceinline__", "CUTLASS_DEVICE")
 MOST_HITS = 16
@@ -44,7 +45,7 @@ def index_texts(texts: DataFrame) -> SourceIndex:
     """
     suffix = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
     t = texts.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
-    t = t.withColumn("py", suffix == "py").filter(F.col("py") | suffix.isin(*C_SUFFIXES))
+    t = t.withColumn("py", suffix.isin(*PY_SUFFIXES)).filter(F.col("py") | suffix.isin(*C_SUFFIXES))
     inner = F.when(F.col("path").rlike("^deps/[^/]+/"), F.regexp_replace("path", "^deps/[^/]+/", "")).otherwise(F.col("path"))
     files = t.select("path", "py", F.replace(F.regexp_replace(inner, r"\.[^./]*$", ""), F.lit("/"), F.lit("")).alias("flat"))
     lines = t.select("path", "py", F.posexplode(F.split("value", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.intervals import islands, union_length
 from spanforge.schema import is_gpu_busy, is_gpu_work, scope
+from spanforge.storage import broadcast_small
 
 MIN_GAP_NS = 1000
 TOP = 500
@@ -59,9 +60,9 @@ def explain_gaps(gaps: DataFrame, spans: DataFrame) -> DataFrame:
     cpu_busy_frac and runtime_frac are covered shares of the gap; cpu_top are the
     three names that cover most of it, as array of (name, launches, covered_ns);
     cause is one of "no CPU data", "starved", "runtime-bound", "host-bound".
-    The gaps are the result of a top-n, so they are broadcast: spans stay put.
+    Gaps that are few, as the result of a top-n is, are broadcast: spans stay put.
     """
-    g = F.broadcast(gaps.select("scope", "t0", "t1").distinct())
+    g = broadcast_small(gaps.select("scope", "t0", "t1").distinct())
     cpu = spans.filter(~F.col("gpu"))
     has = cpu.select(scope().alias("scope")).distinct().withColumn("has_cpu", F.lit(True))
     work = cpu.filter(F.col("cat").isin(*CPU_WORK)).select(scope().alias("scope"), "ts_ns", "end_ns", "seq", "name", "cat")

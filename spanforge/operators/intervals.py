@@ -87,7 +87,7 @@ def shared_time(spans: DataFrame, scopes: Sequence[str] = ("rank",), key: str =
     merged stretch of one name has W(end) - W(start). One order of the endpoints
     of each scope gives W at every endpoint. The shares add up to the busy time.
     """
-    runs = island_bounds(spans.filter("dur_ns > 0"), [*scopes, key])
+    runs = island_bounds(spans.filter("dur_ns > 0"), [*scopes, key], bucket_ns)
     start = runs.groupBy(*scopes).agg(F.min("ts_ns").alias("t0"))
     both = F.explode(F.array(F.struct(F.col("ts_ns").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ns").alias("t"), F.lit(-1).alias("d"))))
     p = runs.alias("r").join(start.alias("o"), _same("r", "o", scopes)).select("r.*", "o.t0").select(*scopes, key, "t0", both.alias("e"))

@@ -37,9 +37,10 @@ class FirstFit:
         return lane
 
 
-def _by_island(spans: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows dealt by island and in time order, with ``group``: one number for each island of the task."""
-    s = spans.repartition(*by, "island").sortWithinPartitions(*by, "island", "ts_ns", "seq")
+def _by_island(spans: DataFrame, by: Sequence[str], ascending: bool = True) -> DataFrame:
+    """Rows dealt by island and in time order or against it, with ``group``: one number for each island of the task."""
+    order = [F.col(c).asc() if ascending else F.col(c).desc() for c in ("ts_ns", "seq")]
+    s = spans.repartition(*by, "island").sortWithinPartitions(*by, "island", *order)
     return s.select(F.xxhash64(*by, "island").alias("group"), "span_id", "ts_ns", "end_ns", *[c for c in ("lane",) if c in spans.columns])
 
 
@@ -78,52 +79,38 @@ def lanes(spans: DataFrame, by: Sequence[str] = TRACK, bucket_ns: int | None = N
     return spans.join(packed, "span_id", "left").select(*spans.columns, F.coalesce("lane", F.lit(0)).alias("lane"))
 
 
-def wrappers(laned: DataFrame) -> DataFrame:
+def wrappers(laned: DataFrame, bucket_ns: int | None = None) -> DataFrame:
     """(span_id) of grandparents: spans with a later one of their track that starts by their end, two lanes or more below.
 
-    Per island, from its end, the next start in each lane or below is enough.
-    Islands less than three lanes deep have none and are left out.
+    Islands are read from their end, and of what follows only the next start in
+    each lane or below is kept. Islands less than three lanes deep have none and
+    are left out.
     """
-    s = islands(laned, TRACK).select(*TRACK, "island", "span_id", "ts_ns", "end_ns", "seq", "lane")
-
-    def grandparents(rows: list[tuple]) -> list[int]:
-        deepest = max(r[3] for r in rows)
-        following: list[int | None] = [None] * (deepest + 2)
-        out = []
-        for span_id, ts, end, lane in reversed(rows):
-            t = following[min(lane + 2, deepest + 1)]
-            if t is not None and t <= end:
-                out.append(span_id)
-            following[: lane + 1] = [ts] * (lane + 1)
-        return out
+    s = islands(laned, TRACK, bucket_ns).select(*TRACK, "island", "span_id", "ts_ns", "end_ns", "seq", "lane")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, rows, out = None, [], []
+        group, following = None, []
         for b in batches:
-            for g, *r in zip(*(b[c].tolist() for c in ("group", "span_id", "ts_ns", "end_ns", "lane")), strict=True):
-                if g != group and rows:
-                    out += grandparents(rows)
-                    rows = []
-                group = g
-                rows.append(tuple(r))
-            yield pd.DataFrame({"span_id": pd.Series(out, dtype="int64")})
             out = []
-        if rows:
-            yield pd.DataFrame({"span_id": pd.Series(grandparents(rows), dtype="int64")})
+            for g, span_id, ts, end, lane in zip(*(b[c].tolist() for c in ("group", "span_id", "ts_ns", "end_ns", "lane")), strict=True):
+                if g != group:
+                    group, following = g, []
+                if lane + 2 < len(following) and following[lane + 2] <= end:
+                    out.append(span_id)
+                following[: lane + 1] = [ts] * (lane + 1)
+            yield pd.DataFrame({"span_id": pd.Series(out, dtype="int64")})
 
-    return _by_island(_larger_islands(s, TRACK, "deep >= 2"), TRACK).mapInPandas(find, "span_id long")
+    return _by_island(_larger_islands(s, TRACK, "deep >= 2"), TRACK, ascending=False).mapInPandas(find, "span_id long")
 
 
-def merged_rows(spans: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+def merged_rows(spans: DataFrame, hidden: DataFrame | None = None, bucket_ns: int | None = None) -> DataFrame:
     """The GPU spans of each rank on one row: without hidden names and grandparents, packed anew.
 
     Columns: row_rank, span_id, ts_ns, end_ns, dur_ns, seq, name, lane.
     """
-    gpu = materialize(lanes(spans.filter("gpu")), "lanes")  # both the rows and what finds grandparents
-    kept = gpu.join(wrappers(gpu), "span_id", "left_anti")
+    gpu = materialize(lanes(spans.filter("gpu"), bucket_ns=bucket_ns), "lanes")  # both the rows and what finds grandparents
+    kept = gpu.join(wrappers(gpu, bucket_ns), "span_id", "left_anti")
     if hidden is not None:
         kept = kept.join(hidden.select("name").distinct(), "name", "left_anti")
     kept = kept.select(F.col("rank").alias("row_rank"), "span_id", "ts_ns", "end_ns", "dur_ns", "seq", "name")
-    return lanes(kept, ["row_rank"])
-
-
+    return lanes(kept, ["row_rank"], bucket_ns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,13 @@ def launch_links(spans: DataFrame, kernels: DataFrame | None = None) -> DataFram
     c = s.filter(F.col("cat").isin(*LAUNCH_CATS))
     k, c = k.alias("k"), c.alias("c")
     ok = (F.col("k.track_idx") != F.col("c.track_idx")) & (F.col("c.ts_ns") <= F.col("k.ts_ns"))
-    ranks = [F.col("k.rank") == F.col("c.rank"), F.col("k.rank").isNull() | F.col("c.rank").isNull()]
+    # rows without a rank, few if any, are the only ones that meet whole correlations
+    none, known = F.col("rank").isNull(), F.col("rank").isNotNull()
+    sides = [(k, c, F.col("k.rank") == F.col("c.rank")), (k.filter(none).alias("k"), c, F.lit(True)), (k.filter(known).alias("k"), c.filter(none).alias("c"), F.lit(True))]
 
     def best(key: str, pick):
-        parts = [k.join(c, (F.col(f"k.{key}") == F.col(f"c.{key}")) & r & ok).select(F.col("k.span_id").alias("kernel_id"), pick.alias("r")) for r in ranks]
-        return parts[0].unionByName(parts[1])
+        parts = [a.join(b, (F.col(f"k.{key}") == F.col(f"c.{key}")) & r & ok).select(F.col("k.span_id").alias("kernel_id"), pick.alias("r")) for a, b, r in sides]
+        return reduce(DataFrame.unionByName, parts)
 
     last = best("corr", F.struct("c.ts_ns", "c.track_idx", "c.seq", F.col("c.span_id").alias("id"), F.col("c.name").contains("GraphLaunch").alias("graph")))
     last = last.groupBy("kernel_id").agg(F.max("r").alias("l"))

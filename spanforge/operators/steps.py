@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +59,9 @@ def assign_steps(steps: DataFrame, ref: DataFrame) -> DataFrame:
     """Step spans with the step that they overlap most, the earliest of equals; without overlap, the nearest.
 
     Nearest is by the sum of the distances of both ends. Spans and steps meet in
-    time buckets; only spans without any overlap are compared with every step.
+    time buckets. A step that ends by a span's start, or starts at its end, is as
+    far as the sums of both their ends are apart; so the nearest step before a
+    span is the one of the largest sum, and after it the one of the smallest.
     """
     width = _width(ref, "r0", "r1")
     r = ref.withColumn("b", _buckets("r0", "r1", width))
@@ -67,11 +71,38 @@ def assign_steps(steps: DataFrame, ref: DataFrame) -> DataFrame:
     best = met.groupBy("span_id").agg(F.max(F.struct(shared.alias("shared"), (-F.col("step")).alias("neg"))).alias("m"))
     best = best.filter("m.shared > 0").select("span_id", (-F.col("m.neg")).alias("step"))
     lone = steps.select("span_id", "ts_ns", "end_ns").join(best, "span_id", "left_anti")
-    far = F.abs(F.col("r0") - F.col("ts_ns")) + F.abs(F.col("r1") - F.col("end_ns"))
-    near = lone.join(broadcast_small(ref), F.lit(True)).groupBy("span_id").agg(F.min(F.struct(far.alias("far"), "step"))["step"].alias("step"))
+    both, own = F.col("r0") + F.col("r1"), F.col("ts_ns") + F.col("end_ns")
+    steps_at = lambda t, sign: ref.select((sign * F.col(t)).alias("t"), F.struct((sign * both).alias("sum"), (-F.col("step")).alias("neg")).alias("v"))
+    spans_at = lambda t, sign: lone.select("span_id", (sign * F.col(t)).alias("t"), (sign * own).alias("own"))
+    ends = [best_before(steps_at("r1", 1), spans_at("ts_ns", 1), width), best_before(steps_at("r0", -1), spans_at("end_ns", -1), width)]
+    at = [e.select("span_id", (F.col("own") - F.col("v.sum")).alias("far"), (-F.col("v.neg")).alias("step")) for e in ends]
+    # a span or step of no length inside the other meets it without overlap
+    inside = F.abs(F.col("r0") - F.col("ts_ns")) + F.abs(F.col("r1") - F.col("end_ns"))
+    at.append(met.filter(shared <= 0).select("span_id", inside.alias("far"), "step"))
+    near = reduce(DataFrame.unionByName, at).join(lone.select("span_id"), "span_id", "left_semi")
+    near = near.groupBy("span_id").agg(F.min(F.struct("far", "step"))["step"].alias("step"))
     return steps.join(best.unionByName(near), "span_id")
 
 
+def best_before(values: DataFrame, points: DataFrame, width: int) -> DataFrame:
+    """Points (span_id, t, own) with v, the largest of the values (t, v) whose t isn't after theirs; those without any are left out.
+
+    Both are put in order within buckets of time; what precedes a bucket comes
+    from a table with one row for each.
+    """
+    bucket = F.floor(F.col("t") / F.lit(width))
+    v = values.withColumn("b", bucket)
+    edge = v.groupBy("b").agg(F.max("v").alias("last")).unionByName(points.select(bucket.alias("b")).distinct().withColumn("last", F.lit(None).cast(v.schema["v"].dataType)))
+    edge = edge.groupBy("b").agg(F.max("last").alias("last"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket, of about a step
+    edge = edge.select("b", F.max("last").over(before).alias("carry"))
+    rows = v.select("b", "t", "v", F.lit(None).cast("long").alias("span_id"), F.lit(None).cast("long").alias("own"))
+    rows = rows.unionByName(points.select(bucket.alias("b"), "t", F.lit(None).cast(v.schema["v"].dataType).alias("v"), "span_id", "own"))
+    upto = Window.partitionBy("b").orderBy("t", F.col("span_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("upto", F.max("v").over(upto)).filter("span_id is not null").join(edge, "b")
+    return found.select("span_id", "own", F.greatest("upto", "carry").alias("v")).filter("v is not null")
+
+
 def steps(spans: DataFrame, tracks: DataFrame, runs: DataFrame) -> DataFrame:
     """One row for each step in the order of the reference track.
 

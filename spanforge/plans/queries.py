@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.fixtures import runs_of_events, spans_of_events, tracks_of
-from spanforge.functions.text import duration_text, kernel_base_name
+from spanforge.functions.text import duration_text, kernel_base_name, matches_build
 from spanforge.operators import attribution, clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
 from spanforge.plans.sql import SQL
-from spanforge.schema import SPAN_COLUMNS, TRACK
+from spanforge.schema import SPAN_COLUMNS, TRACK, Bundle
 from spanforge.sources.ingest import rank_groups, read_traces
 from spanforge.sources.store import read_store, write_store
 from spanforge.storage import materialize, shared_dir
@@ -129,6 +129,14 @@ def b8_header(spark, sf):
     return tracks.merged_header(r.withColumn("dist_world", F.when(F.col("rank") > 5, F.col("rank") * 2).otherwise(0)))
 
 
+@query
+def b8_merge(spark, sf):
+    """Ranks of even and of odd numbers, each as if it were one rank's trace."""
+    s, f, r = spans_of_events(spark, sf), _flows(spark, sf), runs_of_events(spark, sf)
+    half = lambda k: Bundle(*(df.filter(F.col("rank") % 2 == k) for df in (s, s.select(*TRACK, "track").distinct(), f, r)))
+    return tracks.merge_ranks([(k, half(k)) for k in (0, 1)]).spans.select("span_id", "rank", "track", "ts_ns", "end_ns")
+
+
 @query
 def b9_merged_rows(spark, sf):
     return lanes.merged_rows(spans_of_events(spark, sf)).select("row_rank", "span_id", "lane")
@@ -301,7 +309,7 @@ def f3_top_gaps(spark, sf):
 
 @query
 def f3_gaps_two_ranks(spark, sf):
-    return gaps.all_gaps(spans_of_events(spark, sf, few_ranks=True), bucket_ns=BUCKET)
+    return gaps.all_gaps(spans_of_events(spark, sf, few_ranks=True, shorter=1000), bucket_ns=BUCKET)
 
 
 @query
@@ -433,6 +441,12 @@ def h5_resolve_names(spark, sf):
     return attribution.resolve_names(n, _index(spark, sf))
 
 
+@query
+def h6_flattened(spark, sf):
+    n = spans_of_events(spark, sf).select(F.concat(F.lit("kernel_cutlass_kernel_pkg"), F.regexp_extract("name", r"^(.*)_", 1), "name", F.lit("_object_at_0x7f")).alias("name"))
+    return attribution.resolve_names(n, _index(spark, sf))
+
+
 @query
 def h7_call_sites(spark, sf):
     site = F.concat(F.when(F.col("correlation") == 0, "/").otherwise(""), F.lit("pkg/"), F.regexp_extract("name", r"^(.*)_", 1), F.lit(".py:"), F.col("correlation").cast("string"))
@@ -489,6 +503,13 @@ def j2_shifted(spark, sf):
     return clocks.shift_spans(spans_of_events(spark, sf), _shifts(spark, sf)).select("span_id", "ts_ns", "end_ns")
 
 
+@query
+def j2_shifted_flows(spark, sf):
+    s = spans_of_events(spark, sf)
+    moved = clocks.apply_shifts(Bundle(s, tracks_of(s), _flows(spark, sf), runs_of_events(spark, sf)), _shifts(spark, sf))
+    return moved.flows.select("rank", "flow_id", "tid", "ts_ns", "is_start")
+
+
 @query
 def j3_shift_summary(spark, sf):
     return clocks.shift_summary(_shifts(spark, sf))
@@ -542,12 +563,26 @@ def k5_base_names(spark, sf):
     return _mangled(spark, sf).select("name").distinct().withColumn("base", kernel_base_name(F.col("name")))
 
 
-@query
-def k6_builds(spark, sf):
+def _builds(spark, sf) -> DataFrame:
     r = F.col("rank")
     version = F.when(r % 4 == 0, F.concat(F.lit("0.26.1rc1.dev"), r.cast("string"), F.lit("+g1a2b3c4d"))).when(r % 4 == 1, F.concat(F.lit("0.33.0rc1.dev"), r.cast("string"), F.lit("+stamp.cfee12e")))
     version = version.when(r % 4 == 2, F.concat(F.lit("0."), r.cast("string"), F.lit(".0"))).otherwise(F.lit("unknown"))
-    b = stats.build_refs(runs_of_events(spark, sf).withColumn("version", version))
+    return stats.build_refs(runs_of_events(spark, sf).withColumn("version", version))
+
+
+@query
+def k6_matches(spark, sf):
+    """Whether a repository's describe text is of each rank's build: half the commits, all the distances and two thirds of the tags are."""
+    r, n = F.col("rank"), F.col("rank").cast("string")
+    commit = F.when(r % 8 == 0, "v0.26.1-3-g1a2b3c4d").otherwise("v0.26.1-3-gffffffff")
+    tag = F.when(r % 3 != 0, F.concat(F.lit("v0."), n, F.lit(".0"))).otherwise("v9.9.9")
+    describe = F.when(r % 4 == 0, commit).when(r % 4 == 1, F.concat(F.lit("v0.33.0rc1-"), n, F.lit("-gcfee12e"))).otherwise(tag)
+    return _builds(spark, sf).select("rank", matches_build(F.col("build"), describe).alias("matches"))
+
+
+@query
+def k6_builds(spark, sf):
+    b = _builds(spark, sf)
     return b.select("rank", "version", "build.kind", "build.value", "build.dist")
 
 
@@ -575,6 +610,20 @@ def l2_live_stats(spark, sf):
     return spark.read.parquet(f"{base}/result")
 
 
+@query
+def l3_live_gaps(spark, sf):
+    """The gaps as they are written after each of two batches, of which each has half of the ranks."""
+    s, f, r = spans_of_events(spark, sf), _flows(spark, sf), runs_of_events(spark, sf)
+    t = tracks_of(s).withColumn("track", F.lit(""))
+    base = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    refresh = live.live_gaps(spark, f"{base}/store", f"{base}/gaps")
+    for n in (0, 1):
+        half = lambda df, n=n: df.filter(F.col("rank") % 2 == n)
+        write_store(Bundle(half(s.select(*SPAN_COLUMNS)), half(t), half(f), half(r)), f"{base}/store", batch=n)
+        refresh(n)
+    return spark.read.parquet(f"{base}/gaps").drop("batch")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ DAY = 86_400 * 10**9
 W0, W1 = 3 * DAY, 12 * DAY
 
 
-def _spans(exec_names: bool = False, few_ranks: bool = False) -> str:
+def _spans(exec_names: bool = False, few_ranks: bool = False, shorter: int = 1) -> str:
     name = "event_type || '_' || (k % 5)"
     if exec_names:
         step = "'execute_context_' || (k % 3) || '(' || k || ')_generation_' || (k % 5) || '(' || (k % 7) || ')'"
@@ -20,7 +20,7 @@ def _spans(exec_names: bool = False, few_ranks: bool = False) -> str:
       ELSE CASE WHEN k < 20 THEN 'python_function' ELSE 'cpu_op' END END AS cat,
     CAST(CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_id % 2 ELSE 2 + event_id % 2 END AS VARCHAR) AS tid,
     (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 1000 AS ts_ns,
-    CAST(round(value * 100) AS BIGINT) * 12000000000 AS dur_ns
+    CAST(round(value * 100) AS BIGINT) * {12_000_000_000 // shorter} AS dur_ns
   FROM e
 ), spans AS (
   SELECT *, ts_ns + dur_ns AS end_ns, tid IN ('0', '1') AS gpu FROM s0
@@ -30,6 +30,8 @@ def _spans(exec_names: bool = False, few_ranks: bool = False) -> str:
 BASE = "WITH " + _spans()
 NAMED = "WITH " + _spans(exec_names=True)
 TWO = "WITH " + _spans(few_ranks=True)
+SHORT = "WITH " + _spans(few_ranks=True, shorter=1000)
+DEEP = "WITH RECURSIVE " + _spans()
 GPU = BASE + ", g AS (SELECT * FROM spans WHERE gpu)"
 SEL = BASE + f", w AS (SELECT * FROM spans WHERE gpu AND end_ns >= {W0} AND ts_ns <= {W1})"
 TRACKS = """, tracks AS (
@@ -134,6 +136,37 @@ HISTOGRAM = """, edge AS (SELECT {by} min(dur_ns) AS lo, max(dur_ns) AS hi FROM
 HIST_NAME = HISTOGRAM.format(by="name,", group="GROUP BY name", sby="s.name,", on="s.name = e.name", eby="e.name,", con="c.name = e.name")
 HIST_ALL = HISTOGRAM.format(by="", group="", sby="", on="true", eby="", con="true")
 
+
+
+def _lanes(source: str, by: str, out: str) -> str:
+    """Adds lane to the rows of source: first fit, one row of every group at a time."""
+    same = " AND ".join(f"o.{c} = r.{c}" for c in by.split(", "))
+    return f""", {out}_o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ts_ns, seq) AS rn FROM {source}
+), {out}_r AS (
+  SELECT {by}, rn, span_id, [end_ns] AS ends, 0 AS lane FROM {out}_o WHERE rn = 1
+  UNION ALL SELECT {by}, rn, span_id, CASE WHEN p = 0 THEN list_append(ends, end_ns) ELSE list_concat(list_slice(ends, 1, p - 1), [end_ns], list_slice(ends, p + 1, len(ends))) END, CAST(CASE WHEN p = 0 THEN len(ends) ELSE p - 1 END AS INTEGER)
+  FROM (SELECT o.*, r.ends, coalesce(list_position(list_transform(r.ends, lambda x: x <= o.ts_ns), true), 0) AS p FROM {out}_r r JOIN {out}_o o ON {same} AND o.rn = r.rn + 1)
+), {out} AS (SELECT s.*, l.lane FROM {source} s JOIN {out}_r l USING (span_id))"""
+
+
+#: Gets the state (i, j) of the alignment of every pair forward by one decision.
+DIFF = """, g AS (SELECT CAST(rank // 2 AS INTEGER) AS pair, rank % 2 AS side, name, dur_ns, ts_ns, seq FROM spans WHERE gpu
+), sa AS (SELECT pair, list(name ORDER BY ts_ns, seq) AS a, list(dur_ns ORDER BY ts_ns, seq) AS da FROM g WHERE side = 0 GROUP BY pair
+), sb AS (SELECT pair, list(name ORDER BY ts_ns, seq) AS b, list(dur_ns ORDER BY ts_ns, seq) AS db FROM g WHERE side = 1 GROUP BY pair
+), sq AS (SELECT pair, coalesce(a, []) AS a, coalesce(b, []) AS b, da, db FROM sa FULL JOIN sb USING (pair)
+), st AS (
+  SELECT pair, 1 AS i, 1 AS j, 0 AS line, '' AS kind, 0 AS n, 0 AS i0, 0 AS j0 FROM sq
+  UNION ALL SELECT pair, CASE kind WHEN 'added' THEN i ELSE i + n END, CASE kind WHEN 'removed' THEN j ELSE j + n END, line + n_before, kind, n, i, j
+  FROM (SELECT *, CASE WHEN i > len(a) THEN len(b) - j + 1 WHEN j > len(b) THEN len(a) - i + 1 WHEN kind IN ('same', 'both') THEN 1 WHEN kind = 'added' THEN kb ELSE ka END AS n
+    FROM (SELECT *, CASE WHEN i > len(a) THEN 'added' WHEN j > len(b) THEN 'removed' WHEN a[i] = b[j] THEN 'same' WHEN ka IS NULL AND kb IS NULL THEN 'both' WHEN ka IS NULL OR kb <= ka THEN 'added' ELSE 'removed' END AS kind
+      FROM (SELECT st.pair, i, j, line, CASE kind WHEN '' THEN 0 WHEN 'both' THEN 2 ELSE n END AS n_before, a, b, nullif(list_position(list_slice(b, j + 1, j + 199), a[i]), 0) AS kb, nullif(list_position(list_slice(a, i + 1, i + 199), b[j]), 0) AS ka
+        FROM st JOIN sq USING (pair) WHERE i <= len(a) OR j <= len(b))))
+), ops AS (SELECT pair, line, kind, i0, j0, unnest(range(n)) AS k FROM st WHERE kind <> ''
+), diff AS (
+  SELECT pair, line + k AS line, kind, CASE kind WHEN 'added' THEN b[j0 + k] ELSE a[i0 + k] END AS name, CASE WHEN kind <> 'added' THEN da[i0 + k] END AS dur_a, CASE WHEN kind <> 'removed' THEN db[j0 + k] END AS dur_b
+  FROM (SELECT * FROM ops WHERE kind <> 'both' UNION ALL SELECT pair, line, 'removed', i0, j0, 0 FROM ops WHERE kind = 'both' UNION ALL SELECT pair, line + 1, 'added', i0, j0, 0 FROM ops WHERE kind = 'both') JOIN sq USING (pair)
+)"""
+
 SQL: dict[str, str] = {
     "a6_rank_groups": "WITH x AS (SELECT 1)" + PATHS + """, p AS (SELECT CAST(rank % 3 AS VARCHAR) AS source_dir, replace(path, '.json', '_x.json') AS path, rank FROM runs
 ), n AS (SELECT *, count(*) OVER (PARTITION BY source_dir) AS n FROM p)
@@ -146,6 +179,32 @@ SELECT source_dir, path, CASE WHEN n > 1 THEN 'ep-group' END AS "group", CASE WH
     "b2_tracks": BASE + TRACKS + " SELECT run, rank, '0' AS pid, tid, n_events, gpu, track_idx FROM tracks",
     "b3_labels": BASE + TRACKS + """, l AS (SELECT rank, tid, arg_max('w' || correlation, seq) AS label FROM spans WHERE cat = 'kernel' AND correlation < 2 GROUP BY ALL)
 SELECT t.rank, t.tid, coalesce(label, CASE WHEN gpu THEN 'GPU ' ELSE 'Thread ' END || t.tid) AS track FROM tracks t LEFT JOIN l ON t.rank = l.rank AND t.tid = l.tid""",
+    "b5_lanes": DEEP + _lanes("spans", "rank, tid", "ln") + " SELECT span_id, lane FROM ln",
+    "b9_merged_rows": DEEP + ", g AS (SELECT * FROM spans WHERE gpu)" + _lanes("g", "rank, tid", "ln") + """, kept AS (
+  SELECT * EXCLUDE (lane) FROM ln a WHERE NOT EXISTS (SELECT 1 FROM ln b WHERE b.rank = a.rank AND b.tid = a.tid AND (b.ts_ns > a.ts_ns OR (b.ts_ns = a.ts_ns AND b.seq > a.seq)) AND b.lane >= a.lane + 2 AND b.ts_ns <= a.end_ns)
+)""" + _lanes("kept", "rank", "mr") + " SELECT rank AS row_rank, span_id, lane FROM mr",
+    "b8_merge": BASE + ", o AS (SELECT min(ts_ns) AS t0 FROM spans) SELECT span_id, CAST(rank % 2 AS INTEGER) AS rank, 'Rank ' || (rank % 2) || ' Rank ' || rank || CASE WHEN gpu THEN ' GPU ' ELSE ' Thread ' END || tid AS track, ts_ns - t0 AS ts_ns, end_ns - t0 AS end_ns FROM spans, o",
+    "c7_region": DEEP + _lanes("spans", "rank, tid", "ln") + f" SELECT span_id, lane FROM ln WHERE gpu AND end_ns >= {W0} AND ts_ns <= {W1} AND (lane BETWEEN 1 AND 2 OR (ts_ns >= {W0} AND end_ns <= {W1}))",
+    "h2_flows_of": DEEP + FLOWS + _lanes("spans", "rank, tid", "ln") + """, hits AS (
+  SELECT h.span_id, h.rank, flow_id, dst_tid, dst_ts FROM ln h JOIN pairs p ON p.rank = h.rank AND p.src_tid = h.tid AND p.src_ts BETWEEN h.ts_ns - 1 AND h.end_ns + 1
+), par AS (
+  SELECT c.span_id, arg_max(p.span_id, struct_pack(a := p.ts_ns, b := p.span_id)) AS up FROM ln c JOIN ln p ON p.rank = c.rank AND p.tid = c.tid AND p.lane = c.lane - 1 AND p.ts_ns <= c.ts_ns AND p.end_ns >= c.end_ns GROUP BY c.span_id
+), walk AS (
+  SELECT span_id, span_id AS at_id FROM spans WHERE cat = 'cpu_op'
+  UNION ALL SELECT w.span_id, par.up FROM walk w JOIN par ON par.span_id = w.at_id WHERE w.at_id NOT IN (SELECT span_id FROM hits)
+), found AS (SELECT DISTINCT w.span_id, at_id, h.rank, flow_id, dst_tid, dst_ts FROM walk w JOIN hits h ON h.span_id = w.at_id)
+SELECT f.span_id, at_id, flow_id, arg_min(s.span_id, struct_pack(a := s.ts_ns, b := s.seq)) AS dst_id
+FROM found f LEFT JOIN spans s ON s.rank = f.rank AND s.tid = f.dst_tid AND s.ts_ns BETWEEN f.dst_ts - 1 AND f.dst_ts + 1 GROUP BY f.span_id, at_id, flow_id, f.dst_tid, f.dst_ts""",
+    "h6_flattened": BASE + """, n AS (SELECT DISTINCT name, regexp_extract(name, '^(.*)_', 1) AS kind FROM spans)
+SELECT 'kernel_cutlass_kernel_pkg' || kind || name || '_object_at_0x7f' AS name, 1 AS n, 'pkg/' || kind || '.py' AS path, CAST(row_number() OVER (PARTITION BY kind ORDER BY name) AS INTEGER) AS line FROM n""",
+    "i1_diff": DEEP + DIFF + " SELECT pair, line, kind, name, dur_a, dur_b FROM diff",
+    "i3_diff_segments": DEEP + DIFF + """, sg AS (
+  SELECT *, sum(CASE WHEN kind = 'same' OR prev = 'same' OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY pair ORDER BY line) AS segment FROM (SELECT *, lag(kind) OVER (PARTITION BY pair ORDER BY line) AS prev FROM diff)
+), sums AS (SELECT pair, CAST(segment AS BIGINT) AS segment, CASE WHEN bool_or(kind = 'same') THEN 'same' ELSE 'changed' END AS kind, count(*) AS n, CAST(coalesce(sum(dur_a), 0) AS BIGINT) AS dur_a, CAST(coalesce(sum(dur_b), 0) AS BIGINT) AS dur_b FROM sg GROUP BY pair, segment)
+SELECT *, greatest(dur_a, dur_b) AS budget FROM sums""",
+    "j2_shifted_flows": BASE + SHIFTS + FLOWS.replace(", pairs AS", ", unused AS") + " SELECT f.rank, flow_id, tid, f.ts_ns + coalesce(shift_ns, 0) AS ts_ns, is_start FROM flows f LEFT JOIN shifts s ON s.rank = f.rank",
+    "k6_matches": "WITH x AS (SELECT 1)" + PATHS + " SELECT rank, CASE rank % 4 WHEN 0 THEN rank % 8 = 0 WHEN 1 THEN true WHEN 2 THEN rank % 3 <> 0 END AS matches FROM runs",
+    "l3_live_gaps": BASE + BUSY + GAPS + " SELECT * FROM gaps",
     "b6_peak": BASE + """, p AS (SELECT rank, tid, ts_ns AS t, 1 AS d FROM spans WHERE dur_ns > 0 UNION ALL SELECT rank, tid, end_ns, -1 FROM spans WHERE dur_ns > 0
 ), q AS (SELECT rank, tid, sum(d) OVER (PARTITION BY rank, tid ORDER BY t, d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM p)
 SELECT rank, tid, CAST(max(k) AS BIGINT) AS peak FROM q GROUP BY ALL""",
@@ -188,7 +247,7 @@ SELECT span_id, round(greatest(0.0, least(1.0, (log10(dur_ns / 1000.0) - lo) / (
     "f1_islands_two_ranks": TWO + ", g AS (SELECT * FROM spans WHERE gpu)" + _islands("g", "rank") + " SELECT rank, island, min(ts_ns) AS ts_ns, max(end_ns) AS end_ns, count(*) AS n_spans FROM isl GROUP BY rank, island",
     "f2_gaps": BASE + BUSY + GAPS + " SELECT * FROM gaps",
     "f3_top_gaps": BASE + BUSY + GAPS + f", c AS (SELECT scope, greatest(t0, {W0}) AS t0, least(t1, {W1}) AS t1, prev_name, next_name FROM gaps) SELECT scope, t0, t1, t1 - t0 AS gap_ns, prev_name, next_name FROM c WHERE t1 - t0 >= 1000 ORDER BY gap_ns DESC, scope, t0 LIMIT 500",
-    "f3_gaps_two_ranks": TWO + BUSY + GAPS + " SELECT * FROM gaps",
+    "f3_gaps_two_ranks": SHORT + BUSY + GAPS + " SELECT * FROM gaps",
     "f4_gap_causes": BASE + BUSY + GAPS + """, top AS (SELECT * FROM gaps ORDER BY gap_ns DESC, scope, t0 LIMIT 500
 ), hit AS (
   SELECT scope, t0, t1, greatest(ts_ns, t0) AS ts_ns, least(end_ns, t1) AS end_ns, seq, name, cat FROM top JOIN spans ON rank = scope AND ts_ns < t1 AND end_ns > t0

@@ -7,7 +7,13 @@ what is read once (``sources.store``), as every use of a Bundle parses anew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import re
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import coordinate
@@ -63,16 +69,70 @@ def discover(spark: SparkSession, dirs: list[str], known: DataFrame | None = Non
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row for each file: its path and parsed document. Damaged files, truncated gzip among them, are dropped whole (A2)."""
+    """One row for each file: its path and parsed document. Damaged files come out without events or not at all: see ``bad_files`` and ``salvaged``."""
     docs = spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").json(paths)
     return docs.withColumn("path", F.col("_metadata.file_path"))
 
 
+def bad_files(spark: SparkSession, paths: list[str], docs: DataFrame) -> DataFrame:
+    """A2: (path, length) of the files of which ``docs`` has no events."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")  # contents aren't read
+    whole = docs.filter("traceEvents is not null").select(F.regexp_replace("path", "^file:/*", "/").alias("p")).distinct()
+    return files.withColumn("p", F.regexp_replace("path", "^file:/*", "/")).join(whole, "p", "left_anti").select("path", "length")
+
+
+def _mended(content: bytes) -> str | None:
+    """The document up to the last event that is whole, of a truncated text or gzip; None where there is none."""
+    if content[:2] == b"\x1f\x8b":
+        content = zlib.decompressobj(31).decompress(content)
+    text = content.decode("utf-8", "ignore")
+    start = re.search(r'"traceEvents"\s*:\s*\[', text)
+    if not start:
+        return None
+    decoder, end, at = json.JSONDecoder(), start.end(), start.end()
+    while m := re.compile(r"[\s,]*(?=\{)").match(text, at):
+        try:
+            _, at = decoder.raw_decode(text, m.end())
+        except ValueError:
+            break
+        end = at
+    return text[:end] + "]}" if end > start.end() else None
+
+
+def salvaged(spark: SparkSession, bad: DataFrame) -> DataFrame:
+    """A2: what can be read of damaged files, as ``read_documents`` gives it: the events before the damage, and the header if it stands before them.
+
+    Each damaged file is mended in a task of its own, and must fit one.
+    """
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    found.append((path, _mended(content)))
+                except zlib.error:
+                    found.append((path, None))
+            yield pd.DataFrame(found, columns=["path", "value"])
+
+    paths = [r["path"] for r in bad.select("path").collect()]  # damaged files are few
+    if not paths:
+        return spark.createDataFrame([], f"{DOCUMENT}, path string")
+    text = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(mend, "path string, value string").filter("value is not null")
+    return text.select(F.from_json("value", DOCUMENT).alias("d"), "path").select("d.*", "path")
+
+
+def run_name(run: str, rank: Column) -> Column:
+    """A file without a rank is a trace of its own, named by its file."""
+    return F.when(rank.isNull(), F.concat(F.lit(f"{run}:"), file_name())).otherwise(F.lit(run))
+
+
 def headers(docs: DataFrame, run: str) -> DataFrame:
     """A4: (run, rank, path, device, version, dist_rank, dist_world, dp, tp, pp, ep, dcp)."""
+    rank = F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"])
     h = docs.select(
-        F.lit(run).alias("run"),
-        F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"]).alias("rank"),
+        run_name(run, rank).alias("run"),
+        rank.alias("rank"),
         "path",
         F.get("deviceProperties", F.lit(0))["name"].alias("device"),
         F.col("vllm_version").alias("version"),
@@ -85,7 +145,7 @@ def headers(docs: DataFrame, run: str) -> DataFrame:
 def explode_events(docs: DataFrame, run: str) -> DataFrame:
     """Every event with its run, rank and ordinal."""
     rank = F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"])
-    return docs.select(F.lit(run).alias("run"), rank.alias("rank"), F.posexplode("traceEvents").alias("seq", "e")).select("run", "rank", F.col("seq").cast("long").alias("seq"), "e.*")
+    return docs.select(run_name(run, rank).alias("run"), rank.alias("rank"), F.xxhash64("path").alias("file"), F.posexplode("traceEvents").alias("seq", "e")).select("run", "rank", "file", F.col("seq").cast("long").alias("seq"), "e.*")
 
 
 def _ns(c: str):
@@ -96,7 +156,7 @@ def assemble(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans, tracks and flows of events: complete events with a duration, thread names, flow ends."""
     x = events.filter((F.col("ph") == "X") & F.col("dur").isNotNull() & F.col("ts").isNotNull())
     spans = x.select(
-        "run", "rank", "pid", "tid", "seq", F.xxhash64("run", "rank", "seq").alias("span_id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("cat", F.lit("")).alias("cat"),
+        "run", "rank", "pid", "tid", "seq", F.xxhash64("file", "run", "rank", "seq").alias("span_id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("cat", F.lit("")).alias("cat"),
         _ns("ts").alias("ts_ns"), _ns("dur").alias("dur_ns"), (_ns("ts") + _ns("dur")).alias("end_ns"), "args",
     )
     names = events.filter((F.col("ph") == "M") & (F.col("name") == "thread_name"))
@@ -107,9 +167,16 @@ def assemble(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return spans, tracks, flows
 
 
-def read_traces(spark: SparkSession, paths: list[str], run: str) -> Bundle:
-    """A1: all files as one run, times as recorded; ``operators.tracks`` normalises and merges."""
+def read_traces(spark: SparkSession, paths: list[str], run: str, salvage: bool = False) -> Bundle:
+    """A1: all files with a rank as one run, each other file as a run of its own, times as recorded; ``operators.tracks`` normalises and merges.
+
+    With ``salvage`` damaged files give the events before the damage; finding
+    them takes a pass of its own. A file that is a rank's second one keeps its
+    spans apart by their identifiers.
+    """
     docs = read_documents(spark, paths)
+    if salvage:
+        docs = docs.filter("traceEvents is not null").unionByName(salvaged(spark, bad_files(spark, paths, docs)))
     spans, tracks, flows = assemble(explode_events(docs, run))
     start = spans.groupBy("run", "rank").agg(F.min("ts_ns").alias("min_ts_ns"))
     h = headers(docs, run).alias("h")

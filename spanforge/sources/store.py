@@ -10,21 +10,23 @@ from spanforge.schema import FLOWS, RUNS, SPANS, TRACKS, Bundle
 TABLES = {"spans": SPANS, "tracks": TRACKS, "flows": FLOWS, "runs": RUNS}
 
 
-def write_store(bundle: Bundle, path: str, mode: str = "append") -> None:
-    """Each rank is a partition of files; sorted files let readers skip by time. AQE splits large ranks."""
+def write_store(bundle: Bundle, path: str, mode: str = "append", batch: int | None = None) -> None:
+    """Each rank is a partition of files; sorted files let readers skip by time. AQE splits large ranks. A batch has folders of its own."""
     for name in TABLES:
         df: DataFrame = getattr(bundle, name)
         df = df.hint("rebalance", "run", "rank")
         order = [c for c in ("pid", "tid", "ts_ns") if c in df.columns]
         df = df.sortWithinPartitions("run", "rank", *order)
-        df.write.mode(mode).partitionBy("run", "rank").parquet(f"{path}/{name}")
+        df.write.mode(mode).partitionBy("run", "rank").parquet(f"{path}/{name}" if batch is None else f"{path}/{name}/batch={batch}")
 
 
-def read_store(spark: SparkSession, path: str, runs: list[str] | None = None) -> Bundle:
-    """The tables; ``runs`` prunes their partitions."""
+def read_store(spark: SparkSession, path: str, runs: list[str] | None = None, batch: int | None = None) -> Bundle:
+    """The tables; ``runs`` and ``batch`` prune their partitions."""
 
     def table(name: str) -> DataFrame:
-        df = spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
-        return df if runs is None else df.filter(F.col("run").isin(runs))
+        df = spark.read.schema(TABLES[name] if batch is None else f"{TABLES[name]}, batch int").parquet(f"{path}/{name}")
+        df = df if batch is None else df.filter(F.col("batch") == batch)
+        df = df if runs is None else df.filter(F.col("run").isin(runs))
+        return df.select(*[c.split()[0] for c in TABLES[name].split(", ")])
 
     return Bundle(*map(table, TABLES))

@@ -19,18 +19,18 @@ BUCKET_NS = 1_000_000_000
 def watch_traces(spark: SparkSession, directory: str, store: str, checkpoint: str, run: str = "live", once: bool = False, on_batch=None) -> StreamingQuery:
     """L1: new files of the directory, parsed and appended to the store with each trigger.
 
-    ``on_batch(store)`` runs after each append. A batch that is repeated after a
-    failure is written again to the same folder of the store, so that files
-    count once: the store has one folder for each batch.
+    ``on_batch(n)`` runs after each append. A batch that is repeated after a
+    failure is written again to the same folders of the store, so that files
+    count once: each table has one folder for each batch.
     """
     files = spark.readStream.schema(DOCUMENT).option("multiLine", "true").option("pathGlobFilter", "*.json*").json(directory).withColumn("path", F.col("_metadata.file_path"))
 
     def append(batch: DataFrame, n: int) -> None:
         spans, tracks, flows = assemble(explode_events(batch, run))
         runs = headers(batch, run).withColumn("min_ts_ns", F.lit(None).cast("long"))
-        write_store(Bundle(spans, tracks, flows, runs), f"{store}/batch={n}", mode="overwrite")
+        write_store(Bundle(spans, tracks, flows, runs), store, mode="overwrite", batch=n)
         if on_batch:
-            on_batch(n, f"{store}/batch={n}")
+            on_batch(n)
 
     w = files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=INTERVAL)).start()
@@ -38,7 +38,7 @@ def watch_traces(spark: SparkSession, directory: str, store: str, checkpoint: st
 
 def read_spans(spark: SparkSession, store: str) -> DataFrame:
     """The spans of all batches of a watched store."""
-    return spark.read.schema(SPANS).parquet(f"{store}/batch=*/spans")
+    return read_store(spark, store).spans
 
 
 def stream_spans(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +60,8 @@ def live_stats(stream: DataFrame) -> DataFrame:
 def live_gaps(spark: SparkSession, store: str, out: str):
     """L3: a function for ``on_batch``: all gaps of the ranks that the batch touched, from the whole store, written by batch."""
 
-    def refresh(n: int, batch: str) -> None:
-        touched = read_store(spark, batch).spans.select(scope().alias("scope")).distinct()
+    def refresh(n: int) -> None:
+        touched = read_store(spark, store, batch=n).spans.select(scope().alias("scope")).distinct()
         spans = read_spans(spark, store).withColumn("scope", scope()).join(F.broadcast(touched), "scope", "left_semi").drop("scope")  # ranks of one batch
         all_gaps(spans, bucket_ns=BUCKET_NS).write.mode("overwrite").parquet(f"{out}/batch={n}")
 

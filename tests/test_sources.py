@@ -6,7 +6,7 @@ from spanforge.operators.gaps import all_gaps
 from spanforge.operators.stats import kernel_stats
 from spanforge.operators.tracks import with_tracks
 from spanforge.schema import FLOWS, RUNS, SPANS, TRACKS, Bundle
-from spanforge.sources.ingest import discover, rank_groups, read_traces
+from spanforge.sources.ingest import bad_files, discover, rank_groups, read_documents, read_traces
 from spanforge.sources.store import read_store, write_store
 from spanforge.streaming import live
 
@@ -128,7 +128,7 @@ def test_watching(spark, tmp_path):
     q.awaitTermination()
     spans = live.read_spans(spark, store)
     assert spans.count() == 8 and spark.read.parquet(out).count() == 0
-    s = live.live_stats(live.stream_spans(spark, f"{store}/batch=*/spans"))
+    s = live.live_stats(live.stream_spans(spark, f"{store}/spans"))
     q = s.writeStream.format("memory").queryName("live_stats").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.name: (r["count"], r.total_ns, r.max_ns, r.min_ns) for r in spark.table("live_stats").collect()}
@@ -140,8 +140,35 @@ def test_live_gaps_has_all_gaps(spark, tmp_path):
     rows = [("r", rank, "0", "1", "t", True, i, 1000 * rank + i, f"k{i}", "kernel", i * step, 1000, i * step + 1000, None) for rank, step in ((0, 9_000), (1, 3_000)) for i in range(601)]
     spans = spark.createDataFrame(rows, SPANS)
     _, tracks, flows = (spark.createDataFrame([], x) for x in (SPANS, TRACKS, FLOWS))
-    write_store(Bundle(spans, tracks, flows, spark.createDataFrame([], RUNS)), f"{store}/batch=0")
-    live.live_gaps(spark, store, out)(0, f"{store}/batch=0")
+    write_store(Bundle(spans, tracks, flows, spark.createDataFrame([], RUNS)), store, batch=0)
+    live.live_gaps(spark, store, out)(0)
     got = spark.read.parquet(f"{out}/batch=0")
     assert {(r.scope, r["count"]) for r in got.groupBy("scope").count().collect()} == {(0, 600), (1, 600)}
     assert sorted(got.collect()) == sorted(all_gaps(spans).collect())
+
+
+def test_damaged_files_are_reported_and_salvaged(spark, tmp_path):
+    many = [dict(EVENTS[0], name=f"k{i}", ts=1700000000000000 + i) for i in range(400)]
+    header = {"distributedInfo": {"rank": 1, "world_size": 4}}
+    whole = gzip.compress(json.dumps(header | {"traceEvents": many}).encode())
+    (tmp_path / "x-rank-1.json.gz").write_bytes(whole[: len(whole) * 2 // 3])
+    (tmp_path / "x-rank-2.json").write_text(json.dumps({"traceEvents": many})[:5000])
+    (tmp_path / "x-rank-3.json").write_text(json.dumps({"traceEvents": many[:7]}))
+    (tmp_path / "x-rank-4.json").write_text('{"traceEvents": [')
+    paths = [str(tmp_path)]
+    docs = read_documents(spark, paths)
+    assert {r.path[-13:] for r in bad_files(spark, paths, docs).collect()} == {"-rank-1.json.gz"[-13:], "/x-rank-2.json"[-13:], "/x-rank-4.json"[-13:]}
+    got = {}
+    for r in read_traces(spark, paths, "r", salvage=True).spans.collect():
+        got.setdefault(r["rank"], []).append(r.name)
+    assert set(got) == {1, 2, 3} and len(got[3]) == 7
+    for k in (1, 2):
+        assert 20 < len(got[k]) < 400 and sorted(got[k], key=lambda x: int(x[1:])) == [f"k{i}" for i in range(len(got[k]))]
+
+
+def test_files_without_a_rank_stay_apart(spark, tmp_path):
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text(json.dumps({"traceEvents": EVENTS}))
+    b = read_traces(spark, [str(tmp_path)], "r")
+    assert b.spans.select("span_id").distinct().count() == 4 and {r.run for r in b.runs.collect()} == {"r:a.json", "r:b.json"}
+    assert b.tracks.count() == 4 and {r.n_events for r in b.tracks.collect()} == {1}
