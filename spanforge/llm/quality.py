@@ -29,7 +29,7 @@ from spanforge.storage import materialize
 
 FOLDS, HELD = 4, 2
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-DIM, NONZERO, REACH, HIDDEN = 64, 4, 2, 32
+DIM, NONZERO, REACH, HIDDEN = 64, 2, 2, 32
 #: Words that have a vector of their own: the most frequent ones. Rarer ones share that of their shape.
 MAX_WORDS = 8000
 SHAPES = ("<x>", "<Xx>", "<XX>", "<xX>", "<9>", "<#>", "<again>")
@@ -108,23 +108,20 @@ class Vocabulary:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, without the words that repeat the one before them."""
+    """(word, n) over all texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for b in batches:
             for t in b["text"]:
-                words, again = words_of(t)
-                seen.update(words)
-                for i in again.tolist():
-                    seen[words[i]] -= 1
+                seen.update(TOKEN.findall(t or ""))
                 if len(seen) > HELD_WORDS:
                     yield pd.DataFrame(seen.items(), columns=["word", "n"])
                     seen = Counter()
         yield pd.DataFrame(seen.items(), columns=["word", "n"])
 
     found = in_small_batches(docs).select("text").mapInPandas(run, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
