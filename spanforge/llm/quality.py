@@ -13,7 +13,6 @@ scored, over its whole text.
 
 from __future__ import annotations
 
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ SHAPES = ("<x>", "<Xx>", "<XX>", "<xX>", "<9>", "<#>", "<again>")
 PRIOR_WORDS = 8
 #: What the network's fit takes at most: labelled rows and their characters.
 MAX_ROWS, MAX_CHARS = 2000, 10_000_000
-#: Distinct words that a task counts before it passes the counts on, and tokens that it handles at once.
+#: Distinct pieces of text that a task counts before it passes the counts on, and tokens that it handles at once.
 HELD_WORDS, CHUNK = 200_000, 200_000
 #: Words without a number that a task remembers.
 REMEMBERED = 100_000
@@ -47,6 +46,8 @@ UNIT = 1 << 16
 
 def shape(word: str) -> int:
     """Which of ``SHAPES`` a word without a vector has: lower case, capitalised, capitals, mixed, with digits, marks."""
+    if word.isalpha() and word.islower():  # most words
+        return 0
     if not word[0].isalnum() and word[0] != "_":
         return 5
     if any(c.isdigit() for c in word):
@@ -54,12 +55,6 @@ def shape(word: str) -> int:
     return 0 if word.islower() else 2 if word.isupper() and len(word) > 1 else 1 if word[0].isupper() and not any(c.isupper() for c in word[1:]) else 3
 
 
-def words_of(text: str | None) -> tuple[list[str], np.ndarray]:
-    """Words and runs of marks, and the places of those that repeat the one before them."""
-    t = TOKEN.findall(text or "")
-    return t, 1 + np.flatnonzero(np.fromiter(map(operator.eq, t[1:], t), bool, max(len(t) - 1, 0)))
-
-
 class Numbers(dict):
     """Numbers of words; the words without one, up to ``REMEMBERED``, are remembered with that of their shape."""
 
@@ -91,9 +86,13 @@ class Vocabulary:
 
     def of(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words; a word that repeats the one before it is ``<again>``."""
-        t, again = words_of(text)
+        t = TOKEN.findall(text or "")
         ids = np.fromiter(map(self.ids.__getitem__, t), np.int64, len(t))
-        ids[again] = self.size - 1
+        again = 1 + np.flatnonzero(ids[1:] == ids[:-1])
+        # equal numbers are equal words but for those that share the number of a shape
+        unsure = ids[again] >= self.ids.first
+        same = [t[i] == t[i - 1] for i in again[unsure].tolist()]
+        ids[np.concatenate([again[~unsure], again[unsure][np.array(same, bool)]])] = self.size - 1
         return ids
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +110,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: Counter = Counter()  # of what white space parts, each to be taken apart once
+
+        def flush() -> pd.DataFrame:
+            words: dict[str, int] = {}
+            for piece, n in seen.items():
+                for w in (piece,) if piece.isalnum() else TOKEN.findall(piece):
+                    words[w] = words.get(w, 0) + n
+            seen.clear()
+            return pd.DataFrame(words.items(), columns=["word", "n"])
+
         for b in batches:
             for t in b["text"]:
-                seen.update(TOKEN.findall(t or ""))
+                seen.update((t or "").split())
                 if len(seen) > HELD_WORDS:
-                    yield pd.DataFrame(seen.items(), columns=["word", "n"])
-                    seen = Counter()
-        yield pd.DataFrame(seen.items(), columns=["word", "n"])
+                    yield flush()
+        yield flush()
 
     found = in_small_batches(docs).select("text").mapInPandas(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
