@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import decontaminate, interpolate, licences, merkle, mixing, pii, quality, simhash, toolcalls, toxicity
+from spanforge.llm import decontaminate, interpolate, knn, lexical, licences, manifest, merkle, mixing, pii, quality, simhash, toolcalls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +59,22 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.link(*toolcalls.calls_of(table(spark, sf_dir, "conversations")))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = manifest.manifest(docs, manifest.tampered(docs["doc_id"], docs["text"]))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_topk_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_decontamination, op2_toxicity, op3_merkle_fingerprints, op4_simhash, op5_mixing, op6_pii, op7_quality, op8_licences, op9_interpolation, op10_tool_calls)
+    found = (op1_decontamination, op2_toxicity, op3_merkle_fingerprints, op4_simhash, op5_mixing, op6_pii, op7_quality, op8_licences, op9_interpolation, op10_tool_calls, op11_manifest, op12_topk_products, op13_lexical_search)
     return {f.__name__: f for f in found}
 
 
@@ -149,6 +163,57 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
 FROM c2 c FULL JOIN res r ON c.conv_id = r.conv_id AND c.call_id = r.call_id"""
 
 
+# crc32 of the id's digits, a bit at a time: a byte is mixed in, then eight -1 shift
+CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+FIELD = "coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+LEAF = " || ".join(FIELD.format(c=c) for c in manifest.FIELDS)
+LEVELS = 8  # of 16 children: more than the test tables need
+
+
+def _risen(name: str) -> str:
+    """Nodes of each level above ``name`` 0, (g, pos, n, d), where groups of one node stay as they are."""
+    return ", ".join(
+        f"{name}{k + 1} AS (SELECT g, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE max(d) END AS d FROM {name}{k} GROUP BY g, pos // 16, n)" for k in range(LEVELS)
+    )
+
+
+def _folded(name: str, rows: str) -> str:
+    """Of (id, g, pos, now, held) one level up for each level of ``name``: what the siblings make of it, and the siblings."""
+    parts, last = [], rows
+    for k in range(LEVELS):
+        parts.append(f"""{rows}{k} AS (SELECT f.id, f.g, f.pos // 16 AS pos, CASE WHEN any_value(l.n) > 1 THEN sha256(string_agg(CASE WHEN l.pos = f.pos THEN f.now ELSE l.d END, '' ORDER BY l.pos)) ELSE any_value(f.now) END AS now,
+  any_value(f.held) || coalesce(string_agg(l.d, '' ORDER BY l.pos) FILTER (l.pos <> f.pos), '') AS held FROM {last} f JOIN {name}{k} l ON l.g = f.g AND l.pos // 16 = f.pos // 16 GROUP BY f.id, f.g, f.pos)""")
+        last = f"{rows}{k}"
+    return ", ".join(parts)
+
+
+OP11 = f"""WITH rows AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS g, sha256({LEAF}) AS d,
+  CASE WHEN {CRC} % 5 = 0 THEN sha256({LEAF.replace("text", f"translate(text, '{UPPER}', '{LOWER}')")}) ELSE sha256({LEAF}) END AS t FROM documents
+), nd0 AS (SELECT id, doc_id, g, d, t, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM rows
+), {_risen("nd")}, tp0 AS (SELECT '' AS g, g AS source, d, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nd{LEVELS}
+), {_risen("tp")}, fl AS (SELECT id, g, pos, t AS now, '' AS held FROM nd0
+), {_folded("nd", "fl")}, ft AS (SELECT f.id, '' AS g, tp0.pos, f.now, f.held FROM fl{LEVELS - 1} f JOIN tp0 ON tp0.source = f.g
+), {_folded("tp", "ft")}
+SELECT doc_id, nd0.d AS leaf, tp0.d AS subroot, root.d AS root, sha256(held) AS proof_sha256, now AS folded_root, now = root.d AS verified
+FROM nd0 JOIN tp0 ON tp0.source = nd0.g JOIN ft{LEVELS - 1} f ON f.id = nd0.id, tp{LEVELS} root"""
+
+OP12 = """WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 5"""
+
+OP13 = f"""WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {SPLIT} AS w FROM documents
+), st AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM dw
+), tf AS (SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM dw) GROUP BY ALL
+), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term
+), it AS (SELECT DISTINCT item_id, unnest({SPLIT}) AS term FROM benchmark
+), sc AS (
+  SELECT item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM it JOIN df USING (term) JOIN tf USING (term), st GROUP BY item_id, r, doc_id
+), rk AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM rk WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others hash by XXH64, read code-point spans of patterns, or train: SQL can't follow, and brute force tests them."""
-    return {"op1_decontamination": OP1, "op5_mixing": OP5, "op8_licences": OP8, "op10_tool_calls": OP10}
+    return {"op1_decontamination": OP1, "op5_mixing": OP5, "op8_licences": OP8, "op10_tool_calls": OP10, "op11_manifest": OP11, "op12_topk_products": OP12, "op13_lexical_search": OP13}
