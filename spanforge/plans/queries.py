@@ -13,7 +13,7 @@ from spanforge.functions.text import duration_text, kernel_base_name, matches_bu
 from spanforge.operators import attribution, clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
 from spanforge.plans.sql import SQL
 from spanforge.schema import SPAN_COLUMNS, TRACK, Bundle
-from spanforge.sources.ingest import rank_groups, read_traces
+from spanforge.sources.ingest import discover, rank_groups, read_traces
 from spanforge.sources.store import read_store, write_store
 from spanforge.storage import materialize, shared_dir
 from spanforge.streaming import live
@@ -53,34 +53,67 @@ def a7_export(spark, sf):
     return select.export_lines(_gpu(spans_of_events(spark, sf)))
 
 
-def _documents(spark, sf) -> str:
-    """One JSON file for each rank, derived from the spans; returns their folder."""
-    s = _named(spark, sf)
+def _documents(spark, sf, cut: bool = False) -> str:
+    """Two JSON files for each rank, derived from the spans, written row by row; returns their folder.
+
+    With ``cut`` ranks are by turns whole, cut within an event, and cut and gzipped.
+    """
+    s = _named(spark, sf).withColumn("file", (F.col("seq") % 2).cast("int"))
     us = lambda c: (F.col(c) / 1000).cast("decimal(26,3)")
-    e = F.struct(F.lit("X").alias("ph"), "pid", F.col("tid").cast("int").alias("tid"), "name", "cat", us("ts_ns").alias("ts"), us("dur_ns").alias("dur"), F.struct("correlation").alias("args"), "seq")
-    docs = s.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("seq", e.alias("e")))).alias("l"))
-    header = F.struct(F.col("rank"), F.lit(4096).alias("world_size"))
-    doc = F.struct(F.col("l.e").alias("traceEvents"), F.array(F.struct(F.concat(F.lit("dev"), (F.col("rank") % 3).cast("string")).alias("name"))).alias("deviceProperties"), F.lit("1.2.0").alias("vllm_version"), header.alias("distributedInfo"))
+    e = F.struct(F.lit("X").alias("ph"), "pid", F.col("tid").cast("int").alias("tid"), "name", "cat", us("ts_ns").alias("ts"), us("dur_ns").alias("dur"), F.struct("correlation").alias("args"))
+    lines = s.select("rank", "file", "seq", F.concat(F.lit(","), F.to_json(e)).alias("value"))
+    device = F.array(F.struct(F.concat(F.lit("dev"), (F.col("rank") % 3).cast("string")).alias("name")))
+    header = F.struct(device.alias("deviceProperties"), F.lit("1.2.0").alias("vllm_version"), F.struct("rank", F.lit(4096).alias("world_size")).alias("distributedInfo"))
+    first = F.concat(F.regexp_replace(F.to_json(header), r"\}$", ""), F.lit(',"traceEvents":[{"ph":"i"}'))
+    whole = (F.col("rank") % 3 == 0) | F.lit(not cut)
+    last = F.when(whole, "]}").otherwise(',{"ph":"X","name":"cut","ts":1,"dur":12')
+    files = s.groupBy("rank", "file").agg(F.max("seq").alias("most"))
+    files = files.select("rank", "file", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("seq"), first.alias("value")), F.struct((F.col("most") + 1).alias("seq"), last.alias("value")))).alias("x"))
+    lines = lines.unionByName(files.select("rank", "file", "x.*"))
     path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
-    docs.select("rank", F.to_json(doc).alias("value")).repartition("rank").write.partitionBy("rank").option("maxRecordsPerFile", 1).text(path)
-    return path
+    lines = lines.repartition("rank", "file").sortWithinPartitions("rank", "file", "seq")
+    zipped = (F.col("rank") % 3 == 2) & F.lit(cut)
+    for codec, rows in (("none", lines.filter(~zipped)), ("gzip", lines.filter(zipped))):
+        rows.select("rank", "file", "value").write.mode("append").option("compression", codec).partitionBy("rank", "file").text(path)
+    return f"{path}/*/*"
 
 
 @query
 def a1_read_traces(spark, sf):
-    b = read_traces(spark, [f"{_documents(spark, sf)}/*/*.txt"], "r")
+    b = read_traces(spark, [_documents(spark, sf)], "r")
     return b.spans.select("rank", "tid", "track", "gpu", "name", "cat", "ts_ns", "dur_ns", "args")
 
 
+@query
+def a2_salvage(spark, sf):
+    """What is read of cut documents, and of which files it is told that they are cut."""
+    b = read_traces(spark, [_documents(spark, sf, cut=True)], "r")
+    rank = F.regexp_extract("path", r"rank=(\d+)", 1).cast("int")
+    bad = b.bad_files.groupBy(rank.alias("rank")).agg(F.count("*").alias("n_bad"), F.sum("n_events").alias("n_kept"))
+    read = b.spans.groupBy("rank").agg(F.count("*").alias("n_spans"), F.sum("dur_ns").alias("total_ns"))
+    return read.join(bad, "rank", "left").select("rank", "n_spans", "total_ns", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+@query
+def a3_discover(spark, sf):
+    """Of a file for each rank, every second one a trace by its content: those that are found."""
+    n = spans_of_events(spark, sf).groupBy("rank").agg(F.count("*").alias("n"))
+    event = F.array(F.struct(F.lit("M").alias("ph"), F.col("n").alias("id")))
+    n = n.select("rank", F.when(F.col("rank") % 2 == 0, event).alias("traceEvents"), F.when(F.col("rank") % 2 == 1, event).alias("otherEvents"))
+    path = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
+    n.repartition("rank").write.partitionBy("rank").json(path)
+    return discover(spark, [path]).select(F.regexp_extract("path", r"rank=(\d+)", 1).cast("int").alias("rank"))
+
+
 @query
 def a4_headers(spark, sf):
-    b = read_traces(spark, [f"{_documents(spark, sf)}/*/*.txt"], "r")
-    return b.runs.select("rank", "device", "version", "dist_rank", "dist_world", "min_ts_ns")
+    b = read_traces(spark, [_documents(spark, sf)], "r")
+    return b.runs.select("rank", "device", "version", "dist_rank", "dist_world", "min_ts_ns").distinct()  # one for each file
 
 
 @query
 def a5_store(spark, sf):
-    b = read_traces(spark, [f"{_documents(spark, sf)}/*/*.txt"], "r")
+    b = read_traces(spark, [_documents(spark, sf)], "r")
     path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
     write_store(b, path)
     return stats.kernel_stats(read_store(spark, path, ["r"]).spans)

@@ -31,6 +31,7 @@ class Bundle:
     tracks: DataFrame
     flows: DataFrame
     runs: DataFrame
+    bad_files: DataFrame | None = None
 
 
 def scope(rank: str = "rank") -> Column:

@@ -1,30 +1,27 @@
 """Reading traces (A1-A4, A6): Chrome and kineto JSON files to spans, tracks, flows and runs.
 
-Spark's JSON reader parses each file, with a fixed schema, in a task of its own;
-a single file must fit a task, so larger ones are to be split upstream. Store
-what is read once (``sources.store``), as every use of a Bundle parses anew.
+``sources.pieces`` cuts files into events, large ones by many tasks; Spark's JSON
+functions parse each event with a fixed schema.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import zlib
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import coordinate
 from spanforge.operators.tracks import classify_tracks, label_tracks, with_tracks
 from spanforge.schema import SPAN_COLUMNS, Bundle
+from spanforge.sources import pieces
+from spanforge.storage import broadcast_small, materialize
 
 #: Times are decimals: a double of microseconds since 1970 has no whole nanoseconds.
-DOCUMENT = (
-    "traceEvents array<struct<ph: string, pid: string, tid: string, name: string, cat: string, ts: decimal(26,6), dur: decimal(26,6), id: string, args: string>>, "
-    "deviceProperties array<struct<name: string>>, vllm_version string, distributedInfo struct<rank: int, world_size: int>"
-)
+EVENT = "ph string, pid string, tid string, name string, cat string, ts decimal(26,6), dur decimal(26,6), id string, args string"
+HEADER = "deviceProperties array<struct<name: string>>, vllm_version string, distributedInfo struct<rank: int, world_size: int>"
+#: Bytes of a file that discovery looks at, and files at once.
+PROBED, PROBES = 1 << 20, 16
 
 
 def file_name(path: str = "path"):
@@ -50,76 +47,78 @@ def rank_groups(paths: DataFrame) -> DataFrame:
     return p.select("source_dir", "path", own("prefix").alias("group"), own("rank").alias("rank"))
 
 
+def begins_with(spark: SparkSession, paths: list[str], word: bytes, size: int = PROBED) -> list[str]:
+    """The files that have ``word`` in their first ``size`` bytes; no more of any is read, however large it is.
+
+    Spark has no reader of a part of a file, so the driver asks the file system
+    that Spark uses, for many files at once.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def probe(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        stream = p.getFileSystem(conf).open(p)
+        try:
+            return word in bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, size)))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(PROBES) as pool:
+        return [p for p, ok in zip(paths, pool.map(probe, paths), strict=True) if ok]
+
+
 def discover(spark: SparkSession, dirs: list[str], known: DataFrame | None = None) -> DataFrame:
     """A3: (source_dir, path) of the trace files below each directory.
 
     ``.json.gz`` files, and ``.json`` files with "trace" in their name or
-    "traceEvents" in their first MiB; files whose path is in ``known`` are left out.
+    "traceEvents" in their first MiB; files whose path is in ``known`` are left
+    out, and not looked into.
     """
     out = None
     for d in dirs:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        named = files.load(d).select("path").filter(F.col("path").endswith(".json.gz") | (F.col("path").endswith(".json") & file_name().contains("trace")))
-        plain = files.option("pathGlobFilter", "*.json").load(d).filter(~file_name().contains("trace"))
-        head = F.substring("content", 1, 1 << 20)
-        plain = plain.filter(F.decode(head, "ISO-8859-1").contains("traceEvents")).select("path")
-        found = named.unionByName(plain).select(F.lit(d).alias("source_dir"), "path")
-        out = found if out is None else out.unionByName(found)
-    return out.join(known.select("path").distinct(), "path", "left_anti").select("source_dir", "path") if known is not None else out
-
-
-def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row for each file: its path and parsed document. Damaged files come out without events or not at all: see ``bad_files`` and ``salvaged``."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", "true").option("mode", "PERMISSIVE").option("ignoreCorruptFiles", "true").json(paths)
-    return docs.withColumn("path", F.col("_metadata.file_path"))
-
-
-def bad_files(spark: SparkSession, paths: list[str], docs: DataFrame) -> DataFrame:
-    """A2: (path, length) of the files of which ``docs`` has no events."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "length")  # contents aren't read
-    whole = docs.filter("traceEvents is not null").select(F.regexp_replace("path", "^file:/*", "/").alias("p")).distinct()
-    return files.withColumn("p", F.regexp_replace("path", "^file:/*", "/")).join(whole, "p", "left_anti").select("path", "length")
-
-
-def _mended(content: bytes) -> str | None:
-    """The document up to the last event that is whole, of a truncated text or gzip; None where there is none."""
-    if content[:2] == b"\x1f\x8b":
-        content = zlib.decompressobj(31).decompress(content)
-    text = content.decode("utf-8", "ignore")
-    start = re.search(r'"traceEvents"\s*:\s*\[', text)
-    if not start:
-        return None
-    decoder, end, at = json.JSONDecoder(), start.end(), start.end()
-    while m := re.compile(r"[\s,]*(?=\{)").match(text, at):
-        try:
-            _, at = decoder.raw_decode(text, m.end())
-        except ValueError:
-            break
-        end = at
-    return text[:end] + "]}" if end > start.end() else None
-
-
-def salvaged(spark: SparkSession, bad: DataFrame) -> DataFrame:
-    """A2: what can be read of damaged files, as ``read_documents`` gives it: the events before the damage, and the header if it stands before them.
-
-    Each damaged file is mended in a task of its own, and must fit one.
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select(F.lit(d).alias("source_dir"), "path")
+        files = files.filter(F.col("path").endswith(".json.gz") | F.col("path").endswith(".json"))
+        out = files if out is None else out.unionByName(files)
+    out = materialize(out if known is None else out.join(known.select("path").distinct(), "path", "left_anti").select("source_dir", "path"), "found")
+    named = F.col("path").endswith(".json.gz") | file_name().contains("trace")
+    doubtful = [r["path"] for r in out.filter(~named).select("path").distinct().collect()]
+    found = spark.createDataFrame([(p,) for p in begins_with(spark, doubtful, b"traceEvents")], "path string")
+    return out.filter(named).unionByName(out.filter(~named).join(broadcast_small(found), "path", "left_semi").select("source_dir", "path"))
+
+
+def trace_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length) of all files of the paths; contents aren't read."""
+    return spark.read.format("binaryFile").load(paths).select("path", "length")
+
+
+def read_documents(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers and events of the files (path, length).
+
+    documents: (path, length, deviceProperties, vllm_version, distributedInfo,
+    n_events, complete), a row for each file. events: (path, seq, and the fields of
+    an event), seq being where in the file it begins. Every file is read up to its
+    damage, if it has any: complete tells whether the document is closed. Files
+    are cut into events by many tasks (``sources.pieces``) and written to the
+    shared folder once, so that what uses the result doesn't parse files again.
     """
-
-    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    found.append((path, _mended(content)))
-                except zlib.error:
-                    found.append((path, None))
-            yield pd.DataFrame(found, columns=["path", "value"])
-
-    paths = [r["path"] for r in bad.select("path").collect()]  # damaged files are few
-    if not paths:
-        return spark.createDataFrame([], f"{DOCUMENT}, path string")
-    text = spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(mend, "path string, value string").filter("value is not null")
-    return text.select(F.from_json("value", DOCUMENT).alias("d"), "path").select("d.*", "path")
+    files = materialize(files, "files")
+    p = pieces.parts(spark, files)
+    found, rest, complete = pieces.objects(p)
+    events = found.filter(F.col("key") == "traceEvents").select("path", "seq", F.from_json("text", EVENT).alias("e")).select("path", "seq", "e.*")
+    heads = rest.select("path", F.from_json("text", HEADER).alias("h")).select("path", "h.*")
+    n = found.filter(F.col("key") == "traceEvents").groupBy("path").agg(F.count("*").alias("n_events"))
+    plain = lambda t: t.withColumn("p", F.regexp_replace("path", "^file:/*", "/"))
+    docs = plain(files)
+    for t in (heads, n, complete):
+        docs = docs.join(plain(t).drop("path"), "p", "left")
+    docs = docs.withColumns({"n_events": F.coalesce("n_events", F.lit(0).cast("long")), "complete": F.coalesce("complete", F.lit(False))}).drop("p")
+    return materialize(docs, "documents"), events
+
+
+def bad_files(docs: DataFrame) -> DataFrame:
+    """A2: (path, length, n_events, problem) of the files that are damaged, or have no events: what was read of them is kept."""
+    problem = F.when(~F.col("complete"), "damaged").when(F.col("n_events") == 0, "no events")
+    return docs.withColumn("problem", problem).filter("problem is not null").select("path", "length", "n_events", "problem")
 
 
 def run_name(run: str, rank: Column) -> Column:
@@ -142,10 +141,12 @@ def headers(docs: DataFrame, run: str) -> DataFrame:
     return h.withColumns({n: coordinate(F.col("path"), n) for n in ("dp", "tp", "pp", "ep", "dcp")})
 
 
-def explode_events(docs: DataFrame, run: str) -> DataFrame:
-    """Every event with its run, rank and ordinal."""
+def placed(events: DataFrame, docs: DataFrame, run: str) -> DataFrame:
+    """Every event with its run, rank and file."""
     rank = F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"])
-    return docs.select(run_name(run, rank).alias("run"), rank.alias("rank"), F.xxhash64("path").alias("file"), F.posexplode("traceEvents").alias("seq", "e")).select("run", "rank", "file", F.col("seq").cast("long").alias("seq"), "e.*")
+    d = docs.select(F.regexp_replace("path", "^file:/*", "/").alias("p"), run_name(run, rank).alias("run"), rank.alias("rank"), F.xxhash64("path").alias("file"))
+    e = events.withColumn("p", F.regexp_replace("path", "^file:/*", "/"))
+    return e.join(broadcast_small(d), "p").drop("p", "path")
 
 
 def _ns(c: str):
@@ -167,18 +168,20 @@ def assemble(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return spans, tracks, flows
 
 
-def read_traces(spark: SparkSession, paths: list[str], run: str, salvage: bool = False) -> Bundle:
+def assembled(docs: DataFrame, events: DataFrame, run: str) -> Bundle:
+    """The tables of what ``read_documents`` gives."""
+    spans, tracks, flows = assemble(placed(events, docs, run))
+    start = spans.groupBy("run", "rank").agg(F.min("ts_ns").alias("min_ts_ns"))
+    h = headers(docs, run).alias("h")
+    runs = h.join(start.alias("s"), (F.col("h.run") == F.col("s.run")) & F.col("h.rank").eqNullSafe(F.col("s.rank")), "left").select("h.*", "s.min_ts_ns")
+    return Bundle(spans, tracks, flows, runs, bad_files(docs))
+
+
+def read_traces(spark: SparkSession, paths: list[str], run: str) -> Bundle:
     """A1: all files with a rank as one run, each other file as a run of its own, times as recorded; ``operators.tracks`` normalises and merges.
 
-    With ``salvage`` damaged files give the events before the damage; finding
-    them takes a pass of its own. A file that is a rank's second one keeps its
+    Damaged files give the events before the damage, and are listed in
+    ``bad_files`` of the result. A file that is a rank's second one keeps its
     spans apart by their identifiers.
     """
-    docs = read_documents(spark, paths)
-    if salvage:
-        docs = docs.filter("traceEvents is not null").unionByName(salvaged(spark, bad_files(spark, paths, docs)))
-    spans, tracks, flows = assemble(explode_events(docs, run))
-    start = spans.groupBy("run", "rank").agg(F.min("ts_ns").alias("min_ts_ns"))
-    h = headers(docs, run).alias("h")
-    runs = h.join(start.alias("s"), (F.col("h.run") == F.col("s.run")) & F.col("h.rank").eqNullSafe(F.col("s.rank")), "left").select("h.*", "s.min_ts_ns")
-    return Bundle(spans, tracks, flows, runs)
+    return assembled(*read_documents(spark, trace_files(spark, paths)), run)

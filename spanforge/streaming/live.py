@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanforge.operators.gaps import all_gaps
-from spanforge.schema import SPANS, Bundle, scope
-from spanforge.sources.ingest import DOCUMENT, assemble, explode_events, headers
+from spanforge.schema import SPANS, scope
+from spanforge.sources.ingest import assembled, read_documents
 from spanforge.sources.store import read_store, write_store
 
 INTERVAL = "2 seconds"
+FILES = "path string, modificationTime timestamp, length long, content binary"
 #: Buckets of time in which a rank's gaps are found.
 BUCKET_NS = 1_000_000_000
 
@@ -23,16 +26,15 @@ def watch_traces(spark: SparkSession, directory: str, store: str, checkpoint: st
     failure is written again to the same folders of the store, so that files
     count once: each table has one folder for each batch.
     """
-    files = spark.readStream.schema(DOCUMENT).option("multiLine", "true").option("pathGlobFilter", "*.json*").json(directory).withColumn("path", F.col("_metadata.file_path"))
+    names = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.json*").load(directory).select("path", "length")  # contents aren't read
 
     def append(batch: DataFrame, n: int) -> None:
-        spans, tracks, flows = assemble(explode_events(batch, run))
-        runs = headers(batch, run).withColumn("min_ts_ns", F.lit(None).cast("long"))
-        write_store(Bundle(spans, tracks, flows, runs), store, mode="overwrite", batch=n)
+        b = assembled(*read_documents(spark, batch), run)
+        write_store(replace(b, runs=b.runs.withColumn("min_ts_ns", F.lit(None).cast("long"))), store, mode="overwrite", batch=n)
         if on_batch:
             on_batch(n)
 
-    w = files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    w = names.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=INTERVAL)).start()
 
 

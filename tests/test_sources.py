@@ -1,12 +1,14 @@
 import gzip
 import json
+import zlib
 
 from spanforge.operators.attribution import attribute, index_sources, resolve_callfrom, resolve_names
 from spanforge.operators.gaps import all_gaps
 from spanforge.operators.stats import kernel_stats
 from spanforge.operators.tracks import with_tracks
 from spanforge.schema import FLOWS, RUNS, SPANS, TRACKS, Bundle
-from spanforge.sources.ingest import bad_files, discover, rank_groups, read_documents, read_traces
+from spanforge.sources import pieces
+from spanforge.sources.ingest import begins_with, discover, rank_groups, read_documents, read_traces, trace_files
 from spanforge.sources.store import read_store, write_store
 from spanforge.streaming import live
 
@@ -54,10 +56,9 @@ def test_directory_store_and_damage(spark, tmp_path):
     known = found.filter(found.path.contains("rank-0")).select("path")
     assert discover(spark, [str(tmp_path / "in")], known).count() == 3
     assert {(r.group, r["rank"]) for r in rank_groups(found).collect()} == {("run", r) for r in range(4)}
-    whole = (d / "run-rank-1.trace.json.gz").read_bytes()
-    (d / "run-rank-1.trace.json.gz").write_bytes(whole[: len(whole) // 2])
+    (d / "run-rank-1.trace.json.gz").write_bytes(b"\x1f\x8b damaged from the start")
     b = read_traces(spark, paths, "r")
-    assert b.spans.count() == 6
+    assert b.spans.count() == 6 and [r.path.split("/")[-1] for r in b.bad_files.collect()] == ["run-rank-1.trace.json.gz"]
     write_store(b, str(tmp_path / "store"))
     s = read_store(spark, str(tmp_path / "store"), ["r"])
     assert s.spans.count() == 6 and {r["rank"] for r in s.runs.collect()} >= {0, 2, 3}
@@ -147,23 +148,127 @@ def test_live_gaps_has_all_gaps(spark, tmp_path):
     assert sorted(got.collect()) == sorted(all_gaps(spans).collect())
 
 
-def test_damaged_files_are_reported_and_salvaged(spark, tmp_path):
-    many = [dict(EVENTS[0], name=f"k{i}", ts=1700000000000000 + i) for i in range(400)]
-    header = {"distributedInfo": {"rank": 1, "world_size": 4}}
-    whole = gzip.compress(json.dumps(header | {"traceEvents": many}).encode())
-    (tmp_path / "x-rank-1.json.gz").write_bytes(whole[: len(whole) * 2 // 3])
-    (tmp_path / "x-rank-2.json").write_text(json.dumps({"traceEvents": many})[:5000])
-    (tmp_path / "x-rank-3.json").write_text(json.dumps({"traceEvents": many[:7]}))
-    (tmp_path / "x-rank-4.json").write_text('{"traceEvents": [')
-    paths = [str(tmp_path)]
-    docs = read_documents(spark, paths)
-    assert {r.path[-13:] for r in bad_files(spark, paths, docs).collect()} == {"-rank-1.json.gz"[-13:], "/x-rank-2.json"[-13:], "/x-rank-4.json"[-13:]}
+def names_of(spark, path):
+    b = read_traces(spark, [str(path)], "r")
     got = {}
-    for r in read_traces(spark, paths, "r", salvage=True).spans.collect():
+    for r in b.spans.orderBy("seq").collect():
         got.setdefault(r["rank"], []).append(r.name)
-    assert set(got) == {1, 2, 3} and len(got[3]) == 7
-    for k in (1, 2):
-        assert 20 < len(got[k]) < 400 and sorted(got[k], key=lambda x: int(x[1:])) == [f"k{i}" for i in range(len(got[k]))]
+    return got, {r.path.split("/")[-1]: (r.n_events, r.problem) for r in b.bad_files.collect()}
+
+
+def events_before(data):
+    """Names of the events that are whole in the longest readable beginning of a document."""
+    text, out, at = data.decode("utf-8", "ignore"), [], 0
+    at = text.index("[") + 1 if "[" in text else len(text)
+    while True:
+        try:
+            e, at = json.JSONDecoder().raw_decode(text, at)
+        except ValueError:
+            return out
+        out.append(e["name"])
+        while text[at : at + 1] in (",", " ", "\n"):
+            at += 1
+
+
+def inflated(data):
+    """What zlib gives of a gzip stream before its damage, over all members."""
+    out = b""
+    while data:
+        z = zlib.decompressobj(31)
+        for i in range(len(data)):
+            try:
+                out += z.decompress(data[i : i + 1])
+            except zlib.error:
+                return out
+            if z.eof:
+                break
+        data = z.unused_data + data[i + 1 :] if z.eof else b""
+    return out
+
+
+def test_damaged_files_are_reported_and_salvaged(spark, tmp_path):
+    many = [dict(EVENTS[0], name=f"k{i}", ts=1700000000000000 + i) for i in range(400)]
+    whole = json.dumps({"traceEvents": many}).encode()
+    zipped = gzip.compress(whole)
+    flipped = bytearray(zipped)
+    flipped[len(zipped) // 2] ^= 0x55
+    files = {
+        "x-rank-1.json.gz": zipped[: len(zipped) * 2 // 3],
+        "x-rank-2.json": whole[:5000],
+        "x-rank-3.json": json.dumps({"traceEvents": many[:7]}).encode(),
+        "x-rank-4.json": b'{"traceEvents": [',
+        "x-rank-5.json.gz": bytes(flipped),
+        "x-rank-6.json.gz": gzip.compress(whole[:20_000]) + gzip.compress(whole[20_000:]),
+        "x-rank-7.json.gz": gzip.compress(whole[:20_000]) + gzip.compress(whole[20_000:])[:-300],
+        "x-rank-8.json.gz": gzip.compress(whole[:5001]),
+        "x-rank-9.json": b"",  # Spark doesn't list empty files
+        "x-rank-10.json": b'{"other": [{"a": 1}]}',
+        "x-rank-11.json": whole[: whole.index(b'"dur": 10.5', 3000) + 8],
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got, bad = names_of(spark, tmp_path)
+    for name, data in files.items():
+        rank = int(name.split("-")[-1].split(".")[0])
+        want = events_before(inflated(data) if name.endswith(".gz") else data) if rank not in (4, 9, 10) else []
+        if rank == 5:  # a changed bit may show late, as other text, and takes a buffer with it
+            assert got[5][: len(want) - 40] == want[:-40] and len(want) > 40
+        else:
+            assert got.get(rank, []) == want, name
+    assert 20 < len(got[1]) < 400 and len(got[6]) == 400 and 200 < len(got[7]) < 400
+    assert {n: p for n, (_, p) in bad.items()} == {f"x-rank-{i}.json{z}": "damaged" for i, z in ((1, ".gz"), (2, ""), (4, ""), (5, ".gz"), (7, ".gz"), (8, ".gz"), (11, ""))} | {"x-rank-10.json": "no events"}
+    assert bad["x-rank-2.json"][0] == len(got[2])
+
+
+def test_headers_of_damaged_files(spark, tmp_path):
+    doc = json.dumps({"distributedInfo": {"rank": 1, "world_size": 4}, "deviceProperties": [{"name": "D"}], "traceEvents": EVENTS, "vllm_version": "1"})
+    cuts = {"events": doc.index('"open"'), "between": doc.index(', "vllm'), "devices": doc.index('{"name": "D"'), "rank": doc.index('"world_size"')}
+    for name, at in cuts.items():
+        (tmp_path / f"{name}.json").write_text(doc[:at])
+    docs, _ = read_documents(spark, trace_files(spark, [str(tmp_path)]))
+    got = {r.path.split("/")[-1].split(".")[0]: (r.distributedInfo and r.distributedInfo["rank"], r.deviceProperties and [x.name for x in r.deviceProperties], r.complete) for r in docs.collect()}
+    assert got == {"events": (1, ["D"], False), "between": (1, ["D"], False), "devices": (1, [], False), "rank": (1, None, False)}
+
+
+def awkward_document(n):
+    """Events with brackets, quotes and backslashes in strings, nested args, and a header before and after."""
+    texts = ["}{", '"', "\\", '\\"{', "[[", "], {", 'a":[', "é😀", "traceEvents\": [{", "\\\\"]
+    events = [dict(EVENTS[0], name=f"k{i}", ts=1700000000000000 + i, args={"t": texts[i % len(texts)] * (1 + i % 3), "n": {"d": [[{"x": texts[(i * 7) % len(texts)]}], {}]}}) for i in range(n)]
+    return {"deviceProperties": [{"name": "D{1}", "l": [1, {"m": []}]}, {"name": "E"}], "otherData": {"a": {"b": 1}, "traceName": "}"}, "traceEvents": events, "vllm_version": "9]", "distributedInfo": {"rank": 5, "world_size": 6}}
+
+
+def test_one_file_over_many_tasks(spark, tmp_path):
+    doc = awkward_document(120)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b+c.json").write_text(json.dumps(doc, ensure_ascii=False))
+    (tmp_path / "small.json").write_text(json.dumps(doc, ensure_ascii=False, indent=1))
+    want = [(e["name"], e["args"]) for e in doc["traceEvents"]]
+    for size, path in (("400b", tmp_path / "in"), ("1700b", tmp_path / "in"), ("128m", tmp_path / "small.json")):
+        before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            n = pieces._fragments(spark, [str(path)]).rdd.getNumPartitions()
+            docs, events = read_documents(spark, trace_files(spark, [str(path)]))
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        got = [(r.name, json.loads(r.args)) for r in events.orderBy("seq").collect()]
+        assert got == want, (size, n)
+        assert n == 1 if size == "128m" else n > 3
+        d = docs.first()
+        assert (d.deviceProperties[0].name, d.vllm_version, d.distributedInfo.asDict(), d.n_events, d.complete) == ("D{1}", "9]", {"rank": 5, "world_size": 6}, 120, True), size
+
+
+def test_discovery_reads_a_mebibyte(spark, tmp_path):
+    (tmp_path / "early.json").write_text('{"x": 1, "traceEvents": []}' + " " * (3 << 20))
+    (tmp_path / "late.json").write_text('{"x": "' + "y" * (2 << 20) + '", "traceEvents": []}')
+    with open(tmp_path / "huge.json", "wb") as f:
+        f.write(b'{"traceEvents": [')
+        f.truncate(3 << 30)  # more than one row of a binary file can hold
+    paths = [str(tmp_path / n) for n in ("early.json", "late.json", "huge.json")]
+    assert begins_with(spark, paths, b"traceEvents") == [paths[0], paths[2]]
+    assert {r.path.split("/")[-1] for r in discover(spark, [str(tmp_path)]).collect()} == {"early.json", "huge.json"}
 
 
 def test_files_without_a_rank_stay_apart(spark, tmp_path):
