@@ -37,6 +37,17 @@ def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else (``lower`` would also change É)."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

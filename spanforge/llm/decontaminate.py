@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import ascii_lower, without
+from spanforge.llm.common import ascii_lower, fresh, without
 from spanforge.storage import materialize
 
 #: What separates words once A-Z are lower-cased; the second also leaves A-Z in words.
@@ -80,20 +80,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
         ),
     )["n"]
     names = F.sort_array(F.array_distinct(F.flatten("items")))
-    hits = hits.select(F.col("id").alias("__id"), F.col("th").alias("__th"), covered.alias("__hit"), names.alias("__items"), F.col("spans").alias("__spans"))
+    base = docs.drop(*own)
+    of_id, of_text, found, th = fresh(base, "of_id", "of_text", "found", "th")
+    found_ = F.struct(covered.alias("hit"), names.alias("items"), F.col("spans"))
+    hits = hits.select(F.col("id").alias(of_id), F.col("th").alias(of_text), found_.alias(found))
     n = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), BREAKS_ANY_CASE), "")).cast("long")
-    base = docs.drop(*own).withColumns({"n_words": n, "__text": F.xxhash64("text")})
-    out = base.join(hits, base["doc_id"].eqNullSafe(hits["__id"]) & (F.col("__text") == hits["__th"]), "left")
-    n_hit = F.coalesce("__hit", F.lit(0).cast("long"))
-    empty = F.array().cast("array<string>")
+    base = base.withColumns({"n_words": n, th: F.xxhash64("text")})
+    out = base.join(hits, base["doc_id"].eqNullSafe(hits[of_id]) & (F.col(th) == hits[of_text]), "left")
+    n_hit = F.coalesce(F.col(found)["hit"], F.lit(0).cast("long"))
+    items = F.coalesce(F.col(found)["items"], F.array().cast("array<string>"))
     out = out.withColumns({
         "n_hit": n_hit,
-        "n_items": F.size(F.coalesce("__items", empty)).cast("long"),
-        "items_sha256": F.sha2(F.array_join(F.coalesce("__items", empty), ",").cast("binary"), 256),
+        "n_items": F.size(items).cast("long"),
+        "items_sha256": F.sha2(F.array_join(items, ",").cast("binary"), 256),
         "contaminated": (n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words")),
-        "spans": F.col("__spans"),
+        "spans": F.col(found)["spans"],
     })
-    return out.drop("__id", "__th", "__hit", "__items", "__spans", "__text")
+    return out.drop(of_id, of_text, found, th)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", width: int = 13, share: int = 20) -> DataFrame:
@@ -101,18 +104,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     In mode "spans" every hit word goes, with what separates it from the next
     word; documents stay, and texts without hits are left untouched.
+
+    Defined cases: those of ``contamination``; in either mode all columns stay as
+    they are, whatever their names. Null ids and rows that repeat are judged by their
+    own texts. An empty table gives no rows.
     """
     if mode == "documents":  # texts stay where they are: only the keys of what goes are moved
-        narrow = docs.select("doc_id", "text", F.xxhash64("text").alias("__key"))
+        of_id, of_text = fresh(docs, "of_id", "of_text")
+        narrow = docs.select("doc_id", "text", F.xxhash64("text").alias(of_text))
         judged = contamination(narrow, benchmark, width, share).filter("contaminated")
-        gone = materialize(judged.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__th")).distinct(), "contaminated")
-        same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th"))
+        gone = materialize(judged.select(F.col("doc_id").alias(of_id), of_text).distinct(), "contaminated")
+        same = docs["doc_id"].eqNullSafe(F.col(of_id)) & (F.xxhash64(docs["text"]) == F.col(of_text))
         return without(docs, gone, same)
-    judged = contamination(docs, benchmark, width, share)
     if mode != "spans":
         raise ValueError(f"mode {mode!r}: documents or spans")
+    # under other names, so that columns called like a result keep their values
+    names = {c: x for c, x in zip(docs.columns, fresh(docs, *(f"column{i}" for i in range(len(docs.columns)))), strict=True)}
+    judged = docs.withColumnsRenamed({c: x for c, x in names.items() if c not in ("doc_id", "text")})
+    judged = contamination(judged, benchmark, width, share)
     lead = F.regexp_extract("text", BREAKS_ANY_CASE.replace("[", "^[", 1), 0)
     parts = F.regexp_extract_all("text", F.lit(WORD_AND_REST), F.lit(0))
     kept = F.filter(parts, lambda _, i: ~F.exists("spans", lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["n"])))
     cut = F.when(F.col("n_hit") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(F.col("text"))
-    return judged.withColumn("text", cut).select(*docs.columns)
+    judged = judged.withColumn("text", cut)
+    return judged.select(*[F.col(c if c in ("doc_id", "text") else names[c]).alias(c) for c in docs.columns])

@@ -1,12 +1,17 @@
 """Operator 3: document fingerprints by a Merkle tree over paragraphs and sections.
 
-Leaves are pieces of paragraphs, cut where a word's own checksum says so, so
-that an edit moves no cut far from it; texts of a line or less have pieces of a
-few characters by their places. A paragraph's node hashes its leaves, a
-section's node its paragraphs, the root its sections and the text's length.
-The fingerprint is the root followed by each section's node, and in it each
-paragraph's node and digests of its leaves: equal roots mean equal texts, and
-comparing two fingerprints from the top shows the branches that differ.
+Leaves are pieces of paragraphs, cut where a word's own checksum says so,
+whatever the text's length, so that an edit moves no cut far from it. A
+paragraph's node hashes its leaves, a section's node its paragraphs, the root its
+sections and the whole text. The fingerprint is the root followed by each
+section's node, and in it each paragraph's node and digests of its leaves: equal
+roots mean equal texts, and comparing two fingerprints from the top shows the
+branches that differ.
+
+Pieces of a few words tell little of short texts. A text of up to ``FINE``
+characters has one more level below, every ``GRAM`` characters that follow each
+other. Two texts that both have it are compared by it, others by their pieces,
+which all have.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,9 +35,11 @@ from spanforge.llm.common import in_small_batches
 SECTION = re.compile(r"\n[ \t\r\x0b\f]*\n")
 #: A leaf ends after a word whose checksum is 0 modulo the first, or of this many words.
 MEAN_WORDS, MOST_WORDS = 3, 8
-#: Texts of so many code points or fewer are cut into about so many pieces.
-SHORT, SHORT_PIECES = 128, 16
+FINE, GRAM = 400, 4
 ROOT_HEX, NODE_HEX, LEAF_HEX = 32, 16, 8
+#: Multipliers of the hashes of the finer level: odd numbers of 64 bits.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.array([pow(0x5851F42D4C957F2D, i, 1 << 64) for i in range(1, GRAM + 1)], np.uint64)
 
 
 def _digest(parts: list[bytes], tag: bytes) -> bytes:
@@ -40,15 +48,10 @@ def _digest(parts: list[bytes], tag: bytes) -> bytes:
 
 def tree(text: str) -> list[list[list[bytes]]]:
     """Digests of the leaves by section and paragraph."""
-    out, size, at = [], max(1, len(text) // SHORT_PIECES), 0
+    out = []
     for section in SECTION.split(text):
         paragraphs = []
         for paragraph in section.split("\n"):
-            if len(text) <= SHORT:
-                parts = [(at + i, paragraph[i : i + size]) for i in range(0, len(paragraph), size)]
-                paragraphs.append([xxhash.xxh64_digest(f"{i}:{x}".encode("utf-8", "surrogatepass")) for i, x in parts])
-                at += len(paragraph) + 1
-                continue
             leaves, own = [], []
             for w in paragraph.encode("utf-8", "surrogatepass").split(b" "):
                 own.append(w)
@@ -62,8 +65,23 @@ def tree(text: str) -> list[list[list[bytes]]]:
     return out
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return (h ^ (h >> np.uint64(32))) * MIX
+
+
+def _fine(text: str) -> str:
+    """The finer level of a short text: digests of the ``GRAM`` characters that end with each."""
+    if len(text) > FINE:
+        return ""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.r_[np.zeros(GRAM - 1, np.uint64), code.astype(np.uint64) + np.uint64(1)]
+    h = sum(c[i : i + len(code)] * POWERS[i] for i in range(GRAM)) if len(code) else c[:0]
+    return ";" + _mixed(h).astype(">u8").view(np.uint8).reshape(-1, 8)[:, : LEAF_HEX // 2].tobytes().hex()
+
+
 def fingerprint(text: str | None) -> str:
-    """``root:sections``: parted by "/", each ``node=paragraphs``, parted by ".", each ``node-leaves``.
+    """``root:sections``: parted by "/", each ``node=paragraphs``, parted by ".", each ``node-leaves``; ";" and the finer level may follow.
 
     Nodes have ``NODE_HEX`` digits and leaves ``LEAF_HEX`` each. The root also
     hashes the whole text, so that texts are equal if their roots are.
@@ -76,26 +94,34 @@ def fingerprint(text: str | None) -> str:
         paragraphs = (f"{d.hex()[:NODE_HEX]}-{''.join(x.hex()[:LEAF_HEX] for x in p)}" for d, p in zip(own, s, strict=True))
         out.append(f"{nodes[-1].hex()[:NODE_HEX]}={'.'.join(paragraphs)}")
     whole = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
-    return _digest([*nodes, whole], b"root").hex()[:ROOT_HEX] + ":" + "/".join(out)
+    return _digest([*nodes, whole], b"root").hex()[:ROOT_HEX] + ":" + "/".join(out) + _fine(text)
 
 
 def _sections(print_: str) -> list[tuple[str, list[tuple[str, str]]]]:
     """(node, its paragraphs as (node, leaves)) of each section."""
-    sections = (s.split("=") for s in print_[ROOT_HEX + 1 :].split("/"))
+    sections = (s.split("=") for s in print_[ROOT_HEX + 1 :].partition(";")[0].split("/"))
     return [(node, [(p[:NODE_HEX], p[NODE_HEX + 1 :]) for p in below.split(".")]) for node, below in sections]
 
 
-def _leaves(print_: str) -> Counter:
-    return Counter(p[i : i + LEAF_HEX] for _, s in _sections(print_) for _, p in s for i in range(0, len(p), LEAF_HEX))
+def _leaves(print_: str, fine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, how often), by leaf, of the finer level or of the pieces."""
+    digits = print_.partition(";")[2] if fine else "".join(p for _, s in _sections(print_) for _, p in s)
+    x = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(-1, LEAF_HEX // 2).astype(np.int64)
+    return np.unique(x @ (256 ** np.arange(LEAF_HEX // 2)), return_counts=True)
 
 
 def likeness(a: str, b: str) -> float:
     """1 if the roots are equal, else the leaves in common over the leaves of the larger one, below 1."""
     if a[:ROOT_HEX] == b[:ROOT_HEX]:
         return 1.0
-    x, y = _leaves(a), _leaves(b)
-    common, most = (x & y).total(), max(x.total(), y.total())
-    return min(common / most, 0.999999) if most else 0.0
+    fine = ";" in a and ";" in b
+    (x, n), (y, m) = _leaves(a, fine), _leaves(b, fine)
+    most = max(n.sum(), m.sum())
+    if not len(x) or not len(y):
+        return 0.0
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = np.minimum(n, m[at])[y[at] == x].sum()
+    return min(float(common / most), 0.999999)
 
 
 def _in_order(places: list[int]) -> set[int]:
@@ -163,29 +189,28 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     Documents are dealt by ranges of doc_id, whose bounds are ids, and read in
     descending order; the row of each bound is dealt to the preceding range as
     well, so that every row finds the next document in its own task and each
-    text is shuffled once.
+    text is shuffled once. Ids are of any type that has an order: whole numbers,
+    text, decimals, dates.
 
     Defined cases: a null text is empty; empty texts have one fingerprint. Null
     ids come last. Rows with equal ids follow each other by text. After the
     last row comes the first; a lone row is followed by itself. No other column
     is read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     n = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_deleted int, n_inserted int, n_moved int"
-    first = d.agg(F.max("doc_id").alias("x")).first()["x"]
-    ids = d.filter(F.col("doc_id").isNotNull())
-    # quantiles are doubles: past 2^53 a bound need not be an id, and then only fits fewer ranges
-    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if first is not None and n > 1 else []
-    bounds = sorted({int(b) for b in found} | {first}) if first is not None else []
+    # the largest id of each of n ranges: ids alone are moved, and a row for each range is collected
+    ids = d.select("doc_id").filter(F.col("doc_id").isNotNull()).repartitionByRange(n, "doc_id")
+    bounds = sorted({r["x"] for r in ids.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("x")).collect()})
     # range k: ids up to bounds[k] and above bounds[k - 1]; null ids are in range 0, after all others
     last = len(bounds) - 1
 
     @F.pandas_udf("array<struct<part:int,halo:boolean>>")
     def deal(doc_id: pd.Series) -> pd.Series:
         out = []
-        for x in map(int, doc_id):
+        for x in doc_id.tolist():
             k = bisect_left(bounds, x)
             own = [{"part": k, "halo": False}]
             if bounds[k] == x:
@@ -193,11 +218,13 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             out.append(own)
         return pd.Series(out)
 
+    none = F.lit(None).cast(kind)
     if bounds:
-        to = F.explode(deal(F.coalesce("doc_id", F.lit(-(1 << 63)))))  # null ids: the lowest range
+        lowest = F.array(F.struct(F.lit(0).alias("part"), F.lit(False).alias("halo")))
+        to = F.explode(F.when(F.col("doc_id").isNull(), lowest).otherwise(deal(F.coalesce("doc_id", F.lit(bounds[0]).cast(kind)))))
         dealt = d.withColumn("to", to).select("doc_id", "text", "to.part", "to.halo")
     else:  # null ids only, if any: one range, which follows itself
-        dealt = d.select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("halo"))
+        dealt = d.select(none.alias("doc_id"), "text", F.lit(0).alias("part"), F.lit(False).alias("halo"))
 
     def flush(row: tuple, following: tuple) -> tuple:
         doc_id, text, own = row
@@ -233,4 +260,4 @@ def fingerprint_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     dealt = dealt.repartition("part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), "text")
     dealt = dealt.select(F.col("doc_id").cast("string").alias("id"), "text", "part", "halo")
     out = dealt.mapInPandas(run, schema)
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

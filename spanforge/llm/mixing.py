@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.llm.common import fresh
 from spanforge.storage import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -26,9 +27,14 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), "")).cast("long")
 
 
-def _draw(doc_id: Column, seed: Column) -> Column:
-    """A number in [0, 1) from the id and the seed alone: reruns agree."""
-    digest = F.md5(F.concat_ws(":", seed.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def _name(docs: DataFrame) -> Column:
+    """What a document is drawn by: its id, or its text where it has none."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+
+
+def _draw(name: Column, seed: Column) -> Column:
+    """A number in [0, 1) from the document and the seed alone: reruns agree."""
+    digest = F.md5(F.concat_ws(":", seed.cast("string"), name).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
@@ -62,38 +68,54 @@ def targets(sizes: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[
     return s.select("source", F.col("source_size").cast("long"), target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, carry: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every document; with ``carry`` all its columns first.
-
-    Defined cases: a null or empty text has size 0 and is never taken; a null
-    source is a source of its own; rows that repeat, or share an id, are drawn
-    alike. A source without words has target 0. An empty table gives no rows.
-    """
-    own = ["size", "source_size", "target", "copies", "taken"]
-    sized = (docs.drop(*own) if carry else docs.select("doc_id", "source", "text")).withColumn("size", size_of(F.col("text")))
-    narrow = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+def _planned(docs: DataFrame, name: str, share: float, most: int, weights: tuple[int, ...]) -> DataFrame:
+    """``docs`` with a column of that name: struct(size, source_size, target, copies, taken)."""
+    narrow = docs.select(_name(docs).alias("name"), "source", size_of(F.col("text")).alias("size"))
     goal = targets(narrow, share, most, weights)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     goal = materialize(goal, "mixing-targets")
     few = goal.count() <= BROADCAST_ROWS
     hint = F.broadcast if few else (lambda x: x)
-    names = {"source": "__source", "target": "target", "rate": "rate", "source_size": "source_size"}
-    goal = goal.select(*[F.col(a).alias(b) for a, b in names.items()])
-    tried = narrow.join(hint(goal), F.col("source").eqNullSafe(F.col("__source")))
+    goal = goal.select(F.col("source").alias("of"), "target", "rate", "source_size")
+    tried = narrow.join(hint(goal), F.col("source").eqNullSafe(F.col("of")))
     tried = tried.groupBy("source").agg(
-        F.first("target").alias("aim"), *[F.sum(_total(F.col("rate"), F.col("size"), _draw(F.col("doc_id"), F.lit(k)))).alias(f"t{k}") for k in range(SEEDS)]
+        F.first("target").alias("aim"), *[F.sum(_total(F.col("rate"), F.col("size"), _draw(F.col("name"), F.lit(k)))).alias(f"t{k}") for k in range(SEEDS)]
     )
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("aim")).alias("off"), F.lit(k).alias("seed")) for k in range(SEEDS)]))["seed"]
     seeds = materialize(tried.select("source", best.alias("seed")), "mixing-seeds")
-    goal = goal.join(seeds, F.col("source").eqNullSafe(F.col("__source"))).drop("source")
-    out = sized.join(hint(goal), F.col("source").eqNullSafe(F.col("__source")))
-    copies = F.floor("rate") + (_draw(F.col("doc_id"), F.col("seed")) < F.col("rate") - F.floor("rate")).cast("long")
-    out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
-    out = out.withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("__source", "rate", "seed") if carry else out.select("doc_id", *own)
+    goal = goal.join(seeds, F.col("source").eqNullSafe(F.col("of")))
+    goal = goal.select(F.struct("of", "target", "rate", "source_size", "seed").alias(name))
+    g = F.col(name)
+    out = docs.join(hint(goal), docs["source"].eqNullSafe(g["of"]))
+    size = size_of(F.col("text"))
+    copies = F.floor(g["rate"]) + (_draw(_name(docs), g["seed"]) < g["rate"] - F.floor(g["rate"])).cast("long")
+    out = out.withColumn(name, F.struct(size.alias("size"), g["source_size"].alias("source_size"), g["target"].alias("target"), copies.alias("copies")))
+    copies = F.when(g["size"] > 0, g["copies"]).otherwise(F.lit(0)).cast("long")
+    return out.withColumn(name, F.struct(g["size"].alias("size"), g["source_size"].alias("source_size"), g["target"].alias("target"), copies.alias("copies"), (g["size"] * copies).alias("taken")))
+
+
+def plan_mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS, carry: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) of every document; with ``carry`` all its columns first.
+
+    Defined cases: a null or empty text has size 0 and is never taken; a null
+    source is a source of its own; rows that repeat, or share an id, are drawn
+    alike, and rows without an id by their texts. A source without words has
+    target 0. With ``carry`` columns named like a result are replaced by it. An
+    empty table gives no rows.
+    """
+    own = ["size", "source_size", "target", "copies", "taken"]
+    docs = docs.drop(*own) if carry else docs.select("doc_id", "source", "text")
+    (name,) = fresh(docs, "plan")
+    out = _planned(docs, name, share, most, weights)
+    return out.select(*(docs.columns if carry else ["doc_id"]), *[F.col(name)[c].alias(c) for c in own])
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The mixture itself: each document as often as ``plan_mix`` takes it, with its own columns."""
-    planned = plan_mix(docs, share, most, weights, carry=True).filter(F.col("copies") > 0)
-    return planned.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The mixture itself: each document as often as ``plan_mix`` takes it, with its own columns.
+
+    Defined cases are those of ``plan_mix``. All columns keep their values,
+    whatever their names. An empty table gives no rows.
+    """
+    name, copy = fresh(docs, "plan", "copy")
+    planned = _planned(docs, name, share, most, weights).filter(F.col(name)["copies"] > 0)
+    return planned.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(name)["copies"].cast("int")))).select(*docs.columns)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import in_small_batches
+from spanforge.llm.common import fresh, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -321,8 +321,8 @@ def _masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 RESULTS = (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added")
 
 
-def _scanned(docs: DataFrame, masked: bool) -> DataFrame:
-    """``docs`` with __found: the results, and the masked text, or null where it isn't asked for or nothing changes."""
+def _scanned(docs: DataFrame, name: str, masked: bool) -> DataFrame:
+    """``docs`` with a column of that name: the results, and the masked text, or null where it isn't asked for or nothing changes."""
     field = in_small_batches(docs).sparkSession.sparkContext.broadcast(learn(docs))  # under a hundred shapes, and CONTEXTS rows
     kinds = ", ".join(f"n_{k}: long" for k in KINDS)
 
@@ -336,7 +336,7 @@ def _scanned(docs: DataFrame, masked: bool) -> DataFrame:
             out.append((*(n[k] for k in range(len(KINDS))), sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base), changed))
         return pd.DataFrame(out, columns=[*RESULTS, "masked"])
 
-    return docs.withColumn("__found", found("text"))
+    return docs.withColumn(name, found("text"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -350,8 +350,9 @@ def scan(docs: DataFrame) -> DataFrame:
     result are replaced by it; no column but text is read. An empty table gives
     no rows.
     """
-    found = _scanned(docs.drop(*RESULTS), masked=False)
-    return found.withColumns({c: F.col("__found")[c] for c in RESULTS}).drop("__found")
+    docs = docs.drop(*RESULTS)
+    (name,) = fresh(docs, "found")
+    return _scanned(docs, name, masked=False).withColumns({c: F.col(name)[c] for c in RESULTS}).drop(name)
 
 
 def mask(docs: DataFrame) -> DataFrame:
@@ -362,8 +363,9 @@ def mask(docs: DataFrame) -> DataFrame:
     stay as they are, whatever their names; rows that repeat stay repeated. An
     empty table gives no rows.
     """
-    new = F.col("__found.masked")
-    out = _scanned(docs, masked=True)
+    (name,) = fresh(docs, "found")
+    new = F.col(name)["masked"]
+    out = _scanned(docs, name, masked=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(new.isNotNull(), F.length(new).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.withColumn("text", F.coalesce(new, "text")).select(*docs.columns)

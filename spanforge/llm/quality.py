@@ -13,6 +13,7 @@ scored, over its whole text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import fold, in_small_batches, labelled_sample
+from spanforge.llm.common import fold, fresh, in_small_batches, labelled_sample
 from spanforge.storage import materialize
 
 FOLDS, HELD = 4, 2
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-DIM, NONZERO, REACH, HIDDEN = 64, 2, 2, 32
-#: Words that have a vector of their own: the most frequent ones. Rarer ones share that of their shape.
-MAX_WORDS = 8000
+DIM, NONZERO, REACH, HIDDEN = 64, 4, 2, 32
+#: Words that have a vector of their own: so many, or more as the square root of all words grows, by frequency. Rarer ones share that of their shape.
+WORDS, WORDS_BY_ROOT = 8000, 2
 SHAPES = ("<x>", "<Xx>", "<XX>", "<xX>", "<9>", "<#>", "<again>")
 #: Words of the whole corpus that count as read before each text, so that short texts are judged carefully.
 PRIOR_WORDS = 8
@@ -133,18 +134,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, v0, v1, ...): the summed index vectors of each word's neighbours over all texts, in whole units."""
-    told = docs.sparkSession.sparkContext.broadcast((vocabulary, *vocabulary.index()))  # MAX_WORDS words
+    told = docs.sparkSession.sparkContext.broadcast((vocabulary, *vocabulary.index()))
     names = [f"v{k}" for k in range(DIM)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, at, value = told.value
         total = np.zeros(words.size * DIM)
+        chunk = max(CHUNK, 16 * words.size)  # a sum over all words is made for each
 
         def add(parts: list[np.ndarray]) -> None:
             ids = np.concatenate(parts)
             for d in range(1, REACH + 1):
-                for i in range(0, len(ids) - d, 4 * CHUNK):  # a very long text in pieces
-                    a, b = ids[:-d][i : i + 4 * CHUNK], ids[d:][i : i + 4 * CHUNK]
+                for i in range(0, len(ids) - d, 4 * chunk):  # a very long text in pieces
+                    a, b = ids[:-d][i : i + 4 * chunk], ids[d:][i : i + 4 * chunk]
                     both = (a >= 0) & (b >= 0)
                     for x, y in ((a[both], b[both]), (b[both], a[both])):
                         for j in range(NONZERO):
@@ -156,7 +158,7 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for t in batch["text"]:
                 parts += [words.of(t), gap]
                 held += len(parts[-2])
-                if held >= CHUNK:
+                if held >= chunk:
                     add(parts)
                     parts, held = [], 0
         if parts:
@@ -189,10 +191,14 @@ class Vectors:
 
 
 def learn_vectors(docs: DataFrame) -> Vectors:
-    """The vectors of the ``MAX_WORDS`` most frequent words of all texts; as many counts and sums reach the driver."""
+    """The vectors of the most frequent words of all texts: ``WORDS``, or ``WORDS_BY_ROOT`` times the root of how many words there are.
+
+    As many counts and sums reach the driver, whatever the number of different
+    words: at a million million words, two million.
+    """
     counts = materialize(word_counts(docs), "quality-words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    first = counts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()
+    first = counts.orderBy(F.desc("n"), "word").limit(max(WORDS, WORDS_BY_ROOT * math.isqrt(total))).collect()
     vocabulary = Vocabulary([(r["word"], r["n"]) for r in first], total)
     table = np.zeros((vocabulary.size, DIM))
     for r in neighbours(docs, vocabulary).collect():
@@ -255,15 +261,22 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     return scored(docs, fit(docs, labels), threshold)
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those predicted to be of low quality; all of them where no model can be fitted."""
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without those predicted to be of low quality; all of them where no model can be fitted.
+
+    Defined cases are those of ``classify``, but all columns keep their values,
+    whatever their names.
+    """
     model = fit(docs, labels)
-    return docs if model is None else scored(docs, model).filter("predicted = 1").select(*docs.columns)
+    if model is None:
+        return docs
+    (name,) = fresh(docs, "score")
+    return in_small_batches(docs).withColumn(name, _scores(docs, model)("text")).filter(F.col(name) >= threshold).drop(name)
 
 
-def scored(docs: DataFrame, fitted: tuple[Vectors, Network] | None, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with the results of a fitted model, or of none."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted)  # MAX_WORDS vectors
+def _scores(docs: DataFrame, fitted: tuple[Vectors, Network] | None):
+    """The scores of a column of texts by a fitted model, or 0.5 by none."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # a vector for each word of the vocabulary
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -275,7 +288,12 @@ def scored(docs: DataFrame, fitted: tuple[Vectors, Network] | None, threshold: f
                 # one by one, as the rounding of a product of matrices depends on the row
                 yield pd.Series([float(fitted[1].score(fitted[0].pooled(t)[None])[0]) for t in texts])
 
+    return scores
+
+
+def scored(docs: DataFrame, fitted: tuple[Vectors, Network] | None, threshold: float = 0.7) -> DataFrame:
+    """``docs`` with the results of a fitted model, or of none."""
     out = in_small_batches(docs).drop("held_out", "score", "predicted")
     out = out.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)))
-    out = out.withColumn("score", scores("text"))
+    out = out.withColumn("score", _scores(docs, fitted)("text"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

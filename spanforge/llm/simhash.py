@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import in_small_batches, without
+from spanforge.llm.common import fresh, in_small_batches, without
 from spanforge.storage import broadcast_small, materialize
 
 SEED = 42
@@ -228,15 +228,16 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     stay = materialize(rows.groupBy("root").agg(F.min(order).alias("s")).select("s.doc_id", "s.th"), "one-stay")
     # texts stay where they are: only the keys of what goes are moved
-    key = lambda t: t.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th"))
+    of_id, of_text = fresh(docs, "of_id", "of_text")
+    key = lambda t: t.select(F.col("doc_id").alias(of_id), F.col("th").alias(of_text))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_text))
     s = key(stay)
-    kept = rows["doc_id"].eqNullSafe(s["__id"]) & (rows["th"] == s["__th"])
+    kept = rows["doc_id"].eqNullSafe(s[of_id]) & (rows["th"] == s[of_text])
     gone = materialize(key(rows.join(s, kept, "left_anti")), "one-gone")
     again = materialize(key(rows.filter("n > 1").join(s, kept, "left_semi")), "one-again")
     out = without(docs, gone, same)
     if not again.isEmpty():
-        repeated = out.join(again, same).dropDuplicates(["__id", "__th"]).select(*docs.columns)
+        repeated = out.join(again, same).dropDuplicates([of_id, of_text]).select(*docs.columns)
         out = without(out, again, same).unionByName(repeated)
     return out
 

@@ -61,3 +61,9 @@ def test_many_documents_come_near(spark):
 def test_empty(spark):
     assert op.plan_mix(frame(spark, [])).count() == 0
     assert op.mix(frame(spark, [(1, None, "en", "a", 0)])).count() == 0
+
+
+def test_rows_without_ids_are_drawn_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * (1 + i % 9), "en", "s" + str(i % 4), 0) for i in range(3000)], DOCS)
+    for r in op.plan_mix(docs, carry=True).groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) < 0.02 * r["max(target)"]

@@ -7,7 +7,7 @@ from spanforge.llm import queries
 
 def test_stages_and_queries():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "mixing"]
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
 
 
 def test_run(spark, tmp_path):
@@ -74,3 +74,16 @@ def test_stages_without_benchmark_and_labels(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         if name in ("quality", "decontamination", "pii"):
             assert stage(spark, df, str(tmp_path)).count() == df.count(), name
+
+
+def test_clashing_names_keep_their_values(spark, folder):
+    """Columns called like results and helpers of the stages come out as they went in."""
+    path, docs = folder
+    names = ["size", "source_size", "target", "copies", "taken", "plan", "copy", "of_id", "_of_id", "of_text", "found", "th", "spans", "n_words", "n_hit", "contaminated", "score", "predicted", "held_out", "rate", "seed", "__id", "__th", "__found", "k", "root", "h"]
+    some = docs[:30] + [r for r in rows() if r[0] is not None and r[0] < 3]
+    df = spark.createDataFrame(some, DOCS).selectExpr("*", *[f"concat('{n} ', coalesce(doc_id, -1)) as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, path)
+        assert out.columns == df.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n} {r.doc_id}" for n in names), name
