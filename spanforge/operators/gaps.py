@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.operators import ordered
 from spanforge.operators.intervals import islands, union_length
 from spanforge.schema import is_gpu_busy, is_gpu_work, scope
 from spanforge.storage import broadcast_small
@@ -35,8 +36,8 @@ def all_gaps(spans: DataFrame, min_ns: int = MIN_GAP_NS, scopes: list[int] | Non
     if scopes is not None:
         spans = spans.filter(scope().isin(scopes)) if scopes else spans.filter(F.lit(False))
     i = busy_islands(spans, bucket_ns)
-    w = Window.partitionBy("scope").orderBy("island")
-    if bucket_ns is None:
+    if bucket_ns is None and ordered.estimated_bytes(spans) <= ordered.SMALL_BYTES:
+        w = Window.partitionBy("scope").orderBy("island")
         g = i.select("scope", F.col("end_ns").alias("t0"), F.lead("ts_ns").over(w).alias("t1"), F.col("closed_by").alias("prev_name"), F.lead("opened_by").over(w).alias("next_name"))
     else:
         after = i.select("scope", (F.col("island") - 1).alias("island"), F.col("ts_ns").alias("t1"), F.col("opened_by").alias("next_name"))

@@ -1,54 +1,41 @@
 """Interval analytics: unions, islands, concurrency and shared time.
 
-``by`` names the columns of a group. Where one group may hold a large part of
-all spans, ``bucket_ns`` cuts its time into buckets: a small table of buckets
-carries what precedes each bucket, and rows are then ordered within (group,
-bucket) only, so that no task holds a whole group.
+``by`` names the columns of a group. Groups of any size are put in order: large
+ones are cut by the quantiles of their own rows (``operators.ordered``), or, if
+``bucket_ns`` is given, by that width of time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.operators.ordered import cut, running, same
 
-def _same(a: str, b: str, keys: Sequence[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return out
+
+def parted(spans: DataFrame, by: Sequence[str], bucket_ns: int | None) -> tuple[DataFrame, str | None]:
+    """``spans`` with a column ``bucket``, and its name if it parts any group: by a width of time, or by the groups' own quantiles."""
+    if bucket_ns is not None:
+        return spans.withColumn("bucket", F.floor(F.col("ts_ns") / F.lit(bucket_ns))), "bucket"
+    s, any_cut = cut(spans, by, "ts_ns")
+    return s, "bucket" if any_cut else None
 
 
 def with_reach(spans: DataFrame, by: Sequence[str], bucket_ns: int | None = None) -> DataFrame:
     """Adds ``reach``: the latest end of the group's earlier rows by (ts_ns, seq); null for the first."""
-    if bucket_ns is None:
-        w = Window.partitionBy(*by).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
-        return spans.withColumn("reach", F.max("end_ns").over(w))
-    s = spans.withColumn("bucket", F.floor(F.col("ts_ns") / F.lit(bucket_ns)))
-    ends = s.groupBy(*by, "bucket").agg(F.max("end_ns").alias("last"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("carry", F.max("last").over(before)).drop("last")
-    j = s.alias("s").join(ends.alias("c"), _same("s", "c", [*by, "bucket"])).select("s.*", "c.carry")
-    w = Window.partitionBy(*by, "bucket").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return j.withColumn("reach", F.greatest("carry", F.max("end_ns").over(w))).drop("carry")
+    s, bucket = parted(spans, by, bucket_ns)
+    return running(s, by, F.col("end_ns"), "max", [F.col("ts_ns"), F.col("seq")], "reach", bucket, -1).drop("bucket")
 
 
 def islands(spans: DataFrame, by: Sequence[str], bucket_ns: int | None = None) -> DataFrame:
     """adds ``island``, numbered from 1 in each group; intervals that touch are in one."""
-    s = with_reach(spans, by, bucket_ns)
+    s, bucket = parted(spans, by, bucket_ns)
+    order = [F.col("ts_ns"), F.col("seq")]
+    s = running(s, by, F.col("end_ns"), "max", order, "reach", bucket, -1)
     opens = (F.col("reach").isNull() | (F.col("ts_ns") > F.col("reach"))).cast("long")
-    s = s.withColumn("opens", opens)
-    if bucket_ns is None:
-        w = Window.partitionBy(*by).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-        return s.withColumn("island", F.sum("opens").over(w)).drop("opens", "reach")
-    n = s.groupBy(*by, "bucket").agg(F.sum("opens").alias("n"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    n = n.withColumn("carry", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    j = s.alias("s").join(n.alias("c"), _same("s", "c", [*by, "bucket"])).select("s.*", "c.carry")
-    w = Window.partitionBy(*by, "bucket").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return j.withColumn("island", F.col("carry") + F.sum("opens").over(w)).drop("opens", "reach", "carry", "bucket")
+    return running(s, by, opens, "sum", order, "island", bucket).drop("reach", "bucket")
 
 
 def island_bounds(spans: DataFrame, by: Sequence[str], bucket_ns: int | None = None) -> DataFrame:
@@ -68,16 +55,17 @@ def peak_concurrency(spans: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, peak): the most spans of positive length that run at once."""
     ends = F.explode(F.array(F.struct(F.col("ts_ns").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ns").alias("t"), F.lit(-1).alias("d"))))
     e = spans.filter("dur_ns > 0").select(*by, ends.alias("e")).select(*by, "e.*")
-    e = e.groupBy(*by, "t").agg(F.sum("d").alias("d"), F.count_if(F.col("d") > 0).alias("up"))
+    e = e.groupBy(*by, "t").agg(F.sum("d").alias("d"))
     # at one instant ends come before starts
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("k", F.sum("d").over(w)).groupBy(*by).agg(F.max("k").cast("long").alias("peak"))
+    e, any_cut = cut(e, by, "t")
+    e = running(e, by, F.col("d"), "sum", [F.col("t")], "k", "bucket" if any_cut else None)
+    return e.groupBy(*by).agg(F.max("k").cast("long").alias("peak"))
 
 
 def running_max_dur(spans: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds ``max_dur_ns``: the longest span so far in the group."""
-    w = Window.partitionBy(*by).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return spans.withColumn("max_dur_ns", F.max("dur_ns").over(w))
+    s, bucket = parted(spans, by, None)
+    return running(s, by, F.col("dur_ns"), "max", [F.col("ts_ns"), F.col("seq")], "max_dur_ns", bucket).drop("bucket")
 
 
 def shared_time(spans: DataFrame, scopes: Sequence[str] = ("rank",), key: str = "name", bucket_ns: int | None = None) -> DataFrame:
@@ -90,26 +78,16 @@ def shared_time(spans: DataFrame, scopes: Sequence[str] = ("rank",), key: str =
     runs = island_bounds(spans.filter("dur_ns > 0"), [*scopes, key], bucket_ns)
     start = runs.groupBy(*scopes).agg(F.min("ts_ns").alias("t0"))
     both = F.explode(F.array(F.struct(F.col("ts_ns").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ns").alias("t"), F.lit(-1).alias("d"))))
-    p = runs.alias("r").join(start.alias("o"), _same("r", "o", scopes)).select("r.*", "o.t0").select(*scopes, key, "t0", both.alias("e"))
+    p = runs.alias("r").join(start.alias("o"), same("r", "o", scopes)).select("r.*", "o.t0").select(*scopes, key, "t0", both.alias("e"))
     p = p.select(*scopes, key, (F.col("e.t") - F.col("t0")).alias("t"), F.col("e.d").alias("d"))
     if bucket_ns is None:
-        order = Window.partitionBy(*scopes).orderBy("t", "d", key)
-        k = F.coalesce(F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        p = p.withColumns({"k": k, "dt": F.col("t") - F.lag("t").over(order)})
-        p = p.withColumn("w", F.sum(F.when(F.col("k") > 0, F.col("dt") / F.col("k")).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        p, any_cut = cut(p, scopes, "t")
+        bucket = "bucket" if any_cut else None
     else:
-        p = p.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_ns)))
-        keys = [*scopes, "bucket"]
-        before = Window.partitionBy(*scopes).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        c = p.groupBy(*keys).agg(F.sum("d").alias("d"), F.max("t").alias("t"))
-        c = c.withColumns({"k0": F.coalesce(F.sum("d").over(before), F.lit(0)), "t0": F.max("t").over(before)}).drop("d", "t")
-        p = p.alias("p").join(c.alias("c"), _same("p", "c", keys)).select("p.*", "c.k0", "c.t0")
-        order = Window.partitionBy(*keys).orderBy("t", "d", key)
-        k = F.col("k0") + F.coalesce(F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        p = p.withColumns({"k": k, "dt": F.col("t") - F.coalesce(F.lag("t").over(order), F.col("t0"))})
-        p = p.withColumn("step", F.when(F.col("k") > 0, F.col("dt") / F.col("k")).otherwise(0.0))
-        c = p.groupBy(*keys).agg(F.sum("step").alias("s"))
-        c = c.withColumn("w0", F.coalesce(F.sum("s").over(before), F.lit(0.0))).drop("s")
-        p = p.drop("k0", "t0").alias("p").join(c.alias("c"), _same("p", "c", keys)).select("p.*", "c.w0")
-        p = p.withColumn("w", F.col("w0") + F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        p, bucket = p.withColumn("bucket", F.floor(F.col("t") / F.lit(bucket_ns))), "bucket"
+    order = [F.col("t"), F.col("d"), F.col(key)]
+    p = running(p, scopes, F.col("d"), "sum", order, "k", bucket, -1)
+    p = running(p, scopes, F.col("t"), "max", order, "last", bucket, -1)  # the endpoint before
+    step = F.when(F.col("k") > 0, (F.col("t") - F.col("last")) / F.col("k")).otherwise(0.0)
+    p = running(p, scopes, step, "sum", order, "w", bucket)
     return p.groupBy(key).agg(F.sum(-F.col("d") * F.col("w")).alias("shared_ns"))

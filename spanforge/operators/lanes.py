@@ -114,3 +114,27 @@ def merged_rows(spans: DataFrame, hidden: DataFrame | None = None, bucket_ns: in
         kept = kept.join(hidden.select("name").distinct(), "name", "left_anti")
     kept = kept.select(F.col("rank").alias("row_rank"), "span_id", "ts_ns", "end_ns", "dur_ns", "seq", "name")
     return lanes(kept, ["row_rank"], bucket_ns)
+
+
+def parents(laned: DataFrame, bucket_ns: int | None = None) -> DataFrame:
+    """(span_id, parent_id): the span in the lane above that encloses each, where there is one.
+
+    Islands are read in time order, and of each lane only the last span is kept:
+    spans of a lane don't overlap, so none before it can enclose.
+    """
+    s = islands(laned, TRACK, bucket_ns).select(*TRACK, "island", "span_id", "ts_ns", "end_ns", "seq", "lane")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, {}
+        for b in batches:
+            ids, above = [], []
+            for g, span_id, end, lane in zip(*(b[c].tolist() for c in ("group", "span_id", "end_ns", "lane")), strict=True):
+                if g != group:
+                    group, last = g, {}
+                if lane - 1 in last and last[lane - 1][0] >= end:
+                    ids.append(span_id)
+                    above.append(last[lane - 1][1])
+                last[lane] = end, span_id
+            yield pd.DataFrame({"span_id": pd.Series(ids, dtype="int64"), "parent_id": pd.Series(above, dtype="int64")})
+
+    return _by_island(_larger_islands(s, TRACK, "deep >= 1"), TRACK).mapInPandas(find, "span_id long, parent_id long")

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.operators.lanes import parents
+from spanforge.operators.ordered import cut, running
 from spanforge.schema import TRACK, scope
-from spanforge.storage import materialize
+from spanforge.storage import broadcast_small, materialize
 
 LAUNCH_CATS = ("cpu_op", "cuda_driver", "cuda_runtime")
 #: Distance in ns up to which a flow's end counts as touching a span.
@@ -26,49 +28,79 @@ def pair_flows(flows: DataFrame) -> DataFrame:
     return there.unionByName(back).distinct()
 
 
-def flows_of(sel: DataFrame, pairs: DataFrame, spans: DataFrame, bucket_ns: int) -> DataFrame:
-    """H2: (span_id, at_id, flow_id, dst_id): flows that touch each span, or the nearest enclosing span with any.
+def _numbered(spans: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flows of each track, numbered in time order, and the spans with the numbers of the first and last flow that touch them.
 
-    ``sel`` and ``spans`` have lanes. Spans are walked outward a lane at a time,
-    all unresolved ones together, and matched to flows by time buckets of their
-    track. dst_id is the first span that starts within the tolerance of the
-    flow's other end, null if there is none.
+    (track, number, flow_id, dst_pid, dst_tid, dst_ts) and (span_id, track,
+    first, last); first is above last where none touches. All come from one order
+    of each track's spans and flows.
+    """
+    track = [F.col(c) for c in ("run", "scope", "pid", "tid")]
+    p = pairs.select("run", scope().alias("scope"), F.col("src_pid").alias("pid"), F.col("src_tid").alias("tid"), F.col("src_ts").alias("t"), F.lit(1).alias("kind"), "flow_id", "dst_pid", "dst_tid", "dst_ts")
+    s = spans.select("run", scope().alias("scope"), "pid", "tid", "ts_ns", "end_ns", "span_id")
+    # at one instant: a span begins, a flow touches, a span ends
+    begin = s.select(*track, (F.col("ts_ns") - TOLERANCE_NS).alias("t"), F.lit(0).alias("kind"), "span_id")
+    end = s.select(*track, (F.col("end_ns") + TOLERANCE_NS).alias("t"), F.lit(2).alias("kind"), "span_id")
+    rows = p.unionByName(begin.unionByName(end), allowMissingColumns=True)
+    by = ["run", "scope", "pid", "tid"]
+    rows, any_cut = cut(rows, by, "t")
+    flow = (F.col("kind") == 1).cast("long")
+    order = [F.col(c) for c in ("t", "kind", "span_id", "flow_id", "dst_ts", "dst_pid", "dst_tid")]
+    rows = materialize(running(rows, by, flow, "sum", order, "number", "bucket" if any_cut else None), "flow-numbers")
+    flows = rows.filter("kind = 1").select(*by, "number", "flow_id", "dst_pid", "dst_tid", "dst_ts")
+    ends = rows.filter("kind <> 1").groupBy("span_id", *by)
+    return flows, ends.agg((F.max(F.when(F.col("kind") == 0, F.col("number"))) + 1).alias("first"), F.max(F.when(F.col("kind") == 2, F.col("number"))).alias("last"))
+
+
+def nearest(nodes: DataFrame, rounds: int = 64) -> DataFrame:
+    """(id, to) from (id, to), where each goes on to another and the last to itself: now each goes to its last.
+
+    By pointer doubling: as many rounds as the logarithm of the longest way.
     """
+    now = materialize(nodes, "nearest")
+    for _ in range(rounds):
+        a, b = now.alias("a"), now.select("id", "to").alias("b")
+        following = a.join(b, F.col("a.to") == F.col("b.id")).select("a.id", "b.to", (F.col("a.to") != F.col("b.to")).alias("moved"))
+        now = materialize(following, "nearest")
+        if now.filter("moved").isEmpty():
+            return now.select("id", "to")
+    raise RuntimeError(f"nearest: a way longer than 2 to the {rounds}, or a circle")
+
 
-    def buckets(lo, hi):
-        return F.explode(F.sequence(F.floor(lo / F.lit(bucket_ns)), F.floor(hi / F.lit(bucket_ns))))
-
-    cols = [*TRACK, "span_id", "ts_ns", "end_ns", "lane"]
-    here = sel.select(*cols).withColumn("origin", F.col("span_id"))
-    out = None
-    p = pairs.withColumn("b", F.floor(F.col("src_ts") / F.lit(bucket_ns))).alias("p")
-    parents = spans.select(*cols).withColumn("b", buckets(F.col("ts_ns"), F.col("end_ns"))).alias("q")
-
-    def same(a: str, b: str):
-        return (F.col(f"{a}.run") == F.col(f"{b}.run")) & F.col(f"{a}.rank").eqNullSafe(F.col(f"{b}.rank"))
-
-    while True:  # lanes fall by one each round, so the deepest lane bounds it
-        h = here.withColumn("b", buckets(F.col("ts_ns") - TOLERANCE_NS, F.col("end_ns") + TOLERANCE_NS)).alias("h")
-        touch = F.col("p.src_ts").between(F.col("h.ts_ns") - TOLERANCE_NS, F.col("h.end_ns") + TOLERANCE_NS)
-        hit = h.join(p, same("h", "p") & (F.col("h.pid") == F.col("p.src_pid")) & (F.col("h.tid") == F.col("p.src_tid")) & (F.col("h.b") == F.col("p.b")) & touch)
-        hit = hit.select("h.run", "h.rank", F.col("h.origin").alias("span_id"), F.col("h.span_id").alias("at_id"), "p.flow_id", "p.dst_pid", "p.dst_tid", "p.dst_ts")
-        hit = materialize(hit, "flow-hits")
-        out = hit if out is None else out.unionByName(hit)
-        left = here.filter("lane > 0").join(hit.select(F.col("span_id").alias("origin")).distinct(), "origin", "left_anti")
-        left = left.withColumn("b", F.floor(F.col("ts_ns") / F.lit(bucket_ns))).alias("h")
-        around = same("h", "q") & (F.col("h.pid") == F.col("q.pid")) & (F.col("h.tid") == F.col("q.tid")) & (F.col("h.b") == F.col("q.b"))
-        around = around & (F.col("q.lane") == F.col("h.lane") - 1) & (F.col("q.ts_ns") <= F.col("h.ts_ns")) & (F.col("q.end_ns") >= F.col("h.end_ns"))
-        here = left.join(parents, around).groupBy("h.origin").agg(F.max(F.struct("q.ts_ns", "q.span_id", "q.end_ns", "q.lane", *[f"q.{c}" for c in TRACK])).alias("r"))
-        here = materialize(here.select("origin", "r.*").select(*cols, "origin"), "flow-parents")
-        if here.isEmpty():
-            break
-    near = F.explode(F.array(*[F.floor((F.col("dst_ts") + d) / F.lit(bucket_ns)) for d in (-TOLERANCE_NS, TOLERANCE_NS)]))
-    o = out.distinct().withColumn("b", near).distinct().alias("o")
-    starts = spans.select(*TRACK, "span_id", "ts_ns", "seq").withColumn("b", F.floor(F.col("ts_ns") / F.lit(bucket_ns))).alias("s")
-    at = same("o", "s") & (F.col("o.dst_pid") == F.col("s.pid")) & (F.col("o.dst_tid") == F.col("s.tid")) & (F.col("o.b") == F.col("s.b"))
-    at = at & (F.abs(F.col("s.ts_ns") - F.col("o.dst_ts")) < TOLERANCE_NS + 1)
+def flows_of(sel: DataFrame, pairs: DataFrame, spans: DataFrame, bucket_ns: int | None = None) -> DataFrame:
+    """H2: (span_id, at_id, flow_id, dst_id): flows that touch each span, or the nearest enclosing span with any.
+
+    ``sel`` and ``spans`` have lanes. Each span points at the one that encloses
+    it, and those that flows touch at themselves; pointers are doubled until all
+    have arrived. The flows that touch a span follow each other in the order of
+    its track, so that they are found by their numbers: no row is made that isn't
+    in the result. dst_id is the first span that starts within the tolerance of
+    the flow's other end, null if there is none. Without a ``bucket_ns`` large
+    tracks are cut by their own quantiles.
+    """
+    tracks = broadcast_small(materialize(pairs.select("run", scope().alias("scope"), F.col("src_pid").alias("pid"), F.col("src_tid").alias("tid")).distinct(), "flow-tracks"))
+    all_spans = spans.select(*TRACK, "span_id", "ts_ns", "end_ns", "seq", "lane")
+    cols = ["run", "scope", "pid", "tid"]
+    on = all_spans.withColumn("scope", scope()).join(tracks, cols, "left_semi")
+    flows, touched = _numbered(on, pairs)
+    touched = materialize(touched, "flow-touched")
+    above = parents(on, bucket_ns)
+    has = F.col("first") <= F.col("last")
+    nodes = touched.select(F.col("span_id").alias("id"), has.alias("has")).join(above.withColumnRenamed("span_id", "id"), "id", "left")
+    ways = nearest(nodes.select("id", F.when(F.col("has"), F.col("id")).otherwise(F.coalesce("parent_id", "id")).alias("to")))
+    met = sel.select(F.col("span_id").alias("id")).join(ways, "id").select(F.col("id").alias("origin"), F.col("to").alias("at_id"))
+    met = met.join(touched.filter(has).withColumnRenamed("span_id", "at_id"), "at_id")
+    met = met.withColumn("number", F.explode(F.sequence("first", "last")))
+    out = met.join(flows, [*cols, "number"]).select("run", "scope", F.col("origin").alias("span_id"), "at_id", "flow_id", "dst_pid", "dst_tid", "dst_ts")
+    # the times that touch the other end are few whole numbers: an equi-join
+    near = F.explode(F.sequence(F.col("dst_ts") - TOLERANCE_NS, F.col("dst_ts") + TOLERANCE_NS))
+    o = out.distinct().withColumn("t", near).alias("o")
+    starts = spans.select("run", scope().alias("scope"), "pid", "tid", "span_id", "ts_ns", "seq").alias("s")
+    at = F.col("o.t") == F.col("s.ts_ns")
+    for a, b in (("run", "run"), ("scope", "scope"), ("dst_pid", "pid"), ("dst_tid", "tid")):
+        at = at & (F.col(f"o.{a}") == F.col(f"s.{b}"))
     found = o.join(starts, at, "left").groupBy("o.span_id", "o.at_id", "o.flow_id", "o.dst_pid", "o.dst_tid", "o.dst_ts")
-    return found.agg(F.min(F.struct("s.ts_ns", "s.seq", F.col("s.span_id").alias("id")))["id"].alias("dst_id")).select("span_id", "at_id", "flow_id", "dst_id")
+    return found.agg(F.min(F.when(F.col("s.span_id").isNotNull(), F.struct("s.ts_ns", "s.seq", F.col("s.span_id").alias("id")))).alias("r")).select("span_id", "at_id", "flow_id", F.col("r.id").alias("dst_id"))
 
 
 def launch_links(spans: DataFrame, kernels: DataFrame | None = None) -> DataFrame:

@@ -327,7 +327,7 @@ def f1_union(spark, sf):
 
 @query
 def f1_islands_two_ranks(spark, sf):
-    return intervals.island_bounds(_gpu(spans_of_events(spark, sf, few_ranks=True)), ["rank"], BUCKET)
+    return intervals.island_bounds(_gpu(spans_of_events(spark, sf, few_ranks=True)), ["rank"])
 
 
 @query
@@ -342,7 +342,7 @@ def f3_top_gaps(spark, sf):
 
 @query
 def f3_gaps_two_ranks(spark, sf):
-    return gaps.all_gaps(spans_of_events(spark, sf, few_ranks=True, shorter=1000), bucket_ns=BUCKET)
+    return gaps.all_gaps(spans_of_events(spark, sf, few_ranks=True, shorter=1000))
 
 
 @query
@@ -372,7 +372,7 @@ def f8_shared_time(spark, sf):
 
 @query
 def f8_shared_two_ranks(spark, sf):
-    s = intervals.shared_time(_gpu(spans_of_events(spark, sf, few_ranks=True)), bucket_ns=BUCKET)
+    s = intervals.shared_time(_gpu(spans_of_events(spark, sf, few_ranks=True)))
     return s.select("name", F.round(F.col("shared_ns") / 1e9, 2).alias("shared_s"))
 
 
@@ -425,7 +425,7 @@ def h1_flows(spark, sf):
 @query
 def h2_flows_of(spark, sf):
     s = lanes.lanes(spans_of_events(spark, sf))
-    return links.flows_of(s.filter("cat = 'cpu_op'"), links.pair_flows(_flows(spark, sf)), s, BUCKET)
+    return links.flows_of(s.filter("cat = 'cpu_op'"), links.pair_flows(_flows(spark, sf)), s)
 
 
 def _links(spark, sf):

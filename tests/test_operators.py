@@ -8,7 +8,8 @@ import pytest
 from spanforge.functions.steps import step_batch
 from spanforge.functions.text import build_ref, duration_text, kernel_base_name, kernel_family, matches_build, mesh_text, occupancy_limit, rank_of_label
 from spanforge.operators import clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
-from spanforge.schema import SPANS, Bundle
+from spanforge.fixtures import spans_of_events
+from spanforge.schema import FLOWS, SPANS, Bundle
 from pyspark.sql import functions as F
 
 
@@ -370,7 +371,7 @@ def test_flows(spark):
     pairs = links.pair_flows(flows)
     assert sorted((r.src_tid, r.src_ts, r.dst_tid, r.dst_ts) for r in pairs.collect()) == [("1", 40_000, "8", 10_000), ("8", 10_000, "1", 40_000)]
     s = lanes.lanes(table(spark, [(0, "8", False, [(5, 30, "outer", "cpu_op"), (12, 10, "inner", "cpu_op"), (14, 2, "innermost", "cpu_op")]), (0, "1", True, k((40, 50, "kernel")))]))
-    got = {r.span_id: (r.at_id, r.dst_id) for r in links.flows_of(s.filter("not gpu"), pairs, s, 7_000).collect()}
+    got = {r.span_id: (r.at_id, r.dst_id) for r in links.flows_of(s.filter("not gpu"), pairs, s).collect()}
     assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3)}
 
 
@@ -381,7 +382,7 @@ def test_flows_of_a_deep_nest(spark):
     flow = spark.createDataFrame([("r", 0, 5, "0", "8", 5_000, "0", "1", 900_000)], "run string, rank int, flow_id long, src_pid string, src_tid string, src_ts long, dst_pid string, dst_tid string, dst_ts long")
     deepest = s.filter(F.col("name") == f"f{n - 1}")
     assert deepest.first().lane == n - 1
-    assert [r.at_id for r in links.flows_of(deepest, flow, s, 10_000_000).collect()] == [0]
+    assert [r.at_id for r in links.flows_of(deepest, flow, s).collect()] == [0]
 
 
 # ---- sequence diff
@@ -445,3 +446,36 @@ def test_classes_labels_and_merge(spark):
     assert sorted({r.track for r in merged.tracks.collect()})[:2] == ["Rank 0 GPU 2", "Rank 0 Worker 1"]
     assert [r["rank"] for r in merged.tracks.select("rank").distinct().orderBy("rank").collect()] == [0, 2, 10]
     assert tuple(tracks.normalise(s).agg({"ts_ns": "min"}).first()) == (0,)
+
+
+def test_large_groups_are_cut_by_their_own_quantiles(spark, monkeypatch):
+    """Every query over two large ranks gives the same rows when ranks are cut into parts of 40 rows."""
+    from tests.oracle import DATA, compare
+
+    from spanforge.operators import ordered
+    from spanforge.plans import queries as core
+
+    monkeypatch.setattr(ordered, "ROWS", 40)
+    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)
+    s = spans_of_events(spark, DATA, few_ranks=True)
+    parted, any_cut = ordered.cut(s, ["rank"], "ts_ns")
+    sizes = [r["count"] for r in parted.groupBy("rank", "bucket").count().collect()]
+    assert any_cut and len(sizes) > 20 and max(sizes) < 80
+    for name in [n for n in sorted(core.queries()) if "two_ranks" in n] + ["b6_peak", "b7_running_max", "b5_lanes", "h2_flows_of"]:
+        compare(spark, core.queries(), core.oracle_sql(), name)
+
+
+def test_stack_of_a_thousand(spark, monkeypatch):
+    """The deepest of nested spans finds the outermost one's flow in about the logarithm of the depth."""
+    n = 1000
+    made = [(0, "7", False, [(i, 4 * n - 2 * i, f"f{i}", "cpu_op") for i in range(n)])]
+    s = lanes.lanes(table(spark, made)).cache()
+    assert s.agg({"lane": "max"}).first()[0] == n - 1
+    first = s.select("run", "rank", "pid", "tid").first()
+    flows = spark.createDataFrame([(first.run, first["rank"], 5, first.pid, first.tid, 0, True), (first.run, first["rank"], 5, first.pid, first.tid, 10**9, False)], FLOWS)
+    rounds = []
+    write = links.materialize
+    monkeypatch.setattr(links, "materialize", lambda df, name, **o: (rounds.append(name), write(df, name, **o))[1])
+    got = links.flows_of(s, links.pair_flows(flows), s).collect()
+    assert len(got) == n and len({r.at_id for r in got}) == 1
+    assert rounds.count("nearest") <= 12
