@@ -415,6 +415,66 @@ def test_diff_replays_both_sides(spark):
     assert sum(s.n for s in seg) == len(rows) and all(x.kind != "changed" or y.kind != "changed" for x, y in zip(seg, seg[1:], strict=False))
 
 
+def plain_align(a, b, reach=200):
+    """By searching both lists, which are whole."""
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append(("same", i, j))
+            i, j = i + 1, j + 1
+            continue
+        skip_b = next((k for k in range(1, reach) if j + k < len(b) and b[j + k] == a[i]), None)
+        skip_a = next((k for k in range(1, reach) if i + k < len(a) and a[i + k] == b[j]), None)
+        if skip_a is None and skip_b is None:
+            out += [("removed", i, None), ("added", None, j)]
+            i, j = i + 1, j + 1
+        elif skip_a is None or (skip_b is not None and skip_b <= skip_a):
+            out += [("added", None, j + k) for k in range(skip_b)]
+            j += skip_b
+        else:
+            out += [("removed", i + k, None) for k in range(skip_a)]
+            i += skip_a
+    return out + [("removed", k, None) for k in range(i, len(a))] + [("added", None, k) for k in range(j, len(b))]
+
+
+def test_streamed_diff_is_that_of_whole_lists(spark):
+    r = random.Random(8)
+    rows_a, rows_b, want = [], [], {}
+    for rank in range(5):
+        a = [r.choice("abcdefgh") + str(r.randrange(1 + 40 * (rank % 3))) for _ in range(900)]
+        b = [x for x in a if r.random() < 0.9]
+        if rank == 1:
+            b = b[:100]
+        if rank == 2:
+            b = [f"new{i}" for i in range(1500)] + b
+        if rank == 3:
+            a, b = b[:3], a
+        want[rank] = [(kind, a[i] if i is not None else b[j], i, j) for kind, i, j in plain_align(a, b)]
+        rows_a.append((rank, "1", True, [(i, 0.001 * i, x, "kernel") for i, x in enumerate(a)]))
+        rows_b.append((rank, "1", True, [(i, 0.001 * i, x, "kernel") for i, x in enumerate(b)]))
+    rows_a.append((7, "1", True, [(0, 0, "only", "kernel")]))
+    d = seqdiff.sequence_diff(table(spark, rows_a), table(spark, rows_b), ["rank"])
+    got = {}
+    for x in d.orderBy("rank", "line").collect():
+        got.setdefault(x["rank"], []).append((x.kind, x.name, x.dur_a, x.dur_b))
+    assert got.pop(7) == [("removed", "only", 0, None)]
+    assert got == want
+
+
+def test_a_stream_holds_little_of_equal_sequences():
+    aligner, most = seqdiff.Aligner(), 0
+    for i in range(50_000):
+        name = f"k{i % 300}"
+        aligner.a.push(name, i)
+        if i % 50:
+            aligner.b.push(name, i)
+        if i % 200 == 0:
+            aligner.run()
+            aligner.rows = []
+        most = max(most, len(aligner.a.lines))
+    assert most < 2_000 and aligner.a.at > 48_000
+
+
 # ---- clocks and assembly
 
 
