@@ -102,7 +102,7 @@ def resolve_callfrom(sites: DataFrame, files: DataFrame) -> DataFrame:
     return s.join(files.select("path").distinct(), "path", "left_semi").select("site", "path", "line")
 
 
-def attribute(spans: DataFrame, index: SourceIndex, bucket_ns: int) -> DataFrame:
+def attribute(spans: DataFrame, index: SourceIndex) -> DataFrame:
     """H8: (span_id, via, outcome, n_hits, path, line): where each span's source is.
 
     In turn: the recorded call site; the name; for device spans the name of the
@@ -125,7 +125,7 @@ def attribute(spans: DataFrame, index: SourceIndex, bucket_ns: int) -> DataFrame
     link = materialize(launch_links(spans, open_), "launch-links")
     ops = link.filter("op is not null").select(F.col("op").alias("name")).distinct().filter(kernel_family(F.col("name")) != "torch")
     o = resolve_names(ops, index).groupBy("name").agg(F.count("*").alias("h3"), F.min_by(F.struct("path", "line"), "n").alias("p3")).withColumnRenamed("name", "op")
-    frames = launch_frames(link.filter("at_id is not null"), spans, bucket_ns, index.files).select("kernel_id", F.struct(F.col("file").alias("path"), "line").alias("p4"))
+    frames = launch_frames(link.filter("at_id is not null"), spans, index.files).select("kernel_id", F.struct(F.col("file").alias("path"), "line").alias("p4"))
     link = link.join(o, "op", "left").join(frames, "kernel_id", "left").withColumnRenamed("kernel_id", "k")
     out = out.join(link, F.col("span_id") == F.col("k"), "left")
     replay = F.col("p3").isNull() & F.coalesce("graph", F.lit(False))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import ordered
 from spanforge.operators.intervals import islands, union_length
+from spanforge.operators.meet import overlapping
 from spanforge.schema import is_gpu_busy, is_gpu_work, scope
-from spanforge.storage import broadcast_small
+from spanforge.storage import materialize
 
 MIN_GAP_NS = 1000
 TOP = 500
+#: Gaps up to which all are broadcast: three numbers each.
+SMALL = 500_000
 CPU_WORK = ("cpu_op", "runtime", "cuda_runtime", "cuda_driver")
 RUNTIME = ("runtime", "cuda_runtime", "cuda_driver")
 
@@ -62,12 +65,18 @@ def explain_gaps(gaps: DataFrame, spans: DataFrame) -> DataFrame:
     three names that cover most of it, as array of (name, launches, covered_ns);
     cause is one of "no CPU data", "starved", "runtime-bound", "host-bound".
     Gaps that are few, as the result of a top-n is, are broadcast: spans stay put.
+    Others meet the spans in cells of several widths.
     """
-    g = broadcast_small(gaps.select("scope", "t0", "t1").distinct())
+    gaps = materialize(gaps, "gaps")  # counted, joined, and read for the result
+    g = gaps.select("scope", "t0", "t1").distinct()
     cpu = spans.filter(~F.col("gpu"))
     has = cpu.select(scope().alias("scope")).distinct().withColumn("has_cpu", F.lit(True))
     work = cpu.filter(F.col("cat").isin(*CPU_WORK)).select(scope().alias("scope"), "ts_ns", "end_ns", "seq", "name", "cat")
-    hit = work.join(g, (work["scope"] == g["scope"]) & (F.col("ts_ns") < F.col("t1")) & (F.col("end_ns") > F.col("t0"))).drop(g["scope"])
+    if g.limit(SMALL + 1).count() <= SMALL:
+        g = F.broadcast(g)
+        hit = work.join(g, (work["scope"] == g["scope"]) & (F.col("ts_ns") < F.col("t1")) & (F.col("end_ns") > F.col("t0"))).drop(g["scope"])
+    else:
+        hit = materialize(overlapping(work, g, ["scope"]), "gap-hits")
     hit = hit.withColumns({"ts_ns": F.greatest("ts_ns", "t0"), "end_ns": F.least("end_ns", "t1")}).filter("end_ns > ts_ns")
     key = ["scope", "t0", "t1"]
     busy = union_length(hit, key, name="cpu_ns")

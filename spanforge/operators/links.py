@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.operators.lanes import parents
+from spanforge.operators.meet import overlapping
 from spanforge.operators.ordered import cut, running
 from spanforge.schema import TRACK, scope
 from spanforge.storage import broadcast_small, materialize
@@ -114,7 +115,10 @@ def launch_links(spans: DataFrame, kernels: DataFrame | None = None) -> DataFram
     """
     arg = lambda k: F.get_json_object("args", f"$['{k}']")
     s = spans.select("span_id", "rank", "track_idx", "ts_ns", "seq", "name", "cat", "gpu", arg("correlation").alias("corr"), arg("External id").alias("ext"))
-    k = kernels.select("span_id").join(s, "span_id") if kernels is not None else s.filter(F.col("gpu") & (F.col("cat") == "kernel"))
+    kernel = F.col("gpu") & (F.col("cat") == "kernel") if kernels is None else F.lit(True)
+    keyed = (F.col("corr").isNotNull() | F.col("ext").isNotNull()) & (kernel | F.col("cat").isin(*LAUNCH_CATS))
+    s = materialize(s.filter(keyed), "launch-keys")  # args are parsed once for all joins
+    k = kernels.select("span_id").join(s, "span_id") if kernels is not None else s.filter(kernel)
     c = s.filter(F.col("cat").isin(*LAUNCH_CATS))
     k, c = k.alias("k"), c.alias("c")
     ok = (F.col("k.track_idx") != F.col("c.track_idx")) & (F.col("c.ts_ns") <= F.col("k.ts_ns"))
@@ -143,24 +147,19 @@ def frame_site(name):
     return F.when((file != "") & line.isNotNull(), F.struct(file.alias("file"), line.alias("line")))
 
 
-def launch_frames(links: DataFrame, spans: DataFrame, bucket_ns: int, files: DataFrame | None = None) -> DataFrame:
+def launch_frames(links: DataFrame, spans: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """H4: (kernel_id, frame_id, file, line): the shortest Python frame around the launch, on its track, that names a file.
 
     With ``files``, a table of known paths, frames elsewhere are passed over.
-    Frames and launches meet in time buckets of their track.
+    Frames and launches meet in cells of several widths.
     """
     at = links.join(spans.select(F.col("span_id").alias("at_id"), *TRACK, F.col("ts_ns").alias("t")), "at_id")
-    at = at.withColumn("b", F.floor(F.col("t") / F.lit(bucket_ns)))
     py = spans.filter(F.col("cat") == "python_function").withColumn("site", frame_site(F.col("name"))).filter("site is not null")
     py = py.select(*TRACK, F.col("span_id").alias("frame_id"), "ts_ns", "end_ns", "dur_ns", "seq", F.col("site.file").alias("file"), F.col("site.line").alias("line"))
     py = py.filter(~F.col("file").startswith("/") & ~F.col("file").rlike(r"(^|/)\.\.(/|$)"))
     if files is not None:
         py = py.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
-    py = py.withColumn("b", F.explode(F.sequence(F.floor(F.col("ts_ns") / F.lit(bucket_ns)), F.floor(F.col("end_ns") / F.lit(bucket_ns)))))
-    a, f = at.withColumn("scope", scope()).drop("rank").alias("a"), py.withColumn("scope", scope()).drop("rank").alias("f")
-    same = F.lit(True)
-    for c in ("run", "scope", "pid", "tid", "b"):
-        same = same & (F.col(f"a.{c}") == F.col(f"f.{c}"))
-    hit = a.join(f, same & (F.col("f.ts_ns") <= F.col("a.t")) & (F.col("a.t") <= F.col("f.end_ns")))
-    best = hit.groupBy("a.kernel_id").agg(F.min(F.struct("f.dur_ns", "f.ts_ns", "f.seq", "f.frame_id", "f.file", "f.line")).alias("r"))
+    at = materialize(at.select("kernel_id", *TRACK, "t"), "launches")
+    hit = overlapping(at, materialize(py, "frames"), TRACK, ("t", "t"), ("ts_ns", "end_ns"))
+    best = hit.groupBy("kernel_id").agg(F.min(F.struct("dur_ns", "ts_ns", "seq", "frame_id", "file", "line")).alias("r"))
     return best.select("kernel_id", "r.frame_id", "r.file", "r.line")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.steps import step_batch
 from spanforge.functions.text import coordinate
 from spanforge.operators.intervals import union_length
+from spanforge.operators.meet import overlapping
 from spanforge.operators.select import is_exec_context
 from spanforge.operators.tracks import with_tracks
 from spanforge.storage import broadcast_small, materialize
 
+#: Steps up to which every task gets all of them; spans searched at once.
+FEW_STEPS, SEARCHED = 200_000, 10_000
 BATCH = ("total_tokens", "n_ctx", "n_gen", "ctx_tokens", "ctx_kv", "gen_tokens", "gen_kv")
 
 
@@ -58,15 +64,16 @@ def _buckets(t0: str, t1: str, width: int):
 def assign_steps(steps: DataFrame, ref: DataFrame) -> DataFrame:
     """Step spans with the step that they overlap most, the earliest of equals; without overlap, the nearest.
 
-    Nearest is by the sum of the distances of both ends. Spans and steps meet in
-    time buckets. A step that ends by a span's start, or starts at its end, is as
+    Nearest is by the sum of the distances of both ends. Steps are the
+    annotations of one track: where they are few, every task searches all of
+    them. Others meet the spans in cells of several widths, with the same result. A step that ends by a span's start, or starts at its end, is as
     far as the sums of both their ends are apart; so the nearest step before a
     span is the one of the largest sum, and after it the one of the smallest.
     """
+    if ref.limit(FEW_STEPS + 1).count() <= FEW_STEPS:
+        return steps.join(_searched(steps, ref), "span_id")
     width = _width(ref, "r0", "r1")
-    r = ref.withColumn("b", _buckets("r0", "r1", width))
-    s = steps.select("span_id", "ts_ns", "end_ns", _buckets("ts_ns", "end_ns", width).alias("b"))
-    met = s.join(r, "b").filter((F.col("ts_ns") < F.col("r1")) & (F.col("end_ns") > F.col("r0")))
+    met = overlapping(steps.select("span_id", "ts_ns", "end_ns"), ref, [], b_at=("r0", "r1")).filter((F.col("ts_ns") < F.col("r1")) & (F.col("end_ns") > F.col("r0")))
     shared = F.least("end_ns", "r1") - F.greatest("ts_ns", "r0")
     best = met.groupBy("span_id").agg(F.max(F.struct(shared.alias("shared"), (-F.col("step")).alias("neg"))).alias("m"))
     best = best.filter("m.shared > 0").select("span_id", (-F.col("m.neg")).alias("step"))
@@ -84,6 +91,70 @@ def assign_steps(steps: DataFrame, ref: DataFrame) -> DataFrame:
     return steps.join(best.unionByName(near), "span_id")
 
 
+def _searched(steps: DataFrame, ref: DataFrame) -> DataFrame:
+    """(span_id, step) as ``assign_steps`` has them, by search in the sorted steps, of which there are ``FEW_STEPS`` at most."""
+    rows = sorted((r["r0"], r["r1"], r["step"]) for r in ref.select("r0", "r1", "step").collect())
+    r0, r1, number = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    latest = np.maximum.accumulate(r1) if len(rows) else r1
+    n = len(rows)
+    # of steps that end by a time the one of the largest sum, of those that start from a time on the one of the smallest
+    by_end = np.lexsort((r0, r1))
+    order = np.lexsort((number, -(r0 + r1)))  # best first
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    before = order[np.minimum.accumulate(rank[by_end])] if n else by_end
+    order = np.lexsort((number, r0 + r1))
+    rank[order] = np.arange(n)
+    after = order[np.minimum.accumulate(rank[::-1])[::-1]] if n else order
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b) or not n:
+                continue
+            ids, ts, end = (b[c].to_numpy(np.int64) for c in ("span_id", "ts_ns", "end_ns"))
+            for at in range(0, len(ids), SEARCHED):
+                yield pd.DataFrame(dict(zip(("span_id", "step"), one(ids[at : at + SEARCHED], ts[at : at + SEARCHED], end[at : at + SEARCHED]), strict=True)))
+
+    def one(ids: np.ndarray, ts: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m = len(ids)
+        lo, hi = np.searchsorted(latest, ts, "right"), np.searchsorted(r0, end, "left")  # r1 > ts, r0 < end
+        per = np.maximum(0, hi - lo)
+        who = np.repeat(np.arange(m), per)
+        k = np.arange(per.sum()) + np.repeat(lo - (np.cumsum(per) - per), per)
+        meets = r1[k] > ts[who]
+        who, k = who[meets], k[meets]
+        shared = np.minimum(end[who], r1[k]) - np.maximum(ts[who], r0[k])
+        s = np.lexsort((number[k], -shared, who))
+        who, k, shared = who[s], k[s], shared[s]
+        first = np.r_[True, who[1:] != who[:-1]] if len(who) else np.zeros(0, bool)
+        step = np.full(m, -1, np.int64)
+        good = first & (shared > 0)
+        step[who[good]] = number[k[good]]
+        # the others: the nearest before, after, or met without overlap
+        lone = step < 0
+        found = []
+        e = np.searchsorted(r1[by_end], ts, "right")
+        x = np.flatnonzero(lone & (e > 0))
+        p = before[e[x] - 1]
+        found.append((x, ts[x] + end[x] - r0[p] - r1[p], number[p]))
+        e = np.searchsorted(r0, end, "left")
+        x = np.flatnonzero(lone & (e < n))
+        p = after[e[x]]
+        found.append((x, r0[p] + r1[p] - ts[x] - end[x], number[p]))
+        inside = lone[who]
+        x, p = who[inside], k[inside]
+        found.append((x, np.abs(r0[p] - ts[x]) + np.abs(r1[p] - end[x]), number[p]))
+        x, far, at = (np.concatenate(c) for c in zip(*found, strict=True))
+        s = np.lexsort((at, far, x))
+        x, at = x[s], at[s]
+        first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+        step[x[first]] = at[first]
+        some = step >= 0
+        return ids[some], step[some]
+
+    return steps.select("span_id", "ts_ns", "end_ns").mapInPandas(run, f"span_id long, step {ref.schema['step'].dataType.simpleString()}")
+
+
 def best_before(values: DataFrame, points: DataFrame, width: int) -> DataFrame:
     """Points (span_id, t, own) with v, the largest of the values (t, v) whose t isn't after theirs; those without any are left out.
 

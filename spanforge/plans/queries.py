@@ -22,7 +22,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DAY = 86_400 * 10**9
 WINDOW = (3 * DAY, 12 * DAY)
-BUCKET = DAY // 2
 QUERIES: dict[str, Query] = {}
 
 
@@ -445,7 +444,7 @@ def h4_launch_frames(spark, sf):
     s = s.withColumn("name", F.when(F.col("cat") == "python_function", F.concat(F.lit("pkg/mod"), F.col("correlation").cast("string"), F.lit(".py("), (F.col("correlation") + 10).cast("string"), F.lit("): run"))).otherwise(F.col("name")))
     # frames and launches are on tracks of their own here; both sorts of CPU track become one
     one = s.withColumn("tid", F.when(F.col("gpu"), F.col("tid")).otherwise("2"))
-    return links.launch_frames(found, one, BUCKET)
+    return links.launch_frames(found, one)
 
 
 @query
@@ -493,7 +492,7 @@ def h8_attribution(spark, sf):
     name = F.when(c == 1, "Kernel").when(c == 2, F.concat(F.lit("void at::"), "name")).when(c == 3, F.concat("name", F.lit("_gone"))).otherwise(F.col("name"))
     s = s.withColumn("name", F.when(F.col("gpu"), name).otherwise(F.col("name")))
     s = s.withColumn("args", F.when(c == 4, F.to_json(F.struct(F.lit("pkg/view.py:3").alias("CallFrom")))).otherwise(F.to_json(F.struct(c.alias("correlation"), c.alias("External id")))))
-    return attribution.attribute(tracks.with_tracks(s, tracks_of(s), "track_idx"), _index(spark, sf), BUCKET)
+    return attribution.attribute(tracks.with_tracks(s, tracks_of(s), "track_idx"), _index(spark, sf))
 
 
 # ---- sequence diff

@@ -360,10 +360,10 @@ def test_frames(spark):
         (0, "8", False, [(60, 5, "launch", "cuda_runtime", '{"correlation": 42}'), (0, 90, "pkg/outer.py(10): f", "python_function"), (50, 20, "g(pkg/inner.py:20)", "python_function"), (55, 12, "<built-in launch>", "python_function"), (58, 9, "/abs/x.py(3): h", "python_function")]),
     ]
     s = launch_table(spark, rows)
-    r = links.launch_frames(links.launch_links(s), s, 30_000).first()
+    r = links.launch_frames(links.launch_links(s), s).first()
     assert (r.file, r.line) == ("pkg/inner.py", 20)
     files = spark.createDataFrame([("pkg/outer.py",)], "path string")
-    assert links.launch_frames(links.launch_links(s), s, 30_000, files).first().line == 10
+    assert links.launch_frames(links.launch_links(s), s, files).first().line == 10
 
 
 def test_flows(spark):
@@ -539,3 +539,44 @@ def test_stack_of_a_thousand(spark, monkeypatch):
     got = links.flows_of(s, links.pair_flows(flows), s).collect()
     assert len(got) == n and len({r.at_id for r in got}) == 1
     assert rounds.count("nearest") <= 12
+
+
+def test_overlaps_in_cells_of_several_widths(spark, monkeypatch):
+    """One interval that lasts for the whole run beside many short ones: all pairs, once each, and few rows."""
+    from spanforge.operators import meet
+
+    r = random.Random(5)
+    intervals_of = lambda n, most: [(r.randrange(2), t, t + r.choice([0, 1, 900, 1024, 5000, r.randrange(most)])) for t in (r.randrange(3_000_000) for _ in range(n))]
+    a, b = intervals_of(400, 70_000) + [(0, -5, 3_100_000)], intervals_of(300, 9_000) + [(0, 0, 4_000_000), (1, 7, 7)]
+    x = spark.createDataFrame([(k, i, t0, t1) for i, (k, t0, t1) in enumerate(a)], "k int, i int, ts_ns long, end_ns long")
+    y = spark.createDataFrame([(k, j, t0, t1) for j, (k, t0, t1) in enumerate(b)], "k int, j int, t0 long, t1 long")
+    got = sorted((q.i, q.j) for q in meet.overlapping(x, y, ["k"]).collect())
+    assert got == sorted((i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p[0] == q[0] and p[1] <= q[2] and q[1] <= p[2])
+    classes = F.array(*[F.lit(c) for c in range(8)])
+    rows = meet._in_cells(x.withColumn("own_class", meet._class("ts_ns", "end_ns")), ("ts_ns", "end_ns"), "a", F.filter(classes, lambda c: c >= F.col("own_class")))
+    assert max(q["count"] for q in rows.groupBy("i", "at_class").count().collect()) <= 2
+
+
+def test_few_and_many_steps_give_the_same(spark, monkeypatch):
+    r = random.Random(6)
+    ref = [(i, t, t + r.choice([0, 3, 40, 200])) for i, t in enumerate(sorted(r.sample(range(9_000), 60)))]
+    found = [(i, t, t + r.choice([0, 0, 1, 30, 700])) for i, t in enumerate(r.sample(range(9_500), 400))]
+    ref_df = spark.createDataFrame(ref, "step int, r0 long, r1 long")
+    df = spark.createDataFrame(found, "span_id long, ts_ns long, end_ns long")
+    few = sorted((q.span_id, q.step) for q in steps.assign_steps(df, ref_df).collect())
+    monkeypatch.setattr(steps, "FEW_STEPS", 1)
+    assert few == sorted((q.span_id, q.step) for q in steps.assign_steps(df, ref_df).collect())
+    want = []
+    for i, t, e in found:
+        shared = [(-(min(e, r1) - max(t, r0)), s) for s, r0, r1 in ref if t < r1 and e > r0 and min(e, r1) > max(t, r0)]
+        want.append((i, min(shared)[1] if shared else min((abs(r0 - t) + abs(r1 - e), s) for s, r0, r1 in ref)[1]))
+    assert few == want
+
+
+def test_gaps_beyond_the_broadcast(spark, monkeypatch):
+    from tests.oracle import compare
+
+    from spanforge.plans import queries as core
+
+    monkeypatch.setattr(gaps, "SMALL", 1)
+    compare(spark, core.queries(), core.oracle_sql(), "f4_gap_causes")

@@ -111,7 +111,7 @@ def test_attribution(spark, tmp_path):
     ]
     s = table(spark, rows)
     s = with_tracks(s, classify_tracks(s), "track_idx")
-    got = {r.span_id: (r.via, r.outcome, r.path, r.line) for r in attribute(s, index_sources(spark, str(tmp_path)), 50_000).collect()}
+    got = {r.span_id: (r.via, r.outcome, r.path, r.line) for r in attribute(s, index_sources(spark, str(tmp_path))).collect()}
     assert got[0] == ("name", "list", "csrc/body.cuh", 2)
     assert got[1] == ("launch frame", "open", "pkg/ops.py", 3)
     assert got[2] == ("op", "open", "pkg/ops.py", 3)
