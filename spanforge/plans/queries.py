@@ -47,6 +47,14 @@ def a6_rank_groups(spark, sf):
     return rank_groups(p.select((F.col("rank") % 3).cast("string").alias("source_dir"), "path"))
 
 
+@query
+def a6_dashed_ranks(spark, sf):
+    """Names with "-rank-N.", a third of them alone in their group, and names without a rank."""
+    r = F.col("rank")
+    name = F.when(r % 5 == 0, F.format_string("plain-%d.json", r)).when(r % 3 == 0, F.format_string("/d/alone%d-rank-%d.json", r, r)).otherwise(F.format_string("/d/run%d-rank-%d.trace.json.gz", r % 4, r))
+    return rank_groups(runs_of_events(spark, sf).select(F.lit("d").alias("source_dir"), name.alias("path")))
+
+
 @query
 def a7_export(spark, sf):
     return select.export_lines(_gpu(spans_of_events(spark, sf)))
@@ -179,6 +187,12 @@ def b11_downsample(spark, sf):
     return select.downsample(_gpu(spans_of_events(spark, sf)), WINDOW, 40, ["rank", "tid"]).select("span_id", "px")
 
 
+@query
+def b11_downsample_lanes(spark, sf):
+    s = lanes.lanes(_gpu(spans_of_events(spark, sf)))
+    return select.downsample(s, WINDOW, 40, ["rank", "tid", "lane"], mode="centre").select("span_id", "lane", "px")
+
+
 # ---- selection and search
 
 
@@ -383,6 +397,18 @@ def g1_step_names(spark, sf):
     return steps.step_batches(_named(spark, sf)).select("name", "batch.*")
 
 
+@query
+def g1_detailed_names(spark, sf):
+    """The form with totals and kv: without a total, with one of 0, and without kv by turns; and names that have neither form."""
+    k = F.get_json_object("args", "$.k").cast("int")
+    total = F.when(k % 3 == 0, "").when(k % 3 == 1, "0_").otherwise(F.format_string("%d_", 3 * k + 1))
+    kv = F.when(k % 4 == 0, "").otherwise(F.format_string("sk%d", 7 * k))
+    names = F.concat(F.lit("execute_"), total, F.format_string("context_%d(sq%d", k % 5, k), kv, F.format_string(")_generation_%d(sq%dsk%d)", k % 7, k % 11, k))
+    names = F.when(k % 13 == 5, F.concat(names, F.lit("x"))).otherwise(names)
+    s = spans_of_events(spark, sf).select(names.alias("name"))
+    return steps.step_batches(s).select("name", "batch.*")
+
+
 def _steps(spark, sf):
     s = _named(spark, sf)
     t = tracks_of(s)
@@ -438,6 +464,16 @@ def h3_launch_links(spark, sf):
     return _links(spark, sf)[1].select("kernel_id", "at_id", "graph")
 
 
+@query
+def h3_external_ids(spark, sf):
+    """Launches found by "External id", of whole graphs, and with rows that have no rank."""
+    s = spans_of_events(spark, sf)
+    c, seq = F.col("correlation"), F.col("seq")
+    args = F.when(seq % 3 == 0, F.to_json(F.struct(c.alias("External id")))).when(seq % 3 == 1, F.to_json(F.struct("correlation"))).otherwise(F.to_json(F.struct("correlation", c.alias("External id"))))
+    s = s.withColumns({"track_idx": F.col("rank") * 4 + F.col("tid").cast("int"), "args": args, "name": F.when((F.col("cat") == "cuda_runtime") & (c == 3), "cudaGraphLaunch").otherwise(F.col("name"))})
+    return links.launch_links(s.withColumn("rank", F.when(seq % 41 != 0, F.col("rank"))))
+
+
 @query
 def h4_launch_frames(spark, sf):
     s, found = _links(spark, sf)

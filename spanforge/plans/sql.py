@@ -171,6 +171,11 @@ SQL: dict[str, str] = {
     "a6_rank_groups": "WITH x AS (SELECT 1)" + PATHS + """, p AS (SELECT CAST(rank % 3 AS VARCHAR) AS source_dir, replace(path, '.json', '_x.json') AS path, rank FROM runs
 ), n AS (SELECT *, count(*) OVER (PARTITION BY source_dir) AS n FROM p)
 SELECT source_dir, path, CASE WHEN n > 1 THEN 'ep-group' END AS "group", CASE WHEN n > 1 THEN rank END AS rank FROM n""",
+    "a6_dashed_ranks": "WITH x AS (SELECT 1)" + PATHS + """, p AS (
+  SELECT rank, CASE WHEN rank % 5 = 0 THEN 'plain-' || rank || '.json' WHEN rank % 3 = 0 THEN '/d/alone' || rank || '-rank-' || rank || '.json' ELSE '/d/run' || (rank % 4) || '-rank-' || rank || '.trace.json.gz' END AS path,
+    CASE WHEN rank % 5 <> 0 AND rank % 3 <> 0 THEN 'run' || (rank % 4) END AS g FROM runs
+), n AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 AS many FROM p)
+SELECT 'd' AS source_dir, path, CASE WHEN many THEN g END AS "group", CASE WHEN many THEN rank END AS rank FROM n""",
     "a7_export": GPU + f" SELECT ts_ns, seq, name || ' (' || {TEXT.replace('x', 'dur_ns').replace('madur_ns', 'max')} || ')' AS line FROM g",
     "a1_read_traces": NAMED + """ SELECT rank, tid, CASE WHEN gpu THEN 'GPU ' ELSE 'Thread ' END || tid AS track, gpu, name, cat, ts_ns, dur_ns, '{"correlation":' || correlation || '}' AS args FROM spans""",
     "a2_salvage": NAMED + """, f AS (SELECT rank, seq % 2 AS file, count(*) AS n, sum(dur_ns) AS d FROM spans GROUP BY ALL)
@@ -216,6 +221,10 @@ SELECT rank, tid, CAST(max(k) AS BIGINT) AS peak FROM q GROUP BY ALL""",
     "b11_downsample": SEL + f""", x AS (SELECT *, CAST(floor(((ts_ns - {W0}) * 40)::DOUBLE / {W1 - W0}) AS BIGINT) AS px, dur_ns * 40 >= {W1 - W0} AS wide FROM w
 ), f AS (SELECT *, row_number() OVER (PARTITION BY rank, tid, px ORDER BY ts_ns, seq) AS rn FROM x WHERE NOT wide)
 SELECT span_id, px FROM x WHERE wide UNION ALL SELECT span_id, px FROM f WHERE rn = 1""",
+    "b11_downsample_lanes": DEEP + _lanes("(SELECT * FROM spans WHERE gpu)", "rank, tid", "ln") + f""", x AS (
+  SELECT *, CAST(floor(((ts_ns + dur_ns // 2 - {W0}) * 40)::DOUBLE / {W1 - W0}) AS BIGINT) AS px, dur_ns * 40 >= {W1 - W0} AS wide FROM ln WHERE end_ns >= {W0} AND ts_ns <= {W1}
+), f AS (SELECT *, row_number() OVER (PARTITION BY rank, tid, lane, px ORDER BY ts_ns, seq) AS rn FROM x WHERE NOT wide)
+SELECT span_id, lane, px FROM x WHERE wide UNION ALL SELECT span_id, lane, px FROM f WHERE rn = 1""",
     "c1_window": SEL + " SELECT span_id, name FROM w",
     "c3_hidden": NAMED + " SELECT span_id, name FROM spans WHERE gpu AND NOT starts_with(name, 'execute_')",
     "c4_search_names": BASE + " SELECT DISTINCT name FROM spans WHERE contains(lower(name), 'click_')",
@@ -271,6 +280,11 @@ SELECT scope, t0, t1, busy_ns, t1 - t0 - busy_ns AS idle_ns, round(CASE WHEN t1
 FROM (SELECT scope, min(ts_ns) AS t0, max(end_ns) AS t1 FROM c GROUP BY scope) JOIN u USING (scope)""",
     "f8_shared_time": GPU + _shared("(SELECT * FROM g WHERE dur_ns > 0)") + " SELECT name, round(shared_ns / 1e9, 3) AS shared_s FROM shared",
     "f8_shared_two_ranks": TWO + ", g AS (SELECT * FROM spans WHERE gpu)" + _shared("(SELECT * FROM g WHERE dur_ns > 0)") + " SELECT name, round(shared_ns / 1e9, 2) AS shared_s FROM shared",
+    "g1_detailed_names": BASE + """, n AS (
+  SELECT DISTINCT k, 'execute_' || CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '0_' ELSE (3 * k + 1) || '_' END || 'context_' || (k % 5) || '(sq' || k || CASE WHEN k % 4 = 0 THEN '' ELSE 'sk' || (7 * k) END
+    || ')_generation_' || (k % 7) || '(sq' || (k % 11) || 'sk' || k || ')' || CASE WHEN k % 13 = 5 THEN 'x' ELSE '' END AS name, k % 13 <> 5 AS ok FROM spans)
+SELECT name, CASE WHEN ok THEN CAST(CASE WHEN k % 3 = 2 THEN 3 * k + 1 ELSE k + k % 11 END AS BIGINT) END AS total_tokens, CASE WHEN ok THEN CAST(k % 5 AS BIGINT) END AS n_ctx, CASE WHEN ok THEN CAST(k AS BIGINT) END AS ctx_tokens,
+  CASE WHEN ok AND k % 4 <> 0 THEN CAST(7 * k AS BIGINT) END AS ctx_kv, CASE WHEN ok THEN CAST(k % 7 AS BIGINT) END AS n_gen, CASE WHEN ok THEN CAST(k % 11 AS BIGINT) END AS gen_tokens, CASE WHEN ok THEN CAST(k AS BIGINT) END AS gen_kv FROM n""",
     "g1_step_names": NAMED + BATCH + " SELECT name, ctx_tokens + gen_tokens AS total_tokens, n_ctx, n_gen, ctx_tokens, CAST(NULL AS BIGINT) AS ctx_kv, gen_tokens, CAST(NULL AS BIGINT) AS gen_kv FROM parsed",
     "g3_reference_track": NAMED + STEPS + " SELECT rank, tid, n, total_ns FROM reft",
     "g4_assign": NAMED + STEPS + " SELECT span_id, step FROM pick",
@@ -283,12 +297,34 @@ SELECT step, t0, t1, n_ranks, idle_before_ns, gpu_ns, coalesce(kernel_count, 0)
 FROM bd JOIN gpu USING (step) LEFT JOIN kc USING (step) LEFT JOIN tot USING (step)""",
     "h1_flows": BASE + FLOWS + " SELECT * FROM pairs",
     "h3_launch_links": BASE + LINKS + " SELECT * FROM links",
+    "h3_external_ids": BASE + """, st AS (
+  SELECT span_id, CASE WHEN seq % 41 <> 0 THEN rank END AS rank, rank * 4 + CAST(tid AS INTEGER) AS track_idx, ts_ns, seq, gpu, cat, CASE WHEN cat = 'cuda_runtime' AND correlation = 3 THEN 'cudaGraphLaunch' ELSE name END AS name,
+    CASE WHEN seq % 3 <> 0 THEN correlation END AS corr, CASE WHEN seq % 3 <> 1 THEN correlation END AS ext FROM spans
+), p AS (
+  SELECT k.span_id AS kernel_id, c.span_id AS id, c.ts_ns, c.track_idx, c.seq, c.name, coalesce(k.corr = c.corr, false) AS by_corr, coalesce(k.ext = c.ext, false) AS by_ext
+  FROM st k JOIN st c ON (k.rank = c.rank OR k.rank IS NULL OR c.rank IS NULL) AND k.track_idx <> c.track_idx AND c.ts_ns <= k.ts_ns AND (k.corr = c.corr OR k.ext = c.ext)
+  WHERE k.gpu AND k.cat = 'kernel' AND c.cat IN ('cpu_op', 'cuda_driver', 'cuda_runtime')
+), b AS (
+  SELECT kernel_id, arg_max(struct_pack(id := id, g := contains(name, 'GraphLaunch')), struct_pack(a := ts_ns, b := track_idx, c := seq)) FILTER (by_corr) AS l,
+    arg_min(struct_pack(id := id, name := name), struct_pack(a := track_idx, b := ts_ns, c := seq)) FILTER (by_ext) AS f FROM p GROUP BY kernel_id)
+SELECT kernel_id, f.name AS op, coalesce(l.id, f.id) AS at_id, coalesce(l.g, false) AS graph FROM b""",
     "h4_launch_frames": BASE + LINKS + """, l AS (SELECT kernel_id, rank, ts_ns AS t FROM links JOIN spans ON span_id = at_id
 ), f AS (SELECT span_id, rank, ts_ns, end_ns, dur_ns, seq, correlation FROM spans WHERE cat = 'python_function')
 SELECT kernel_id, arg_min(f.span_id, struct_pack(a := dur_ns, b := ts_ns, c := seq)) AS frame_id, arg_min('pkg/mod' || correlation || '.py', struct_pack(a := dur_ns, b := ts_ns, c := seq)) AS file, arg_min(correlation + 10, struct_pack(a := dur_ns, b := ts_ns, c := seq)) AS line
 FROM l JOIN f ON l.rank = f.rank AND f.ts_ns <= t AND t <= f.end_ns GROUP BY kernel_id""",
     "h5_resolve_names": BASE + """, n AS (SELECT DISTINCT name, regexp_extract(name, '^(.*)_', 1) AS kind FROM spans)
 SELECT 'void ns::' || name || '_0d1d2<int>(x)' AS name, 1 AS n, 'pkg/' || kind || '.py' AS path, CAST(row_number() OVER (PARTITION BY kind ORDER BY name) AS INTEGER) AS line FROM n""",
+    "h8_attribution": BASE + TRACKS + """, ix AS (
+  SELECT name, 'pkg/' || kind || '.py' AS path, CAST(row_number() OVER (PARTITION BY kind ORDER BY 'def ' || name || '(a):') AS INTEGER) AS line FROM (SELECT DISTINCT name, regexp_extract(name, '^(.*)_', 1) AS kind FROM spans)
+), st AS (SELECT s.*, t.track_idx FROM spans s JOIN tracks t ON s.rank = t.rank AND s.tid = t.tid
+), how AS (SELECT *, CASE WHEN correlation = 4 THEN 'call site' WHEN gpu AND correlation IN (1, 2, 3) THEN 'op' WHEN gpu OR cat = 'cpu_op' THEN 'name' END AS how FROM st
+), op AS (
+  SELECT k.span_id, arg_min(c.name, struct_pack(a := c.track_idx, b := c.ts_ns, c := c.seq)) AS op FROM how k JOIN st c ON k.rank = c.rank AND k.correlation = c.correlation AND k.track_idx <> c.track_idx AND c.ts_ns <= k.ts_ns
+  WHERE k.how = 'op' AND c.cat IN ('cpu_op', 'cuda_driver', 'cuda_runtime') GROUP BY k.span_id
+), r AS (SELECT h.span_id, CASE WHEN how <> 'op' OR op IS NOT NULL THEN how END AS via, CASE how WHEN 'name' THEN h.name WHEN 'op' THEN op END AS found FROM how h LEFT JOIN op ON h.span_id = op.span_id)
+SELECT span_id, via, CASE WHEN via IS NULL THEN 'error' ELSE 'open' END AS outcome, CAST(CASE WHEN via IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_hits,
+  CASE WHEN via = 'call site' THEN 'pkg/view.py' ELSE ix.path END AS path, CASE WHEN via = 'call site' THEN 3 ELSE ix.line END AS line
+FROM r LEFT JOIN ix ON ix.name = r.found""",
     "h7_call_sites": BASE + """ SELECT DISTINCT 'pkg/' || regexp_extract(name, '^(.*)_', 1) || '.py:' || correlation AS site, 'pkg/' || regexp_extract(name, '^(.*)_', 1) || '.py' AS path, correlation AS line FROM spans WHERE correlation > 0""",
     "h9_coords": BASE + " SELECT span_id, rank % 4 AS dp, CAST((rank // 4) % 4 AS INTEGER) AS tp, 0 AS pp, rank AS ep FROM spans",
     "h10_compare": GPU + """, a AS (SELECT name, count(*) AS n, CAST(sum(dur_ns) AS BIGINT) AS t FROM g WHERE rank % 2 = 0 AND name <> 'view_1' GROUP BY name
