@@ -663,6 +663,14 @@ def k7_durations(spark, sf):
 # ---- streaming
 
 
+@query
+def l1_watch(spark, sf):
+    base = f"{shared_dir(spark)}/watch-{uuid.uuid4().hex}"
+    folder = _documents(spark, sf).removesuffix("/*/*")
+    live.watch_traces(spark, folder, f"{base}/store", f"{base}/checkpoint", run="r", once=True, glob="*.txt").awaitTermination()
+    return live.read_spans(spark, f"{base}/store").select("rank", "tid", "track", "name", "cat", "ts_ns", "dur_ns")
+
+
 @query
 def l2_live_stats(spark, sf):
     """The running statistics once all spans, written as a stored table, have streamed by."""

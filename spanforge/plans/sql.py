@@ -178,6 +178,7 @@ SELECT source_dir, path, CASE WHEN n > 1 THEN 'ep-group' END AS "group", CASE WH
 SELECT 'd' AS source_dir, path, CASE WHEN many THEN g END AS "group", CASE WHEN many THEN rank END AS rank FROM n""",
     "a7_export": GPU + f" SELECT ts_ns, seq, name || ' (' || {TEXT.replace('x', 'dur_ns').replace('madur_ns', 'max')} || ')' AS line FROM g",
     "a1_read_traces": NAMED + """ SELECT rank, tid, CASE WHEN gpu THEN 'GPU ' ELSE 'Thread ' END || tid AS track, gpu, name, cat, ts_ns, dur_ns, '{"correlation":' || correlation || '}' AS args FROM spans""",
+    "l1_watch": NAMED + " SELECT rank, tid, CASE WHEN gpu THEN 'GPU ' ELSE 'Thread ' END || tid AS track, name, cat, ts_ns, dur_ns FROM spans",
     "a2_salvage": NAMED + """, f AS (SELECT rank, seq % 2 AS file, count(*) AS n, sum(dur_ns) AS d FROM spans GROUP BY ALL)
   SELECT rank, CAST(sum(n) AS BIGINT) AS n_spans, CAST(sum(d) AS BIGINT) AS total_ns, CAST(CASE WHEN rank % 3 = 0 THEN 0 ELSE count(*) END AS BIGINT) AS n_bad, CAST(CASE WHEN rank % 3 = 0 THEN 0 ELSE sum(n) + count(*) END AS BIGINT) AS n_kept FROM f GROUP BY rank""",
     "a3_discover": BASE + " SELECT DISTINCT rank FROM spans WHERE rank % 2 = 0",

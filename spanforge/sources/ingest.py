@@ -153,24 +153,24 @@ def _ns(c: str):
     return F.round(F.col(c) * 1000).cast("long")
 
 
-def assemble(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Spans, tracks and flows of events: complete events with a duration, thread names, flow ends."""
+def assemble(events: DataFrame, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans, tracks and flows of events: complete events with a duration, thread names, flow ends. Spans and flows keep the columns of ``carry``."""
     x = events.filter((F.col("ph") == "X") & F.col("dur").isNotNull() & F.col("ts").isNotNull())
     spans = x.select(
         "run", "rank", "pid", "tid", "seq", F.xxhash64("file", "run", "rank", "seq").alias("span_id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("cat", F.lit("")).alias("cat"),
-        _ns("ts").alias("ts_ns"), _ns("dur").alias("dur_ns"), (_ns("ts") + _ns("dur")).alias("end_ns"), "args",
+        _ns("ts").alias("ts_ns"), _ns("dur").alias("dur_ns"), (_ns("ts") + _ns("dur")).alias("end_ns"), "args", *carry,
     )
     names = events.filter((F.col("ph") == "M") & (F.col("name") == "thread_name"))
     names = names.select("run", "rank", "pid", "tid", "seq", F.get_json_object("args", "$.name").alias("label")).filter("label is not null")
     tracks = label_tracks(classify_tracks(spans), names)
-    spans = with_tracks(spans, tracks, "track", "gpu").select(*SPAN_COLUMNS)
-    flows = events.filter(F.col("ph").isin("s", "f")).select("run", "rank", F.col("id").try_cast("long").alias("flow_id"), "pid", "tid", _ns("ts").alias("ts_ns"), (F.col("ph") == "s").alias("is_start"))
+    spans = with_tracks(spans, tracks, "track", "gpu").select(*SPAN_COLUMNS, *carry)
+    flows = events.filter(F.col("ph").isin("s", "f")).select("run", "rank", F.col("id").try_cast("long").alias("flow_id"), "pid", "tid", _ns("ts").alias("ts_ns"), (F.col("ph") == "s").alias("is_start"), *carry)
     return spans, tracks, flows
 
 
-def assembled(docs: DataFrame, events: DataFrame, run: str) -> Bundle:
+def assembled(docs: DataFrame, events: DataFrame, run: str, carry: tuple[str, ...] = ()) -> Bundle:
     """The tables of what ``read_documents`` gives."""
-    spans, tracks, flows = assemble(placed(events, docs, run))
+    spans, tracks, flows = assemble(placed(events, docs, run), carry)
     start = spans.groupBy("run", "rank").agg(F.min("ts_ns").alias("min_ts_ns"))
     h = headers(docs, run).alias("h")
     runs = h.join(start.alias("s"), (F.col("h.run") == F.col("s.run")) & F.col("h.rank").eqNullSafe(F.col("s.rank")), "left").select("h.*", "s.min_ts_ns")

@@ -11,13 +11,14 @@ TABLES = {"spans": SPANS, "tracks": TRACKS, "flows": FLOWS, "runs": RUNS}
 
 
 def write_store(bundle: Bundle, path: str, mode: str = "append", batch: int | None = None) -> None:
-    """Each rank is a partition of files; sorted files let readers skip by time. AQE splits large ranks. A batch has folders of its own."""
+    """Each rank is a partition of files; sorted files let readers skip by time. AQE splits large ranks. A batch has folders of its own, in which rows with a ``file`` are parted by that as well."""
     for name in TABLES:
         df: DataFrame = getattr(bundle, name)
-        df = df.hint("rebalance", "run", "rank")
+        by = ["run", "rank", *[c for c in ("file",) if c in df.columns]]
+        df = df.hint("rebalance", *by)
         order = [c for c in ("pid", "tid", "ts_ns") if c in df.columns]
-        df = df.sortWithinPartitions("run", "rank", *order)
-        df.write.mode(mode).partitionBy("run", "rank").parquet(f"{path}/{name}" if batch is None else f"{path}/{name}/batch={batch}")
+        df = df.sortWithinPartitions(*by, *order)
+        df.write.mode(mode).partitionBy(*by).parquet(f"{path}/{name}" if batch is None else f"{path}/{name}/batch={batch}")
 
 
 def read_store(spark: SparkSession, path: str, runs: list[str] | None = None, batch: int | None = None) -> Bundle:

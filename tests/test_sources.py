@@ -136,6 +136,35 @@ def test_watching(spark, tmp_path):
     assert got == {r.name: (r["count"], r.total_ns, r.max_ns, r.min_ns) for r in kernel_stats(spans).collect()}
 
 
+def test_rewritten_files_replace_their_spans(spark, tmp_path):
+    src, store, out, check = tmp_path / "src", str(tmp_path / "store"), str(tmp_path / "gaps"), str(tmp_path / "ck")
+    src.mkdir()
+
+    def write(name, rank, starts):
+        events = [dict(EVENTS[0], ts=1000 + t, dur=1, name=f"{name}{t}") for t in starts]
+        (src / name).write_text(json.dumps({"traceEvents": events, "distributedInfo": {"rank": rank, "world_size": 4}}))
+
+    def run():
+        live.watch_traces(spark, str(src), store, check, once=True, on_batch=live.live_gaps(spark, store, out)).awaitTermination()
+        return {(r["rank"], r.name) for r in live.read_spans(spark, store).collect()}
+
+    write("a.json", 0, [0, 10])
+    write("b.json", 1, [0, 30])
+    first = run()
+    assert first == {(0, "a.json0"), (0, "a.json10"), (1, "b.json0"), (1, "b.json30")}
+    assert run() == first
+    n = spark.read.parquet(f"{store}/files").select("batch").distinct().count()
+    assert n == 1  # nothing new, nothing written
+    write("a.json", 0, [0, 10, 50])
+    write("c.json", 0, [90])
+    assert run() == {(0, "a.json0"), (0, "a.json10"), (0, "a.json50"), (0, "c.json90"), (1, "b.json0"), (1, "b.json30")}
+    batch = spark.read.parquet(f"{store}/files").agg({"batch": "max"}).first()[0]
+    gaps_ = spark.read.parquet(f"{out}/batch={batch}").collect()
+    assert sorted((r.scope, r.gap_ns) for r in gaps_) == [(0, 9000), (0, 39000), (0, 39000)]
+    write("a.json", 2, [7])  # another rank: what it had before goes
+    assert run() == {(2, "a.json7"), (0, "c.json90"), (1, "b.json0"), (1, "b.json30")}
+
+
 def test_live_gaps_has_all_gaps(spark, tmp_path):
     store, out = str(tmp_path / "store"), str(tmp_path / "gaps")
     rows = [("r", rank, "0", "1", "t", True, i, 1000 * rank + i, f"k{i}", "kernel", i * step, 1000, i * step + 1000, None) for rank, step in ((0, 9_000), (1, 3_000)) for i in range(601)]
