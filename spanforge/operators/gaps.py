@@ -76,8 +76,9 @@ def explain_gaps(gaps: DataFrame, spans: DataFrame) -> DataFrame:
         g = F.broadcast(g)
         hit = work.join(g, (work["scope"] == g["scope"]) & (F.col("ts_ns") < F.col("t1")) & (F.col("end_ns") > F.col("t0"))).drop(g["scope"])
     else:
-        hit = materialize(overlapping(work, g, ["scope"]), "gap-hits")
+        hit = overlapping(work, g, ["scope"])
     hit = hit.withColumns({"ts_ns": F.greatest("ts_ns", "t0"), "end_ns": F.least("end_ns", "t1")}).filter("end_ns > ts_ns")
+    hit = materialize(hit, "gap-hits")  # four sums read it
     key = ["scope", "t0", "t1"]
     busy = union_length(hit, key, name="cpu_ns")
     runtime = union_length(hit.filter(F.col("cat").isin(*RUNTIME)), key, name="runtime_ns")
