@@ -6,11 +6,19 @@ with the matched mentions as labels:
 
 * of one token: how often mentions of its shape, once punctuation is gone, and
   after the word before it, have each label, and how rarely a mention of that
-  label comes in a form that no pattern matches;
+  label comes in a form that no pattern matches: of all mentions, and, for
+  tokens that share a key with a matched one, of the repeated ones;
 * of neighbouring tokens (chain), and of distant tokens of a document whose
   digits or letters are the same or alike (skip): how much more often than by
   chance such tokens have one label.
 
+Few corpora write a mention twice in different forms, and none says which of the
+forms that no pattern matches are personal. So the skip potentials are learned
+from the matched mentions as they would be re-spelled: without their punctuation
+(all kinds), and a phone without its country code. A re-spelled mention agrees
+with itself, and disagrees with what else in its document has the same key and
+another label.
+
 Loopy message passing then gives each token's marginal. So a mention in full
 form lends its label to its other forms as far as the counts speak for that.
 """
@@ -41,9 +49,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: A token with one of these could be a mention.
 SIGN = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]")
 SPACE = re.compile(r"\s")
-AT_DOT = re.compile(r"[\[(](?:at|AT|dot|DOT)[\])]")
+AT_DOT = re.compile(r" ?[\[(](at|AT|dot|DOT)[\])] ?")
+SPELLED = ("(at)", "[at]", "(AT)", "[AT]", "(dot)", "[dot]", "(DOT)", "[DOT]")
+#: A token of digits and what stands between them.
+NUMBER = re.compile(r"\+?[0-9().\-/]*[0-9][0-9().\-/]*")
 #: Sorts of links: neighbours, and mentions with the same key, the same last or first digits, the same name before the @.
 LINKS = ("chain", "same", "tail", "head", "name")
+#: Keys that re-spelled mentions keep, by label: all digits or letters; of phones, without a country code, the last digits.
+RESPELLED = {"same": (1, 2, 3, 4), "tail": (4,)}
 #: Words before a mention are told by so many hashes.
 CONTEXTS = 256
 #: Smoothing: of shapes, of contexts, and the unmatched tokens of a shape that count as seen without a label.
@@ -95,7 +108,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def _bare(mention: str) -> str:
     """The mention with its spelled-out signs as signs."""
-    return AT_DOT.sub(lambda m: "@" if m[0][1] in "aA" else ".", mention)
+    return AT_DOT.sub(lambda m: "@" if m[1] in ("at", "AT") else ".", mention)
 
 
 def _keys(mention: str) -> dict[str, str]:
@@ -127,17 +140,42 @@ def _context(text: str, at: int) -> int:
 
 
 def _tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Where the tokens between white space are that have a sign."""
+    """Where the tokens between white space are that have a sign; spelled-out signs join the words beside them."""
     end = 0
     while m := SIGN.search(text, end):
         a = m.start()
+        if text[a] in "[(" and a - 1 > end and text[a - 1] == " ":  # the sign begins a token
+            a -= 1
         while a > end and not text[a - 1].isspace():
             a -= 1
-        stop = SPACE.search(text, m.end())
-        end = stop.start() if stop else len(text)
+        at = m.end()
+        while True:
+            stop = SPACE.search(text, at)
+            end = stop.start() if stop else len(text)
+            if text.startswith(SPELLED, end + 1) and text.startswith(" ", end):
+                at = end + 1
+            elif text.startswith(" ", end) and text.endswith(SPELLED, m.start(), end) and end + 1 < len(text):
+                at = end + 1
+            else:
+                break
         yield a, end
 
 
+def _joined_numbers(text: str, tokens: list[tuple[int, int]], known: set[str]) -> Iterator[tuple[int, int]]:
+    """The tokens; numbers in a row, a space apart, whose digits together are known are one token."""
+    digits = [re.sub(r"[^0-9]", "", text[a:b]) if NUMBER.fullmatch(text, a, b) else "" for a, b in tokens]
+    longest, i = max(map(len, known)), 0
+    while i < len(tokens):
+        d, j, last = digits[i], i, i
+        while d and d not in known and len(d) < longest and j + 1 < len(tokens) and digits[j + 1] and tokens[j + 1][0] == tokens[j][1] + 1 and text[tokens[j][1]] == " ":
+            j += 1
+            d += digits[j]
+            if d in known:
+                last = j
+        yield tokens[i][0], tokens[last][1]
+        i = last + 1
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
     """By start: base spans, and the tokens that overlap none and have a key."""
 
@@ -146,7 +184,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
 
     out = [mention(a, b, 1 + k) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
-    at, upto = 0, -1
+    at, upto, free = 0, -1, []
     for a, b in _tokens(text):
         while at < len(taken) and taken[at][0] < b:
             upto = max(upto, taken[at][1])
@@ -157,6 +195,9 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[Mention]:
             a += 1
         while b > a and text[b - 1] in "\"'>)]},;:.!?":
             b -= 1
+        free.append((a, b))
+    known = {m[3]["same"] for m in out if m[2] > 1 and "same" in m[3]}
+    for a, b in _joined_numbers(text, free, known) if known else free:
         if (m := mention(a, b, 0))[3]:
             out.append(m)
     return sorted(out, key=lambda m: m[:3])
@@ -186,11 +227,24 @@ def counts(text: str) -> Counter:
 
     Tokens that share a key with a matched mention may be personal data that no
     pattern matches: they aren't taken for anything, but counted as "unmatched".
+    "repeated" counts the matched mentions after the first of their key and label.
     """
     c: Counter = Counter()
     base = base_spans(text)
     nodes = mentions(text, base)
     full = {(s, k): m[2] for m in nodes if m[2] for s, k in m[3].items()}
+    labels: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for _, _, label, keys, _, _ in nodes:
+        if label:
+            for x in keys.items():
+                if x[0] == "same" and label in labels[x]:
+                    c["repeated", "", label] += 1
+                labels[x].add(label)
+    for _, _, label, keys, _, _ in nodes:
+        for x in keys.items():
+            if label in RESPELLED.get(x[0], ()):
+                c["link", x[0], 1] += 1
+                c["link", x[0], 0] += len(labels[x]) > 1
     known: list[int | None] = []
     for _, _, label, keys, shape, context in nodes:
         of = 0 if label else next((full[x] for x in keys.items() if x in full), 0)
@@ -203,7 +257,7 @@ def counts(text: str) -> Counter:
     for i, j, sort in links(nodes):
         if known[i] is not None and known[j] is not None:
             c["link", sort, int(known[i] == known[j])] += 1
-    return c
+    return +c
 
 
 def marginals(local: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -245,7 +299,7 @@ class Field:
         n = np.zeros(len(LABELS))
         self.shapes: dict[str, np.ndarray] = {}
         contexts = np.full((CONTEXTS, len(LABELS)), CONTEXT_PRIOR)
-        unmatched, agree = np.ones(len(LABELS)), {s: [0, 0] for s in LINKS}
+        unmatched, repeated, agree = np.ones(len(LABELS)), np.ones(len(LABELS)), {s: [0, 0] for s in LINKS}
         for (what, key, k), c in seen.items():
             if what == "shape":
                 self.shapes.setdefault(key, np.full(len(LABELS), SHAPE_PRIOR))[k] += c
@@ -254,31 +308,41 @@ class Field:
                 contexts[int(key), k] += c
             elif what == "unmatched":
                 unmatched[k] += c
+            elif what == "repeated":
+                repeated[k] += c
             else:
                 agree[key][k] += c
         self.context = np.log(contexts / contexts.sum(axis=0))
         # of mentions of each label, how many come in a form that no pattern matches
         self.form = np.log(unmatched / (n + unmatched + 1))
-        self.form[0] = 0.0
+        # and of those that their document has before or after in full
+        self.again = np.log(unmatched / (repeated + unmatched))
+        self.form[0] = self.again[0] = 0.0
         # that two tokens agree by chance
         share = (n + 1) / (n + 1).sum()
         chance = float((share**2).sum())
         odds = lambda p: np.log(p / (1 - p))
         self.weight = {s: float(odds((a + 1) / (a + d + 2)) - odds(chance)) if a + d else 0.0 for s, (d, a) in agree.items()}
 
-    def local(self, m: Mention) -> np.ndarray:
-        """The logs of one token's potential; a matched mention has its label."""
+    def local(self, m: Mention, again: set[int]) -> np.ndarray:
+        """The logs of one token's potential; a matched mention has its label. ``again``: labels of matched ones that share a key with it."""
         if m[2]:
             out = np.full(len(LABELS), -40.0)
             out[m[2]] = 0.0
             return out
         shape = self.shapes.get(m[4], np.full(len(LABELS), SHAPE_PRIOR)).copy()
         shape[0] += NONE_PRIOR
-        return np.log(shape) + self.form + self.context[m[5]]
+        form = np.where([k in again for k in range(len(LABELS))], self.again, self.form)
+        return np.log(shape) + form + self.context[m[5]]
 
     def label(self, nodes: list[Mention]) -> list[int]:
         """The label of the largest marginal of each mention; matched ones keep theirs."""
-        found = marginals(np.array([self.local(m) for m in nodes]), [(i, j, self.weight[s]) for i, j, s in links(nodes)])
+        full: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for m in nodes:
+            for x in m[3].items() if m[2] else ():
+                full[x].add(m[2])
+        again = [set().union(*(full[x] for x in m[3].items() if x in full)) for m in nodes]
+        found = marginals(np.array([self.local(m, of) for m, of in zip(nodes, again, strict=True)]), [(i, j, self.weight[s]) for i, j, s in links(nodes)])
         return [m[2] or int(k) for m, k in zip(nodes, found.argmax(axis=1), strict=True)]
 
 

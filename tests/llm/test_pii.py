@@ -106,6 +106,55 @@ def test_potentials_come_from_the_texts(spark):
     assert op.learn(frame(spark, apart)).weight["same"] < 0 < op.learn(frame(spark, repeated)).weight["same"]
 
 
+PLANTED = [
+    ("call +49 30 1234 5678 or later 493012345678 at night", (3, 31, 43)),
+    ("call +49 30 1234 5678 or 030.1234.5678", (3, 25, 38)),
+    ("mail anna.berg@example.com then anna.berg (at) example.com please", (0, 32, 58)),
+    ("mail anna.berg@example.com then anna.berg (at) example (dot) com", (0, 32, 64)),
+    ("card 4111 1111 1111 1111 then 4111-1111 1111.1111 ok", (2, 30, 49)),
+    ("card 4111 1111 1111 1111 then 4111-1111 1111.1112 ok", None),
+    ("call +1 (555) 010-9999 or 555-010-9999 here", (3, 26, 38)),
+    ("mail bob (at) site.org and 493012345678", None),
+]
+
+
+def test_forms_never_seen_twice_are_found_by_what_the_given_texts_teach(spark):
+    # no document here has a mention in a second form: the potentials come from the matched ones, re-spelled
+    field = op.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    assert field.weight["same"] > field.weight["tail"] > field.weight["chain"]
+    for text, want in PLANTED:
+        base, every = op.find(text, field)
+        assert [s for s in every if s not in base] == ([want] if want else []), text
+
+
+def test_a_corpus_that_disagrees_unlabels_them(spark):
+    noise = [(1000 + i, f"order {1200000000 + 7919 * i} ready", "en", "a", 0) for i in range(700)]
+    agree = [(i, f"call +{i % 9 + 1} {i % 99 + 100} 188 {i + 100} now", "en", "a", 0) for i in range(200)]
+    apart = [(i, f"at {i % 9 + 1}.{i % 99 + 100}.188.{i % 99 + 100} or +{i % 9 + 1}{i % 99 + 100}188{i % 99 + 100} ", "en", "a", 0) for i in range(200)]
+    text = "ring +1 555 188 9999 or 1555188 9999 ok"
+    assert op.find(text, op.learn(frame(spark, agree + noise)))[1] == [(3, 5, 20), (3, 24, 36)]
+    assert op.find(text, op.learn(frame(spark, apart + noise)))[1] == [(3, 5, 20)]
+
+
+def test_learned_marginals_match_enumeration(spark):
+    field = op.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for text, _ in PLANTED:
+        nodes = op.mentions(text, op.base_spans(text))
+        full = [{m[2] for m in nodes if m[2] and set(m[3].items()) & set(n[3].items())} for n in nodes]
+        local = np.array([field.local(m, of) for m, of in zip(nodes, full, strict=True)])
+        edges = [(i, j, field.weight[s]) for i, j, s in op.links(nodes)]
+        assert (np.exp(exact(local, edges)).argmax(axis=1) == [k for k in field.label(nodes)]).all(), text
+
+
+def test_numbers_and_signs_in_parts():
+    tokens = lambda t: [t[a:b] for a, b in op._tokens(t)]
+    assert tokens("see a.b (at) c (dot) d now, x(at)y and z9 (at) w [dot] v") == ["a.b (at) c (dot) d", "x(at)y", "z9 (at) w [dot] v"]
+    assert tokens("(at) b") == ["(at) b"] and tokens("b (at)") == ["b (at)"] and tokens("b (at) ") == ["b (at)"]
+    assert [m[:2] for m in op.mentions("+1 555 188 9999 or 1 555 188 9999 1 555 188 9999", [(3, 0, 15)])] == [(0, 15), (19, 33), (34, 48)]
+    for t in ("+1 555 188 9999 " + "1 " * 100_000, "a (at) " * 50_000, "(at) " * 50_000, "9(dot) " * 50_000):
+        op.find(t, op.Field({}))
+
+
 def test_table(spark):
     some = [(i, t, "en", "a", 0) for i, t in enumerate([*TEXTS, None, "call +1 (555) 010-9999 or 15550109999"])]
     some += [(100 + i, f"call +1 (555) 01{i % 10}-99{i % 90 + 10} or +1 555 01{i % 10} 99{i % 90 + 10} please", "en", "a", 0) for i in range(200)]
