@@ -325,7 +325,7 @@ class Field:
         self.weight = {s: float(odds((a + 1) / (a + d + 2)) - odds(chance)) if a + d else 0.0 for s, (d, a) in agree.items()}
 
     def local(self, m: Mention, again: set[int]) -> np.ndarray:
-        """The logs of one token's potential; a matched mention has its label. ``again``: labels of matched ones that share a key with it."""
+        """The logs of one token's potential; a matched mention has its label. ``again``: labels of matched ones that keep a key of it when re-spelled."""
         if m[2]:
             out = np.full(len(LABELS), -40.0)
             out[m[2]] = 0.0
@@ -339,8 +339,9 @@ class Field:
         """The label of the largest marginal of each mention; matched ones keep theirs."""
         full: dict[tuple[str, str], set[int]] = defaultdict(set)
         for m in nodes:
-            for x in m[3].items() if m[2] else ():
-                full[x].add(m[2])
+            for x in m[3].items():
+                if m[2] in RESPELLED.get(x[0], ()):
+                    full[x].add(m[2])
         again = [set().union(*(full[x] for x in m[3].items() if x in full)) for m in nodes]
         found = marginals(np.array([self.local(m, of) for m, of in zip(nodes, again, strict=True)]), [(i, j, self.weight[s]) for i, j, s in links(nodes)])
         return [m[2] or int(k) for m, k in zip(nodes, found.argmax(axis=1), strict=True)]

@@ -140,7 +140,7 @@ def test_learned_marginals_match_enumeration(spark):
     field = op.learn(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     for text, _ in PLANTED:
         nodes = op.mentions(text, op.base_spans(text))
-        full = [{m[2] for m in nodes if m[2] and set(m[3].items()) & set(n[3].items())} for n in nodes]
+        full = [{m[2] for m in nodes for x in set(m[3].items()) & set(n[3].items()) if m[2] in op.RESPELLED.get(x[0], ())} for n in nodes]
         local = np.array([field.local(m, of) for m, of in zip(nodes, full, strict=True)])
         edges = [(i, j, field.weight[s]) for i, j, s in op.links(nodes)]
         assert (np.exp(exact(local, edges)).argmax(axis=1) == [k for k in field.label(nodes)]).all(), text
