@@ -2,14 +2,16 @@
 
 import math
 import random
+import statistics
 
 import pytest
 
 from spanforge.functions.steps import step_batch
 from spanforge.functions.text import build_ref, duration_text, kernel_base_name, kernel_family, matches_build, mesh_text, occupancy_limit, rank_of_label
-from spanforge.operators import clocks, gaps, intervals, lanes, links, select, seqdiff, stats, steps, tracks
+from spanforge.operators import clocks, gaps, intervals, lanes, links, ordered, select, seqdiff, stats, steps, tracks
 from spanforge.fixtures import spans_of_events
 from spanforge.schema import FLOWS, SPANS, Bundle
+from spanforge.storage import materialize
 from pyspark.sql import functions as F
 
 
@@ -52,6 +54,30 @@ def test_histogram(spark, durs, bins, want):
     assert stats.duration_histogram(one(spark, []), 4).count() == 0
 
 
+def test_medians_of_large_groups(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, r.choice([0, 1, r.randint(1, 40), r.randint(900, 1100), r.randint(1, 10**9)]), r.choice("aaab"), "kernel") for i in range(700)]
+    rows += [(800, 7, "one", "kernel"), (801, 5, "two", "kernel"), (802, 6, "two", "kernel")]
+    s = materialize(one(spark, rows), "spans")
+    s = s.withColumn("name", F.when(F.col("name") != "b", F.col("name")))  # a null name is a group
+    s = s.unionByName(s.filter("name = 'a'")).withColumn("dur_ns", F.when(F.col("ts_ns") != 802000, F.col("dur_ns")))
+
+    def found():
+        return [sorted(map(str, f.collect())) for f in (stats.kernel_stats(s), stats.kernel_stats(s, ["rank", "name"]), stats.selection_stats(s), stats.grand_median(s), stats.grand_median(s.limit(0)), stats.histogram_header(s), stats.kernel_stats(s.limit(0)))]
+
+    plain = found()
+    monkeypatch.setattr(ordered, "SMALL_BYTES", -1)
+    assert found() == plain
+    want = {}
+    for x in s.collect():
+        want.setdefault(x.name, []).append(x.dur_ns)
+    for x in stats.kernel_stats(s).collect():
+        known = [d for d in want[x.name] if d is not None]
+        assert (x["count"], x.median_ns, x.total_ns) == (len(want[x.name]), statistics.median(known), sum(known))
+    top = stats.kernel_stats(s)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in top
+
+
 def test_upper_median_and_percentile(spark):
     s = one(spark, [(i, d, "a", "kernel") for i, d in enumerate([1, 2, 3, 4])] + [(9, 1, "b", "kernel")])
     (r,) = stats.histogram_header(s).collect()
