@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from struct import Struct
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,9 @@ PRIOR_WORDS = 8
 MAX_ROWS, MAX_CHARS = 2000, 10_000_000
 #: Distinct pieces of text that a task counts before it passes the counts on, and tokens that it handles at once.
 HELD_WORDS, CHUNK = 200_000, 200_000
-#: Words without a number that a task remembers.
-REMEMBERED = 100_000
+#: Pieces of text between white space that a task remembers the words of: so many, of so many characters at most.
+REMEMBERED, LONGEST = 200_000, 64
+PACK = Struct("=q").pack
 #: Sums of neighbours are whole numbers of this unit.
 UNIT = 1 << 16
 
@@ -51,33 +53,43 @@ def shape(word: str) -> int:
         return 0
     if not word[0].isalnum() and word[0] != "_":
         return 5
-    if any(c.isdigit() for c in word):
+    if any(map(str.isdigit, word)):
         return 4
-    return 0 if word.islower() else 2 if word.isupper() and len(word) > 1 else 1 if word[0].isupper() and not any(c.isupper() for c in word[1:]) else 3
+    return 0 if word.islower() else 2 if word.isupper() and len(word) > 1 else 1 if word[0].isupper() and not any(map(str.isupper, word[1:])) else 3
 
 
-class Numbers(dict):
-    """Numbers of words; the words without one, up to ``REMEMBERED``, are remembered with that of their shape."""
+class Pieces(dict):
+    """What white space parts -> the keys of its words, packed.
 
-    def __init__(self, known: dict[str, int]):
-        super().__init__(known)
-        self.first = len(known)
+    The key of a word is its number, or, of a word without one, a hash of 59
+    bits, so that its repeats are told, followed by its shape. Hashes are those
+    of this process, as keys don't leave it.
+    """
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers = numbers
+
+    def key(self, word: str) -> bytes:
+        i = self.numbers.get(word)
+        return PACK(i if i is not None else 1 << 62 | (hash(word) & (1 << 59) - 1) << 3 | shape(word))
 
-    def __missing__(self, word: str) -> int:
-        i = self.first + shape(word)
-        if len(self) < self.first + REMEMBERED:
-            self[word] = i
-        return i
+    def __missing__(self, piece: str) -> bytes:
+        keys = self.key(piece) if piece.isalnum() else b"".join(map(self.key, TOKEN.findall(piece)))
+        if len(self) < REMEMBERED and len(piece) <= LONGEST:
+            self[piece] = keys
+        return keys
 
     def __reduce__(self):
-        return Numbers, ({w: i for w, i in self.items() if i < self.first},)
+        return Pieces, (self.numbers,)
 
 
 class Vocabulary:
     """Numbers of words, the shapes last."""
 
     def __init__(self, counts: list[tuple[str, int]], total: int):
-        self.ids = Numbers({w: i for i, (w, _) in enumerate(counts)})
+        self.ids = {w: i for i, (w, _) in enumerate(counts)}
+        self.pieces = Pieces(self.ids)
         self.size = len(counts) + len(SHAPES)
         rest = max(1, total - sum(n for _, n in counts)) / len(SHAPES)
         n = np.array([n for _, n in counts] + [rest] * len(SHAPES), np.float64)
@@ -87,19 +99,16 @@ class Vocabulary:
 
     def of(self, text: str | None) -> np.ndarray:
         """The numbers of a text's words; a word that repeats the one before it is ``<again>``."""
-        t = TOKEN.findall(text or "")
-        ids = np.fromiter(map(self.ids.__getitem__, t), np.int64, len(t))
-        again = 1 + np.flatnonzero(ids[1:] == ids[:-1])
-        # equal numbers are equal words but for those that share the number of a shape
-        unsure = ids[again] >= self.ids.first
-        same = [t[i] == t[i - 1] for i in again[unsure].tolist()]
-        ids[np.concatenate([again[~unsure], again[unsure][np.array(same, bool)]])] = self.size - 1
+        keys = np.frombuffer(b"".join(map(self.pieces.__getitem__, (text or "").split())), np.int64)
+        first = len(self.ids)
+        ids = np.where(keys < first, keys, first + (keys & 7))
+        ids[1:][keys[1:] == keys[:-1]] = self.size - 1
         return ids
 
     def index(self) -> tuple[np.ndarray, np.ndarray]:
         """Where the index vector of each word is not 0, and its values there, in whole units."""
         at, value = np.zeros((self.size, NONZERO), np.int64), np.zeros((self.size, NONZERO))
-        for w, i in [*((w, i) for w, i in self.ids.items() if i < self.ids.first), *((s, self.ids.first + k) for k, s in enumerate(SHAPES))]:
+        for w, i in [*self.ids.items(), *((s, len(self.ids) + k) for k, s in enumerate(SHAPES))]:
             h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 7)
             for j in range(NONZERO):
                 at[i, j] = (h >> (12 * j)) % DIM
@@ -148,9 +157,13 @@ def neighbours(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 for i in range(0, len(ids) - d, 4 * chunk):  # a very long text in pieces
                     a, b = ids[:-d][i : i + 4 * chunk], ids[d:][i : i + 4 * chunk]
                     both = (a >= 0) & (b >= 0)
-                    for x, y in ((a[both], b[both]), (b[both], a[both])):
+                    a, b = a[both], b[both]
+                    # equal pairs are added at once; sums of whole numbers don't depend on the order
+                    pairs, n = np.unique(np.minimum(a, b) * words.size + np.maximum(a, b), return_counts=True)
+                    a, b = np.divmod(pairs, words.size)
+                    for x, y in ((a, b), (b, a)):
                         for j in range(NONZERO):
-                            np.add(total, np.bincount(x * DIM + at[y, j], value[y, j], len(total)), out=total)
+                            np.add(total, np.bincount(x * DIM + at[y, j], value[y, j] * n, len(total)), out=total)
 
         parts, held = [], 0
         gap = np.full(REACH, -1, np.int64)  # texts have no neighbours across their ends
