@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.text import build_ref, coordinate, kernel_base_name, kernel_family, mesh_text, occupancy_limit, rank_of_label
 from spanforge.operators import ordered
 from spanforge.operators.intervals import shared_time
+from spanforge.operators.sums import WIDE, as_longs, wide_sum
 from spanforge.schema import is_gpu_work
 from spanforge.storage import broadcast_small, materialize
 
@@ -29,7 +30,7 @@ def _middles(spans: DataFrame, by: Sequence[str]) -> DataFrame:
     """
     d = spans.groupBy(*by, "dur_ns").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first")).withColumn("cell", _cell())
     d = materialize(d, "durations")
-    whole = [F.sum("n").alias("n"), F.sum(F.col("dur_ns") * F.col("n")).alias("total"), F.max("dur_ns").alias("top"), F.min("dur_ns").alias("low"), F.min("first").alias("first")]
+    whole = [F.sum("n").alias("n"), wide_sum(F.col("dur_ns").cast(WIDE) * F.col("n")).alias("total"), F.max("dur_ns").alias("top"), F.min("dur_ns").alias("low"), F.min("first").alias("first")]
     cells = materialize(d.groupBy(*by, "cell").agg(*whole), "duration-cells")
     stats = cells.groupBy(*by).agg(F.sum("n").alias("count"), F.sum("total").alias("total_ns"), F.max("top").alias("max_ns"), F.min("low").alias("min_ns"), F.min("first").alias("first_ns"))
 
@@ -48,7 +49,7 @@ def _middles(spans: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _groups(spans: DataFrame, by: Sequence[str], approximate: bool = False) -> DataFrame:
-    """(by, count, total_ns, median_ns, max_ns, min_ns, first_ns, upper_ns).
+    """(by, count, total_ns, median_ns, max_ns, min_ns, first_ns, upper_ns); total_ns is a wide sum.
 
     Small inputs, by Spark's estimate, and approximate medians take one
     aggregation; larger ones give the same rows by ``_middles``.
@@ -60,22 +61,23 @@ def _groups(spans: DataFrame, by: Sequence[str], approximate: bool = False) -> D
         upper = F.percentile_approx("dur_ns", 0.5, 10_000) if approximate else F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY dur_ns DESC)")
         s = spans.groupBy(*by).agg(
             F.count("*").alias("count"),
-            F.sum("dur_ns").alias("total_ns"),
+            wide_sum("dur_ns").alias("total_ns"),
             median.alias("median_ns"),
             F.max("dur_ns").alias("max_ns"),
             F.min("dur_ns").alias("min_ns"),
             F.min("ts_ns").alias("first_ns"),
             upper.alias("upper_ns"),
         )  # of these, only what is selected is computed
-    return s.select(*by, "count", F.col("total_ns").cast("long").alias("total_ns"), "median_ns", F.greatest("max_ns", F.lit(0)).alias("max_ns"), "min_ns", "first_ns", F.col("upper_ns").cast("long").alias("upper_ns"))
+    return s.select(*by, "count", F.col("total_ns").cast(WIDE).alias("total_ns"), "median_ns", F.greatest("max_ns", F.lit(0)).alias("max_ns"), "min_ns", "first_ns", F.col("upper_ns").cast("long").alias("upper_ns"))
 
 
 def kernel_stats(spans: DataFrame, by: Sequence[str] = ("name",), approximate: bool = False) -> DataFrame:
     """(by, count, total_ns, median_ns, max_ns, min_ns); the median averages the two middles.
 
     It is exact, for groups of any size; ``approximate`` takes a sketch instead.
+    total_ns is a long, or a decimal where one doesn't hold all totals.
     """
-    return _groups(spans, by, approximate).drop("first_ns", "upper_ns")
+    return as_longs(_groups(spans, by, approximate).drop("first_ns", "upper_ns"), "total_ns")
 
 
 def selection_stats(sel: DataFrame, overlap: bool = False) -> DataFrame:
@@ -84,12 +86,14 @@ def selection_stats(sel: DataFrame, overlap: bool = False) -> DataFrame:
     With ``overlap``, total_ns and the share are of shared time; the mean keeps the plain total.
     """
     s = _groups(sel, ["name"]).drop("upper_ns")
-    s = s.withColumn("mean_ns", F.col("total_ns") / F.col("count"))
+    s = s.withColumn("mean_ns", F.col("total_ns").cast("double") / F.col("count"))
     if overlap:
         s = s.drop("total_ns").join(shared_time(sel).select("name", F.col("shared_ns").alias("total_ns")), "name", "left").fillna(0.0, ["total_ns"])
-    total = s.agg(F.sum("total_ns").alias("all_ns"))
+    else:
+        s = as_longs(s, "total_ns")
+    total = s.agg((F.sum("total_ns") if overlap else wide_sum("total_ns")).cast("double").alias("all_ns"))
     s = s.crossJoin(F.broadcast(total))  # one row
-    return s.withColumn("share_pct", F.when(F.col("all_ns") > 0, 100.0 * F.col("total_ns") / F.col("all_ns")).otherwise(0.0)).drop("all_ns")
+    return s.withColumn("share_pct", F.when(F.col("all_ns") > 0, 100.0 * F.col("total_ns").cast("double") / F.col("all_ns")).otherwise(0.0)).drop("all_ns")
 
 
 def grand_median(sel: DataFrame) -> DataFrame:
@@ -115,8 +119,9 @@ def proportional_bar(stats: DataFrame) -> DataFrame:
     """
     w = Window.orderBy(F.col("total_ns").desc(), "name").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.greatest(F.lit(1), F.sum("total_ns").over(everything))
-    return stats.select("name", (F.col("total_ns") / total).alias("share"), ((F.sum("total_ns").over(w) - F.col("total_ns")) / total).alias("start"))
+    total = F.greatest(F.lit(1.0), wide_sum("total_ns").over(everything).cast("double"))
+    before = (wide_sum("total_ns").over(w) - F.col("total_ns")).cast("double")
+    return stats.select("name", (F.col("total_ns").cast("double") / total).alias("share"), (before / total).alias("start"))
 
 
 def duration_histogram(spans: DataFrame, bins: int, by: Sequence[str] = ()) -> DataFrame:
@@ -134,7 +139,7 @@ def duration_histogram(spans: DataFrame, bins: int, by: Sequence[str] = ()) -> D
 
 def histogram_header(spans: DataFrame, by: Sequence[str] = ("name",)) -> DataFrame:
     """(by, count, mean_ns, upper_median_ns) for groups of two calls or more."""
-    out = _groups(spans, by).select(*by, "count", (F.col("total_ns") / F.col("count")).alias("mean_ns"), F.col("upper_ns").alias("upper_median_ns"))
+    out = _groups(spans, by).select(*by, "count", (F.col("total_ns").cast("double") / F.col("count")).alias("mean_ns"), F.col("upper_ns").alias("upper_median_ns"))
     return out.filter("count >= 2")
 
 
@@ -237,7 +242,7 @@ def runs_dimension(runs: DataFrame) -> DataFrame:
 def occupancy_breakdown(spans: DataFrame) -> DataFrame:
     """K3: launches and time by kernel and limiting factor."""
     o = spans.withColumn("o", occupancy_limit(F.col("args"))).filter("o.limit is not null")
-    return o.groupBy("name", F.col("o.limit").alias("limit"), F.col("o.suspect").alias("suspect")).agg(F.count("*").alias("launches"), F.sum("dur_ns").cast("long").alias("total_ns"))
+    return as_longs(o.groupBy("name", F.col("o.limit").alias("limit"), F.col("o.suspect").alias("suspect")).agg(F.count("*").alias("launches"), wide_sum("dur_ns").alias("total_ns")), "total_ns")
 
 
 def args_profile(spans: DataFrame) -> DataFrame:
@@ -248,8 +253,9 @@ def args_profile(spans: DataFrame) -> DataFrame:
 
 def time_by_family(spans: DataFrame) -> DataFrame:
     """K5: (base, family, count, total_ns)."""
-    s = spans.groupBy("name").agg(F.count("*").alias("count"), F.sum("dur_ns").alias("total_ns"))
-    return s.groupBy(kernel_base_name(F.col("name")).alias("base"), kernel_family(F.col("name")).alias("family")).agg(F.sum("count").cast("long").alias("count"), F.sum("total_ns").cast("long").alias("total_ns"))
+    s = spans.groupBy("name").agg(F.count("*").alias("count"), wide_sum("dur_ns").alias("total_ns"))
+    s = s.groupBy(kernel_base_name(F.col("name")).alias("base"), kernel_family(F.col("name")).alias("family"))
+    return as_longs(s.agg(F.sum("count").cast("long").alias("count"), wide_sum("total_ns").alias("total_ns")), "total_ns")
 
 
 def build_refs(runs: DataFrame) -> DataFrame:
