@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanforge.operators.gaps import all_gaps
+from spanforge.operators.sums import wide_sum
 from spanforge.schema import SPAN_COLUMNS, SPANS, scope
 from spanforge.sources.ingest import assembled, read_documents
 from spanforge.sources.store import read_store, write_store
@@ -80,10 +81,13 @@ def stream_spans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def live_stats(stream: DataFrame) -> DataFrame:
-    """L2: running per-name count, total, max and min of all that was ever read; an exact median, and rewritten files, take the store."""
+    """L2: running per-name count, total, max and min of all that was ever read; an exact median, and rewritten files, take the store.
+
+    total_ns is a decimal: the type of a stream is fixed before its sums are known.
+    """
     return stream.groupBy("name").agg(
         F.count("*").alias("count"),
-        F.sum("dur_ns").alias("total_ns"),
+        wide_sum("dur_ns").alias("total_ns"),
         F.greatest(F.max("dur_ns"), F.lit(0)).alias("max_ns"),
         F.min("dur_ns").alias("min_ns"),
         F.percentile_approx("dur_ns", 0.5).alias("median_approx_ns"),
