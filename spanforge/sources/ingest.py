@@ -68,22 +68,31 @@ def begins_with(spark: SparkSession, paths: list[str], word: bytes, size: int =
 
 
 def discover(spark: SparkSession, dirs: list[str], known: DataFrame | None = None) -> DataFrame:
-    """A3: (source_dir, path) of the trace files below each directory.
+    """A3: (source_dir, path, length) of the trace files below each directory.
 
-    ``.json.gz`` files, and ``.json`` files with "trace" in their name or
-    "traceEvents" in their first MiB; files whose path is in ``known`` are left
-    out, and not looked into.
+    ``.json.gz`` files, ``.json`` files with "trace" in their name or
+    "traceEvents" in their first MiB, and ``.txt`` files that begin as sequences of
+    documents do (``discover_documents`` looks into these); files whose path is in
+    ``known`` are left out, and not looked into.
     """
     out = None
     for d in dirs:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select(F.lit(d).alias("source_dir"), "path")
-        files = files.filter(F.col("path").endswith(".json.gz") | F.col("path").endswith(".json"))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d).select(F.lit(d).alias("source_dir"), "path", "length")
+        files = files.filter(F.col("path").endswith(".json.gz") | F.col("path").endswith(".json") | F.col("path").endswith(".txt"))
         out = files if out is None else out.unionByName(files)
-    out = materialize(out if known is None else out.join(known.select("path").distinct(), "path", "left_anti").select("source_dir", "path"), "found")
-    named = F.col("path").endswith(".json.gz") | file_name().contains("trace")
-    doubtful = [r["path"] for r in out.filter(~named).select("path").distinct().collect()]
-    found = spark.createDataFrame([(p,) for p in begins_with(spark, doubtful, b"traceEvents")], "path string")
-    return out.filter(named).unionByName(out.filter(~named).join(broadcast_small(found), "path", "left_semi").select("source_dir", "path"))
+    out = materialize(out if known is None else out.join(known.select("path").distinct(), "path", "left_anti").select("source_dir", "path", "length"), "found")
+    text = F.col("path").endswith(".txt")
+    named = ~text & (F.col("path").endswith(".json.gz") | file_name().contains("trace"))
+    listed = lambda which: [r["path"] for r in out.filter(which).select("path").distinct().collect()]
+    paths = begins_with(spark, listed(~named & ~text), b"traceEvents") + begins_with(spark, listed(text), pieces.SEPARATOR, 1)
+    found = spark.createDataFrame([(p,) for p in paths], "path string")
+    return out.filter(named).unionByName(out.filter(~named).join(broadcast_small(found), "path", "left_semi").select("source_dir", "path", "length"))
+
+
+def discover_documents(spark: SparkSession, dirs: list[str], known: DataFrame | None = None) -> DataFrame:
+    """A3: (path, doc, rank, n_events) of the documents with events in the files that ``discover`` finds; a sequence is read whole, as only that tells what is in it."""
+    docs, _ = read_documents(spark, discover(spark, dirs, known).select("path", "length").distinct())
+    return docs.filter("n_events > 0").select("path", "doc", told_rank().alias("rank"), "n_events")
 
 
 def trace_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -94,41 +103,48 @@ def trace_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_documents(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Headers and events of the files (path, length).
 
-    documents: (path, length, deviceProperties, vllm_version, distributedInfo,
-    n_events, complete), a row for each file. events: (path, seq, and the fields of
-    an event), seq being where in the file it begins. Every file is read up to its
-    damage, if it has any: complete tells whether the document is closed. Files
+    documents: (path, doc, length, deviceProperties, vllm_version, distributedInfo,
+    n_events, complete), a row for each document; length is the file's. events:
+    (path, doc, seq, and the fields of an event), seq being where in the file it
+    begins. Every document is read up to its damage, if it has any: complete tells
+    whether it is closed. Files
     are cut into events by many tasks (``sources.pieces``) and written to the
     shared folder once, so that what uses the result doesn't parse files again.
     """
     files = materialize(files, "files")
     p = pieces.parts(spark, files)
     found, rest, complete = pieces.objects(p)
-    events = found.filter(F.col("key") == "traceEvents").select("path", "seq", F.from_json("text", EVENT).alias("e")).select("path", "seq", "e.*")
-    heads = rest.select("path", F.from_json("text", HEADER).alias("h")).select("path", "h.*")
-    n = found.filter(F.col("key") == "traceEvents").groupBy("path").agg(F.count("*").alias("n_events"))
+    events = found.filter(F.col("key") == "traceEvents").select("path", "doc", "seq", F.from_json("text", EVENT).alias("e")).select("path", "doc", "seq", "e.*")
+    heads = rest.select("path", "doc", F.from_json("text", HEADER).alias("h")).select("path", "doc", "h.*")
+    n = found.filter(F.col("key") == "traceEvents").groupBy("path", "doc").agg(F.count("*").alias("n_events"))
     plain = lambda t: t.withColumn("p", F.regexp_replace("path", "^file:/*", "/"))
-    docs = plain(files)
-    for t in (heads, n, complete):
-        docs = docs.join(plain(t).drop("path"), "p", "left")
+    docs = plain(files).join(plain(complete).drop("path"), "p", "left").withColumn("doc", F.coalesce("doc", F.lit(0).cast("long")))
+    for t in (heads, n):
+        docs = docs.join(plain(t).drop("path"), ["p", "doc"], "left")
     docs = docs.withColumns({"n_events": F.coalesce("n_events", F.lit(0).cast("long")), "complete": F.coalesce("complete", F.lit(False))}).drop("p")
     return materialize(docs, "documents"), events
 
 
 def bad_files(docs: DataFrame) -> DataFrame:
-    """A2: (path, length, n_events, problem) of the files that are damaged, or have no events: what was read of them is kept."""
+    """A2: (path, doc, rank, length, n_events, problem) of the documents that are damaged, or have no events: what was read of them is kept."""
     problem = F.when(~F.col("complete"), "damaged").when(F.col("n_events") == 0, "no events")
-    return docs.withColumn("problem", problem).filter("problem is not null").select("path", "length", "n_events", "problem")
+    return docs.withColumn("problem", problem).filter("problem is not null").select("path", "doc", told_rank().alias("rank"), "length", "n_events", "problem")
+
+
+def told_rank() -> Column:
+    """The rank of a document: what it tells, else what the name of its file does."""
+    return F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"])
 
 
 def run_name(run: str, rank: Column) -> Column:
-    """A file without a rank is a trace of its own, named by its file."""
-    return F.when(rank.isNull(), F.concat(F.lit(f"{run}:"), file_name())).otherwise(F.lit(run))
+    """A document without a rank is a trace of its own, named by its file and, in a sequence, where it begins."""
+    at = F.when(F.col("doc") > 0, F.concat(F.lit("@"), F.col("doc").cast("string"))).otherwise("")
+    return F.when(rank.isNull(), F.concat(F.lit(f"{run}:"), file_name(), at)).otherwise(F.lit(run))
 
 
 def headers(docs: DataFrame, run: str) -> DataFrame:
     """A4: (run, rank, path, device, version, dist_rank, dist_world, dp, tp, pp, ep, dcp)."""
-    rank = F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"])
+    rank = told_rank()
     h = docs.select(
         run_name(run, rank).alias("run"),
         rank.alias("rank"),
@@ -142,11 +158,11 @@ def headers(docs: DataFrame, run: str) -> DataFrame:
 
 
 def placed(events: DataFrame, docs: DataFrame, run: str) -> DataFrame:
-    """Every event with its run, rank and file."""
-    rank = F.coalesce(F.col("distributedInfo.rank"), rank_key()["rank"])
-    d = docs.select(F.regexp_replace("path", "^file:/*", "/").alias("p"), run_name(run, rank).alias("run"), rank.alias("rank"), F.xxhash64("path").alias("file"))
+    """Every event with the run, rank and file of its document."""
+    rank = told_rank()
+    d = docs.select(F.regexp_replace("path", "^file:/*", "/").alias("p"), "doc", run_name(run, rank).alias("run"), rank.alias("rank"), F.xxhash64("path").alias("file"))
     e = events.withColumn("p", F.regexp_replace("path", "^file:/*", "/"))
-    return e.join(broadcast_small(d), "p").drop("p", "path")
+    return e.join(broadcast_small(d), ["p", "doc"]).drop("p", "doc", "path")
 
 
 def _ns(c: str):
@@ -180,8 +196,8 @@ def assembled(docs: DataFrame, events: DataFrame, run: str, carry: tuple[str, ..
 def read_traces(spark: SparkSession, paths: list[str], run: str) -> Bundle:
     """A1: all files with a rank as one run, each other file as a run of its own, times as recorded; ``operators.tracks`` normalises and merges.
 
-    Damaged files give the events before the damage, and are listed in
-    ``bad_files`` of the result. A file that is a rank's second one keeps its
+    Damaged files, and documents of a sequence, give the events before the damage,
+    and are listed in ``bad_files`` of the result. A file that is a rank's second one keeps its
     spans apart by their identifiers.
     """
     return assembled(*read_documents(spark, trace_files(spark, paths)), run)

@@ -16,6 +16,11 @@ read twice.
    the border of two splits comes in parts, which are put together by file.
 
 Files of one split begin at the beginning, and are read once.
+
+A file may hold many documents as a JSON text sequence (RFC 7464): each is preceded
+by the byte 0x1E, which can't stand in JSON. So a document that is cut ends where the
+next one begins, and many small traces need no file each. Documents are told by the
+byte at which they begin, ``doc``; of a file with only one that is 0.
 """
 
 from __future__ import annotations
@@ -37,10 +42,12 @@ LEVEL = 2
 BUFFER = 4096
 KEY = re.compile(rb'"((?:[^"\\]|\\.)*)"\s*:\s*\[$')
 EVENTS = b"traceEvents"
-SPLIT = ("path", "start")
+#: Precedes each document of a sequence.
+SEPARATOR = b"\x1e"
+DOCUMENT, SPLIT = ("path", "doc"), ("path", "start")
 #: Added to the depth of a split that ends inside a string.
 QUOTED = 1_000_000
-PARTS = "path string, start long, size long, seq long, kind string, key string, inside boolean, text binary, depth int"
+PARTS = "path string, doc long, start long, size long, seq long, kind string, key string, inside boolean, text binary, depth int"
 
 
 def _signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,38 +98,52 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bool, byte
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, start, bytes, odd, outside, inside): how a split changes the state, if it begins outside or inside a string."""
+    """(path, start, bytes, doc, odd, outside, inside): how a split changes the state, if it begins outside or inside a string.
+
+    doc is where in the split its last document begins, null if none does; the change is then that document's alone.
+    """
     out: list[list] = []
     for split, begins, data, _ in _runs(batches):
-        quotes, at, step = _signs(np.frombuffer(data, np.uint8))
         if begins:
-            out.append([*split, 0, 0, 0, 0])
-        s = out[-1]
-        even = (np.searchsorted(quotes, at) + s[3]) % 2 == 0
+            out.append([*split, 0, None, 0, 0, 0])
+        s, last = out[-1], data.rfind(SEPARATOR) + 1
+        if last:
+            s[3:] = [s[2] + last, 0, 0, 0]
+        quotes, at, step = _signs(np.frombuffer(data, np.uint8)[last:])
+        even = (np.searchsorted(quotes, at) + s[4]) % 2 == 0
         s[2] += len(data)
-        s[3] = (s[3] + len(quotes)) % 2
-        s[4] += int(step[even].sum())
-        s[5] += int(step[~even].sum())
-    columns = list(zip(*out, strict=True)) or [[]] * 6
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "start", "bytes", "odd", "outside", "inside"])
+        s[4] = (s[4] + len(quotes)) % 2
+        s[5] += int(step[even].sum())
+        s[6] += int(step[~even].sum())
+    columns = list(zip(*out, strict=True)) or [[]] * 7
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "start", "bytes", "doc", "odd", "outside", "inside"])
 
 
 def split_states(fragments: DataFrame) -> DataFrame:
-    """(path, start, at, quoted, depth): where in the file each split begins, and in what state."""
-    each = materialize(fragments.mapInArrow(_summaries, "path string, start long, bytes long, odd int, outside long, inside long"), "splits")
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split of a file
-    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    each = each.withColumns({"at": total("bytes"), "quoted": (total("odd") % 2).cast("int")})
-    turn = F.when(F.col("quoted") == 0, F.col("outside")).otherwise(F.col("inside"))
-    return each.withColumn("turn", turn).withColumn("depth", total("turn").cast("int")).select("path", "start", "at", "quoted", "depth")
+    """(path, start, at, doc, quoted, depth): where in the file each split begins, in which document, and in what state."""
+    each = materialize(fragments.mapInArrow(_summaries, "path string, start long, bytes long, doc long, odd int, outside long, inside long"), "splits")
+    splits = Window.partitionBy("path").orderBy("start")  # a row for each split of a file
+    before, upto = splits.rowsBetween(Window.unboundedPreceding, -1), splits.rowsBetween(Window.unboundedPreceding, 0)
+    begun = Window.partitionBy("path", "n").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    left = lambda c: F.coalesce(F.lag(c).over(splits), F.lit(0))
+    each = each.withColumns({"at": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "n": F.count("doc").over(upto)})
+    each = each.withColumns({"latest": F.max(F.col("at") + F.col("doc")).over(upto), "odd": (F.sum("odd").over(begun) % 2).cast("int")})
+    each = each.withColumn("quoted", left("odd"))
+    turn = F.when(F.col("doc").isNotNull() | (F.col("quoted") == 0), F.col("outside")).otherwise(F.col("inside"))
+    each = each.withColumn("turn", turn).withColumn("turn", F.sum("turn").over(begun).cast("int"))
+    return each.select("path", "start", "at", left("latest").alias("doc"), "quoted", left("turn").alias("depth"))
 
 
 class _Cutter:
-    """One split: takes its bytes in order and gives rows of ``PARTS`` but for the last columns."""
+    """One split: takes its bytes in order and gives rows of ``PARTS`` but for path, start and size."""
 
-    def __init__(self, at: int, quoted: int, depth: int):
-        self.at, self.quoted, self.depth = at, quoted, depth
+    def __init__(self, at: int, quoted: int, depth: int, doc: int):
+        self.rows: list[tuple] = []
+        self._begin(at, quoted, depth, doc)
+
+    def _begin(self, at: int, quoted: int, depth: int, doc: int) -> None:
+        self.at, self.quoted, self.depth, self.doc = at, quoted, depth, doc
         self.head = depth > LEVEL  # until the object that was open at the border is closed
         self.key: bytes | None = None
         self.known = depth < LEVEL
@@ -131,7 +152,7 @@ class _Cutter:
         self.outer: list[bytes] = []
         self.outer_at = at
         self.inside = depth >= LEVEL
-        self.rows: list[tuple] = []
+        self.blank = True
 
     def _outside(self, data: bytes, at: int) -> None:
         if not self.outer:
@@ -142,13 +163,22 @@ class _Cutter:
         data, self.outer = b"".join(self.outer), []
         of_events = self.inside and (self.key == EVENTS if self.known else not data.strip(b" \t\r\n,"))
         if data and not of_events:
-            self.rows.append((self.outer_at, "outer", self.key if self.known else None, self.inside, data))
+            self.rows.append((self.doc, self.outer_at, "outer", self.key if self.known else None, self.inside, data, None))
 
     def _flush_object(self, kind: str) -> None:
         data, self.open = b"".join(self.open), []
-        self.rows.append((self.open_at, kind, self.key if self.known else None, True, data))
+        self.rows.append((self.doc, self.open_at, kind, self.key if self.known else None, True, data, None))
 
     def take(self, data: bytes) -> None:
+        *ended, last = data.split(SEPARATOR)
+        for d in ended:
+            self._take(d)
+            self.close(False)
+            self._begin(self.at + 1, 0, 0, self.at + 1)
+        self._take(last)
+
+    def _take(self, data: bytes) -> None:
+        self.blank = self.blank and not data.strip()
         quotes, at, step = _signs(np.frombuffer(data, np.uint8))
         real = (np.searchsorted(quotes, at) + self.quoted) % 2 == 0
         at, depth = at[real], self.depth + np.cumsum(step[real])
@@ -187,25 +217,24 @@ class _Cutter:
         self.quoted, self.depth = (self.quoted + len(quotes)) % 2, depth_now
         self.at += len(data)
 
-    def close(self) -> None:
+    def close(self, last: bool = True) -> None:
+        """The end of the document, or of its part in this split, and in what state that is; what is between documents, or before the first, is none."""
         if self.depth > LEVEL:
             self._flush_object("middle" if self.head else "tail")
         self._flush_outer()
+        if not self.blank or (last and self.doc == 0):
+            self.rows.append((self.doc, self.at, "end", self.key if self.known else None, False, None, self.depth + QUOTED * self.quoted))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split, cutter, size = None, None, 0
 
-    def batch(last: bool) -> pa.RecordBatch:
+    def batch() -> pa.RecordBatch:
         rows, cutter.rows = cutter.rows, []
-        depth = [None] * len(rows)
-        if last:  # in what state the split ends
-            rows.append((cutter.at, "end", cutter.key if cutter.known else None, False, None))
-            depth.append(cutter.depth + QUOTED * cutter.quoted)
-        at, kind, key, inside, text = zip(*rows, strict=True)
+        doc, at, kind, key, inside, text, depth = zip(*rows, strict=True)
         n = len(rows)
         return pa.RecordBatch.from_arrays(
-            [pa.array([split[0]] * n, pa.string()), pa.array([split[1]] * n, pa.int64()), pa.array([size] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(kind, pa.string()),
+            [pa.array([split[0]] * n, pa.string()), pa.array(doc, pa.int64()), pa.array([split[1]] * n, pa.int64()), pa.array([size] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(kind, pa.string()),
              pa.array([k if k is None else k.decode("utf-8", "replace") for k in key], pa.string()), pa.array(inside, pa.bool_()), pa.array(text, pa.binary()), pa.array(depth, pa.int32())],
             names=[c.split()[0] for c in PARTS.split(", ")],
         )
@@ -214,15 +243,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if begins:
             if cutter is not None:
                 cutter.close()
-                yield batch(True)
+                if cutter.rows:
+                    yield batch()
             split, size = now, row["size"]
-            cutter = _Cutter(row.get("at") or 0, row.get("quoted") or 0, row.get("depth") or 0)
+            cutter = _Cutter(*(row.get(c) or 0 for c in ("at", "quoted", "depth", "doc")))
         cutter.take(data)
         if cutter.rows:
-            yield batch(False)
+            yield batch()
     if cutter is not None:
         cutter.close()
-        yield batch(True)
+        if cutter.rows:
+            yield batch()
 
 
 def _bytes(text: str) -> int:
@@ -248,35 +279,35 @@ def parts(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 
 def objects(parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(path, seq, key, text) of the objects in the arrays of each document; (path, text) of the rest; (path, complete).
+    """(path, doc, seq, key, text) of the objects in the arrays of each document; (path, doc, text) of the rest; (path, doc, complete).
 
     seq is the byte of the file, after inflation, where the object begins.
     """
     ends = parts.filter("kind = 'end'")
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*SPLIT, F.last("key", ignorenulls=True).over(before).alias("carried")).filter("start > 0 and carried is not null")
+    before = Window.partitionBy(*DOCUMENT).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*DOCUMENT, "start", F.last("key", ignorenulls=True).over(before).alias("carried")).filter("start > 0 and carried is not null")
     carried = materialize(carried, "split-keys")
-    p = parts.filter("kind <> 'end'").join(broadcast_small(carried), list(SPLIT), "left")
+    p = parts.filter("kind <> 'end'").join(broadcast_small(carried), [*DOCUMENT, "start"], "left")
     p = p.withColumn("key", F.when(F.col("inside"), F.coalesce("key", "carried"))).drop("carried")
     # objects that cross borders: a tail, what is in between, and a head
     crossing = p.filter("kind in ('tail', 'middle', 'head')")
-    begun = F.last(F.when(F.col("kind") == "tail", F.col("seq")), ignorenulls=True).over(Window.partitionBy("path").orderBy("start", "seq"))
-    crossing = crossing.withColumn("begun", begun).groupBy("path", "begun").agg(F.sort_array(F.collect_list(F.struct("start", "seq", "kind", "text"))).alias("l"), F.first("key", ignorenulls=True).alias("key"))
+    begun = F.last(F.when(F.col("kind") == "tail", F.col("seq")), ignorenulls=True).over(Window.partitionBy(*DOCUMENT).orderBy("start", "seq"))
+    crossing = crossing.withColumn("begun", begun).groupBy(*DOCUMENT, "begun").agg(F.sort_array(F.collect_list(F.struct("start", "seq", "kind", "text"))).alias("l"), F.first("key", ignorenulls=True).alias("key"))
     crossing = crossing.filter(F.element_at("l", -1)["kind"] == "head").filter("begun is not null")
     whole = F.array_join(F.transform("l", lambda x: x["text"].cast("string")), "")
-    found = p.filter("kind = 'object'").select("path", "seq", "key", F.col("text").cast("string").alias("text"))
-    found = found.unionByName(crossing.select("path", F.col("begun").alias("seq"), "key", whole.alias("text")))
+    found = p.filter("kind = 'object'").select(*DOCUMENT, "seq", "key", F.col("text").cast("string").alias("text"))
+    found = found.unionByName(crossing.select(*DOCUMENT, F.col("begun").alias("seq"), "key", whole.alias("text")))
     other = ~F.col("key").eqNullSafe(F.lit(EVENTS.decode()))
-    rest = p.filter("kind = 'outer'").filter(other).select("path", "seq", F.lit(False).alias("object"), F.col("text").cast("string").alias("text"))
-    rest = rest.unionByName(found.filter(other).select("path", "seq", F.lit(True).alias("object"), "text"))
-    rest = rest.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("seq", "object", "text"))).alias("l"))
+    rest = p.filter("kind = 'outer'").filter(other).select(*DOCUMENT, "seq", F.lit(False).alias("object"), F.col("text").cast("string").alias("text"))
+    rest = rest.unionByName(found.filter(other).select(*DOCUMENT, "seq", F.lit(True).alias("object"), "text"))
+    rest = rest.groupBy(*DOCUMENT).agg(F.sort_array(F.collect_list(F.struct("seq", "object", "text"))).alias("l"))
     empty = F.struct(F.lit("").alias("text"), F.lit(False).alias("object"))
     # commas between objects at a border are left out by what reads them
     text = F.aggregate("l", empty, lambda a, x: F.struct(F.concat(a["text"], F.when(a["object"] & x["object"], ",").otherwise(""), x["text"]).alias("text"), x["object"].alias("object")))["text"]
-    depth = ends.groupBy("path").agg(F.max_by("depth", "start").alias("depth"))
-    rest = rest.select("path", text.alias("text")).join(depth, "path")
+    depth = ends.groupBy(*DOCUMENT).agg(F.max_by("depth", "start").alias("depth"))
+    rest = rest.select(*DOCUMENT, text.alias("text")).join(depth, list(DOCUMENT))
     # of a document that is cut, what came before is closed
     inner = F.when(F.regexp_extract("text", r"([\[{])[^\[{\]}]*$", 1) == "[", "]}").otherwise("}}")
     closing = F.when(F.col("depth") > 1, inner).when(F.col("depth") == 1, "}").otherwise("")
     text = F.when(F.col("depth") > 0, F.concat(F.regexp_replace("text", r"[,\s]+$", ""), closing)).otherwise(F.col("text"))
-    return found, rest.select("path", text.alias("text")), depth.select("path", (F.col("depth") <= 0).alias("complete"))
+    return found, rest.select(*DOCUMENT, text.alias("text")), depth.select(*DOCUMENT, (F.col("depth") <= 0).alias("complete"))
