@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import kernel_base_name, kernel_family
 from spanforge.operators.links import launch_frames, launch_links
-from spanforge.storage import materialize
+from spanforge.storage import broadcast_small, materialize
 
 # fixed values: directories never searched, languages by suffix, and words that open a C declaration
 SKIPPED = (".git", "build", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", "target", "cmake-build-debug")
@@ -41,13 +41,14 @@ def index_texts(texts: DataFrame) -> SourceIndex:
     """The index of files (path, value): every identifier before a bracket becomes a row, so that lookups are joins.
 
     rank orders hits: Python definitions 0; in C files declarations before calls,
-    and CUDA sources before others.
+    and CUDA sources before others. Sources are read and searched once.
     """
     suffix = F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)
     t = texts.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
     t = t.withColumn("py", suffix.isin(*PY_SUFFIXES)).filter(F.col("py") | suffix.isin(*C_SUFFIXES))
     inner = F.when(F.col("path").rlike("^deps/[^/]+/"), F.regexp_replace("path", "^deps/[^/]+/", "")).otherwise(F.col("path"))
-    files = t.select("path", "py", F.replace(F.regexp_replace(inner, r"\.[^./]*$", ""), F.lit("/"), F.lit("")).alias("flat"))
+    t = materialize(t.select("path", "py", "value", inner.alias("inner")), "sources")
+    files = t.select("path", "py", F.replace(F.regexp_replace("inner", r"\.[^./]*$", ""), F.lit("/"), F.lit("")).alias("flat"))
     lines = t.select("path", "py", F.posexplode(F.split("value", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
     called = lines.withColumn("name", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![0-9A-Za-z_])([A-Za-z_~][0-9A-Za-z_]*)\("), F.lit(1))))
     is_def = F.col("py") & F.regexp_like("text", F.concat(F.lit(r"(?<![0-9A-Za-z_])def "), F.col("name"), F.lit(r"\(")))
@@ -55,12 +56,17 @@ def index_texts(texts: DataFrame) -> SourceIndex:
     cuda = F.col("path").rlike(r"\.cuh?$")
     rank = F.when(F.col("py"), 0).otherwise(F.when(declares, 0).otherwise(2) + F.when(cuda, 0).otherwise(1))
     names = called.select("name", "path", "line", rank.alias("rank"), "py", F.when(is_def | ~F.col("py"), "def").otherwise("call").alias("kind")).distinct()
-    return SourceIndex(files, lines, names)
+    return SourceIndex(files, lines, materialize(names, "source-names"))
+
+
+def _distinct(df: DataFrame, column: str) -> DataFrame:
+    """The values of a column once each, written: Spark would move what is matched on them to before they are counted, to every row."""
+    return materialize(df.select(column).distinct(), f"distinct-{column}")
 
 
 def _candidates(names: DataFrame) -> DataFrame:
     """(name, attempt, base): the base name, then up to two times without a last part of digits and d."""
-    b = names.select("name").distinct().withColumn("b0", kernel_base_name(F.col("name"))).filter("b0 != ''")
+    b = names.withColumn("b0", kernel_base_name(F.col("name"))).filter("b0 != ''")
     cut = lambda c: F.when(F.col(c).rlike(r"^.*_[0-9d]+$"), F.regexp_replace(c, r"_[0-9d]+$", ""))
     b = b.withColumn("b1", cut("b0")).withColumn("b2", cut("b1"))
     return b.select("name", F.posexplode(F.array("b0", "b1", "b2")).alias("attempt", "base")).filter("base is not null and base != ''")
@@ -72,7 +78,7 @@ def resolve_names(names: DataFrame, index: SourceIndex) -> DataFrame:
     Names of flattened modules are found by the longest flattened path that they
     begin with: every prefix of the name is joined to the paths.
     """
-    n = names.select("name").distinct()
+    n = _distinct(names, "name")
     flat = n.filter(F.col("name").startswith(FLAT_PREFIX))
     plain = n.filter(~F.col("name").startswith(FLAT_PREFIX))
     hit = _candidates(plain).join(index.names.filter("kind = 'def'").select(F.col("name").alias("base"), "path", "line", "rank", "py"), "base")
@@ -96,7 +102,7 @@ def resolve_names(names: DataFrame, index: SourceIndex) -> DataFrame:
 
 def resolve_callfrom(sites: DataFrame, files: DataFrame) -> DataFrame:
     """H7: (site, path, line) of "file:line" strings whose file is in the tree; absolute paths and ".." are refused."""
-    s = sites.select("site").distinct()
+    s = _distinct(sites, "site")
     s = s.select("site", F.regexp_extract("site", r"^(.*):(\d+)$", 1).alias("path"), F.nullif(F.regexp_extract("site", r"^(.*):(\d+)$", 2), F.lit("")).try_cast("int").alias("line"))
     s = s.filter(F.col("line").isNotNull() & ~F.col("path").startswith("/") & ~F.arrays_overlap(F.split("path", "/"), F.array(F.lit(".."))))
     return s.join(files.select("path").distinct(), "path", "left_semi").select("site", "path", "line")
@@ -112,19 +118,20 @@ def attribute(spans: DataFrame, index: SourceIndex) -> DataFrame:
     """
     site = F.get_json_object("args", "$.CallFrom")
     device = F.col("gpu") | (F.col("cat") == "kernel")
-    s = spans.withColumns({"site": site, "device": device, "family": kernel_family(F.col("name"))})
-    by_site = resolve_callfrom(s.filter("site is not null"), index.files).withColumnsRenamed({"path": "p1", "line": "l1"})
-    named = s.filter("site is null").filter(F.col("device") | (F.col("cat") == "cpu_op")).filter(~F.col("family").isin("torch", "generic"))
+    s = materialize(spans.select("span_id", "name", site.alias("site"), device.alias("device"), "cat"), "attributed")
+    by_site = broadcast_small(materialize(resolve_callfrom(s.filter("site is not null"), index.files).withColumnsRenamed({"path": "p1", "line": "l1"}), "sites"))
+    ok = F.col("site").isNull() & (F.col("device") | (F.col("cat") == "cpu_op"))
+    named = _distinct(s.filter(ok), "name").filter(~kernel_family(F.col("name")).isin("torch", "generic"))
     places = resolve_names(named, index)
     best = materialize(places.groupBy("name").agg(F.count("*").alias("hits"), F.min_by(F.struct("path", "line"), "n").alias("place")), "places")
-    out = s.select("span_id", "name", "site", "device", "cat", "family").join(by_site, "site", "left")
-    ok = F.col("site").isNull() & (F.col("device") | (F.col("cat") == "cpu_op")) & ~F.col("family").isin("torch", "generic")
+    out = s.join(by_site, "site", "left")
     b = best.withColumnsRenamed({"name": "n2", "hits": "h2", "place": "p2"})
-    out = out.join(b, ok & (F.col("name") == F.col("n2")), "left")
+    out = out.join(broadcast_small(b), ok & (F.col("name") == F.col("n2")), "left")
     open_ = out.filter("device and site is null and p2 is null").select("span_id")
     link = materialize(launch_links(spans, open_), "launch-links")
-    ops = link.filter("op is not null").select(F.col("op").alias("name")).distinct().filter(kernel_family(F.col("name")) != "torch")
+    ops = _distinct(link.filter("op is not null").withColumnRenamed("op", "name"), "name").filter(kernel_family(F.col("name")) != "torch")
     o = resolve_names(ops, index).groupBy("name").agg(F.count("*").alias("h3"), F.min_by(F.struct("path", "line"), "n").alias("p3")).withColumnRenamed("name", "op")
+    o = broadcast_small(materialize(o, "op-places"))
     frames = launch_frames(link.filter("at_id is not null"), spans, index.files).select("kernel_id", F.struct(F.col("file").alias("path"), "line").alias("p4"))
     link = link.join(o, "op", "left").join(frames, "kernel_id", "left").withColumnRenamed("kernel_id", "k")
     out = out.join(link, F.col("span_id") == F.col("k"), "left")
