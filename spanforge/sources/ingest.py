@@ -108,15 +108,16 @@ def read_documents(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, Da
     (path, doc, seq, and the fields of an event), seq being where in the file it
     begins. Every document is read up to its damage, if it has any: complete tells
     whether it is closed. Files
-    are cut into events by many tasks (``sources.pieces``) and written to the
-    shared folder once, so that what uses the result doesn't parse files again.
+    are cut into events by many tasks (``sources.pieces``), and these parsed and
+    written to the shared folder once, so that what uses the result parses nothing again.
     """
     files = materialize(files, "files")
     p = pieces.parts(spark, files)
     found, rest, complete = pieces.objects(p)
     events = found.filter(F.col("key") == "traceEvents").select("path", "doc", "seq", F.from_json("text", EVENT).alias("e")).select("path", "doc", "seq", "e.*")
+    events = materialize(events, "events")
     heads = rest.select("path", "doc", F.from_json("text", HEADER).alias("h")).select("path", "doc", "h.*")
-    n = found.filter(F.col("key") == "traceEvents").groupBy("path", "doc").agg(F.count("*").alias("n_events"))
+    n = events.groupBy("path", "doc").agg(F.count("*").alias("n_events"))
     plain = lambda t: t.withColumn("p", F.regexp_replace("path", "^file:/*", "/"))
     docs = plain(files).join(plain(complete).drop("path"), "p", "left").withColumn("doc", F.coalesce("doc", F.lit(0).cast("long")))
     for t in (heads, n):
