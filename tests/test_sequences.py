@@ -91,5 +91,6 @@ def test_documents_of_many_ranks_take_few_files(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     for cut in (False, True):
         files = trace_files(spark, [queries._documents(spark, sf, cut)])
-        docs, _ = read_documents(spark, files)
+        docs, events = read_documents(spark, files)
+        assert "from_json" not in events._jdf.queryExecution().optimizedPlan().toString()  # parsed once, however often it is used
         assert docs.count() > 2 * files.count() and pieces.SEPARATOR == RS.encode()
